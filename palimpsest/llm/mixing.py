@@ -10,7 +10,7 @@ by (source, bin) tell in which bin the budget ends, and only the rows of that bi
 that holds most rows costs one aggregation like any other.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last; a null doc_id has the
-key of the empty string; a null or non-positive quality counts as 1. Rows that are equal in all columns
+key of the empty string; a missing, null or non-positive grade counts as 1. Rows that are equal in all columns
 are separate documents with equal keys. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -44,16 +44,21 @@ def allocate(sizes: DataFrame, weights: tuple[int, ...], share: float, most: flo
     return out.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level))
 
 
-def mix(docs: DataFrame, *, quality: str | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, epochs, part, taken.
 
     epochs: whole copies of the document; part: words of one more, partial or whole, copy;
-    taken = epochs * size + part. quality: a column of docs with positive weights.
+    taken = epochs * size + part. grades: (doc_id, grade), a row per graded document at most; it meets
+    the sizes, not the texts.
     """
-    grade = F.coalesce(F.when(F.col(quality) > 0, F.col(quality)), F.lit(1.0)).cast("double") if quality else F.lit(1.0)
     digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     unit = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(unit) / grade).alias("key"))
+    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("unit"))
+    slim = stored(slim, "mix-sizes")
+    if grades is not None:
+        slim = slim.join(grades.select("doc_id", F.col("grade").cast("double")), "doc_id", "left")
+    grade = F.when(F.col("grade") > 0, F.col("grade")).otherwise(1.0) if grades is not None else F.lit(1.0)
+    slim = slim.select("doc_id", "source", "size", (-F.log("unit") / grade).alias("key"))
     slim = slim.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * KEY_BINS).cast("int")).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     slim = stored(slim, "mix")
 
