@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding
+from . import digest, langid, media, mixing, packing, sharding
 from .common import documents
 
 
@@ -38,15 +38,36 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(documents(spark, sf_dir))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_neighbours(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 16).drop("group_md5")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    marked = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(marked, langid.train(docs), ["doc_id", "held_out"])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op7_packing": op7_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_media": op2_media,
+    "op3_fingerprint": op3_fingerprint,
+    "op4_sharding": op4_sharding,
+    "op5_langid": op5_langid,
+    "op7_packing": op7_packing,
+}
 ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL}
