@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, langid, media, mixing, packing, sharding
+from . import digest, langid, media, mixing, packing, sharding, substring, suffix
 from .common import documents
 
 
@@ -62,6 +62,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir))
+
+
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -69,5 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
     "op7_packing": op7_packing,
+    "op8_substring": op8_substring,
+    "op9_suffix": op9_suffix,
 }
 ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL}
