@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, langid, media, mixing, packing, sharding, substring, suffix
+from . import digest, langid, media, mixing, packing, sharding, simhash, substring, suffix
 from .common import documents
 
 
@@ -70,6 +70,10 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_substring": op8_substring,
     "op9_suffix": op9_suffix,
+    "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL}
