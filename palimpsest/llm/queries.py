@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, langid, media, mixing, packing, sharding, simhash, substring, suffix
+from . import digest, langid, media, mixing, packing, pii, sharding, simhash, substring, suffix
 from .common import documents
 
 
@@ -56,6 +56,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(marked, langid.train(docs), ["doc_id", "held_out"])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir).select("doc_id", "text"), "palimpsest", counts=True)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_substring": op8_substring,
     "op9_suffix": op9_suffix,
