@@ -44,25 +44,26 @@ def allocate(sizes: DataFrame, weights: tuple[int, ...], share: float, most: flo
     return out.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level))
 
 
-def mix(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, epochs, part, taken.
-
-    epochs: whole copies of the document; part: words of one more, partial or whole, copy;
-    taken = epochs * size + part. grades: (doc_id, grade), a row per graded document at most; it meets
-    the sizes, not the texts.
-    """
+def sized(docs: DataFrame, columns: list[str], seed: str) -> DataFrame:
+    """columns of docs (doc_id, text, source), then size, unit (the uniform number of the document) and skey."""
     digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     unit = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("unit"))
-    slim = stored(slim, "mix-sizes")
+    return docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("unit"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"))
+
+
+def keyed(rows: DataFrame, grades: DataFrame | None) -> DataFrame:
+    """rows of sized() with the exponential key, scaled by the document's grade, and its bin."""
     if grades is not None:
-        slim = slim.join(grades.select("doc_id", F.col("grade").cast("double")), "doc_id", "left")
-    grade = F.when(F.col("grade") > 0, F.col("grade")).otherwise(1.0) if grades is not None else F.lit(1.0)
-    slim = slim.select("doc_id", "source", "size", (-F.log("unit") / grade).alias("key"))
-    slim = slim.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * KEY_BINS).cast("int")).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    slim = stored(slim, "mix")
+        rows = rows.join(grades.select("doc_id", F.col("grade").cast("double").alias("_grade")), "doc_id", "left")
+    grade = F.when(F.col("_grade") > 0, F.col("_grade")).otherwise(1.0) if grades is not None else F.lit(1.0)
+    rows = rows.withColumn("key", -F.log("unit") / grade)
+    return rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * KEY_BINS).cast("int")).drop("unit", "_grade")
 
-    bins = slim.groupBy("skey", "bin").agg(F.max("source").alias("source"), F.sum("size").alias("words"))
+
+def planned(rows: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """skey -> source_size, target, epochs, rest (words beyond the epochs), edge (the bin where they end), below (words
+    of the bins before it); a row per source, stored."""
+    bins = rows.groupBy("skey", "bin").agg(F.max("source").alias("source"), F.sum("size").alias("words"))
     plan = allocate(bins.groupBy("skey").agg(F.max("source").alias("source"), F.sum("words").alias("source_size")), weights, share, most)
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
@@ -71,14 +72,42 @@ def mix(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int,
     edge = bins.withColumn("upto", F.sum("words").over(order)).join(plan.select("skey", "rest"), "skey")
     edge = edge.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
     edge = edge.groupBy("skey").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"))).alias("e")).select("skey", F.col("e.bin").alias("edge"), F.col("e.below").alias("below"))
-    plan = stored(plan.join(edge, "skey", "left"), "mix-plan")  # a row per source
+    return stored(plan.join(edge, "skey", "left"), "mix-plan")
+
 
-    rows = slim.join(plan, "skey")
+def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows of keyed() with source_size, target, epochs, part and taken. Only rows in edge bins are sorted."""
+    columns = [c for c in rows.columns if c not in ("skey", "key", "bin")]
+    rows = rows.join(plan, "skey")
     inside = rows.filter(F.col("edge").isNull() | (F.col("bin") != F.col("edge")))
     inside = inside.withColumn("part", F.when(F.col("edge").isNull() & (F.col("rest") == 0), 0).when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.col("size")).otherwise(0).cast("long"))
     at = Window.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edged = rows.filter(F.col("bin") == F.col("edge")).withColumn("room", F.col("rest") - F.col("below") - F.coalesce(F.sum("size").over(at), F.lit(0)))
     edged = edged.withColumn("part", F.greatest(F.lit(0), F.least("size", "room")).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "part"]
+    columns += ["source_size", "target", "epochs", "part"]
     both = inside.select(*columns).unionByName(edged.select(*columns))
     return both.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+
+
+def mix(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, epochs, part, taken.
+
+    epochs: whole copies of the document; part: words of one more, partial or whole, copy;
+    taken = epochs * size + part. grades: (doc_id, grade), a row per graded document at most; it meets
+    the sizes, not the texts.
+    """
+    slim = stored(sized(docs, ["doc_id", "source"], seed), "mix-sizes")
+    slim = stored(keyed(slim, grades), "mix")
+    return decided(slim, planned(slim, weights, share, most))
+
+
+def mixed_documents(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: docs' rows as often as it takes them, a partial copy with its first words, joined by one space."""
+    slim = stored(keyed(stored(sized(docs, ["doc_id", "source"], seed), "mix-sizes"), grades), "mix")
+    plan = planned(slim, weights, share, most)
+    rows = decided(keyed(sized(docs, docs.columns, seed), grades), plan)
+    copies = (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
+    rows = rows.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    whole = (F.col("copy") <= F.col("epochs")) | (F.col("part") == F.col("size"))
+    return rows.withColumn("text", F.when(whole, F.col("text")).otherwise(words)).select(*docs.columns)

@@ -11,10 +11,14 @@ from . import digest, langid, media, mixing, packing, pii, sharding, simhash, su
 from .common import documents
 
 
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality weights from labels: 2 for good, 0.5 for bad documents; mixing gives the others 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IS NOT NULL")
+    return labels.groupBy("doc_id").agg(F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("grade"))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality weights come from labels: 2 for good, 0.5 for bad documents, 1 for the rest."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("grade"))
-    return mixing.mix(documents(spark, sf_dir), grades=labels).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir), grades=graded(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""

@@ -23,6 +23,7 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -71,15 +72,17 @@ def fingerprint(text: bytes, width: int = 3, seeds: tuple[int, ...] = (42,), dis
     return out
 
 
-def fingerprints(docs: DataFrame, *, width: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (binary, little-endian words)."""
+def fingerprints(docs: DataFrame, *, width: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False, digest: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fp (binary, little-endian words) and, if asked for, digest, the text's MD5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [b"".join(w.to_bytes(8, "little") for w in fingerprint(t or b"", width, seeds, distinct)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "fp"])
+            texts = [t or b"" for t in b.column("text").to_pylist()]
+            found = [b"".join(w.to_bytes(8, "little") for w in fingerprint(t, width, seeds, distinct)) for t in texts]
+            columns = [b.column("doc_id"), pa.array(found, pa.binary())] + [pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string())] * digest
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp"] + ["digest"] * digest)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary" + ", digest string" * digest)
 
 
 def equal_parts(bits: int, limit: int, blocks: int = 4, keep: int = 1) -> tuple[list[np.ndarray], int]:
@@ -264,13 +267,14 @@ def spread(edges: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, *, limit: int, masks: list[np.ndarray], radius: int) -> DataFrame:
-    """prints (doc_id, fp), stored -> doc_id, fp, component_id: the smallest doc_id reachable."""
+    """prints (doc_id, fp, ...), stored -> its columns, component (an id of the group) and component_id: the smallest
+    doc_id reachable."""
     named = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61)))
     nodes = stored(prints.groupBy("fp").agg(named.alias("node")), "nodes")
     edges = links(nodes, limit=limit, masks=masks, radius=radius)
     groups = nodes.join(spread(edges), "node", "left").select("fp", F.coalesce("label", "node").alias("component"))
     out = prints.join(groups, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("component") < NAMELESS, F.col("component")))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, limit: int = 3, blocks: int = 4) -> DataFrame:
@@ -280,3 +284,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, limit: int = 3, blocks:
     found = grouped(prints, limit=limit, masks=masks, radius=radius)
     digits = F.lower(F.concat(*[F.hex(F.substring("fp", k, 1)) for k in range(8, 0, -1)]))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+#: Fingerprint words, masks and bits of a mask for similarity search.
+SEEDS = (42, 43, 44, 45)
+MASKS, MASK_BITS = 32, 12
+
+
+def bits_for(similarity: float, bits: int, slack: float = 1.0) -> int:
+    """Differing bits up to which two shingle sets of this Jaccard similarity are expected to lie, and slack standard
+    deviations more. Sets of similarity j have the cosine 2 j / (1 + j), and each bit differs with their angle."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
+
+
+def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each group of near copies: the one with the smallest doc_id, rows without
+    one last, ties by the text's digest.
+
+    Groups are the components of documents whose sets of width-word shingles have an estimated similarity of at least
+    similarity: fingerprints of 256 bits within bits_for(similarity). A radius that wide excludes equal parts as masks; the
+    forest's MASKS random masks of MASK_BITS bits find a pair at that similarity with a chance of 0.99, a closer one sooner.
+    """
+    bits = 64 * len(SEEDS)
+    rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    prints = stored(fingerprints(rows, width=width, seeds=SEEDS, distinct=True, digest=True), "prints")
+    found = grouped(prints, limit=bits_for(similarity, bits), masks=sampled_masks(bits, MASKS, MASK_BITS), radius=0)
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("k"))
+    chosen = stored(chosen.select(F.concat_ws("|", F.col("k.doc_id").cast("string"), "k.digest").alias("_kept")), "kept")
+    named = docs.withColumn("_kept", F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    return named.join(chosen, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")
