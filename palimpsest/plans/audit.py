@@ -1 +1,141 @@
-"""Queries."""
+"""Queries over certificates and the decision gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..operators import audit as U
+from ..sources import adapters as A
+
+W = f"WITH {A.CERT}"
+_LATEST = "latest AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY checkpoint_hash ORDER BY created_us DESC, certificate_id) AS r FROM cert) WHERE r = 1)"
+
+
+@query("A19_ledger_list", f"{W} SELECT session_id, count(*) AS certificates, count(DISTINCT checkpoint_hash) AS checkpoints, min(certificate_id) AS first FROM cert GROUP BY session_id")
+def ledger_list(spark, sf):
+    return A.cert(spark, sf).groupBy("session_id").agg(F.count("*").alias("certificates"), F.count_distinct("checkpoint_hash").alias("checkpoints"), F.min("certificate_id").alias("first"))
+
+
+@query("B8_certificate_validity", f"{W}, c AS (SELECT *, CASE WHEN covered_start % 40 = 0 THEN 'nan'::DOUBLE WHEN covered_start % 40 = 8 THEN 1.5 ELSE drift_score END AS d FROM cert) SELECT certificate_id, NOT isnan(d) AND d >= 0 AND d <= 1 AS drift_ok, created_us > 0 AS dated, length(session_id) > 0 AS identified FROM c")
+def certificate_validity(spark, sf):
+    c = A.cert(spark, sf).withColumn("d", F.expr("CASE WHEN covered_start % 40 = 0 THEN double('NaN') WHEN covered_start % 40 = 8 THEN 1.5D ELSE drift_score END"))
+    return c.selectExpr("certificate_id", "NOT isnan(d) AND d >= 0 AND d <= 1 AS drift_ok", "created_us > 0 AS dated", "length(session_id) > 0 AS identified")
+
+
+_COMPAT = "CASE WHEN user_id % 7 = 0 THEN 'identity' WHEN user_id % 5 = 0 THEN 'model' WHEN w % 4 = 1 THEN 'artifact' WHEN w % 6 = 2 THEN 'architecture' WHEN (user_id + w) % 9 = 0 THEN 'dtype' ELSE 'ok' END"
+
+
+@query("B9_compatibility", f"WITH {A.CKPT} SELECT hash, {_COMPAT} AS reason FROM ckpt WHERE level = 0")
+def compatibility(spark, sf):
+    """First failing check of a request against a manifest."""
+    c = A.ckpt(spark, sf).filter("level = 0").selectExpr("*", "IF(user_id % 7 = 0, 'other', 'local') AS want_tenant", "IF(user_id % 5 = 0, 'm2', 'm1') AS model", "IF(w % 4 = 1, 'a2', 'a1') AS artifact", "IF(w % 6 = 2, 'arm', 'x86') AS arch", "IF((user_id + w) % 9 = 0, 'int4', 'fp16') AS dtype")
+    ladder = U.refusal((F.col("want_tenant") != F.col("tenant_id"), "identity"), (F.col("model") != "m1", "model"), (F.col("artifact") != "a1", "artifact"), (F.col("arch") != "x86", "architecture"), (~F.col("dtype").isin("fp16", "fp32", "int8"), "dtype"))
+    return c.select("hash", F.coalesce(ladder, F.lit("ok")).alias("reason"))
+
+
+@query("B10_thaw_verification", f"WITH {A.CKPT} SELECT hash, CASE WHEN w % 5 = 0 THEN 'missing' WHEN w % 5 = 1 THEN 'mismatch' ELSE 'ok' END AS thaw FROM ckpt WHERE level = 0")
+def thaw_verification(spark, sf):
+    c = A.ckpt(spark, sf).filter("level = 0").withColumn("actual", F.expr("CASE WHEN w % 5 = 0 THEN '' WHEN w % 5 = 1 THEN sha2(body_hash, 256) ELSE body_hash END"))
+    return c.selectExpr("hash", "CASE WHEN actual = '' THEN 'missing' WHEN actual <> body_hash THEN 'mismatch' ELSE 'ok' END AS thaw")
+
+
+@query("B11_storage_tiers", f"WITH {A.CKPT} SELECT hash, CASE w % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'glacial' END AS tier, w % 3 < 2 AS valid FROM ckpt WHERE level = 0")
+def storage_tiers(spark, sf):
+    return A.ckpt(spark, sf).filter("level = 0").selectExpr("hash", "CASE w % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'glacial' END AS tier").withColumn("valid", F.col("tier").isin("hot", "warm", "cold"))
+
+
+@query("B12_transport_tier", f"WITH {A.CKPT} SELECT hash, CASE WHEN user_id % 2 = 0 THEN 'local' WHEN body_size < 140 THEN 'inline' ELSE 'object_store' END AS transport FROM ckpt WHERE level = 0")
+def transport_tier(spark, sf):
+    return A.ckpt(spark, sf).filter("level = 0").selectExpr("hash", "CASE WHEN user_id % 2 = 0 THEN 'local' WHEN body_size < 140 THEN 'inline' ELSE 'object_store' END AS transport")
+
+
+@query("B13_dtype_policy", f"WITH {A.CKPT} SELECT hash, CASE WHEN w % 3 = 0 THEN 'fp32' WHEN w % 3 = 1 THEN 'fp16' ELSE 'int8' END AS dtype, w % 3 < 2 OR user_id % 2 = 0 AS allowed FROM ckpt WHERE level = 0")
+def dtype_policy(spark, sf):
+    c = A.ckpt(spark, sf).filter("level = 0").selectExpr("hash", "CASE WHEN w % 3 = 0 THEN 'fp32' WHEN w % 3 = 1 THEN 'fp16' ELSE 'int8' END AS dtype", "user_id % 2 = 0 AS lossy_ok")
+    return c.select("hash", "dtype", (F.col("dtype").isin("fp32", "fp16") | F.col("lossy_ok")).alias("allowed"))
+
+
+@query("C2_mentioned_checkpoints", f"WITH {A.CKPT}, cor AS (SELECT user_id, w, hash AS target, CASE WHEN w % 2 = 0 THEN [hash, sha256(hash)] ELSE [sha256(hash)] END AS inv FROM ckpt WHERE level = 0 AND w % 3 = 1), m AS (SELECT DISTINCT user_id, w, unnest(list_distinct(list_concat([target], inv))) AS hash FROM cor) SELECT c.hash, count(*) AS corrections FROM ckpt c JOIN m USING (hash) GROUP BY c.hash")
+def mentioned_checkpoints(spark, sf):
+    c = A.ckpt(spark, sf)
+    cor = c.filter("level = 0 AND w % 3 = 1").selectExpr("user_id", "w", "hash AS target", "IF(w % 2 = 0, array(hash, sha2(hash, 256)), array(sha2(hash, 256))) AS inv")
+    m = cor.select("user_id", "w", F.explode(F.array_union(F.array("target"), "inv")).alias("hash"))
+    return c.select("hash").join(m, "hash").groupBy("hash").agg(F.count("*").alias("corrections"))
+
+
+@query("C3_latest_certificate", f"{W}, {_LATEST} SELECT checkpoint_hash, certificate_id, verdict, drift_score, created_us FROM latest")
+def latest_certificate(spark, sf):
+    return U.latest(A.cert(spark, sf)).select("checkpoint_hash", "certificate_id", "verdict", "drift_score", "created_us")
+
+
+@query("C4_without_audit", f"{W}, {_LATEST} SELECT c.hash FROM ckpt c WHERE c.level = 0 AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.checkpoint_hash = c.hash AND l.verdict = 'pass' AND l.drift_score <= 0.3)")
+def without_audit(spark, sf):
+    good = U.latest(A.cert(spark, sf)).filter("verdict = 'pass' AND drift_score <= 0.3D").select(F.col("checkpoint_hash").alias("hash"))
+    return A.ckpt(spark, sf).filter("level = 0").select("hash").join(good, "hash", "left_anti")
+
+
+@query("C8_range_covered", f"{W} SELECT k.certificate_id, c.hash, k.covered_start <= c.range_start AND k.covered_end >= c.range_end AS covered FROM cert k JOIN ckpt c ON c.hash = k.checkpoint_hash")
+def range_covered(spark, sf):
+    c = A.ckpt(spark, sf).select("hash", "range_start", "range_end")
+    k = A.cert(spark, sf).withColumnRenamed("checkpoint_hash", "hash")
+    return k.join(c, "hash").selectExpr("certificate_id", "hash", "covered_start <= range_start AND covered_end >= range_end AS covered")
+
+
+@query("D25_audit_summary", f"{W}, {_LATEST}, n AS (SELECT checkpoint_hash, count(*) AS certificates FROM cert GROUP BY checkpoint_hash) SELECT c.hash, coalesce(n.certificates, 0) AS certificates, CASE WHEN l.verdict IS NULL THEN 'unaudited' WHEN l.verdict = 'pass' AND l.drift_score <= 0.3 THEN 'passing' ELSE 'failing' END AS summary FROM ckpt c LEFT JOIN latest l ON l.checkpoint_hash = c.hash LEFT JOIN n ON n.checkpoint_hash = c.hash")
+def audit_summary(spark, sf):
+    """Count and newest certificate in one aggregation."""
+    key = F.struct((-F.col("created_us")).alias("age"), "certificate_id")
+    s = A.cert(spark, sf).groupBy(F.col("checkpoint_hash").alias("hash")).agg(F.count("*").alias("certificates"), F.min_by("verdict", key).alias("verdict"), F.min_by("drift_score", key).alias("drift"))
+    return A.ckpt(spark, sf).select("hash").join(s, "hash", "left").selectExpr("hash", "coalesce(certificates, 0) AS certificates", "CASE WHEN verdict IS NULL THEN 'unaudited' WHEN verdict = 'pass' AND drift <= 0.3D THEN 'passing' ELSE 'failing' END AS summary")
+
+
+@query("D26_signature_count", f"{W} SELECT certificate_id, len(list_filter(signatures, lambda s: s IN ('ed25519', 'ml-dsa-65'))) AS allowed, len(signatures) AS total FROM cert")
+def signature_count(spark, sf):
+    return A.cert(spark, sf).select("certificate_id", U.valid_signatures(F.col("signatures"), ["ed25519", "ml-dsa-65"]).alias("allowed"), U.valid_signatures(F.col("signatures"), []).alias("total"))
+
+
+_GATE = "CASE WHEN user_id % 13 = 0 THEN 'incompatible' WHEN w % 9 = 4 THEN 'thaw' WHEN w % 7 = 5 THEN 'blocking_correction' WHEN verdict IS NULL THEN 'no_certificate' WHEN verdict = 'pending' THEN 'pending' WHEN verdict <> 'pass' THEN 'not_pass' WHEN NOT (covered_start <= range_start AND covered_end >= range_end) THEN 'range' WHEN drift_score > 0.3 THEN 'drift' WHEN sigs < 1 THEN 'signatures' ELSE 'accepted' END"
+
+
+@query("B14_decision_gate", f"{W}, {_LATEST} SELECT hash, reason, reason = 'accepted' AS may_use FROM (SELECT c.hash, {_GATE} AS reason FROM (SELECT c.*, l.verdict, l.covered_start, l.covered_end, l.drift_score, len(l.signatures) AS sigs FROM ckpt c LEFT JOIN latest l ON l.checkpoint_hash = c.hash) c)")
+def decision_gate(spark, sf):
+    """Compatibility, thaw, correction barrier, certificate, verdict, range, drift, signatures: the first refusal is the answer."""
+    rows = _gated(spark, sf)
+    return rows.select("hash", "reason", (F.col("reason") == "accepted").alias("may_use"))
+
+
+def _gated(spark, sf):
+    key = F.struct((-F.col("created_us")).alias("age"), "certificate_id")
+    l = A.cert(spark, sf).groupBy(F.col("checkpoint_hash").alias("hash")).agg(F.min_by(F.struct("verdict", "covered_start", "covered_end", "drift_score", "signatures"), key).alias("l"))
+    rows = A.ckpt(spark, sf).join(l, "hash", "left").select("hash", "session_id", "user_id", "w", "level", "range_start", "range_end", "l.*")
+    c = F.col
+    ladder = U.refusal(
+        (c("user_id") % 13 == 0, "incompatible"), (c("w") % 9 == 4, "thaw"), (c("w") % 7 == 5, "blocking_correction"), (c("verdict").isNull(), "no_certificate"), (c("verdict") == "pending", "pending"), (c("verdict") != "pass", "not_pass"),
+        (~((c("covered_start") <= c("range_start")) & (c("covered_end") >= c("range_end"))), "range"), (c("drift_score") > 0.3, "drift"), (U.valid_signatures(c("signatures"), []) < 1, "signatures"),
+    )
+    return rows.withColumn("reason", F.coalesce(ladder, F.lit("accepted")))
+
+
+@query("K4_gate_then_load", f"{W}, {_LATEST}, g AS (SELECT c.hash, {_GATE} AS reason FROM (SELECT c.*, l.verdict, l.covered_start, l.covered_end, l.drift_score, len(l.signatures) AS sigs FROM ckpt c LEFT JOIN latest l ON l.checkpoint_hash = c.hash) c) SELECT hash, CASE reason WHEN 'accepted' THEN 'load' WHEN 'blocking_correction' THEN 'replay' ELSE 'refuse' END AS action FROM g")
+def gate_then_load(spark, sf):
+    """Replay only where a blocking correction is the reason; any other refusal fails closed."""
+    return _gated(spark, sf).selectExpr("hash", "CASE reason WHEN 'accepted' THEN 'load' WHEN 'blocking_correction' THEN 'replay' ELSE 'refuse' END AS action")
+
+
+@query("D27_structured_drift", "SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 1.0 ELSE (CAST(doc_id % 2 = 0 AS INTEGER) + CAST(doc_id % 3 = 0 AS INTEGER) + CAST(doc_id % 5 = 0 AS INTEGER)) / 3.0 END::DOUBLE AS drift FROM documents")
+def structured_drift(spark, sf):
+    """Share of required fields that differ or are missing on either side; unreadable JSON is 1."""
+    docs = A.table(spark, sf, "documents").selectExpr("doc_id", "IF(doc_id % 19 = 0, '{', concat('{\"a\":1', IF(doc_id % 3 = 0, '', ',\"b\":2'), ',\"c\":3}')) AS l", "concat('{\"a\":', IF(doc_id % 2 = 0, 9, 1), ',\"b\":2', IF(doc_id % 5 = 0, '', ',\"c\":3'), '}') AS r")
+    schema = "a INT, b INT, c INT, bad STRING"
+    opts = {"columnNameOfCorruptRecord": "bad"}
+    rows = docs.withColumn("x", F.from_json("l", schema, opts)).withColumn("y", F.from_json("r", schema, opts))
+    differs = lambda f: (F.col(f"x.{f}").isNull() | F.col(f"y.{f}").isNull() | (F.col(f"x.{f}") != F.col(f"y.{f}"))).cast("int")
+    return rows.select("doc_id", F.when(F.col("x.bad").isNotNull() | F.col("y.bad").isNotNull(), 1.0).otherwise((differs("a") + differs("b") + differs("c")) / 3.0).alias("drift"))
+
+
+@query("H68_capabilities", f"WITH {A.EV_STREAM}, t AS (SELECT event_id, user_id, event_id % 3 AS action, timestamp_us FROM ev_stream), revoked AS (SELECT DISTINCT user_id FROM events WHERE user_id % 11 = 3) SELECT event_id, CASE WHEN r.user_id IS NOT NULL THEN 'revoked' WHEN timestamp_us > 1706000000000000 THEN 'expired' WHEN action = 2 THEN 'action' ELSE 'granted' END AS verdict FROM t LEFT JOIN revoked r ON r.user_id = t.user_id")
+def capabilities(spark, sf):
+    revoked = A.table(spark, sf, "events").filter("user_id % 11 = 3").select("user_id", F.lit(True).alias("gone")).distinct()
+    rows = A.ev_stream(spark, sf).join(revoked, "user_id", "left")
+    return rows.select("event_id", F.coalesce(U.refusal((F.col("gone"), "revoked"), (F.col("timestamp_us") > 1706000000000000, "expired"), (F.col("event_id") % 3 == 2, "action")), F.lit("granted")).alias("verdict"))
