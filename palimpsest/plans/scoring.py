@@ -1 +1,96 @@
-"""Queries."""
+"""Queries of the rubric scorers."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import text as T
+from ..sources import adapters as A
+
+MUST, MUST_NOT = ("the", "and", "of"), ("worthless", "pathetic")
+TOOLS, BANNED = ("th", "re", "in"), ("token =",)
+
+
+def _has(x: str) -> str:
+    return f"contains(lower(text), '{x}')"
+
+
+_POS = "(strpos(low, 'th') > 0)::INT + (strpos(low, 're') > 0)::INT + (strpos(low, 'in') > 0)::INT"
+#: After th, the next re, after that the next in.
+_ORDERED = "strpos(low, 'th') > 0 AND strpos(substr(low, strpos(low, 'th') + 2), 're') > 0 AND strpos(substr(low, strpos(low, 'th') + 2 + strpos(substr(low, strpos(low, 'th') + 2), 're') + 1), 'in') > 0"
+
+
+def ordered(text, items):
+    """Each item found after the one before."""
+    place = F.aggregate(F.array(*[F.lit(i) for i in items]), F.lit(1), lambda p, i: F.when(p <= 0, 0).otherwise(F.when(F.position(i, text, p) > 0, F.position(i, text, p) + F.length(i)).otherwise(0)))
+    return place > 0
+
+
+@query("H3_ordered_containment", f"SELECT doc_id, {_ORDERED} AS in_order FROM (SELECT doc_id, lower(left(text, 60)) AS low FROM documents)")
+def ordered_containment(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", ordered(F.lower(F.expr("left(text, 60)")), TOOLS).alias("in_order"))
+
+
+@query(
+    "K6_rubric_score",
+    f"""WITH x AS (SELECT doc_id, lower(text) AS low FROM documents), s AS (SELECT doc_id, {' + '.join(f"contains(low, '{m}')::INT" for m in MUST)} + {' + '.join(f"(NOT contains(low, '{m}'))::INT" for m in MUST_NOT)}
+  + {_POS} + ({_ORDERED})::INT + (NOT contains(low, 'token ='))::INT AS passed FROM x) SELECT doc_id, passed, {len(MUST) + len(MUST_NOT) + len(TOOLS) + 2} AS total, passed / {len(MUST) + len(MUST_NOT) + len(TOOLS) + 2}.0::DOUBLE AS score FROM s""",
+)
+def rubric_score(spark, sf):
+    """Every rule is one point; an ordered list of tools counts one more."""
+    low = F.lower("text")
+    rules = [F.contains(low, F.lit(m)) for m in MUST] + [~F.contains(low, F.lit(m)) for m in MUST_NOT] + [F.contains(low, F.lit(t)) for t in TOOLS] + [ordered(low, TOOLS)] + [~F.contains(low, F.lit(b)) for b in BANNED]
+    passed = reduce(lambda a, b: a + b, [r.cast("int") for r in rules])
+    return A.table(spark, sf, "documents").select("doc_id", passed.alias("passed"), F.lit(len(rules)).alias("total"), (passed / float(len(rules))).alias("score"))
+
+
+@query(
+    "K7_stale_escape",
+    f"""WITH {A.EV_CONV}, {A.CORR} SELECT e.session_id, e.event_index, CASE WHEN c.correction_id IS NULL THEN NULL WHEN e.event_index <= c.correction_index - 2 THEN NULL
+  WHEN e.type = 'model' AND contains(lower(e.payload), lower(c.fact)) THEN true WHEN c.severity = 'info' THEN true WHEN e.type <> 'model' AND contains(lower(e.payload), lower(c.fact)) THEN true ELSE false END AS escaped
+FROM ev_conv e LEFT JOIN corr c USING (session_id)""",
+)
+def stale_escape(spark, sf):
+    """Null where it does not apply; then propagation, an open gate, memory, acknowledgement: the first that holds."""
+    rows = A.ev_conv(spark, sf).join(A.corr(spark, sf).select("session_id", "correction_id", "fact", "correction_index", "severity"), "session_id", "left")
+    hit = T.folded_contains(F.col("payload"), F.col("fact"))
+    escaped = F.when(F.col("correction_id").isNull() | (F.col("event_index") <= F.col("correction_index") - 2), F.lit(None).cast("boolean")).when((F.col("type") == "model") & hit, True).when(F.col("severity") == "info", True).when((F.col("type") != "model") & hit, True).otherwise(False)
+    return rows.select("session_id", "event_index", escaped.alias("escaped"))
+
+
+@query("H6_probe_satisfied", r"""WITH x AS (SELECT event_id, regexp_replace(props || value, '[^0-9.]', '', 'g') AS num, lower(event_type) AS t, event_id % 10 AS a, event_id % 3 AS b FROM events)
+SELECT event_id, contains(num, a::VARCHAR) AND contains(num, b::VARCHAR) AS numeric_all, contains(num, a::VARCHAR)::INT + contains(num, b::VARCHAR)::INT + contains(num, '.')::INT >= 2 AS half, contains(t, 'c') OR contains(t, 'g') AS any FROM x""")
+def probe_satisfied(spark, sf):
+    e = A.table(spark, sf, "events").withColumn("t", F.concat("props", F.col("value").cast("string")))
+    needles = F.array((F.col("event_id") % 10).cast("string"), (F.col("event_id") % 3).cast("string"))
+    hits = lambda xs: F.filter(xs, lambda n: T.numeric_contains(F.col("t"), n))
+    three = F.concat(needles, F.array(F.lit(".")))
+    return e.select("event_id", (F.size(hits(needles)) == 2).alias("numeric_all"), (F.size(hits(three)) >= F.ceil(F.size(three) / 2)).alias("half"), F.exists(F.array(F.lit("c"), F.lit("g")), lambda n: F.contains(F.lower("event_type"), n)).alias("any"))
+
+
+@query("K11_differential", f"SELECT doc_id, {' + '.join(f'{_has(t)}::INT' for t in TOOLS)} AS must_hits, {' + '.join(f'{_has(t)}::INT' for t in MUST_NOT)} AS banned_hits, ({' + '.join(f'{_has(t)}::INT' for t in TOOLS)}) - ({' + '.join(f'{_has(t)}::INT' for t in MUST_NOT)}) AS margin FROM documents")
+def differential(spark, sf):
+    n = lambda xs: F.size(F.filter(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains(F.lower("text"), x)))
+    return A.table(spark, sf, "documents").select("doc_id", n(TOOLS).alias("must_hits"), n(MUST_NOT).alias("banned_hits"), (n(TOOLS) - n(MUST_NOT)).alias("margin"))
+
+
+@query("H14_keyword_hits", f"SELECT doc_id, array_to_string(list_filter(['worthless', 'pathetic', 'license', 'token'], lambda k: contains(lower(text), k)), ',') AS hits FROM documents")
+def keyword_hits(spark, sf):
+    keys = F.array(*[F.lit(k) for k in ("worthless", "pathetic", "license", "token")])
+    return A.table(spark, sf, "documents").select("doc_id", F.array_join(F.filter(keys, lambda k: F.contains(F.lower("text"), k)), ",").alias("hits"))
+
+
+@query("K9_sweep_grid", f"WITH c AS (SELECT DISTINCT conv_id AS case_id FROM conversations), g AS (SELECT * FROM c, (VALUES ('raw_oracle'), ('rolling_summary')) AS x(condition), (VALUES (669), (1338), (2676)) AS b(budget), (VALUES (0), (1)) AS r(repeat)) SELECT case_id, condition, budget, repeat, CASE WHEN case_id % 17 = 5 AND condition = 'rolling_summary' THEN 'errored' ELSE 'ok' END AS status FROM g")
+def sweep_grid(spark, sf):
+    """The grid of a sweep: its axes are exploded lists, and a cell that fails is a row of its own."""
+    c = A.table(spark, sf, "conversations").select(F.col("conv_id").alias("case_id")).distinct()
+    g = c.withColumn("condition", F.explode(F.array(F.lit("raw_oracle"), F.lit("rolling_summary")))).withColumn("budget", F.explode(F.array(F.lit(669), F.lit(1338), F.lit(2676)))).withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1))))
+    return g.withColumn("status", F.expr("CASE WHEN case_id % 17 = 5 AND condition = 'rolling_summary' THEN 'errored' ELSE 'ok' END"))
+
+
+@query("B35_task_render", """SELECT conv_id, turn, '{"kind":"' || CASE role WHEN 'system' THEN 'policy' ELSE 'recall' END || '","question":"q' || turn || '"}' AS task FROM conversations""")
+def task_render(spark, sf):
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.expr("IF(role = 'system', 'policy', 'recall')").alias("kind"), F.concat(F.lit("q"), "turn").alias("question"))).alias("task"))
