@@ -1,0 +1,177 @@
+"""Protocol text: channels, fences, tool calls, chat templates, redaction, containers.
+
+Functions that need a parser or a hash per match are Arrow-batched Python; all others are columns.
+"""
+
+from __future__ import annotations
+
+import ast
+import hashlib
+import json
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+START, END = "<think>", "</think>"
+
+#: Kinds of secrets in order, their patterns, and the group that is replaced.
+SECRETS = [
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0),
+    ("aws_key", r"\bAKIA[0-9A-Z]{16}\b", 0),
+    ("github", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", 0),
+    ("api_key", r"\bsk-[A-Za-z0-9_-]{20,}\b", 0),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", 0),
+    ("labelled", r"(?i)\b(?:password|secret|api[_-]?key)\s*[:=]\s*[\"']?([A-Za-z0-9_\-]{12,})", 1),
+]
+
+
+def channel_text(text: Column, start: str = START, end: str = END) -> Column:
+    """What the channel holds: all stretches between the marks, an open one to the end of the text."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s){re.escape(start)}(.*?)(?:{re.escape(end)}|$)"), F.lit(1))
+    return F.array_join(found, "")
+
+
+def without_channel(text: Column, start: str = START, end: str = END) -> Column:
+    return F.regexp_replace(text, rf"(?s){re.escape(start)}.*?(?:{re.escape(end)}|$)", "")
+
+
+def channel_open(text: Column, start: str = START, end: str = END) -> Column:
+    """The last start mark comes after the last end mark."""
+    last = lambda mark: F.length(text) - F.length(F.substring_index(text, mark, -1))
+    has = F.contains(text, F.lit(start))
+    return has & (~F.contains(text, F.lit(end)) | (last(start) > last(end)))
+
+
+def redact(text: str) -> tuple[str, list[str]]:
+    """Secrets become <kind:hash8>, padded to the length they had; and what was found."""
+    audit: list[str] = []
+    for kind, pattern, group in SECRETS:
+
+        def put(m: re.Match, kind: str = kind, group: int = group) -> str:
+            value = m.group(group)
+            if value.startswith("<") and value.rstrip("*").endswith(">"):
+                return m.group(0)
+            digest = hashlib.sha256(value.encode()).hexdigest()[:8]
+            mark = f"<{kind}:{digest}>"
+            audit.append(f"{kind}:{digest}")
+            return m.group(0)[: m.start(group) - m.start()] + mark.ljust(len(value), "*") + m.group(0)[m.end(group) - m.start() :]
+
+        text = re.sub(pattern, put, text)
+    return text, audit
+
+
+@pandas_udf(StructType([StructField("text", StringType()), StructField("found", IntegerType()), StructField("audit", StringType())]))
+def redacted(texts: pd.Series) -> pd.DataFrame:
+    rows = [redact(t) if t is not None else (None, []) for t in texts]
+    return pd.DataFrame({"text": [r[0] for r in rows], "found": [len(r[1]) for r in rows], "audit": [",".join(r[1]) for r in rows]})
+
+
+def python_call(text: str) -> dict | None:
+    """name(key=literal, ...) as {name, arguments}; None if it is not one."""
+    try:
+        call = ast.parse(text.strip(), mode="eval").body
+        if not isinstance(call, ast.Call) or call.args or not isinstance(call.func, ast.Name):
+            return None
+        return {"name": call.func.id, "arguments": {k.arg: ast.literal_eval(k.value) for k in call.keywords}}
+    except (SyntaxError, ValueError):
+        return None
+
+
+def fenced_call(text: str) -> dict | None:
+    """call:name{key:value,...} with bare, numeric or <escape>-quoted values."""
+    m = re.fullmatch(r"\s*call:([A-Za-z_]\w*)\{(.*)\}\s*", text, re.S)
+    if not m:
+        return None
+    out: dict = {}
+    for key, quoted, bare in re.findall(r"([A-Za-z_]\w*):(?:<escape>(.*?)<escape>|([^,<]*))(?:,|$)", m[2], re.S):
+        if quoted or not bare:
+            out[key] = quoted
+        else:
+            try:
+                out[key] = json.loads(bare)
+            except ValueError:
+                out[key] = bare
+    return {"name": m[1], "arguments": out}
+
+
+def json_call(text: str) -> dict | None:
+    """{"name": ..., "arguments" or "args": {...}}."""
+    try:
+        body = json.loads(text)
+    except ValueError:
+        return None
+    args = body.get("arguments", body.get("args")) if isinstance(body, dict) else None
+    return {"name": body["name"], "arguments": args} if isinstance(args, dict) and isinstance(body.get("name"), str) else None
+
+
+@pandas_udf(StructType([StructField("name", StringType()), StructField("arguments", StringType())]))
+def tool_call(texts: pd.Series, dialects: pd.Series) -> pd.DataFrame:
+    parse = {"python": python_call, "fc": fenced_call, "json": json_call}
+    found = [parse[d](t) if t is not None else None for t, d in zip(texts, dialects)]
+    return pd.DataFrame({"name": [f["name"] if f else None for f in found], "arguments": [json.dumps(f["arguments"], sort_keys=True) if f else None for f in found]})
+
+
+def python_literal(value: object) -> str:
+    """A value as a Python literal, strings in double quotes."""
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(k)}: {python_literal(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ", ".join(python_literal(v) for v in value) + "]"
+    return repr(value) if isinstance(value, (bool, type(None))) else json.dumps(value, ensure_ascii=False)
+
+
+def framed(records: list[bytes]) -> bytes:
+    """A binary log: magic, then length, its complement and bytes of each record."""
+    return b"DPMLOG1\n" + b"".join(struct.pack("<II", len(r), ~len(r) & 0xFFFFFFFF) + r for r in records)
+
+
+def frames(data: bytes) -> Iterator[tuple[int, bytes | None, str]]:
+    """(index, record, error); reading ends at the first fault."""
+    if data[:8] != b"DPMLOG1\n":
+        yield 0, None, "magic"
+        return
+    at, k = 8, 0
+    while at < len(data):
+        if at + 8 > len(data):
+            yield k, None, "truncated header"
+            return
+        size, check = struct.unpack_from("<II", data, at)
+        if size ^ check != 0xFFFFFFFF or size == 0 or size > 64 << 20:
+            yield k, None, "corrupt length"
+            return
+        if at + 8 + size > len(data):
+            yield k, None, "truncated record"
+            return
+        yield k, data[at + 8 : at + 8 + size], ""
+        at, k = at + 8 + size, k + 1
+
+
+def contained(sections: list[tuple[str, bytes]], version: tuple[int, int, int] = (1, 0, 0), align: int = 64) -> bytes:
+    """A sectioned container: magic, version, header end, a JSON header with byte ranges, and zlib sections at aligned places."""
+    bodies = [(kind, zlib.compress(data)) for kind, data in sections]
+    ranges, at = [], 4096
+    for kind, body in bodies:
+        ranges.append({"kind": kind, "begin": at, "end": at + len(body)})
+        at += -(-len(body) // align) * align
+    header = json.dumps({"sections": ranges}).encode()
+    out = bytearray(b"PLMPCONT" + struct.pack("<IIIIQ", *version, 0, 32 + len(header)) + header)
+    out.extend(bytes(4096 - len(out)))
+    for r, (_, body) in zip(ranges, bodies):
+        out.extend(bytes(r["begin"] - len(out)) + body)
+    return bytes(out)
+
+
+def sections(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+    """(kind, begin, end, inflated bytes)."""
+    if data[:8] != b"PLMPCONT":
+        return
+    end = struct.unpack_from("<Q", data, 24)[0]
+    for s in json.loads(data[32:end])["sections"]:
+        yield s["kind"], s["begin"], s["end"], zlib.decompress(data[s["begin"] : s["end"]])

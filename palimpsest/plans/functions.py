@@ -1 +1,317 @@
-"""Queries."""
+"""Queries of scalar and text functions."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import protocol as P
+from ..functions import text as T
+from ..sources import adapters as A
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _docs(spark, sf):
+    return A.table(spark, sf, "documents")
+
+
+@query("H1_ascii_lower", f"SELECT doc_id, md5(translate(text, '{UP}', '{LOW}')) AS folded, translate(text, '{UP}', '{LOW}') = lower(text) AS same FROM documents")
+def ascii_lower(spark, sf):
+    low = T.ascii_lower(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.md5(low).alias("folded"), (low == F.lower("text")).alias("same"))
+
+
+@query("H2_unicode_contains", "SELECT doc_id, contains(lower(text), lower('ÉAU')) AS eau, contains(lower(text), 'über') AS ueber FROM documents")
+def unicode_contains(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.folded_contains(F.col("text"), F.lit("ÉAU")).alias("eau"), T.folded_contains(F.col("text"), F.lit("über")).alias("ueber"))
+
+
+@query("H4_stripped_contains", r"SELECT doc_id, contains(lower(regexp_replace(text, '\s', '', 'g')), 'ofthe') AS has FROM documents")
+def stripped_contains(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.stripped_contains(F.col("text"), F.lit("Of The")).alias("has"))
+
+
+@query("H5_numeric_contains", r"SELECT event_id, contains(regexp_replace(props || value, '[^0-9.]', '', 'g'), (event_id % 50)::VARCHAR) AS has, false AS empty FROM events")
+def numeric_contains(spark, sf):
+    t = F.concat("props", F.col("value").cast("string"))
+    return A.table(spark, sf, "events").select("event_id", T.numeric_contains(t, (F.col("event_id") % 50).cast("string")).alias("has"), T.numeric_contains(t, F.lit("none")).alias("empty"))
+
+
+@query("H7_redaction")
+def redaction(spark, sf):
+    """Planted key-shaped secrets; the raw token lines must stay."""
+    key = F.concat(F.lit(" AKIA"), F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)), F.lit(" ghp_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 36))
+    rows = _docs(spark, sf).withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.concat("text", key)).otherwise(F.col("text"))).withColumn("r", P.redacted("t"))
+    return rows.select("doc_id", F.col("r.found").alias("found"), F.col("r.audit").alias("audit"), (F.length("r.text") == F.length("t")).alias("same_length"), F.md5("r.text").alias("digest"))
+
+
+@query("H8_literal_strip", f"SELECT doc_id, md5(regexp_replace(text, 'the', '{T.REVOKED}', 'gi')) AS stripped FROM documents")
+def literal_strip(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(F.regexp_replace("text", r"(?i)\Qthe\E", T.REVOKED)).alias("stripped"))
+
+
+@query("H9_clip", "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS clipped FROM documents")
+def clip(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.clip(F.col("text"), 80).alias("clipped"))
+
+
+@query("H10_token_estimate", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, (length(text) + 3) // 4) END AS tokens, length(text) // 4 AS floor_tokens FROM documents")
+def token_estimate(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), F.expr("length(text) div 4").alias("floor_tokens"))
+
+
+_SAY = "CASE conv_id % 4 WHEN 0 THEN 'please replace foo with bar.' WHEN 1 THEN 'old_name -> new_name' WHEN 2 THEN 'not alpha, use beta.' ELSE 'forget the old gamma.' END"
+
+
+@query("H11_correction_extraction", rf"WITH c AS (SELECT conv_id, turn, {_SAY} AS t FROM conversations) SELECT conv_id, turn, coalesce(nullif(regexp_extract(t, 'replace (\w+) with (\w+)', 1), ''), nullif(regexp_extract(t, '(\w+) -> (\w+)', 1), ''), nullif(regexp_extract(t, 'not (\w+), use (\w+)', 1), ''), nullif(regexp_extract(t, 'forget the old (\w+)', 1), '')) AS old, coalesce(nullif(regexp_extract(t, 'replace (\w+) with (\w+)', 2), ''), nullif(regexp_extract(t, '(\w+) -> (\w+)', 2), ''), nullif(regexp_extract(t, 'not (\w+), use (\w+)', 2), '')) AS new FROM c")
+def correction_extraction(spark, sf):
+    c = A.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_SAY).alias("t"))
+    forms = [r"replace (\w+) with (\w+)", r"(\w+) -> (\w+)", r"not (\w+), use (\w+)"]
+    got = lambda p, g: F.nullif(F.regexp_extract("t", p, g), F.lit(""))
+    return c.select("conv_id", "turn", F.coalesce(*[got(p, 1) for p in forms], got(r"forget the old (\w+)", 1)).alias("old"), F.coalesce(*[got(p, 2) for p in forms]).alias("new"))
+
+
+@query("H12_clauses", r"WITH c AS (SELECT conv_id, '1. Always call `look_up`. 2. Never call `delete_all`. ' || conv_id || '. Use `save`.' AS t FROM (SELECT DISTINCT conv_id FROM conversations)), x AS (SELECT conv_id, unnest(list_filter(regexp_split_to_array(t, '[0-9]+\. '), lambda p: p <> '')) AS clause FROM c) SELECT conv_id, trim(clause) AS clause, regexp_extract(clause, '`(\w+)`', 1) AS tool, contains(clause, 'Never') AS negative FROM x")
+def clauses(spark, sf):
+    c = A.table(spark, sf, "conversations").select("conv_id").distinct().withColumn("t", F.expr("concat('1. Always call `look_up`. 2. Never call `delete_all`. ', conv_id, '. Use `save`.')"))
+    x = c.select("conv_id", F.explode(F.filter(F.split("t", r"[0-9]+\. "), lambda p: p != "")).alias("clause"))
+    return x.select("conv_id", F.trim("clause").alias("clause"), F.regexp_extract("clause", r"`(\w+)`", 1).alias("tool"), F.contains("clause", F.lit("Never")).alias("negative"))
+
+
+@query("H13_sanitise", r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g'), '^\.+', ''), ''), 'default') AS id, coalesce(nullif(regexp_replace('..' || page_id % 2, '^\.+', ''), ''), 'default') AS dots FROM pages")
+def sanitise(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", T.sanitised(F.col("url")).alias("id"), T.sanitised(F.expr("concat('..', page_id % 2)")).alias("dots"))
+
+
+_MARKED = "CASE conv_id % 3 WHEN 0 THEN left(text, 30) || '<think>' || substr(text, 31, 20) || '</think>' || substr(text, 51, 30) WHEN 1 THEN left(text, 30) || '<think>' || substr(text, 31, 20) ELSE left(text, 60) END"
+
+
+def _marked(spark, sf):
+    return A.table(spark, sf, "conversations").selectExpr("conv_id", "turn", _MARKED + " AS t")
+
+
+@query("H15_channel_extraction", rf"WITH c AS (SELECT conv_id, turn, {_MARKED} AS t FROM conversations) SELECT conv_id, turn, array_to_string(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), '') AS channel, regexp_replace(t, '(?s)<think>.*?(</think>|$)', '', 'g') AS rest FROM c")
+def channel_extraction(spark, sf):
+    return _marked(spark, sf).select("conv_id", "turn", P.channel_text(F.col("t")).alias("channel"), P.without_channel(F.col("t")).alias("rest"))
+
+
+@query("H16_open_channel", rf"WITH c AS (SELECT conv_id, turn, {_MARKED} AS t FROM conversations) SELECT conv_id, turn, contains(t, '<think>') AND NOT contains(t, '</think>') AS open FROM c")
+def open_channel(spark, sf):
+    return _marked(spark, sf).select("conv_id", "turn", P.channel_open(F.col("t")).alias("open"))
+
+
+@query("H17_overlap", "WITH d AS (SELECT doc_id, left(text, 40) || left('</think>', CAST(doc_id % 9 AS INTEGER)) AS t FROM documents), k AS (SELECT doc_id, t, unnest(generate_series(1, 8)) AS n FROM d) SELECT doc_id, coalesce(max(n) FILTER (right(t, n) = left('</think>', n)), 0) AS held FROM k GROUP BY doc_id")
+def overlap(spark, sf):
+    t = F.expr("concat(left(text, 40), left('</think>', CAST(doc_id % 9 AS INT)))")
+    return _docs(spark, sf).withColumn("t", t).select("doc_id", T.overlap(F.col("t"), F.lit("</think>"), 8).alias("held"))
+
+
+@query("H18_fence_split", r"WITH c AS (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 30) AS a FROM documents), t AS (SELECT doc_id, a, a || '```tool' || chr(10) || 'f(x=' || doc_id || ')' || chr(10) || '```' || ' end' AS t FROM c) SELECT doc_id, a || ' end' AS prose, 'f(x=' || doc_id || ')' AS code FROM t")
+def fence_split(spark, sf):
+    t = F.expr("concat(left(regexp_replace(text, '[^a-z ]', ''), 30), '```tool\nf(x=', doc_id, ')\n```', ' end')")
+    d = _docs(spark, sf).select("doc_id", t.alias("t"))
+    return d.select("doc_id", F.regexp_replace("t", r"(?s)```tool\n.*?\n```", "").alias("prose"), F.regexp_extract("t", r"(?s)```tool\n(.*?)\n```", 1).alias("code"))
+
+
+@query("H19_tool_calls", """SELECT event_id, CASE WHEN event_id % 10 = 9 THEN NULL ELSE event_type END AS name, CASE WHEN event_id % 10 = 9 THEN NULL ELSE '{"k": ' || (event_id % 7) || ', "who": "u' || user_id || '"}' END AS arguments FROM events""")
+def tool_calls(spark, sf):
+    """Three dialects of one call; every tenth is malformed."""
+    e = A.table(spark, sf, "events")
+    text = F.expr("CASE WHEN event_id % 10 = 9 THEN 'broken(' WHEN event_id % 3 = 0 THEN concat(event_type, '(k=', event_id % 7, ', who=\"u', user_id, '\")') WHEN event_id % 3 = 1 THEN concat('{\"name\":\"', event_type, '\",\"args\":{\"k\":', event_id % 7, ',\"who\":\"u', user_id, '\"}}') ELSE concat('call:', event_type, '{k:', event_id % 7, ',who:<escape>u', user_id, '<escape>}') END")
+    dialect = F.expr("CASE event_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'json' ELSE 'fc' END")
+    return e.select("event_id", P.tool_call(text, dialect).alias("c")).select("event_id", "c.name", "c.arguments")
+
+
+@query("H20_value_formats", """SELECT event_id, event_type || '(k=' || CAST(json_extract(props, '$.k') AS BIGINT) || ', user="u' || user_id || '", ok=' || CASE WHEN value > 20 THEN 'True' ELSE 'False' END || ')' AS call FROM events""")
+def value_formats(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    return A.table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit("(k="), k, F.lit(', user="u'), "user_id", F.lit('", ok='), F.when(F.col("value") > 20, "True").otherwise("False"), F.lit(")")).alias("call"))
+
+
+@query("H21_chat_template", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id")
+def chat_template(spark, sf):
+    c = A.table(spark, sf, "conversations").withColumn("m", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")))
+    return c.groupBy("conv_id").agg(F.expr("concat(listagg(m, '') WITHIN GROUP (ORDER BY turn), '<|im_start|>assistant\n')").alias("prompt"))
+
+
+@query("H22_prompt_affixes", "WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<bos>' ELSE '' END || CASE WHEN turn = 0 THEN '<user>' ELSE '' END || left(text, 20) || CASE WHEN turn = last THEN '</user><model>' ELSE '' END AS chunk FROM c")
+def prompt_affixes(spark, sf):
+    c = A.table(spark, sf, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    return c.select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, "<bos><user>").otherwise(""), F.expr("left(text, 20)"), F.when(F.col("turn") == F.col("last"), "</user><model>").otherwise("")).alias("chunk"))
+
+
+@query("H23_placeholder_split", "WITH d AS (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 12) AS a FROM documents), t AS (SELECT doc_id, string_split(a || '|<image>|' || a || '|<audio>|x', '|') AS parts FROM d) SELECT doc_id, place, part, CASE part WHEN '<image>' THEN 'image' WHEN '<audio>' THEN 'audio' ELSE 'text' END AS kind FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM t)")
+def placeholder_split(spark, sf):
+    d = _docs(spark, sf).withColumn("a", F.expr("left(regexp_replace(text, '[^a-z ]', ''), 12)")).withColumn("t", F.concat("a", F.lit("<image>"), "a", F.lit("<audio>x")))
+    parts = d.select("doc_id", F.posexplode(F.split(F.regexp_replace("t", "(<image>|<audio>)", "|$1|"), r"\|")).alias("place", "part"))
+    return parts.select("doc_id", "place", "part", F.when(F.col("part") == "<image>", "image").when(F.col("part") == "<audio>", "audio").otherwise("text").alias("kind"))
+
+
+@query("H24_name_cases", r"SELECT DISTINCT event_type, lower(regexp_replace('get' || upper(left(event_type, 1)) || substr(event_type, 2) || 'Now', '([a-z])([A-Z])', '\1_\2', 'g')) AS snake, CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'number' WHEN 'error' THEN 'boolean' ELSE 'string' END AS json_type FROM events")
+def name_cases(spark, sf):
+    camel = F.concat(F.lit("get"), F.initcap("event_type"), F.lit("Now"))
+    return A.table(spark, sf, "events").select("event_type").distinct().select("event_type", F.lower(F.regexp_replace(camel, "([a-z])([A-Z])", "$1_$2")).alias("snake"), F.expr("CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'number' WHEN 'error' THEN 'boolean' ELSE 'string' END").alias("json_type"))
+
+
+@query("H26_json_escape", "SELECT doc_id, md5(CAST(to_json(text) AS VARCHAR)) AS escaped FROM documents WHERE NOT regexp_matches(text, '[/]')")
+def json_escape(spark, sf):
+    j = F.to_json(F.struct(F.col("text").alias("t")))
+    return _docs(spark, sf).filter("NOT contains(text, '/')").select("doc_id", F.md5(F.substr(j, F.lit(6), F.length(j) - 6)).alias("escaped"))
+
+
+@query("H27_stop_cut", "SELECT doc_id, md5(left(text, coalesce(least(nullif(strpos(text, '. '), 0), nullif(strpos(text, chr(10)), 0), nullif(strpos(text, 'zzz'), 0)) - 1, length(text))::INT)) AS cut FROM documents")
+def stop_cut(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.cut_at_stop(F.col("text"), [". ", "\n", "zzz"])).alias("cut"))
+
+
+@query("H28_greedy_flag", "SELECT doc_id, starts_with(text, left(text, 1 + CAST(doc_id % 5 AS INTEGER))) AS yes, starts_with(text, 'The ') AS the FROM documents")
+def greedy_flag(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.expr("startswith(text, left(text, CAST(1 + doc_id % 5 AS INT)))").alias("yes"), F.startswith("text", F.lit("The ")).alias("the"))
+
+
+@query("H30_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(left(text, 120), ' ')) AS w FROM documents), v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS id FROM (SELECT DISTINCT w FROM w WHERE hash(w) IS NOT NULL)) SELECT w.w AS token, min(v.id) AS id, count(*) AS uses FROM w JOIN v USING (w) GROUP BY w.w")
+def tokens(spark, sf):
+    """A vocabulary in order of token, its ids, and their uses."""
+    w = _docs(spark, sf).select(F.explode(F.split(F.expr("left(text, 120)"), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    return w.withColumn("id", F.row_number().over(Window.orderBy("token")).cast("long") - 1)
+
+
+@query("A34_format_sniff", "SELECT page_id, CASE WHEN ends_with(split_part(url, '#', 1), '.zip') OR starts_with(html, 'PK') THEN 'zip' WHEN starts_with(lower(html), '<!doctype html') OR starts_with(lower(html), '<html') THEN 'html' ELSE 'unknown' END AS format FROM pages")
+def format_sniff(spark, sf):
+    p = A.table(spark, sf, "pages")
+    return p.select("page_id", F.when(F.substring_index("url", "#", 1).endswith(".zip") | F.col("html").startswith("PK"), "zip").when(F.lower(F.expr("left(html, 20)")).rlike("^<(!doctype )?html"), "html").otherwise("unknown").alias("format"))
+
+
+@query("A36_item_data", "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'path' WHEN 2 THEN 'blob' ELSE 'error' END AS kind, CASE (conv_id + turn) % 4 WHEN 0 THEN left(text, 20) WHEN 1 THEN '/data/' || turn WHEN 2 THEN left(text, 20) END AS value FROM conversations")
+def item_data(spark, sf):
+    c = A.table(spark, sf, "conversations").withColumn("k", F.expr("(conv_id + turn) % 4")).withColumn("head", F.expr("left(text, 20)")).withColumn("blob", F.base64(F.col("head").cast("binary")))
+    return c.select("conv_id", "turn", F.expr("CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'path' WHEN 2 THEN 'blob' ELSE 'error' END").alias("kind"), F.when(F.col("k") == 0, F.col("head")).when(F.col("k") == 1, F.concat(F.lit("/data/"), "turn")).when(F.col("k") == 2, F.unbase64("blob").cast("string")).alias("value"))
+
+
+@query("A30_hook_ledger", "SELECT user_id, count(*) AS entries, sum(least(strlen(props), 4000))::BIGINT AS kept FROM events GROUP BY user_id")
+def hook_ledger(spark, sf):
+    """One JSON line per event, its strings clipped to 4000 characters."""
+    rows = A.table(spark, sf, "events").select("user_id", F.to_json(F.struct(F.expr("left(props, 4000)").alias("p"))).alias("line"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("entries"), F.sum(F.length(F.get_json_object("line", "$.p"))).alias("kept"))
+
+
+@query("B25_meta_filter", "SELECT conv_id, turn, starts_with(text, 'The ') OR regexp_matches(text, '^[A-Z][a-z]+\\.') AS meta FROM conversations")
+def meta_filter(spark, sf):
+    t = F.col("text")
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", (t.startswith("The ") | t.rlike(r"^[A-Z][a-z]+\.")).alias("meta"))
+
+
+@query("B27_correction_prompt", rf"WITH c AS (SELECT conv_id, turn, {_SAY} AS t FROM conversations) SELECT conv_id, turn, regexp_matches(lower(t), '\b(replace|forget|wrong)\b') OR regexp_matches(t, '\w+ -> \w+') AS correction FROM c")
+def correction_prompt(spark, sf):
+    t = F.expr(_SAY)
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", (F.lower(t).rlike(r"\b(replace|forget|wrong)\b") | t.rlike(r"\w+ -> \w+")).alias("correction"))
+
+
+@query("B28_decision_boundary", r"WITH e AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN 'rm -rf /tmp/x' WHEN 1 THEN 'git push origin' ELSE 'ls' END AS command FROM events) SELECT event_id, event_type IN ('purchase', 'signup') OR regexp_matches(command, '\b(rm -rf|git push|drop table)\b') AS boundary FROM e")
+def decision_boundary(spark, sf):
+    c = F.expr("CASE event_id % 4 WHEN 0 THEN 'rm -rf /tmp/x' WHEN 1 THEN 'git push origin' ELSE 'ls' END")
+    return A.table(spark, sf, "events").select("event_id", (F.col("event_type").isin("purchase", "signup") | c.rlike(r"\b(rm -rf|git push|drop table)\b")).alias("boundary"))
+
+
+@query("B30_event_classes", f"WITH {A.EV_STREAM} SELECT event_id, CASE WHEN payload LIKE 'signup%' THEN 'handoff' WHEN type = 'correction' THEN 'correction' WHEN tokens > 50 THEN 'milestone' ELSE type END AS class FROM ev_stream")
+def event_classes(spark, sf):
+    return A.ev_stream(spark, sf).select("event_id", F.when(F.col("payload").startswith("signup"), "handoff").when(F.col("type") == "correction", "correction").when(F.col("tokens") > 50, "milestone").otherwise(F.col("type")).alias("class"))
+
+
+@query("B38_model_family", "SELECT page_id, coalesce(CASE WHEN page_id % 7 = 0 THEN 'declared' END, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'multimodal' ELSE 'text' END END, 'generic') AS family FROM pages")
+def model_family(spark, sf):
+    p = A.table(spark, sf, "pages").selectExpr("page_id", "IF(page_id % 7 = 0, 'declared', NULL) AS declared", "IF(page_id % 3 = 0, '<start_of_turn>', '') AS start", "IF(page_id % 2 = 0, array(256000), array(1, 2)) AS audio_ids")
+    return p.select("page_id", F.coalesce("declared", F.when(F.col("start") == "<start_of_turn>", F.when(F.col("audio_ids") == F.array(F.lit(256000)), "multimodal").otherwise("text")), F.lit("generic")).alias("family"))
+
+
+@query("B40_strip_thinking", rf"WITH c AS (SELECT conv_id, turn, {_MARKED} AS t FROM conversations) SELECT conv_id, turn, trim(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')) AS answer FROM c")
+def strip_thinking(spark, sf):
+    return _marked(spark, sf).select("conv_id", "turn", F.trim(F.regexp_replace("t", r"(?s)<think>.*?</think>", "")).alias("answer"))
+
+
+@query("H70_json_getters", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.missing') AS BIGINT), -1) AS missing FROM events")
+def json_getters(spark, sf):
+    v = F.parse_json("props")
+    return A.table(spark, sf, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.coalesce(F.try_variant_get(v, "$.missing", "long"), F.lit(-1)).alias("missing"))
+
+
+@query("H71_correction_codec", f"WITH {A.CORR} SELECT correction_id, fact, scope, 1 AS facts, severity = 'blocking' AS interrupt FROM corr")
+def correction_codec(spark, sf):
+    j = A.corr(spark, sf).select(F.to_json(F.struct("correction_id", F.array("fact").alias("invalidated_facts"), "scope", F.expr("severity = 'blocking'").alias("must_interrupt_before_next_predict"))).alias("j"))
+    c = j.withColumn("c", F.from_json("j", "correction_id STRING, invalidated_facts ARRAY<STRING>, scope STRING, must_interrupt_before_next_predict BOOLEAN"))
+    return c.selectExpr("c.correction_id", "c.invalidated_facts[0] AS fact", "c.scope", "size(c.invalidated_facts) AS facts", "c.must_interrupt_before_next_predict AS interrupt")
+
+
+@query("H72_identity_document", """WITH d AS (SELECT c_custkey, '{"agent":"a' || c_custkey || '","nation":' || c_nationkey || '}' AS aid FROM customer) SELECT c_custkey, sha256(aid) AS digest, c_custkey % 9 > 0 AS valid FROM d""")
+def identity_document(spark, sf):
+    d = A.table(spark, sf, "customer").select("c_custkey", F.to_json(F.struct(F.concat(F.lit("a"), "c_custkey").alias("agent"), F.col("c_nationkey").alias("nation"))).alias("aid"))
+    return d.select("c_custkey", F.sha2("aid", 256).alias("digest"), (F.col("c_custkey") % 9 > 0).alias("valid"))
+
+
+@query("H73_handoff_bundle", f"""WITH {A.EV_CONV} SELECT session_id, '{{"session_id":"' || session_id || '","range":[1,' || count(*) || '],"task":"continue"}}' AS bundle, 'Session ' || session_id || ': events 1-' || count(*) AS text FROM ev_conv GROUP BY session_id""")
+def handoff_bundle(spark, sf):
+    g = A.ev_conv(spark, sf).groupBy("session_id").agg(F.count("*").alias("n"))
+    return g.select("session_id", F.to_json(F.struct("session_id", F.array(F.lit(1).cast("long"), "n").alias("range"), F.lit("continue").alias("task"))).alias("bundle"), F.concat(F.lit("Session "), "session_id", F.lit(": events 1-"), "n").alias("text"))
+
+
+@query("H74_role_conversion", "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' WHEN 'system' THEN 'developer' ELSE role END AS role, left(text, 12) AS head FROM conversations")
+def role_conversion(spark, sf):
+    roles = F.create_map(F.lit("assistant"), F.lit("model"), F.lit("system"), F.lit("developer"))
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(roles[F.col("role")], "role").alias("role"), F.expr("left(text, 12)").alias("head"))
+
+
+@query("H75_rest_dialect", """SELECT conv_id, '[' || string_agg('{"role":"' || role || '","parts":[{"text":"t' || turn || '"}]}', ',' ORDER BY turn) || ']' AS contents FROM conversations GROUP BY conv_id""")
+def rest_dialect(spark, sf):
+    m = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    c = A.table(spark, sf, "conversations").groupBy("conv_id").agg(m.alias("m"))
+    return c.select("conv_id", F.to_json(F.transform("m", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.concat(F.lit("t"), x["turn"]).alias("text"))).alias("parts")))).alias("contents"))
+
+
+@query("H76_hook_dialect", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN upper(event_type) ELSE 'unknown' END AS tool, user_id AS session FROM events")
+def hook_dialect(spark, sf):
+    """Aliased and nested fields, the first that is there."""
+    line = F.expr("CASE event_id % 3 WHEN 0 THEN concat('{\"tool_name\":\"', event_type, '\",\"session_id\":', user_id, '}') WHEN 1 THEN concat('{\"toolCall\":{\"name\":\"', upper(event_type), '\"},\"sessionId\":', user_id, '}') ELSE concat('{\"session\":', user_id, '}') END")
+    get = lambda *paths: F.coalesce(*[F.get_json_object("j", p) for p in paths])
+    return A.table(spark, sf, "events").select("event_id", line.alias("j")).select("event_id", F.coalesce(get("$.tool_name", "$.toolCall.name"), F.lit("unknown")).alias("tool"), get("$.session_id", "$.sessionId", "$.session").cast("long").alias("session"))
+
+
+@query("A38_capability_scan", "SELECT p_partkey, p_partkey % 5 = 0 AS drafter FROM part")
+def capability_scan(spark, sf):
+    s = A.table(spark, sf, "part").selectExpr("p_partkey", "array(named_struct('kind', 'model', 'model_type', IF(p_partkey % 5 = 0, 'drafter', 'main')), named_struct('kind', 'tokenizer', 'model_type', 'drafter')) AS sections")
+    return s.select("p_partkey", F.exists("sections", lambda x: (x["kind"] == "model") & (x["model_type"] == "drafter")).alias("drafter"))
+
+
+@query("A7_frame_decode")
+def frame_decode(spark, sf):
+    """Sessions as binary logs, some cut short, and their frames."""
+    logs = A.ev_conv(spark, sf).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("event_index", "payload"))).alias("e")).select("session_id", F.transform("e", lambda x: x["payload"]).alias("payloads"))
+
+    def decode(batches):
+        for b in batches:
+            rows = []
+            for s, p in zip(b["session_id"], b["payloads"]):
+                data = P.framed([x.encode() for x in p])
+                data = data[:-5] if int(s) % 10 == 0 else data
+                rows += [(s, k, len(r) if r is not None else None, e) for k, r, e in P.frames(data)]
+            yield pd.DataFrame(rows, columns=["session_id", "frame", "bytes", "error"])
+
+    return logs.mapInPandas(decode, "session_id string, frame long, bytes long, error string")
+
+
+@query("A31_container_read")
+def container_read(spark, sf):
+    """Containers of three sections each, read back."""
+    docs = _docs(spark, sf).select("doc_id", "text", "lang")
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for d, t, g in zip(b["doc_id"], b["text"], b["lang"]):
+                for kind, begin, end, body in P.sections(P.contained([("text", t.encode()), ("lang", g.encode()), ("empty", b"")])):
+                    rows.append((d, kind, begin, end, len(body)))
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "begin", "end", "size"])
+
+    return docs.mapInPandas(read, "doc_id long, kind string, begin long, end long, size long")
