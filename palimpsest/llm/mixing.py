@@ -105,9 +105,12 @@ def mixed_documents(docs: DataFrame, *, grades: DataFrame | None = None, weights
     """The mix itself: docs' rows as often as it takes them, a partial copy with its first words, joined by one space."""
     slim = stored(keyed(stored(sized(docs, ["doc_id", "source"], seed), "mix-sizes"), grades), "mix")
     plan = planned(slim, weights, share, most)
-    rows = decided(keyed(sized(docs, docs.columns, seed), grades), plan)
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others).alias("_row"), "doc_id", "text", "source")  # whatever the other columns are called
+    rows = decided(keyed(sized(packed, packed.columns, seed), grades), plan)
     copies = (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
     rows = rows.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
     whole = (F.col("copy") <= F.col("epochs")) | (F.col("part") == F.col("size"))
-    return rows.withColumn("text", F.when(whole, F.col("text")).otherwise(words)).select(*docs.columns)
+    text = F.when(whole, F.col("text")).otherwise(words).alias("text")
+    return rows.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
