@@ -19,6 +19,7 @@ cannot backtrack over a run twice. Equal rows get equal surrogates. An empty tab
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +52,15 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}[\p{{L}}'-]*+)?"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])"
 ADDRESS = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
 #: The order decides where two kinds could begin at one place.
 ANY = "|".join((EMAIL, NAME, SECRET, ADDRESS, SOCIAL, PHONE, CARD))
-#: A text without any of these holds no entity.
-HINT = rf"[0-9@]|{_TITLE}|[a-fA-F]{{32}}|sk-|AKIA"
+#: A text without a digit, an @ and any of these holds no entity.
+MARKS = (*(t for titles in TITLES.values() for t in titles), "sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 KINDS = ("email", "name", "secret", "ip", "ssn", "phone", "card")
 ROUNDS = 16
 
@@ -152,8 +153,13 @@ def _equal(values: Column, value: str) -> Column:
     return F.filter(values, lambda x: x == value)
 
 
+def hinted(text: Column) -> Column:
+    """Cheap to tell, and true of every text with an entity."""
+    return reduce(lambda a, m: a | F.contains(text, F.lit(m)), MARKS, text.rlike("[0-9@]"))
+
+
 def mentions(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -186,7 +192,7 @@ def replace(docs: DataFrame, key: str, *, counts: bool = False) -> DataFrame:
     clashes = again.limit(1).count()
     text = F.col("text")
     rows = docs
-    retry = "_palimpsest_retry"
+    retry, held_mentions = "_palimpsest_retry", "_palimpsest_mentions"
     if clashes:
         # texts that mention such an entity, by digest, with their attempts
         held = docs.select(F.md5("text").alias("digest"), F.explode(F.array_distinct(mentions(text))).alias("m"))
@@ -201,11 +207,12 @@ def replace(docs: DataFrame, key: str, *, counts: bool = False) -> DataFrame:
 
         return let(F.struct(kind(m).alias("k"), canonical(m).alias("c")), lambda x: build(x["k"], x["c"]))
 
-    gaps, ms = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    rebuilt = F.array_join(F.zip_with(gaps, F.transform(ms, new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    columns = {"text": F.when(text.rlike(HINT), F.when(text.rlike(ANY), rebuilt).otherwise(text)).otherwise(text)}
+    # found once for each text; Spark does not repeat a costly expression that several columns use
+    rows = rows.withColumn(held_mentions, mentions(text))
+    ms = F.col(held_mentions)
+    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform(ms, new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    columns = {"text": F.when(F.size(ms) > 0, rebuilt).otherwise(text)}
     if counts:
-        kinds = F.transform(mentions(text), kind)
-        columns |= {"n_entities": F.coalesce(F.size(kinds), F.lit(0)).cast("long")} | {f"n_{k}": F.coalesce(F.size(_equal(kinds, k)), F.lit(0)).cast("long") for k in KINDS}
-    out = rows.withColumns({c: v for c, v in columns.items()})
-    return out.drop(retry) if clashes else out
+        kinds = F.transform(ms, kind)
+        columns |= {"n_entities": F.coalesce(F.size(ms), F.lit(0)).cast("long")} | {f"n_{k}": F.coalesce(F.size(_equal(kinds, k)), F.lit(0)).cast("long") for k in KINDS}
+    return rows.withColumns(columns).drop(retry, held_mentions)
