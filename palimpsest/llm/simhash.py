@@ -12,7 +12,7 @@ shards. The leaves are the shards: each node is stored in one leaf of every tree
 leaf distances are exact. So with equal parts as masks no pair is lost. The trees are built on the driver from a
 sample of SAMPLE fingerprints, which affects the sizes of leaves only.
 
-A leaf returns a forest of links, not its pairs: a vantage point takes its ball of radius limit; balls join through the
+An overfull leaf is split into chunks that meet in pairs. A leaf returns a forest of links, not its pairs: a vantage point takes its ball of radius limit; balls join through the
 nodes within twice that, which the triangle bound leaves. Connected components then come from label spreading with
 pointer jumping over stored tables.
 
@@ -37,6 +37,8 @@ from .common import dropped, stored
 
 SAMPLE = 4096
 LEAF = 512
+#: A leaf with more nodes is split: its nodes form chunks of about so many, and each pair of chunks is a task.
+SPLIT = 2048
 #: Nodes of a leaf that are compared with each other as one matrix; larger leaves go ball by ball.
 MATRIX = 768
 DEEPEST = 14
@@ -244,7 +246,14 @@ def links(nodes: DataFrame, *, limit: int, masks: list[np.ndarray], radius: int)
         return pa.table({"a": pa.array(node[order][a], pa.int64()), "b": pa.array(node[order][b], pa.int64())})
 
     routed = nodes.mapInArrow(route, "shard long, node long, fp binary, home boolean")
-    return routed.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    # a cluster of near copies can fill a leaf: its chunks meet in pairs, so no task holds more than two of them
+    full = routed.groupBy("shard").count().filter(F.col("count") > SPLIT).select("shard", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
+    full = stored(full, "leaves")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = routed.join(full, "shard", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1))
+    dealt = dealt.withColumn("other", other).select("shard", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "fp", "home")
+    return dealt.groupBy("shard", "low", "high").applyInArrow(search, "a long, b long").distinct()
 
 
 def spread(edges: DataFrame) -> DataFrame:

@@ -166,6 +166,16 @@ def test_forest_loses_no_link(cloud, blocks_, keep, radius):
     assert np.array_equal(simhash.components(len(cloud), np.concatenate(left), np.concatenate(right)), brute_components(cloud, 3))
 
 
+def test_overfull_leaves_are_split(spark, cloud, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 40)
+    monkeypatch.setattr(simhash, "LEAF", 10_000)
+    nodes = spark.createDataFrame([(i, bytearray(int(v).to_bytes(8, "little"))) for i, v in enumerate(cloud[:, 0])], "node long, fp binary")
+    masks, radius = simhash.equal_parts(64, 3, 4)
+    edges = simhash.links(nodes, limit=3, masks=masks, radius=radius).collect()
+    label = simhash.components(len(cloud), np.array([e.a for e in edges]), np.array([e.b for e in edges]))
+    assert np.array_equal(label, brute_components(cloud, 3))
+
+
 def test_long_chain_spreads(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(101, 100)], "a long, b long")
     got = {r.node: r.label for r in simhash.spread(edges).collect()}
