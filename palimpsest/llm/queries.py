@@ -82,6 +82,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, unnest(generate_series(1, len(ws) - 34)) AS k, ws FROM w WHERE len(ws) >= 35),
+n AS (SELECT r, k, md5(array_to_string(ws[k:k + 34], ' ')) AS name FROM p),
+hit AS (SELECT r, k FROM n WHERE name IN (SELECT name FROM n GROUP BY name HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(generate_series(k, k + 34)) AS k FROM hit),
+g AS (SELECT r, list(k) AS ks FROM gone GROUP BY r),
+one AS (SELECT r, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS k FROM w),
+kept AS (SELECT o.r, string_agg(o.word, ' ' ORDER BY o.k) AS t FROM one o LEFT JOIN gone x ON x.r = o.r AND x.k = o.k WHERE x.k IS NULL GROUP BY o.r)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(len(g.ks), 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM w LEFT JOIN g USING (r) LEFT JOIN kept USING (r)
+"""
+
+OP9_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(0, length(x) // 2 - 100)) AS k, x FROM h WHERE length(x) >= 200),
+n AS (SELECT doc_id, k, md5(substr(x, 2 * k + 1, 200)) AS name FROM p),
+f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY name ORDER BY doc_id, k) > 1 AS again FROM n),
+e AS (SELECT doc_id, k AS pos, 1 AS step FROM f WHERE again UNION ALL SELECT doc_id, k + 100, -1 FROM f WHERE again),
+s AS (SELECT doc_id, pos, sum(sum(step)) OVER (PARTITION BY doc_id ORDER BY pos) AS depth FROM e GROUP BY doc_id, pos),
+t AS (SELECT doc_id, pos, depth, lag(depth, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM s),
+edge AS (SELECT doc_id, pos, depth > 0 AS opens FROM t WHERE (depth > 0) <> (before > 0)),
+span AS (SELECT doc_id, pos AS lo, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS hi, opens FROM edge),
+gap AS (SELECT h.doc_id, 0 AS lo, coalesce(min(span.lo), length(any_value(h.x)) // 2) AS hi FROM h LEFT JOIN span ON span.doc_id = h.doc_id GROUP BY h.doc_id
+  UNION ALL SELECT span.doc_id, span.lo, coalesce(span.hi, length(h.x) // 2) FROM span JOIN h USING (doc_id) WHERE NOT opens),
+kept AS (SELECT gap.doc_id, string_agg(substr(h.x, 2 * gap.lo + 1, 2 * (gap.hi - gap.lo)), '' ORDER BY gap.lo) AS x FROM gap JOIN h USING (doc_id) GROUP BY gap.doc_id),
+c AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM span WHERE opens GROUP BY doc_id)
+SELECT h.doc_id, (length(h.x) // 2)::BIGINT AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM h LEFT JOIN c USING (doc_id) JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -94,4 +124,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix": op9_suffix,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL}
+ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL, "op8_substring": OP8_SQL, "op9_suffix": OP9_SQL}
