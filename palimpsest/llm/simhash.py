@@ -300,7 +300,7 @@ SEEDS = (42, 43, 44, 45)
 MASKS, MASK_BITS = 32, 12
 
 
-def bits_for(similarity: float, bits: int, slack: float = 1.0) -> int:
+def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     """Differing bits up to which two shingle sets of this Jaccard similarity are expected to lie, and slack standard
     deviations more. Sets of similarity j have the cosine 2 j / (1 + j), and each bit differs with their angle."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -312,7 +312,8 @@ def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8)
     one last, ties by the text's digest.
 
     Groups are the components of documents whose sets of width-word shingles have an estimated similarity of at least
-    similarity: fingerprints of 256 bits within bits_for(similarity). A radius that wide excludes equal parts as masks; the
+    similarity: fingerprints of 256 bits within bits_for(similarity), two standard deviations wide, so that few such pairs
+    are missed and some of less similarity go too; texts that share nothing differ in half of the bits. A radius that wide excludes equal parts as masks; the
     forest's MASKS random masks of MASK_BITS bits find a pair at that similarity with a chance of 0.99, a closer one sooner.
     """
     bits = 64 * len(SEEDS)
