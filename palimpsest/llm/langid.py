@@ -129,16 +129,21 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _by_language(values: dict[str, float]):
+    """The value of the row's language."""
+    return F.coalesce(*[F.when(F.col("lang") == code, F.lit(v)) for code, v in values.items()], F.lit(-1.0))
+
+
 def train(docs: DataFrame, per_language: int = 400) -> Model:
     """From docs (doc_id, text, lang), those that are not held out; at most per_language of each language."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)))
-    counts = known.groupBy("lang").count()
-    # a hash threshold keeps four times as many as are needed, so the exact pick sorts few rows and no text
+    # a hash threshold keeps about four times as many as are needed, so the exact pick sorts few rows and no text
     unit = F.pmod("draw", F.lit(2**40)) / float(2**40)
-    few = known.select("doc_id", "lang", "draw", unit.alias("unit")).join(counts, "lang").filter(F.col("unit") * F.col("count") < 4 * per_language + 100)
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    few = known.select("doc_id", "lang", unit.alias("unit")).filter(F.col("unit") < _by_language({c: (4 * per_language + 100) / n for c, n in counts.items()}))
     drawn = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("unit", "doc_id"))).filter(F.col("nth") <= per_language)
-    most = {r["lang"]: r["m"] for r in drawn.groupBy("lang").agg(F.max("unit").alias("m")).collect()}  # a row per language
-    limit = F.coalesce(*[F.when(F.col("lang") == code, F.lit(m)) for code, m in most.items()]) if most else F.lit(-1.0)
+    most = {r["lang"]: r["m"] for r in drawn.groupBy("lang").agg(F.max("unit").alias("m")).collect()}
+    limit = _by_language(most)
     sample = known.filter(unit <= limit).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
