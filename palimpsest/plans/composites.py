@@ -194,3 +194,61 @@ def validation_scan(spark, sf):
 @query("J13_eval_bridge", "SELECT doc_id, left(text, coalesce(nullif(strpos(text, '. '), 0) - 1, length(text))::INT) AS generated, starts_with(text, left(text, 5)) AS greedy FROM documents WHERE doc_id % 5 = 0")
 def eval_bridge(spark, sf):
     return A.table(spark, sf, "documents").filter("doc_id % 5 = 0").select("doc_id", T.cut_at_stop(F.col("text"), [". "]).alias("generated"), F.expr("startswith(text, left(text, 5))").alias("greedy"))
+
+
+@query("H60_blake3")
+def blake3(spark, sf):
+    """Digests of the benchmark items."""
+    from ..functions.blake3 import digest
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "digest": [digest(t.encode()) for t in b["text"]]})
+
+    return A.table(spark, sf, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, digest string")
+
+
+@query("H52_log_mel")
+def log_mel(spark, sf):
+    """Embeddings as signals of 64 samples: frames and their mel energies."""
+    import numpy as np
+
+    from ..functions.mel import log_mel as energies
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"vec_id": b["vec_id"], "mel": [energies(np.asarray(x)).astype("float32").ravel().tolist() for x in b["embedding"]]})
+
+    return A.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, mel array<float>")
+
+
+_PIECES = "CASE conv_id % 3 WHEN 0 THEN left(text, 30) || '<think>' || substr(text, 31, 20) || '</think>' || substr(text, 51, 30) WHEN 1 THEN left(text, 30) || '<think>' || substr(text, 31, 20) ELSE left(text, 60) END"
+
+
+@query("I4_channel_split", rf"WITH c AS (SELECT conv_id, turn, {_PIECES} AS t FROM conversations) SELECT conv_id, turn, array_to_string(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), '') AS channel, regexp_replace(t, '(?s)<think>.*?(</think>|$)', '', 'g') AS text FROM c")
+def channel_split(spark, sf):
+    """Texts in pieces of five characters through the step of the streaming splitter."""
+    from ..streaming.state import split_channels
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for conv, turn, t in zip(b["conv_id"], b["turn"], b["t"]):
+                buffer, inside, out = "", False, {"channel": "", "text": ""}
+                for at in range(0, len(t), 5):
+                    parts, buffer, inside = split_channels(buffer + t[at : at + 5], inside, "<think>", "</think>", at + 5 >= len(t))
+                    for where, piece in parts:
+                        out[where] += piece
+                rows.append((conv, turn, out["channel"], out["text"]))
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "channel", "text"])
+
+    return A.table(spark, sf, "conversations").selectExpr("conv_id", "turn", _PIECES + " AS t").mapInPandas(run, "conv_id long, turn long, channel string, text string")
+
+
+@query("I7_hook_loop", f"WITH {A.EV_STREAM}, s AS (SELECT *, sum(CASE WHEN type = 'correction' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY event_index) AS active FROM ev_stream) SELECT session_id, event_index, CASE type WHEN 'correction' THEN 'remember' WHEN 'tool' THEN CASE WHEN active >= 10 THEN 'deny' ELSE 'allow' END WHEN 'model' THEN 'checkpoint' ELSE 'note' END AS action FROM s")
+def hook_loop(spark, sf):
+    """Each hook's answer given the session's state so far: with ten corrections active, tools are denied."""
+    seen = Window.partitionBy("session_id").orderBy("event_index")
+    active = F.sum(F.expr("CAST(type = 'correction' AS INT)")).over(seen)
+    action = F.when(F.col("type") == "correction", "remember").when(F.col("type") == "tool", F.when(F.col("active") >= 10, "deny").otherwise("allow")).when(F.col("type") == "model", "checkpoint").otherwise("note")
+    return A.ev_stream(spark, sf).withColumn("active", active).select("session_id", "event_index", action.alias("action"))
