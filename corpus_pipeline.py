@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import langid, mixing, packing, pii, simhash
 from palimpsest.llm.common import stored
-from palimpsest.llm.queries import graded
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    mixed = mixing.mixed_documents(docs, grades=graded(spark, sf_dir))
+    """Documents as often as the mix of sources takes them, weighted by their share of letters."""
+    mixed = mixing.mixed_documents(docs, quality=mixing.letters())
     return mixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 

@@ -16,7 +16,7 @@ are separate documents with equal keys. An empty table gives an empty result. Ot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored
@@ -44,18 +44,25 @@ def allocate(sizes: DataFrame, weights: tuple[int, ...], share: float, most: flo
     return out.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level))
 
 
-def sized(docs: DataFrame, columns: list[str], seed: str) -> DataFrame:
-    """columns of docs (doc_id, text, source), then size, unit (the uniform number of the document) and skey."""
+def letters(text: str = "text") -> Column:
+    """A quality weight from the text itself: 0.5, and up to 1.5 more by the share of letters and white space."""
+    share = F.length(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]+", "")) / F.greatest(F.length(text), F.lit(1))
+    return F.lit(0.5) + F.lit(1.5) * F.coalesce(share, F.lit(0.0))
+
+
+def sized(docs: DataFrame, columns: list[str], seed: str, quality: Column | None = None) -> DataFrame:
+    """columns of docs (doc_id, text, source), then size, unit (the uniform number of the document), skey, and _grade
+    where there is a quality."""
     digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     unit = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    return docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("unit"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"))
+    return docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("unit"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), *([quality.cast("double").alias("_grade")] if quality is not None else []))
 
 
-def keyed(rows: DataFrame, grades: DataFrame | None) -> DataFrame:
-    """rows of sized() with the exponential key, scaled by the document's grade, and its bin."""
+def keyed(rows: DataFrame, grades: DataFrame | None = None) -> DataFrame:
+    """rows of sized() with the exponential key, scaled by the document's grade (of grades, or their own), and its bin."""
     if grades is not None:
         rows = rows.join(grades.select("doc_id", F.col("grade").cast("double").alias("_grade")), "doc_id", "left")
-    grade = F.when(F.col("_grade") > 0, F.col("_grade")).otherwise(1.0) if grades is not None else F.lit(1.0)
+    grade = F.when(F.col("_grade") > 0, F.col("_grade")).otherwise(1.0) if "_grade" in rows.columns else F.lit(1.0)
     rows = rows.withColumn("key", -F.log("unit") / grade)
     return rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * KEY_BINS).cast("int")).drop("unit", "_grade")
 
@@ -89,25 +96,27 @@ def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return both.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
-def mix(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, grades: DataFrame | None = None, quality: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, epochs, part, taken.
 
     epochs: whole copies of the document; part: words of one more, partial or whole, copy;
     taken = epochs * size + part. grades: (doc_id, grade), a row per graded document at most; it meets
-    the sizes, not the texts.
+    the sizes, not the texts. quality: a weight from docs' own columns instead.
     """
-    slim = stored(sized(docs, ["doc_id", "source"], seed), "mix-sizes")
+    slim = stored(sized(docs, ["doc_id", "source"], seed, quality), "mix-sizes")
     slim = stored(keyed(slim, grades), "mix")
     return decided(slim, planned(slim, weights, share, most))
 
 
-def mixed_documents(docs: DataFrame, *, grades: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The mix itself: docs' rows as often as it takes them, a partial copy with its first words, joined by one space."""
-    slim = stored(keyed(stored(sized(docs, ["doc_id", "source"], seed), "mix-sizes"), grades), "mix")
+def mixed_documents(docs: DataFrame, *, quality: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: docs' rows as often as it takes them, a partial copy with its first words, joined by one space.
+    quality: a weight from docs' own columns; every row then finds its decision by itself and no text is shuffled but
+    those of the edge bins."""
+    slim = stored(keyed(sized(docs, ["doc_id", "source"], seed, quality)), "mix")
     plan = planned(slim, weights, share, most)
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*others).alias("_row"), "doc_id", "text", "source")  # whatever the other columns are called
-    rows = decided(keyed(sized(packed, packed.columns, seed), grades), plan)
+    rows = decided(keyed(sized(packed, packed.columns, seed, quality)), plan)
     copies = (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
     rows = rows.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
