@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import dropped, stored
 
 SAMPLE = 4096
@@ -101,21 +102,6 @@ def equal_parts(bits: int, limit: int, blocks: int = 4, keep: int = 1) -> tuple[
     return masks, each * keep + max(0, keep - (blocks - more))
 
 
-def sampled_masks(bits: int, count: int, size: int, seed: int = 10) -> list[np.ndarray]:
-    """count masks of size random bits. With radius 0 a pair that differs in a share d of its bits is found with
-    probability 1 - (1 - (1 - d)^size)^count."""
-    rng, masks = np.random.default_rng(seed), []
-    order = np.zeros(0, np.int64)
-    for _ in range(count):
-        if len(order) < size:
-            order = rng.permutation(bits)
-        m = np.zeros(bits, np.uint8)
-        m[order[:size]] = 1
-        order = order[size:]
-        masks.append(np.packbits(m, bitorder="little").view("<u8").astype(np.uint64))
-    return masks
-
-
 def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ v).sum(axis=-1, dtype=np.int64)
 
@@ -295,11 +281,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, limit: int = 3, blocks:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: Fingerprint words, masks and bits of a mask for similarity search.
-SEEDS = (42, 43, 44, 45)
-MASKS, MASK_BITS = 32, 12
-
-
 def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     """Differing bits up to which two shingle sets of this Jaccard similarity are expected to lie, and slack standard
     deviations more. Sets of similarity j have the cosine 2 j / (1 + j), and each bit differs with their angle."""
@@ -311,16 +292,18 @@ def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8)
     """docs (doc_id, text, ...) with one row of each group of near copies: the one with the smallest doc_id, rows without
     one last, ties by the text's digest.
 
-    Groups are the components of documents whose sets of width-word shingles have an estimated similarity of at least
-    similarity: fingerprints of 256 bits within bits_for(similarity), two standard deviations wide, so that few such pairs
-    are missed and some of less similarity go too; texts that share nothing differ in half of the bits. A radius that wide excludes equal parts as masks; the
-    forest's MASKS random masks of MASK_BITS bits find a pair at that similarity with a chance of 0.99, a closer one sooner.
+    Groups are the components of documents whose sets of width-word shingles have a Jaccard similarity of at least
+    similarity. Fingerprints only estimate it, so the sets themselves are compared: see shingles.py.
     """
-    bits = 64 * len(SEEDS)
-    rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = stored(fingerprints(rows, width=width, seeds=SEEDS, distinct=True, digest=True), "prints")
-    found = grouped(prints, limit=bits_for(similarity, bits), masks=sampled_masks(bits, MASKS, MASK_BITS), radius=0)
-    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("k"))
-    chosen = stored(chosen.select(F.concat_ws("|", F.col("k.doc_id").cast("string"), "k.digest").alias("_kept")), "kept")
-    named = docs.withColumn("_kept", F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    return named.join(chosen, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")
+    key = lambda: F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("k")
+    tag = F.concat_ws("|", F.col("k.doc_id").cast("string"), "k.digest").alias("_kept")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    prints = stored(shingles.prefixes(rows, width=width, similarity=similarity), "prints")
+    met = spread(shingles.candidates(prints, similarity=similarity))
+    heads = stored(prints.join(met, "node").groupBy("node", "label").agg(first, F.first("size").alias("size")).select("node", "label", "size", tag), "heads")
+    members = rows.withColumn("_kept", key()).join(heads, "_kept")
+    groups = spread(shingles.exact_links(members, heads, width=width, similarity=similarity))
+    found = prints.join(groups, "node", "left").withColumn("component", F.coalesce("label", "node"))
+    chosen = stored(found.groupBy("component").agg(first).select(tag), "kept")
+    return docs.withColumn("_kept", key()).join(chosen, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")

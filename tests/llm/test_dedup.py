@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from palimpsest.llm import blocks, simhash, substring, suffix
+from palimpsest.llm import blocks, shingles, simhash, substring, suffix
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -196,3 +196,42 @@ def test_representatives_keep_one_of_near_copies(spark):
     df = spark.createDataFrame(rows + clean + [(None, None), (None, "")], "doc_id long, text string")
     kept = [r.doc_id for r in simhash.representatives(df).collect()]
     assert sorted(k for k in kept if k is not None) == [0, *(c[0] for c in clean)] and kept.count(None) == 1
+
+
+def test_near_copies_go_from_exactly_the_similarity_on(spark):
+    """Pairs of 90 five-word shingles each: 80 in common are 80 of 100, 79 are 79 of 101."""
+    rows = []
+    for k in range(120):
+        shared = 80 if k < 60 else 79
+        first = [f"w{k}x{i}" for i in range(94)]
+        second = first[: shared + 4] + [f"v{k}x{i}" for i in range(90 - shared)]
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.representatives(df).collect())
+    assert kept == [d for d in range(240) if d % 2 == 0 or d >= 120]
+
+
+@pytest.mark.parametrize(("chunk", "nodes"), [(1 << 20, 4096), (500, 4096), (1 << 20, 3)])
+def test_near_copies_match_brute_force(spark, chunk, nodes, monkeypatch):
+    """Families of edited texts around the bound that share a passage, with short, equal and empty ones."""
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
+    monkeypatch.setattr(shingles, "NODES", nodes)
+    monkeypatch.setattr(shingles, "SAMPLE", 100)
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 5)))
+    passage = [word() for _ in range(30)]
+    rows = [(None, "a b c"), (500, None), (501, " "), (502, "a b c"), (503, "A  b c"), (504, "a b d")]
+    for f in range(15):
+        base = [word() for _ in range(60)] + passage + [word() for _ in range(40)]
+        for k in range(12):
+            w = list(base)
+            for at in rng.integers(0, len(w), k // 3):
+                w[at] = word()
+            rows.append((20 * f + k, " ".join(w[: len(w) - int(rng.integers(0, 20))])))
+    sets = [set(shingles.shingles((t or "").encode(), 5).tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = simhash.components(len(rows), *np.array(pairs).T)
+    expected = [min((rows[i][0] for i in np.flatnonzero(label == c) if rows[i][0] is not None), default=None) for c in np.unique(label)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [r.doc_id for r in simhash.representatives(df).collect()]
+    assert sorted(got) == sorted(expected) and 30 < len(got) < 150
