@@ -1,11 +1,9 @@
-"""Suffix-array dedup by bucket-pointer refinement, down to depth LENGTH.
+"""Removal of repeats of LENGTH bytes by content-defined anchors.
 
-The suffixes of all texts are put into buckets by their first bytes, and buckets are refined by the bucket identifiers
-of later offsets: the identifier of 8 bytes at i is that of 4 at i with that of 4 at i + 4, and so on to 32, each update
-reused by the next. Identifiers are 64-bit hashes rather than ranks, so that a block names its suffixes without
-asking others; sorting on them brings equal ones together all the same.
+These replace bucket-pointer refinement of a suffix array: no suffix is placed or sorted. Identifiers are 64-bit hashes,
+not ranks, doubled from 1 byte to 32: that of 2 bytes at i is that of 1 at i with that of 1 at i + 1, and so on.
 
-Not every suffix needs a place in a global order. In every stretch of LENGTH bytes the suffix with the smallest 32-byte
+In every stretch of LENGTH bytes the suffix with the smallest 32-byte
 identifier is its anchor; equal stretches have equal anchors at equal offsets. Neighbouring stretches with one anchor
 form a context. First the anchors' buckets are compared, refined by the identifier of the whole context (which is
 that of its first and its last LENGTH bytes): a bucket of one is done; a context that an earlier block or place has
