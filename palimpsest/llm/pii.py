@@ -1,15 +1,18 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-One pattern finds e-mail and IPv4 addresses, telephone, card and social-security numbers, key-shaped secrets and names
-after a title. Each mention is replaced by a surrogate of its own kind, derived from a keyed hash of its canonical form
-(digits of a number, lower-cased address or name with the title's gender): equal entities get equal surrogates in all
-documents, whatever their punctuation or case, which the surrogate keeps. Numbers keep their digit count and grouping,
-telephone numbers their country code, card numbers their Luhn validity, secrets their prefix and character classes, names
-their title, gender, script and number of words, capitals stay capitals.
-
-Collision check: over the table of distinct entities, no two may share a surrogate and no surrogate may be an entity of
-its kind that occurs. Of those that clash all but the smallest are derived anew, with the next attempt, until none is
-left; the few attempts above 0 reach the texts that need them by a join.
+One pattern finds e-mail, IPv4 and IPv6 addresses, telephone, card, account (IBAN) and social-security numbers, secrets (keys by
+their shape, values after words like ``password:``) and names (after a title, or a common given name before a capitalised word).
+Each mention is replaced by a surrogate of its own kind, derived by a key from its canonical form (digits of a number, lower-cased
+address or name with its gender): equal entities get equal surrogates in all documents, whatever their punctuation or case, which
+the surrogate keeps. Numbers keep their digit count and grouping, telephone numbers their country code, card and account numbers
+their check digits' validity, secrets their prefix and character classes, names their title, gender, script and number of words,
+capitals stay capitals. A run of digits whose Luhn sum is wrong is no card number, and an account number's check digits must be right.
+
+Distinctness. Telephone, card, social-security numbers and IPv4 addresses pass through a keyed permutation of all numbers of their
+form (``permuted``), so distinct entities have distinct surrogates by construction, and none is its own. The other kinds get hashes
+of 40 bits or more, and a collision check over the table of distinct entities: no two may share a surrogate and no surrogate may be
+an entity of its kind that occurs. Of those that clash all but the smallest are derived anew, with the next attempt, until none is
+left. Up to FEW such entities reach all texts as one broadcast row; beyond that the affected texts get their own by a join.
 
 Nulls: a null text stays null and has no entities; other columns, null or not, pass through, also those whose names this
 module uses inside. A very long text is one value and is scanned in one pass: every pattern starts at a boundary and
@@ -19,17 +22,17 @@ cannot backtrack over a run twice. Equal rows get equal surrogates. An empty tab
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Titles, by gender and script.
+#: Titles, by gender (n: any) and script.
 TITLES = {
-    ("m", "latin"): ["Mr", "Herr", "Señor", "Monsieur", "Sir"],
+    ("m", "latin"): ["Mr", "Herr", "Señor", "Monsieur"],
     ("f", "latin"): ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame"],
+    ("n", "latin"): ["Dr", "Prof", "Professor", "Doctor"],
     ("m", "cyrillic"): ["Господин"],
     ("f", "cyrillic"): ["Госпожа"],
     ("m", "greek"): ["Κύριος"],
@@ -38,31 +41,47 @@ TITLES = {
 GIVEN = {
     ("m", "latin"): ["Adam", "Boris", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"],
     ("f", "latin"): ["Alice", "Bella", "Clara", "Diana", "Emma", "Flora", "Hanna", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sara", "Vera"],
+    ("n", "latin"): ["Alex", "Andrea", "Chris", "Dominique", "Jean", "Jo", "Kim", "Kit", "Lou", "Morgan", "Nico", "Robin", "Sam", "Sasha", "Toni", "Val"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Иван", "Марк", "Олег", "Павел"],
     ("f", "cyrillic"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"],
     ("m", "greek"): ["Νίκος", "Πέτρος", "Γιάννης", "Κώστας"],
     ("f", "greek"): ["Άννα", "Ελένη", "Μαρία", "Σοφία"],
 }
-SYLLABLES = {
-    "latin": "bal cor den fal gor hol kin lam mer nor pol ran sel tor vel win",
-    "cyrillic": "бал вор ден гал кор лин мар нов пол рад сел тол фин хол чер яр",
-    "greek": "βαλ γορ δεν θαλ κιν λαμ μαρ νικ παλ ρον σελ τορ φιλ χαρ ψελ ζαν",
+#: Given names that make a capitalised word after them a family name, without a title.
+COMMON = {
+    "m": ["John", "James", "William", "Michael", "Richard", "Charles", "Joseph", "George", "Edward", "Peter", "Andrew", "Hans", "Klaus", "Wolfgang", "Stefan", "Pierre", "Jacques", "Philippe", "François", "Juan", "José", "Carlos", "Pedro", "Luis"],
+    "f": ["Mary", "Jane", "Elizabeth", "Susan", "Margaret", "Sarah", "Karen", "Nancy", "Helen", "Catherine", "Anna", "Ursula", "Petra", "Sabine", "Monika", "Marie", "Sophie", "Isabelle", "Camille", "Carmen", "Ana", "Lucía", "Pilar", "Elena"],
 }
+#: Sixteen consonants and four vowels of each script, for family names.
+LETTERS = {"latin": ("bcdfghklmnprstvw", "aeio"), "cyrillic": ("бвгдзклмнпрстфхч", "аеио"), "greek": ("βγδζθκλμνπρστφχψ", "αεηο")}
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+_COMMON = "|".join(n for names in COMMON.values() for n in names)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}[\p{{L}}'-]*+)?"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])"
-ADDRESS = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+_FAMILY = r"\p{Lu}[\p{L}'-]*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_FAMILY}(?: {_FAMILY})?|(?:{_COMMON}) \p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+)"
+SECRET = (
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+"
+    r"|(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])"
+)
+#: The value after a word that names a secret.
+ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret_access_key|api_key)[ \x22']{0,2}[:=][ \x22']{0,2})[A-Za-z0-9!#$%&*+/=?@^_~-]{6,128}"
+ADDRESS = rf"(?<![\d.])(?<!(?i:version|release|ver)[ .]|[vV])(?<!\p{{L}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+ADDRESS6 = r"(?<![\p{L}\p{N}:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}:){2,6}:(?:[0-9a-fA-F]{1,4}:){0,4}[0-9a-fA-F]{1,4})(?![\p{L}\p{N}:])"
+ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![\p{L}\p{N}])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+PHONE = r"(?<![\d+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d))"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
 #: The order decides where two kinds could begin at one place.
-ANY = "|".join((EMAIL, NAME, SECRET, ADDRESS, SOCIAL, PHONE, CARD))
-#: A text without a digit, an @ and any of these holds no entity.
-MARKS = (*(t for titles in TITLES.values() for t in titles), "sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
-KINDS = ("email", "name", "secret", "ip", "ssn", "phone", "card")
-ROUNDS = 16
+ANY = "|".join((EMAIL, NAME, SECRET, ASSIGNED, ACCOUNT, ADDRESS6, ADDRESS, SOCIAL, PHONE, CARD))
+#: A text without any of these holds no entity.
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret_access_key|api_key)|{_TITLE}|{_COMMON}|sk-|eyJ"
+KINDS = ("email", "name", "secret", "ip", "ip6", "ssn", "phone", "card", "iban")
+#: Surrogates of these are permuted numbers; those of the others are hashes.
+PERMUTED = ("ip", "ssn", "phone", "card")
+HEX = "0123456789abcdef"
+#: Entities derived anew that a broadcast row may hold.
+FEW = 10_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -70,92 +89,162 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _luhn(digits: Column, doubled_last: bool) -> Column:
+    """Sum by Luhn's rule; doubled_last: the last digit is the first to be doubled."""
+    reverse = F.transform(F.split(F.reverse(digits), ""), lambda c, i: let(c.cast("int") * F.when(i % 2 == (0 if doubled_last else 1), 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
+    return F.aggregate(F.filter(reverse, lambda v: v.isNotNull()), F.lit(0), lambda a, v: a + v)
+
+
+def _mod97(account: Column) -> Column:
+    """The account number's remainder, letters counting from 10."""
+    moved = F.split(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4))), "")
+    value = lambda c: F.conv(c, 36, 10).cast("long")
+    return F.aggregate(F.filter(moved, lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
+
+
 def kind(m: Column) -> Column:
+    """``none`` for a number whose check digits are wrong."""
+    full = lambda p: m.rlike(f"^(?:{p})$")
     return (
-        F.when(m.contains("@"), "email")
-        .when(m.rlike(rf"^(?:{_TITLE})\.? "), "name")
-        .when(m.rlike(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_|sk-)|^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"), "secret")
-        .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^\+|\(|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
-        .otherwise("card")
-    )
+        F.when(full(EMAIL), "email").when(full(NAME), "name").when(full(SECRET), "secret")
+        .when(full(ACCOUNT), F.when(_mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1, "iban").otherwise("none"))
+        .when(full(ADDRESS), "ip").when(full(ADDRESS6), "ip6").when(full(SOCIAL), "ssn").when(full(PHONE), "phone")
+        .when(full(CARD), F.when(m.rlike("[ -]") | (_luhn(m, False) % 10 == 0), "card").otherwise("none"))
+        .otherwise("secret")
+    )
 
 
 def _group(m: Column) -> tuple[Column, Column]:
-    """Gender and script of a mention with a title."""
-    gender = F.when(m.rlike("^(?:" + "|".join(t for (g, _), ts in TITLES.items() if g == "f" for t in ts) + r")\b"), "f").otherwise("m")
+    """Gender and script of a name."""
+    of = lambda g: [t for (own, _), ts in TITLES.items() if own == g for t in ts]
+    gender = F.when(m.rlike(rf"^(?:{'|'.join(of('f') + COMMON['f'])})\.? "), "f").when(m.rlike(rf"^(?:{'|'.join(of('n'))})\.? "), "n").otherwise("m")
     script = F.when(m.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(m.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     return gender, script
 
 
-def canonical(m: Column) -> Column:
+def _untitled(m: Column) -> Column:
+    return F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", "")
+
+
+def canonical(m: Column, k: Column) -> Column:
     """What two mentions of one entity share."""
     gender, script = _group(m)
-    k = kind(m)
-    return F.when(k == "email", F.lower(m)).when(k == "name", F.concat(gender, F.lit(" "), script, F.lit(" "), F.lower(F.regexp_replace(m, r"^\S+ ", "")))).when(k == "secret", m).when(k == "ip", m).otherwise(F.regexp_replace(m, r"[^0-9]", ""))
+    digits = F.regexp_replace(m, r"[^0-9]", "")
+    return (
+        F.when(k.isin("email", "ip6"), F.lower(m)).when(k == "name", F.concat(gender, F.lit(" "), script, F.lit(" "), F.lower(_untitled(m)))).when(k.isin("secret", "ip", "none"), m)
+        .when(k == "iban", F.replace(m, F.lit(" "), F.lit(""))).when((k == "phone") & m.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    )
 
 
-def _digits(d: Column) -> Column:
-    return F.translate(d, "abcdef", "123456")
+def permuted(key: str, tag: Column, x: Column, y: Column, n: Column, m: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(x', y') for the image of (x, y), 0 <= x < n and 0 <= y < m, under a keyed permutation of all such pairs without a
+    fixed point: four Feistel rounds, one step on, and the rounds back."""
 
+    def noise(i: int, part: Column, most: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(f"{key}|{i}"), tag, n.cast("string"), m.cast("string"), part.cast("string")), 256)
+        return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), most)
 
-def _luhn(digits: Column, doubled_last: bool) -> Column:
-    """Sum by Luhn's rule; doubled_last: the last digit is the first to be doubled."""
-    reverse = F.transform(F.split(F.reverse(digits), ""), lambda c, i: let(c.cast("int") * F.when(i % 2 == (0 if doubled_last else 1), 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
-    return F.aggregate(F.filter(reverse, lambda v: v.isNotNull()), F.lit(0), lambda a, v: a + v)
+    steps: list[Callable[[Column], Column]] = []
+    for i in range(4):
+        steps.append((lambda i: lambda s: F.struct(((s["x"] + noise(i, s["y"], n)) % n).alias("x"), s["y"].alias("y")) if i % 2 == 0 else F.struct(s["x"].alias("x"), ((s["y"] + noise(i, s["x"], m)) % m).alias("y")))(i))
+    steps.append(lambda s: F.struct(((s["x"] + 1) % n).alias("x"), s["y"].alias("y")))
+    for i in reversed(range(4)):
+        steps.append((lambda i: lambda s: F.struct(F.pmod(s["x"] - noise(i, s["y"], n), n).alias("x"), s["y"].alias("y")) if i % 2 == 0 else F.struct(s["x"].alias("x"), F.pmod(s["y"] - noise(i, s["x"], m), m).alias("y")))(i))
+
+    def run(s: Column, rest: list) -> Column:
+        return let(rest[0](s), lambda t: run(t, rest[1:])) if rest else use(s["x"], s["y"])
+
+    return let(F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), lambda s: run(s, steps))
+
+
+def _digits_permuted(key: str, tag: Column, d: Column) -> Column:
+    """A string of two digits or more, as one of the same length."""
+
+    def halves(size: Column) -> Column:
+        def made(h: Column) -> Column:
+            rest = size - h
+            ten = lambda e: F.pow(F.lit(10), e).cast("long")
+            padded = lambda v, e: F.lpad(v.cast("string"), e, F.lit("0"))
+            return permuted(key, tag, F.substr(d, F.lit(1), h).cast("long"), F.substr(d, h + 1).cast("long"), ten(h), ten(rest), lambda x, y: F.concat(padded(x, h), padded(y, rest)))
+
+        return let(F.floor((size + 1) / 2).cast("int"), made)
+
+    return let(F.length(d), halves)
+
+
+def _phone(key: str, canon: Column) -> Column:
+    """The country code stays; ten digits of the North American form keep it: neither part begins with 0 or 1."""
+    american = canon.rlike(r"^(?:\+1)?[2-9]\d\d[2-9]\d{6}$")
+    head = F.when(canon.rlike(r"^\+[17]"), F.substring(canon, 1, 2)).when(canon.startswith("+"), F.substring(canon, 1, 3)).otherwise("")
+    body = F.substr(canon, F.length(head) + 1)
+    three = lambda at: F.substr(body, F.lit(at), F.lit(3)).cast("long") - 200
+    area = permuted(key, F.lit("american"), three(1) * 800 + three(4), F.substr(body, F.lit(7)).cast("long"), F.lit(640_000), F.lit(10_000), lambda x, y: F.concat((F.floor(x / 800) + 200).cast("string"), (x % 800 + 200).cast("string"), F.lpad(y.cast("string"), 4, "0")))
+    return F.concat(head, F.when(american, area).otherwise(_digits_permuted(key, F.lit("phone"), body)))
+
+
+def _classes(rest: Column, d: Column) -> Column:
+    """A string of the same character classes from hexadecimal digits d, as many or more."""
+    as_digit, as_letter = (lambda h: F.translate(h, "abcdef", "123456")), (lambda h: F.translate(h, "0123456789", "ghijklmnop"))
+    return F.array_join(F.transform(F.split(rest, ""), lambda c, i: let(F.substr(d, i + 1, F.lit(1)), lambda h: F.when(c.rlike("[0-9]"), as_digit(h)).when(c.rlike("[A-Z]"), F.upper(as_letter(h))).when(c.rlike("[a-z]"), as_letter(h)).otherwise(c))), "")
 
 
 def surrogate(key: str, k: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate."""
 
-    def made(d: Column) -> Column:
-        digits = _digits(d)
+    def hashed(d: Column) -> Column:
         letters = F.translate(d, "0123456789", "ghijklmnop")
         domain = F.translate(F.sha2(F.concat(F.lit(key + "|domain|"), F.substring_index(canon, "@", -1)), 256), "0123456789", "ghijklmnop")
-        email = F.concat(F.substring(letters, 1, 10), F.lit("@"), F.substring(domain, 1, 8), F.lit(".example.net"))
-        octets = [(F.conv(F.substring(d, 4 * i + 1, 4), 16, 10).cast("int") % 254 + 1).cast("string") for i in range(4)]
-        length = F.length(canon)
-        phone = F.concat(F.substr(canon, F.lit(1), length - 10), (F.substring(digits, 1, 1).cast("int") % 8 + 2).cast("string"), F.substring(digits, 2, 2), (F.substring(digits, 4, 1).cast("int") % 8 + 2).cast("string"), F.substring(digits, 5, 6))
-        body = F.substr(digits, F.lit(1), length - 1)
-        check = (10 - _luhn(body, True) % 10) % 10
-        valid = _luhn(canon, False) % 10 == 0
-        card = F.concat(body, F.when(valid, check).otherwise((check + 1 + F.substring(digits, 40, 1).cast("int") % 9) % 10).cast("string"))
-        prefix = F.regexp_extract(canon, r"^(AKIA|gh[pousr]_|sk-)", 1)
-        two = F.concat(d, F.sha2(d, 256))
-        hexed = ~canon.rlike(r"^(?:AKIA|gh[pousr]_|sk-)")
-        upper = canon == F.upper(canon)
-        rest = F.substr(canon, F.length(prefix) + 1, length)
-        classes = F.array_join(F.transform(F.split(rest, ""), lambda c, i: let(F.substr(two, i + 1, F.lit(1)), lambda h: F.when(c.rlike("[0-9]"), _digits(h)).when(c.rlike("[A-Z]"), F.upper(F.translate(h, "0123456789", "ghijklmnop"))).otherwise(F.translate(h, "0123456789", "ghijklmnop")))), "")
-        secret = F.when(hexed, let(F.substr(two, F.lit(1), length), lambda h: F.when(upper, F.upper(h)).otherwise(h))).otherwise(F.concat(prefix, F.when(rest == "", "").otherwise(classes)))
+        email = F.concat(F.substring(letters, 1, 16), F.lit("@"), F.substring(domain, 1, 12), F.lit(".example.net"))
+        longer = F.concat(d, F.sha2(d, 256), F.sha2(F.concat(d, d), 256), F.sha2(F.concat(d, F.lit("+"), d), 256))
+        prefix = F.regexp_extract(canon, r"^(AKIA|gh[pousr]_|sk-|eyJ)", 1)
+        hexed = F.when(canon == F.upper(canon), F.upper(longer)).otherwise(longer)
+        rest = F.substr(canon, F.length(prefix) + 1)
+        # values of less than 16 characters would be too few for all that may occur
+        secret = F.when(canon.rlike(r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"), F.substr(hexed, F.lit(1), F.length(canon))).when(F.length(rest) < 16, F.concat(prefix, F.substring(letters, 1, 16))).otherwise(F.concat(prefix, _classes(rest, F.concat(longer, longer, longer, longer))))
+        six = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substr(longer, i + 1, F.lit(1)))), "")
+        account = let(F.concat(F.substring(canon, 1, 2), F.lit("00"), _classes(F.substr(canon, F.lit(5)), d)), lambda a: F.concat(F.substring(a, 1, 2), F.lpad((98 - _mod97(a)).cast("string"), 2, "0"), F.substr(a, F.lit(5))))
         pick = F.conv(F.substring(d, 1, 4), 16, 10).cast("int")
         name = F.lit(None).cast("string")
         for (gender, script), given in GIVEN.items():
-            parts = F.array(*[F.lit(s) for s in SYLLABLES[script].split()])
-            family = F.initcap(F.concat(*[F.element_at(parts, F.conv(F.substring(d, 8 + i, 1), 16, 10).cast("int") + 1) for i in range(5)]))
-            first = F.element_at(F.array(*[F.lit(g) for g in given]), pick % len(given) + 1)
+            consonants, vowels = LETTERS[script]
+            c, v = F.translate(F.substring(d, 9, 8), HEX, consonants), F.translate(F.substring(d, 17, 4), HEX, vowels * 4)
+            family = F.concat(*[F.substring(s, p, 1) for i in range(4) for s, p in ((c, 2 * i + 1), (v, i + 1), (c, 2 * i + 2))])
+            first = F.lower(F.element_at(F.array(*[F.lit(g) for g in given]), pick % len(given) + 1))
             words = F.size(F.split(canon, " ")) - 2
             name = F.when(canon.startswith(f"{gender} {script} "), F.concat(F.lit(f"{gender} {script} "), F.when(words > 1, F.concat(first, F.lit(" "))).otherwise(""), family)).otherwise(name)
-        return F.when(k == "email", email).when(k == "name", F.lower(name)).when(k == "secret", secret).when(k == "ip", F.concat_ws(".", *octets)).when(k == "ssn", F.concat(F.lit("9"), F.substring(digits, 1, 8))).when(k == "phone", phone).otherwise(card)
+        return F.when(k == "email", email).when(k == "name", name).when(k == "iban", account).when(k == "ip6", six).otherwise(secret)
 
-    return let(F.sha2(F.concat_ws("|", F.lit(key), k, canon, attempt.cast("string")), 256), made)
+    octets = F.split(canon, r"\.")
+    part = lambda i: F.element_at(octets, i).cast("long")
+    ip = permuted(key, F.lit("ip"), part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65_536), F.lit(65_536), lambda x, y: F.concat_ws(".", *[v.cast("string") for v in (F.floor(x / 256), x % 256, F.floor(y / 256), y % 256)]))
+    body = F.substr(canon, F.lit(1), F.length(canon) - 1)
+    check = lambda b: (10 - _luhn(b, True) % 10) % 10
+    off = F.substr(canon, F.length(canon)).cast("int") - check(body)  # 0 for a valid number
+    card = let(_digits_permuted(key, F.lit("card"), body), lambda b: F.concat(b, F.pmod(check(b) + off, F.lit(10)).cast("int").cast("string")))
+    made = let(F.sha2(F.concat_ws("|", F.lit(key), k, canon, attempt.cast("string")), 256), hashed)
+    return F.when(k == "none", canon).when(k == "ip", ip).when(k == "phone", _phone(key, canon)).when(k == "ssn", _digits_permuted(key, k, canon)).when(k == "card", card).otherwise(made)
 
 
 def written(m: Column, k: Column, s: Column) -> Column:
     """The surrogate in the mention's form."""
-    digits = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(s, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
+    plain = F.replace(s, F.lit("+"), F.lit(""))
+
+    def spelled(sign: str, value: Column) -> Column:
+        return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike(sign), F.substr(value, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), sign.replace("[", "[^"), "")), F.lit(1))).otherwise(c)), "")
+
     capitals = (m == F.upper(m)) & (m != F.lower(m))
-    name = F.concat(F.regexp_extract(m, r"^(\S+ )", 1), F.initcap(F.regexp_replace(s, r"^\S+ \S+ ", "")))
-    return F.when(k.isin("email", "name"), let(F.when(k == "name", name).otherwise(s), lambda v: F.when(capitals, F.upper(v)).otherwise(v))).when(k.isin("secret", "ip"), s).otherwise(digits)
+    name = F.concat(F.regexp_extract(m, rf"^((?:{_TITLE})\.? )?", 0), F.initcap(F.regexp_replace(s, r"^\S+ \S+ ", "")))
+    cased = lambda v: let(v, lambda x: F.when(capitals, F.upper(x)).otherwise(x))
+    return F.when(k.isin("email", "ip6"), cased(s)).when(k == "name", cased(name)).when(k.isin("secret", "ip", "none"), s).when(k == "iban", spelled("[A-Z0-9]", s)).otherwise(spelled("[0-9]", plain))
 
 
-def _equal(values: Column, value: str) -> Column:
-    return F.filter(values, lambda x: x == value)
+def _is(k: str) -> Callable[[Column], Column]:
+    return lambda x: x == k
 
 
 def hinted(text: Column) -> Column:
     """Cheap to tell, and true of every text with an entity."""
-    return reduce(lambda a, m: a | F.contains(text, F.lit(m)), MARKS, text.rlike("[0-9@]"))
+    return text.rlike(HINT)
 
 
 def mentions(text: Column) -> Column:
@@ -164,55 +253,54 @@ def mentions(text: Column) -> Column:
 
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, canon) of all texts."""
-    m = F.col("m")
-    found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).select(kind(m).alias("kind"), canonical(m).alias("canon"))
-    return found.groupBy("kind", "canon").count().select("kind", "canon")
+    found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).withColumn("kind", kind(F.col("m")))
+    return found.filter("kind <> 'none'").groupBy("kind", canonical(F.col("m"), F.col("kind")).alias("canon")).count().select("kind", "canon")
 
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose attempt is above 0; found: stored distinct entities."""
-    state = found.withColumn("attempt", F.lit(0))
-    made = stored(state.withColumn("s", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
-    for _ in range(ROUNDS):
-        real = found.select("kind", F.col("canon").alias("s"), F.lit(1).alias("real"))
+    real = found.filter(~F.col("kind").isin(*PERMUTED))
+    made = stored(real.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
+    while True:
         order = Window.partitionBy("kind", "s").orderBy("attempt", "canon")
-        checked = made.join(real, ["kind", "s"], "left").withColumn("clash", F.col("real").isNotNull() | (F.row_number().over(order) > 1))
+        occurs = real.select("kind", F.col("canon").alias("s"), F.lit(1).alias("real"))
+        checked = made.join(occurs, ["kind", "s"], "left").withColumn("clash", F.col("real").isNotNull() | (F.row_number().over(order) > 1))
         again = stored(checked.filter("clash").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "clashes")
         if not again.limit(1).count():
             return made.filter("attempt > 0").select("kind", "canon", "attempt")
         redone = again.withColumn("s", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         made = stored(made.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(redone.select(*made.columns)), "surrogates")
-    raise ValueError("surrogates still clash: the space of a kind is exhausted")
 
 
 def replace(docs: DataFrame, key: str, *, counts: bool = False) -> DataFrame:
-    """docs with surrogates in text; counts adds n_entities and one n_ column for each of KINDS."""
-    found = stored(entities(docs), "entities")
-    again = stored(attempts(found, key), "attempts")
-    clashes = again.limit(1).count()
+    """docs with surrogates in text; counts adds n_entities and one n_ column for each of KINDS, in place of columns of these names."""
+    again = stored(attempts(stored(entities(docs), "entities"), key), "attempts")
+    clashes = again.limit(FEW + 1).count()
     text = F.col("text")
+    retry, held_mentions, held_kinds, at = "_palimpsest_retry", "_palimpsest_mentions", "_palimpsest_kinds", "_palimpsest_at"
+    known = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias(retry)
     rows = docs
-    retry, held_mentions = "_palimpsest_retry", "_palimpsest_mentions"
-    if clashes:
+    if 0 < clashes <= FEW:
+        rows = docs.withColumn(at, F.lit(1)).join(F.broadcast(again.groupBy(F.lit(1).alias(at)).agg(known)), at, "left").drop(at)
+    elif clashes:
         # texts that mention such an entity, by digest, with their attempts
-        held = docs.select(F.md5("text").alias("digest"), F.explode(F.array_distinct(mentions(text))).alias("m"))
-        held = held.select("digest", kind(F.col("m")).alias("kind"), canonical(F.col("m")).alias("canon")).distinct().join(again, ["kind", "canon"])
-        held = held.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias(retry))
-        rows = docs.withColumn("_palimpsest_digest", F.md5("text")).join(held.withColumnRenamed("digest", "_palimpsest_digest"), "_palimpsest_digest", "left").drop("_palimpsest_digest")
+        held = docs.select(F.md5("text").alias(at), F.explode(F.array_distinct(mentions(text))).alias("m")).withColumn("kind", kind(F.col("m")))
+        held = held.select(at, "kind", canonical(F.col("m"), F.col("kind")).alias("canon")).distinct().join(again, ["kind", "canon"])
+        rows = docs.withColumn(at, F.md5("text")).join(held.groupBy(at).agg(known), at, "left").drop(at)
 
-    def new(m: Column) -> Column:
-        def build(k: Column, c: Column) -> Column:
+    def new(m: Column, k: Column) -> Column:
+        def build(c: Column) -> Column:
             attempt = F.coalesce(F.try_element_at(F.col(retry), F.concat_ws("|", k, c)), F.lit(0)) if clashes else F.lit(0)
             return written(m, k, surrogate(key, k, c, attempt))
 
-        return let(F.struct(kind(m).alias("k"), canonical(m).alias("c")), lambda x: build(x["k"], x["c"]))
+        return let(canonical(m, k), build)
 
     # found once for each text; Spark does not repeat a costly expression that several columns use
-    rows = rows.withColumn(held_mentions, mentions(text))
-    ms = F.col(held_mentions)
-    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform(ms, new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    ms, kinds = F.col(held_mentions), F.col(held_kinds)
+    rows = rows.withColumn(held_mentions, mentions(text)).withColumn(held_kinds, F.transform(ms, kind))
+    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), F.zip_with(ms, kinds, new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     columns = {"text": F.when(F.size(ms) > 0, rebuilt).otherwise(text)}
     if counts:
-        kinds = F.transform(ms, kind)
-        columns |= {"n_entities": F.coalesce(F.size(ms), F.lit(0)).cast("long")} | {f"n_{k}": F.coalesce(F.size(_equal(kinds, k)), F.lit(0)).cast("long") for k in KINDS}
-    return rows.withColumns(columns).drop(retry, held_mentions)
+        number = lambda of: F.coalesce(F.size(F.filter(kinds, of)), F.lit(0)).cast("long")
+        columns |= {"n_entities": number(lambda x: x != "none")} | {f"n_{k}": number(_is(k)) for k in KINDS}
+    return rows.withColumns(columns).drop(retry, held_mentions, held_kinds)
