@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,11 +38,22 @@ SLICE = 1 << 22
 #: Chunks between white space, and words in them, whose ids a worker keeps.
 CACHE = 1 << 20
 
-#: A chunk that is a word and trailing ASCII punctuation; the tokenizer too ends a token between the two.
-_tail = re.compile(rb"^(.*[a-zA-Z\x80-\xff])([!-&(-/:-@\[-`{-~]+)$", re.S)
+#: A chunk that is a word and trailing ASCII punctuation; the tokenizer too ends a token between the two, as long as the
+#: last character of the word is a letter before and after the tokenizer's own lower-casing and composing (``_letter``).
+_tail = re.compile(r"^(.*\w)([!-&(-/:-@\[-`{-~]+)$", re.S)
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _letter(c: str) -> bool:
+    return c.isalpha() and c.lower().isalpha() and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c)
+
+
+def _parts(chunk: bytes) -> tuple[bytes, ...]:
+    """The chunk, or its word and the punctuation after it."""
+    m = _tail.match(chunk.decode("utf-8", "replace")) if b"<|" not in chunk else None
+    return tuple(g.encode() for g in m.groups()) if m and _letter(m[1][-1]) else (chunk,)
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and no token crosses it, so a text's ids are those
     of its chunks between ASCII white space, and chunks recur; so do words without the punctuation after them."""
@@ -55,7 +67,7 @@ class Encoder:
         self.parts: dict[bytes, bytes] = {}
 
     def learn(self, chunks: list[bytes]) -> None:
-        split = {c: m.groups() if b"<|" not in c and (m := _tail.match(c)) else (c,) for c in chunks}
+        split = {c: _parts(c) for c in chunks}
         new = list({p for parts in split.values() for p in parts if p not in self.parts})
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
@@ -131,14 +143,13 @@ def patterns(units: int, depth: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 120) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """min |a x - b| with x >= 0, by active sets: the columns of steepest gain enter, a few of disjoint bins at a
-    time, and the least-squares solution moves along the boundary. After so many steps the fit is near enough;
-    what it leaves is packed as residual."""
+    time, and the least-squares solution moves along the boundary, until no column gains."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
     limit = 1e-7 * max(1.0, float(np.abs(b).max(initial=0)))
-    for _ in range(steps):
+    for _ in range(3 * n):  # each step adds columns; some hundred are usual
         gain = a.T @ (b - a @ x)
         gain[passive] = -np.inf
         enter, used = [], np.zeros(a.shape[0], bool)

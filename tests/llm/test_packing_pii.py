@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -52,6 +53,16 @@ def test_slices_of_a_long_text(monkeypatch):
     assert packing.Encoder(PATH).ids(text) == whole
 
 
+def test_ids_equal_the_tokenizers_on_mixed_texts():
+    """20,000 mixes of words, punctuation of several scripts, marks, digits and white space."""
+    enc, rng = packing.Encoder(PATH), random.Random(3)
+    words = ["hello", "dogs", "Bonjour", "don't", "it's", "İ", "ß", "naïve", "é", "ΟΔΟΣ", "привет", "中文", "👍", "3", "½", "x²", "İstanbul", "ǅ", "ŉ", "K", "ﬁ", "s", "'ll", "_", "<|", "|>", "<|endoftext|>", "\u0307", "e\u0301", "ก็", "नमस्ते"]
+    marks = [*"“”‘’…—–€«»¿¡·•!?.,;:()[]{}\"'`~@#$%^&*-_=+/\\|<>", "\xa0", "\u2009", "\u3000", "\x85", " ", "\n", "\t", "\x1c"]
+    texts = ["He said “hello”.", "dogs’.", "wait…)", "5€.", "« Bonjour »."] + ["".join(rng.choice(words if rng.random() < 0.55 else marks) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    for t, e in zip(texts, enc.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert enc.ids(t.encode()) == np.array(e.ids, "<u4").tobytes(), t
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_tight(seed):
     rng = np.random.default_rng(seed)
