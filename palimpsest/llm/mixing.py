@@ -9,7 +9,7 @@ The prefix sum is not one sort of a source. Keys fall into KEY_BINS bins of the
 by (source, bin) tell in which bin the budget ends, and only the rows of that bin are sorted. A source
 that holds most rows costs one aggregation like any other.
 
-Nulls: a null text has size 0; a null source is a source of its own, the last; a null doc_id has the
+A source without words has the target 0, and nothing is taken of it. Nulls: a null text has size 0; a null source is a source of its own, the last; a null doc_id has the
 key of the empty string; a missing, null or non-positive grade counts as 1. Rows that are equal in all columns
 are separate documents with equal keys. An empty table gives an empty result. Other columns are ignored.
 """
@@ -72,7 +72,7 @@ def planned(rows: DataFrame, weights: tuple[int, ...], share: float, most: float
     of the bins before it); a row per source, stored."""
     bins = rows.groupBy("skey", "bin").agg(F.max("source").alias("source"), F.sum("size").alias("words"))
     plan = allocate(bins.groupBy("skey").agg(F.max("source").alias("source"), F.sum("words").alias("source_size")), weights, share, most)
-    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
     plan = plan.select("skey", "source_size", "target", "epochs", "rest")
     order = Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)

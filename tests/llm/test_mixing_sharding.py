@@ -37,6 +37,15 @@ def test_mixing_odd_rows(odd, odd_rows, none):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_a_source_without_words(spark):
+    rows = [(1, "a b c d", "a"), (2, None, "empty"), (3, " ", "empty"), (4, "x y", None), (5, "", "blank")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.mix(df).collect()}
+    assert got[2] == got[3] == got[5] == (0, 0.0, 0) and got[1][2] + got[4][2] == 9
+    assert sorted(r.doc_id for r in mixing.mixed_documents(df).collect() if r.doc_id in (2, 3, 5)) == []
+    assert all(r.taken == 0 for r in mixing.mix(df.filter("doc_id IN (2, 3, 5)")).collect())
+
+
 def test_resharing_until_none_is_above(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.allocate(sizes, (3, 1, 2), 1.5, 2.0).collect()}
