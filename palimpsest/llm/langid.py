@@ -158,8 +158,8 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
     return fit(x, [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, then lang_pred, score and family, from text alone."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "family")) -> DataFrame:
+    """The columns in keep, then language, score and family under these names, from text alone."""
     rows = docs.select(F.struct(*keep).alias("row"), "text")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # its size is languages squared times DIMENSIONS, not the corpus
@@ -172,4 +172,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("row"), *columns], names=["row", "lang_pred", "score", "family"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "family")
+    return rows.mapInArrow(run, schema).select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "family"), names)])

@@ -97,15 +97,17 @@ def fingerprint(samples: bytes) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_pairs long, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_pairs long, feature string, pairs array<struct<frame: int, pair: int>>"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+NAMES = [x.split()[0] for x in SCHEMA.split(", ") if not x.startswith("pair")]
 
 
-def features(docs: DataFrame, *, media: bool = False, pairs: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> SCHEMA, with the WAV itself and the array of (frame, pair) where asked for.
+def features(docs: DataFrame, *, media: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> SCHEMA, with the WAV itself where asked for.
 
-    feature: SHA-256 over the little-endian 32-bit numbers of all (frame, pair).
+    pairs: the fingerprint, a time-coded array. feature: SHA-256 over the little-endian 32-bit numbers of all of it.
     """
-    extra = ", media binary" * media + ", pairs array<struct<frame: int, pair: int>>" * pairs
+    extra = ", media binary" * media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,19 +117,17 @@ def features(docs: DataFrame, *, media: bool = False, pairs: bool = False) -> Da
                 text = t.as_buffer().to_pybytes() if t.is_valid else b""
                 stored = to_wav(payload(text))
                 back = from_wav(stored)
-                found = fingerprint(back)
-                rows.append((d, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), 1 + max(0, -(-(len(back) - FRAME) // HOP)), len(found), hashlib.sha256(found.astype("<i4").tobytes()).hexdigest()))
+                found = fingerprint(back).astype("<i4")
+                rows.append((d, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), 1 + max(0, -(-(len(back) - FRAME) // HOP)), len(found), hashlib.sha256(found.tobytes()).hexdigest()))
+                arrays.append(found)
                 if media:
                     wavs.append(stored)
-                if pairs:
-                    arrays.append([{"frame": int(f), "pair": int(p)} for f, p in found])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(KINDS), KINDS)]
+            flat = np.concatenate(arrays) if arrays else np.zeros((0, 2), np.int32)
+            coded = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)], names=["frame", "pair"])
+            columns.append(pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in arrays]).astype(np.int32), coded))
             if media:
                 columns.append(pa.array(wavs, pa.binary()))
-            if pairs:
-                columns.append(pa.array(arrays, pa.list_(pa.struct([("frame", pa.int32()), ("pair", pa.int32())]))))
-            names = [x.split()[0] for x in SCHEMA.split(", ")] + ["media"] * media + ["pairs"] * pairs
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES + ["pairs"] + ["media"] * media)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA + extra)

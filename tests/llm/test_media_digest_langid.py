@@ -1,4 +1,6 @@
+import cmath
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ from palimpsest.llm import digest, langid, media, queries
 
 
 def test_media_round_trip(odd, odd_rows, none):
-    rows = media.features(odd, media=True, pairs=True).collect()
+    rows = media.features(odd, media=True).collect()
     assert len(rows) == len(odd_rows)
     want = sorted(hashlib.sha256(media.payload((r[1] or "").encode())).hexdigest() for r in odd_rows)
     assert sorted(r.payload_sha256 for r in rows) == want
@@ -27,11 +29,44 @@ def test_media_slices_do_not_matter(monkeypatch):
     assert np.array_equal(whole, media.fingerprint(data))
 
 
+def brute_fingerprint(samples):
+    """Plain sums for the transform, loops for peaks and pairs."""
+    x = [float(v) - 128 for v in samples] + [0.0] * max(0, media.FRAME - len(samples))
+    n, hop = media.FRAME, media.HOP
+    frames = 1 + max(0, -(-(len(x) - n) // hop))
+    x += [0.0] * ((frames - 1) * hop + n - len(x))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1)) for i in range(n)]
+    peaks = []
+    for f in range(frames):
+        part = [a * w for a, w in zip(x[f * hop : f * hop + n], window)]
+        spectrum = [abs(sum(v * cmath.exp(-2j * math.pi * k * i / n) for i, v in enumerate(part))) for k in range(n // 2 + 1)]
+        width = (n // 2 - 1) // media.BANDS
+        best = []
+        for b in range(media.BANDS):
+            top = [(spectrum[k], -k) for k in range(1 + b * width, 1 + (b + 1) * width) if spectrum[k] > spectrum[k - 1] and spectrum[k] >= spectrum[k + 1] and spectrum[k] > 1e-3]
+            best.append(-max(top)[1] if top else -1)
+        peaks.append(best)
+    out = []
+    for f, p in enumerate(peaks):
+        pairs = [(p[b], p[b + 1], 0) for b in range(media.BANDS - 1)]
+        pairs += [(p[b], peaks[f + g][b], g) for g in range(1, media.REACH + 1) if f + g < frames for b in range(media.BANDS)]
+        out += sorted((f, (a << 12) | (c << 4) | g) for a, c, g in pairs if a >= 0 and c >= 0)
+    return out
+
+
+def test_pairs_match_brute_force():
+    rng = np.random.default_rng(1)
+    for size in (64, 640, 1024):
+        data = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+        assert [tuple(r) for r in media.fingerprint(data).tolist()] == brute_fingerprint(data)
+
+
 def test_tone_has_its_bin():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / 8000)).astype(np.uint8).tobytes()
     p = media.peaks(tone)
-    assert (np.abs(p[:, 0] - 1000 * media.FRAME / 8000) <= 1).mean() > 0.95 or (np.abs(p - 1000 * media.FRAME / 8000) <= 1).any(axis=1).mean() > 0.95
+    band = 1000 * media.FRAME // 8000 // ((media.FRAME // 2 - 1) // media.BANDS)
+    assert (np.abs(p[:, band] - 1000 * media.FRAME / 8000) <= 1).mean() > 0.95
 
 
 def brute_rank(x):
@@ -98,7 +133,7 @@ def test_language_held_out_accuracy(spark, sf, docs):
 
 def test_language_odd_rows(docs, odd, odd_rows, none):
     model = langid.train(docs)
-    rows = langid.predict(odd.drop("score"), model, ["doc_id", "size", "row"]).select("size", "lang_pred").collect()
+    rows = langid.predict(odd, model, odd.columns, ("found", "sure", "kin")).select("size", F.col("found").alias("lang_pred")).collect()
     assert len(rows) == len(odd_rows)
     for r in rows:
         text = odd_rows[r["size"]][1]
