@@ -6,15 +6,16 @@ fingerprints are several such words with different seeds.
 Search: documents of equal fingerprints are one node, named by their smallest doc_id. A tree splits nodes by their
 Hamming distance, on a mask of bits, to a vantage point: near ones go left, far ones right. Two fingerprints that differ
 in at most ``limit`` bits differ in few bits on some mask (for masks that are ``blocks`` equal parts, limit // blocks on
-one at least). By the triangle bound a query with radius r on the mask need not enter a side that its distance to the
-vantage point misses by more than r; a query near the border enters both, and so reaches the boundary-overlapping
-shards. The leaves are the shards: each node is stored in one leaf of every tree and queries all leaves in reach. In a
-leaf distances are exact. So with equal parts as masks no pair is lost. The trees are built on the driver from a
-sample of SAMPLE fingerprints, which affects the sizes of leaves only.
+one at least, which is the tree's radius). Whoever is farther from the vantage point than border - radius also enters the
+right side: by the triangle bound nobody else on the left can be within radius of one on the right, so that branch is
+pruned for all others, while those near the border reach the boundary-overlapping shards. The leaves are the shards; both
+of a close pair are in one of them, and there distances are exact. So with equal parts as masks no pair is lost. The
+first levels' vantage points come from SAMPLE fingerprints, which affects the sizes of leaves only; the points of deeper
+levels are random words that each task derives from the place in the tree. The depth follows the number of nodes.
 
-An overfull leaf is split into chunks that meet in pairs. A leaf returns a forest of links, not its pairs: a vantage point takes its ball of radius limit; balls join through the
-nodes within twice that, which the triangle bound leaves. Connected components then come from label spreading with
-pointer jumping over stored tables.
+An overfull leaf is split into chunks that meet in pairs. A leaf returns a forest of links, not its pairs: a vantage point
+takes its ball of radius limit; balls join through the nodes within twice that, which the triangle bound leaves. Connected
+components then come from label spreading with pointer jumping over stored tables.
 
 Nulls: a null text is empty; documents without words have the fingerprint zero and link like any other; a null doc_id
 never names a component that has another, and is null if it has none. Equal rows are members of one node. An empty
@@ -42,7 +43,8 @@ LEAF = 512
 SPLIT = 2048
 #: Nodes of a leaf that are compared with each other as one matrix; larger leaves go ball by ball.
 MATRIX = 768
-DEEPEST = 14
+#: Sampled fingerprints that a vantage point needs below it; the levels with fewer have random points.
+LEAST = 32
 #: Ids of nodes without a doc_id start here.
 NAMELESS = 1 << 62
 _AT_ONCE = 1 << 15
@@ -88,7 +90,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3, seeds: tuple[int, ...] = (4
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary" + ", digest string" * digest)
 
 
-def equal_parts(bits: int, limit: int, blocks: int = 4, keep: int = 1) -> tuple[list[np.ndarray], int]:
+def equal_parts(bits: int, limit: int, blocks: int = 2, keep: int = 1) -> tuple[list[np.ndarray], int]:
     """All masks of keep of the blocks parts, and the radius in which one of them finds every pair: if the pair
     differs in limit bits, spread as evenly as can be, the keep parts with fewest of them hold the radius."""
     edges = [bits * k // blocks for k in range(blocks + 1)]
@@ -106,50 +108,59 @@ def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ v).sum(axis=-1, dtype=np.int64)
 
 
+def _random(at: int, word: int) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(at.to_bytes(8, "little"), word))
+
+
 class Tree:
-    """Vantage points and borders of a complete part of a tree, by heap order; a node without one is a leaf."""
+    """A complete binary tree of so many levels that its leaves are about as many as asked for: vantage points and borders
+    of its first levels by heap order, and a rule for the others."""
 
     def __init__(self, sample: np.ndarray, mask: np.ndarray, leaves: int, radius: int) -> None:
         self.mask, self.radius = mask, radius
         self.points: dict[int, tuple[np.ndarray, int]] = {}
-        depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, leaves))))))
+        self.depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
 
         def split(at: int, x: np.ndarray, level: int) -> None:
-            if level == depth or len(x) < 4:
+            if level == self.depth or len(x) < LEAST:
                 return
             v = x[len(x) // 2]
             d = distances(x, v)
-            border = int(np.median(d))
-            if d.max() <= border:
-                border -= 1
-            if not (d <= border).any():
+            # the border nearest to the middle, by what would be copied to the right
+            found = min(np.unique(d)[:-1], key=lambda c: abs(2 * np.mean(d <= c) - 1) + np.mean((d > c - radius) & (d <= c)), default=None)
+            if found is None:
                 return
-            self.points[at] = (v, border)
-            split(2 * at, x[d <= border], level + 1)
-            split(2 * at + 1, x[d > border], level + 1)
+            self.points[at] = (v, int(found))
+            split(2 * at, x[d <= found], level + 1)
+            split(2 * at + 1, x[d > found], level + 1)
 
         split(1, sample & mask, 0)
 
-    def routed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, whether it is stored there or only queries)."""
-        out: list[tuple[np.ndarray, int, np.ndarray]] = []
+    def point(self, at: int) -> tuple[np.ndarray, int]:
+        if at in self.points:
+            return self.points[at]
+        v = np.array([_random(at, k) for k in range(len(self.mask))], np.uint64) & self.mask
+        return v, int(np.bitwise_count(self.mask).sum()) // 2 - 1
+
+    def routed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): the leaves that each row enters."""
+        out: list[tuple[np.ndarray, int]] = []
         x = x & self.mask
-        work = [(1, np.arange(len(x)), np.ones(len(x), bool))]
+        work = [(1, np.arange(len(x)))]
         while work:
-            at, rows, home = work.pop()
+            at, rows = work.pop()
             if not len(rows):
                 continue
-            if at not in self.points:
-                out.append((rows, at, home))
+            if at >> self.depth:
+                out.append((rows, at))
                 continue
-            v, border = self.points[at]
+            v, border = self.point(at)
             d = distances(x[rows], v)
-            left, right = d <= border + self.radius, d > border - self.radius
-            work.append((2 * at, rows[left], (home & (d <= border))[left]))
-            work.append((2 * at + 1, rows[right], (home & (d > border))[right]))
+            work.append((2 * at, rows[d <= border]))
+            work.append((2 * at + 1, rows[d > border - self.radius]))
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        return np.concatenate([r for r, _, _ in out]), np.repeat([a for _, a, _ in out], [len(r) for r, _, _ in out]), np.concatenate([h for _, _, h in out])
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([r for r, _ in out]), np.repeat([a for _, a in out], [len(r) for r, _ in out])
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,14 +179,14 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked(x: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what pairs within limit connect, where one of a pair at least is at home."""
+def linked(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what pairs within limit connect."""
     n = len(x)
     if n <= MATRIX:
         near = np.zeros((n, n), np.int64)
         for k in range(x.shape[1]):
             near += np.bitwise_count(x[:, k][:, None] ^ x[:, k][None])
-        a, b = np.nonzero(np.triu(near <= limit, 1) & (home[:, None] | home[None]))
+        a, b = np.nonzero(np.triu(near <= limit, 1))
         label = components(n, a, b)
         at = np.flatnonzero(label != np.arange(n))
         return at, label[at]
@@ -184,24 +195,19 @@ def linked(x: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray, np.
     while len(rest):
         v, rest = rest[0], rest[1:]
         d = distances(x[rest], x[v])
-        ball = rest[(d <= limit) & (home[rest] | home[v])]
+        ball, shell = rest[d <= limit], rest[(d > limit) & (d <= 2 * limit)]
         left.append(ball)
         right.append(np.full(len(ball), v))
         # whoever is within limit of one in the ball is within twice that of v; the ball itself is connected
-        inside = np.zeros(n, bool)
-        inside[ball] = True
-        shell = rest[(d <= 2 * limit) & ~inside[rest]]
         if len(ball) and len(shell):
             for lo in range(0, len(ball), max(1, (1 << 20) // len(shell))):
                 part = ball[lo : lo + max(1, (1 << 20) // len(shell))]
-                near = distances(x[part][:, None], x[shell][None]) <= limit
-                i, j = np.nonzero(near & (home[part][:, None] | home[shell][None]))
+                i, j = np.nonzero(distances(x[part][:, None], x[shell][None]) <= limit)
                 # one link from each member of the shell is enough: the ball is one component
                 s, first = np.unique(j, return_index=True)
                 left.append(shell[s])
                 right.append(part[i[first]])
-        # a query-only ball is kept for others' sake
-        rest = rest[~inside[rest]] if home[v] else rest
+        rest = rest[d > limit]
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -212,7 +218,7 @@ def links(nodes: DataFrame, *, limit: int, masks: list[np.ndarray], radius: int)
     sample = nodes.select("fp").orderBy(F.xxhash64("fp", F.lit(1))).limit(SAMPLE).collect()
     drawn = np.array([np.frombuffer(r["fp"], "<u8") for r in sample], dtype=np.uint64).reshape(-1, words)
     trees = [Tree(drawn, m, -(-n // LEAF), radius) for m in masks]
-    forest = nodes.sparkSession.sparkContext.broadcast(trees)  # at most SAMPLE points a tree
+    forest = nodes.sparkSession.sparkContext.broadcast(trees)  # less than SAMPLE points a tree
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,25 +226,25 @@ def links(nodes: DataFrame, *, limit: int, masks: list[np.ndarray], radius: int)
             fps = b.column("fp").to_pylist()
             x = np.frombuffer(b"".join(fps), "<u8").reshape(-1, words)
             for t, tree in enumerate(forest.value):
-                rows, leaf, home = tree.routed(x)
+                rows, leaf = tree.routed(x)
                 fp = pa.array([fps[i] for i in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((t << 32) + leaf, pa.int64()), pa.array(node[rows], pa.int64()), fp, pa.array(home)], names=["shard", "node", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array((t << 48) + leaf, pa.int64()), pa.array(node[rows], pa.int64()), fp], names=["shard", "node", "fp"])
 
     def search(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
         x = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").astype(np.uint64).reshape(-1, words)
         order = np.argsort(node, kind="stable")
-        a, b = linked(x[order], t.column("home").to_numpy(zero_copy_only=False)[order], limit)
+        a, b = linked(x[order], limit)
         return pa.table({"a": pa.array(node[order][a], pa.int64()), "b": pa.array(node[order][b], pa.int64())})
 
-    routed = nodes.mapInArrow(route, "shard long, node long, fp binary, home boolean")
+    routed = nodes.mapInArrow(route, "shard long, node long, fp binary")
     # a cluster of near copies can fill a leaf: its chunks meet in pairs, so no task holds more than two of them
     full = routed.groupBy("shard").count().filter(F.col("count") > SPLIT).select("shard", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
     full = stored(full, "leaves")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = routed.join(full, "shard", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1))
-    dealt = dealt.withColumn("other", other).select("shard", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "fp", "home")
+    dealt = dealt.withColumn("other", other).select("shard", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "fp")
     return dealt.groupBy("shard", "low", "high").applyInArrow(search, "a long, b long").distinct()
 
 
@@ -272,7 +278,7 @@ def grouped(prints: DataFrame, *, limit: int, masks: list[np.ndarray], radius: i
     return out.withColumn("component_id", F.when(F.col("component") < NAMELESS, F.col("component")))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, limit: int = 3, blocks: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, limit: int = 3, blocks: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint (16 hexadecimal digits), component_id: 64 bits, every pair within limit."""
     prints = stored(fingerprints(docs, width=width), "prints")
     masks, radius = equal_parts(64, limit, blocks)
@@ -297,13 +303,13 @@ def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8)
     """
     key = lambda: F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("k")
-    tag = F.concat_ws("|", F.col("k.doc_id").cast("string"), "k.digest").alias("_kept")
+    tag = F.concat_ws("|", F.col("k.doc_id").cast("string"), "k.digest").alias("_palimpsest_kept")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = stored(shingles.prefixes(rows, width=width, similarity=similarity), "prints")
     met = spread(shingles.candidates(prints, similarity=similarity))
     heads = stored(prints.join(met, "node").groupBy("node", "label").agg(first, F.first("size").alias("size")).select("node", "label", "size", tag), "heads")
-    members = rows.withColumn("_kept", key()).join(heads, "_kept")
+    members = rows.withColumn("_palimpsest_kept", key()).join(heads, "_palimpsest_kept")
     groups = spread(shingles.exact_links(members, heads, width=width, similarity=similarity))
     found = prints.join(groups, "node", "left").withColumn("component", F.coalesce("label", "node"))
     chosen = stored(found.groupBy("component").agg(first).select(tag), "kept")
-    return docs.withColumn("_kept", key()).join(chosen, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")
+    return docs.withColumn("_palimpsest_kept", key()).join(chosen, "_palimpsest_kept", "left_semi").dropDuplicates(["_palimpsest_kept"]).drop("_palimpsest_kept")

@@ -143,7 +143,7 @@ def cloud():
 @pytest.mark.parametrize("matrix", [1, 10_000])
 def test_leaf_keeps_components(cloud, matrix, monkeypatch):
     monkeypatch.setattr(simhash, "MATRIX", matrix)
-    a, b = simhash.linked(cloud, np.ones(len(cloud), bool), 3)
+    a, b = simhash.linked(cloud, 3)
     assert np.array_equal(simhash.components(len(cloud), a, b), brute_components(cloud, 3))
     assert len(a) < 3 * len(cloud)
 
@@ -155,12 +155,14 @@ def test_forest_loses_no_link(cloud, blocks_, keep, radius):
     assert r == radius
     left, right = [], []
     for m in masks:
-        rows, leaf, home = simhash.Tree(cloud[:300], m, 16, r).routed(cloud)
-        assert np.array_equal(np.bincount(rows[home], minlength=len(cloud)), np.ones(len(cloud)))
+        tree = simhash.Tree(cloud[:300], m, 64, r)
+        rows, leaf = tree.routed(cloud)
+        assert np.array_equal(np.unique(rows), np.arange(len(cloud))) and (len(rows) > len(cloud)) == (r > 0)
+        assert 8 < len(np.unique(leaf)) <= 64 and len(tree.points) < 63  # the deeper levels have random points
         for x in np.unique(leaf):
             at = np.flatnonzero(leaf == x)
             at = at[np.argsort(rows[at])]
-            a, b = simhash.linked(cloud[rows[at]], home[at], 3)
+            a, b = simhash.linked(cloud[rows[at]], 3)
             left.append(rows[at][a])
             right.append(rows[at][b])
     assert np.array_equal(simhash.components(len(cloud), np.concatenate(left), np.concatenate(right)), brute_components(cloud, 3))
@@ -170,7 +172,7 @@ def test_overfull_leaves_are_split(spark, cloud, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT", 40)
     monkeypatch.setattr(simhash, "LEAF", 10_000)
     nodes = spark.createDataFrame([(i, bytearray(int(v).to_bytes(8, "little"))) for i, v in enumerate(cloud[:, 0])], "node long, fp binary")
-    masks, radius = simhash.equal_parts(64, 3, 4)
+    masks, radius = simhash.equal_parts(64, 3, 2)
     edges = simhash.links(nodes, limit=3, masks=masks, radius=radius).collect()
     label = simhash.components(len(cloud), np.array([e.a for e in edges]), np.array([e.b for e in edges]))
     assert np.array_equal(label, brute_components(cloud, 3))
