@@ -15,8 +15,9 @@ from palimpsest.llm.common import stored
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null, or no letter); the others carry the predicted one."""
-    found = langid.predict(docs, langid.train(docs), docs.columns)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    names = ("_palimpsest_lang", "_palimpsest_score", "_palimpsest_family")
+    found = langid.predict(docs, langid.train(docs), docs.columns, names)
+    return found.filter(F.col(names[0]) != langid.UNKNOWN).withColumn("lang", F.col(names[0])).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
