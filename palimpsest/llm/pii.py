@@ -61,21 +61,22 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p
 _FAMILY = r"\p{Lu}[\p{L}'-]*+"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_FAMILY}(?: {_FAMILY})?|(?:{_COMMON}) \p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+)"
 SECRET = (
-    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+"
+    r"(?<![A-Za-z0-9])(?=[a-fgsA-F0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+"
     r"|(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])"
 )
-#: The value after a word that names a secret.
-ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret_access_key|api_key)[ \x22']{0,2}[:=][ \x22']{0,2})[A-Za-z0-9!#$%&*+/=?@^_~-]{6,128}"
-ADDRESS = rf"(?<![\d.])(?<!(?i:version|release|ver)[ .]|[vV])(?<!\p{{L}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+#: A word that names a secret, and its value.
+_LABEL = r"(?i:password|passwd|pwd|secret_access_key|api_key)[ \x22']{0,2}[:=][ \x22']{0,2}"
+ASSIGNED = rf"(?<![\p{{L}}\p{{N}}])(?=[pPsSaA]){_LABEL}[A-Za-z0-9!#$%&*+/=?@^_~-]{{6,128}}"
+ADDRESS = rf"(?=\d)(?<![\d.\p{{L}}])(?<!(?i:version|release|ver)[ .]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 ADDRESS6 = r"(?<![\p{L}\p{N}:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}:){2,6}:(?:[0-9a-fA-F]{1,4}:){0,4}[0-9a-fA-F]{1,4})(?![\p{L}\p{N}:])"
 ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![\p{L}\p{N}])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d))"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
-#: The order decides where two kinds could begin at one place.
-ANY = "|".join((EMAIL, NAME, SECRET, ASSIGNED, ACCOUNT, ADDRESS6, ADDRESS, SOCIAL, PHONE, CARD))
+#: Every kind begins where no letter or digit is before it; the order decides where two could begin at one place.
+ANY = rf"(?<![\p{{L}}\p{{N}}])(?:{EMAIL}|(?=\p{{L}})(?:{NAME}|{SECRET}|{ASSIGNED}|{ACCOUNT}|{ADDRESS6})|(?=[0-9+(])(?:{SECRET}|{ADDRESS6}|{ADDRESS}|{SOCIAL}|{PHONE}|{CARD}))"
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret_access_key|api_key)|{_TITLE}|{_COMMON}|sk-|eyJ"
+HINT = rf"[0-9@]|(?=\p{{Lu}})(?:{_TITLE}|{_COMMON})|(?=[pPsSaA])(?i:password|passwd|pwd|secret_access_key|api_key)|sk-|eyJ"
 KINDS = ("email", "name", "secret", "ip", "ip6", "ssn", "phone", "card", "iban")
 #: Surrogates of these are permuted numbers; those of the others are hashes.
 PERMUTED = ("ip", "ssn", "phone", "card")
@@ -126,12 +127,17 @@ def _untitled(m: Column) -> Column:
     return F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", "")
 
 
+def _value(m: Column) -> Column:
+    """A secret without the word that names it."""
+    return F.regexp_replace(m, f"^{_LABEL}", "")
+
+
 def canonical(m: Column, k: Column) -> Column:
     """What two mentions of one entity share."""
     gender, script = _group(m)
     digits = F.regexp_replace(m, r"[^0-9]", "")
     return (
-        F.when(k.isin("email", "ip6"), F.lower(m)).when(k == "name", F.concat(gender, F.lit(" "), script, F.lit(" "), F.lower(_untitled(m)))).when(k.isin("secret", "ip", "none"), m)
+        F.when(k.isin("email", "ip6"), F.lower(m)).when(k == "name", F.concat(gender, F.lit(" "), script, F.lit(" "), F.lower(_untitled(m)))).when(k == "secret", _value(m)).when(k.isin("ip", "none"), m)
         .when(k == "iban", F.replace(m, F.lit(" "), F.lit(""))).when((k == "phone") & m.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
     )
 
@@ -235,7 +241,7 @@ def written(m: Column, k: Column, s: Column) -> Column:
     capitals = (m == F.upper(m)) & (m != F.lower(m))
     name = F.concat(F.regexp_extract(m, rf"^((?:{_TITLE})\.? )?", 0), F.initcap(F.regexp_replace(s, r"^\S+ \S+ ", "")))
     cased = lambda v: let(v, lambda x: F.when(capitals, F.upper(x)).otherwise(x))
-    return F.when(k.isin("email", "ip6"), cased(s)).when(k == "name", cased(name)).when(k.isin("secret", "ip", "none"), s).when(k == "iban", spelled("[A-Z0-9]", s)).otherwise(spelled("[0-9]", plain))
+    return F.when(k.isin("email", "ip6"), cased(s)).when(k == "name", cased(name)).when(k == "secret", F.concat(F.regexp_extract(m, f"^({_LABEL})?", 0), s)).when(k.isin("ip", "none"), s).when(k == "iban", spelled("[A-Z0-9]", s)).otherwise(spelled("[0-9]", plain))
 
 
 def _is(k: str) -> Callable[[Column], Column]:
