@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once, not for every element of a lambda that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -31,12 +38,15 @@ def top_k(x: Column, k: int) -> Column:
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     """Stable; a temperature of 0 is floored."""
     t = max(temperature, EPSILON)
-    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / F.lit(t)))
-    return F.transform(e, lambda v: v / total(e))
+
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda s: F.transform(e, lambda v: v / s))
+
+    return let(F.array_max(x), lambda m: let(F.transform(x, lambda v: F.exp((v - m) / F.lit(t))), shares))
 
 
 def log_sum_exp(x: Column) -> Column:
-    return F.array_max(x) + F.ln(total(F.transform(x, lambda v: F.exp(v - F.array_max(x)))))
+    return let(F.array_max(x), lambda m: m + F.ln(total(F.transform(x, lambda v: F.exp(v - m)))))
 
 
 def nucleus(p: Column, mass: float) -> Column:

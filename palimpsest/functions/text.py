@@ -29,6 +29,12 @@ def cited(text: Column) -> Column:
     return text.rlike(r"\[[0-9]*[1-9][0-9]*\]")
 
 
+def distinct_folded(items: Column) -> Column:
+    """Items in order, without those that an earlier one equals but for case."""
+    folded = F.transform(items, F.lower)
+    return F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
 def clip(text: Column, limit: int, suffix: str = "...") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - len(suffix)), F.lit(suffix))).otherwise(text)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SESSION = ["tenant_id", "session_id"]
 MAX_BRANCH_DEPTH = 16
 MAX_RECORD_BYTES = 64 << 20
@@ -25,6 +27,18 @@ def render(log: DataFrame, line: Column, keys: list[str] = SESSION) -> DataFrame
     return log.withColumn("_line", F.concat(F.lit("["), F.col("event_index") + 1, F.lit("] "), line)).groupBy(*keys).agg(F.expr("listagg(_line, '\n') WITHIN GROUP (ORDER BY event_index)").alias("rendered"))
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their place, from 0, in the order of a column: ranges are sorted each by itself, and the ranges' sizes, a row
+    for each, give what comes before. No task sees all rows."""
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = written(rows.repartitionByRange(int(parts), F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first())))
+    placed = inside.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_range", "_nth", "_before")
+
+
 def tail(log: DataFrame, most: int, keys: list[str] = SESSION) -> DataFrame:
     """The last events of each session; 0 keeps all."""
     if most <= 0:

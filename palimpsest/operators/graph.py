@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAP = 1 << 20
-
+from .shared import written
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that lineage does not grow with the levels."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache() if spark.sparkContext.master.startswith("local") else df
-    path = f"{folder.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+CAP = 1 << 20
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, cap: int = CAP) -> DataFrame:
     """edges (src, dst), seeds (seed, node) -> (seed, node, level): the shortest level of each node. A frontier join a level;
-    visited nodes are left out, so diamonds count once."""
-    seen = reliable(seeds.select("seed", "node", F.lit(0).alias("level")).distinct())
-    frontier, level = seen, 0
-    while level < cap:
-        level += 1
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        frontier = reliable(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("level", F.lit(level)))
+    visited nodes are left out, so diamonds count once. Each level is a table of its own and is written once."""
+    levels = [written(seeds.select("seed", "node", F.lit(0).alias("level")).distinct(), "frontier")]
+    while len(levels) <= cap:
+        step = levels[-1].join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
+        step = step.join(seen, ["seed", "node"], "left_anti")
+        frontier = written(step.withColumn("level", F.lit(len(levels))), "frontier")
         if not frontier.limit(1).count():
-            return seen
-        seen = reliable(seen.unionByName(frontier))
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(frontier)
     raise ValueError("the graph is deeper than the cap")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import graph
+from ..operators.shared import written
 from ..sources import adapters as A
 
 W = f"WITH {A.CKPT}"
@@ -66,7 +67,7 @@ def _edges(spark, sf):
     up = c.filter("level = 1").select(F.explode("parent_hashes").alias("src"), F.col("hash").alias("dst"))
     zero = c.filter("level = 0").select("session_id", "w", "hash")
     chain = zero.selectExpr("session_id", "w + 1 AS w", "hash AS src").join(zero.filter("w % 8 <> 0").selectExpr("session_id", "w", "hash AS dst"), ["session_id", "w"])
-    return graph.reliable(up.unionByName(chain.select("src", "dst")).distinct())
+    return written(up.unionByName(chain.select("src", "dst")).distinct(), "edges")
 
 
 @query("C6_invalidation_closure", f"{WR}, {_EDGES}, r AS (SELECT hash AS seed, hash AS node FROM ckpt WHERE level = 0 AND w % 5 = 1 UNION SELECT r.seed, e.dst FROM r JOIN edges e ON e.src = r.node) SELECT seed, count(*) - 1 AS invalidated FROM r GROUP BY seed")
@@ -90,10 +91,12 @@ def event_checkpoint(spark, sf):
     return A.ev_stream(spark, sf).join(c, "session_id").filter("event_index >= range_start AND event_index < range_end").select("session_id", "event_index", "hash")
 
 
-@query("D24_compaction", f"{W} SELECT session_id, count(*) AS deltas, CAST(sum(body_size) AS BIGINT) AS bytes, count(*) >= 8 OR sum(body_size) >= 1500 AS compact FROM ckpt WHERE level = 0 AND w > 0 GROUP BY session_id")
+@query("D24_compaction", f"{W} SELECT session_id, count(*) FILTER (level > 0) AS deltas, CAST(coalesce(sum(body_size) FILTER (level > 0), 0) AS BIGINT) AS bytes, count(*) FILTER (level > 0) >= 3 OR coalesce(sum(body_size) FILTER (level > 0), 0) >= 700 AS compact FROM ckpt GROUP BY session_id")
 def compaction(spark, sf):
-    out = A.ckpt(spark, sf).filter("level = 0 AND w > 0").groupBy("session_id").agg(F.count("*").alias("deltas"), F.sum("body_size").alias("bytes"))
-    return out.withColumn("compact", (F.col("deltas") >= 8) | (F.col("bytes") >= 1500))
+    """Whether a session's delta levels are many or large enough to be merged; the base level does not count."""
+    delta = F.when(F.col("level") > 0, F.col("body_size"))
+    out = A.ckpt(spark, sf).groupBy("session_id").agg(F.count(delta).alias("deltas"), F.coalesce(F.sum(delta), F.lit(0)).alias("bytes"))
+    return out.withColumn("compact", (F.col("deltas") >= 3) | (F.col("bytes") >= 700))
 
 
 @query("E10_rollup_coverage", f"{W}, ch AS (SELECT session_id, w // 4 AS p, range_start, range_end, lag(range_end) OVER (PARTITION BY session_id, w // 4 ORDER BY range_start) AS before FROM ckpt WHERE level = 0 AND NOT (w % 13 = 2)), g AS (SELECT session_id, p, min(range_start) AS lo, max(range_end) AS hi, bool_and(before IS NULL OR before = range_start) AS tiled FROM ch GROUP BY session_id, p) SELECT c.session_id, c.w, coalesce(g.tiled AND g.lo = c.range_start AND g.hi = c.range_end, false) AS covered FROM ckpt c LEFT JOIN g ON g.session_id = c.session_id AND g.p = c.w WHERE c.level = 1")
@@ -114,9 +117,9 @@ def delta_chain(spark, sf):
     return rows.filter("seg = last").groupBy("session_id").agg(F.expr("listagg(payload, ';') WITHIN GROUP (ORDER BY event_index)").alias("state"))
 
 
-@query("E9_chunk_windows", f"WITH {A.EV_CONV} SELECT session_id, event_index // 8 AS chunk, count(*) AS n, string_agg(left(payload, 10), '|' ORDER BY event_index) AS summary FROM ev_conv GROUP BY session_id, event_index // 8")
+@query("E9_chunk_windows", f"WITH {A.EV_CONV} SELECT session_id, event_index // 8 AS chunk, count(*) AS n, string_agg(payload, '|' ORDER BY event_index) AS summary FROM ev_conv GROUP BY session_id, event_index // 8")
 def chunk_windows(spark, sf):
-    rows = A.ev_conv(spark, sf).selectExpr("session_id", "event_index div 8 AS chunk", "event_index", "left(payload, 10) AS head")
+    rows = A.ev_conv(spark, sf).selectExpr("session_id", "event_index div 8 AS chunk", "event_index", "payload AS head")
     return rows.groupBy("session_id", "chunk").agg(F.count("*").alias("n"), F.expr("listagg(head, '|') WITHIN GROUP (ORDER BY event_index)").alias("summary"))
 
 

@@ -15,8 +15,8 @@ from ..sources import adapters as A
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VIEW = f"""hits AS (SELECT e.session_id, e.event_index, c.correction_id FROM ev_conv e JOIN corr c ON e.session_id = c.session_id AND (c.scope <> 'prior_events' OR e.event_index < c.correction_index) AND c.fact <> ''
   AND contains(translate(e.payload, '{UP}', '{LOW}'), translate(c.fact, '{UP}', '{LOW}')) WHERE e.type <> 'correction'),
-g AS (SELECT session_id, event_index, string_agg(correction_id, ',' ORDER BY correction_id) AS revoked_by FROM hits GROUP BY ALL),
-view AS (SELECT e.session_id, e.event_index, CASE WHEN revoked_by IS NULL THEN payload ELSE '{V.MARKER}' || revoked_by || ']' END AS payload FROM ev_conv e LEFT JOIN g USING (session_id, event_index))"""
+g AS (SELECT session_id, event_index, count(*) AS n, string_agg(correction_id, ',' ORDER BY correction_id) AS revoked_by FROM hits GROUP BY ALL),
+view AS (SELECT e.session_id, e.event_index, CASE WHEN revoked_by IS NULL THEN payload ELSE '{V.MARKER[0]}' || n || '{V.MARKER[1]}' || revoked_by || '{V.MARKER[2]}' END AS payload FROM ev_conv e LEFT JOIN g USING (session_id, event_index))"""
 #: What the stand-in projects: the first words of the events, cited, while they fit the budget.
 _PROJECT = """lines AS (SELECT session_id, event_index, left(split_part(payload, '.', 1), 40) || ' [' || (event_index + 1) || ']' AS item FROM view),
 fits AS (SELECT *, sum(length(item) + 1) OVER (PARTITION BY session_id ORDER BY event_index) AS used FROM lines),
@@ -111,9 +111,9 @@ def needles(spark, sf):
     return d.select("doc_id", "at", F.concat(F.lit("needle-"), "at").alias("needle"))
 
 
-@query("H31_incomplete_bpe", "SELECT doc_id, ends_with(left(text, 40) || CASE WHEN doc_id % 5 = 0 THEN chr(65533) ELSE '' END, chr(65533)) AS incomplete FROM documents")
+@query("H31_incomplete_bpe", "SELECT doc_id, ends_with(text || CASE WHEN doc_id % 5 = 0 THEN chr(65533) ELSE '' END, chr(65533)) AS incomplete FROM documents")
 def incomplete_bpe(spark, sf):
-    t = F.concat(F.expr("left(text, 40)"), F.when(F.col("doc_id") % 5 == 0, "�").otherwise(""))
+    t = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "�").otherwise(""))
     return A.table(spark, sf, "documents").select("doc_id", t.endswith("�").alias("incomplete"))
 
 
@@ -170,10 +170,10 @@ def session_cases(spark, sf):
     return p.select("c.case_id", "c.n_events", "c.probe.question", F.coalesce("c.probe.rubric.must", "c.probe.must").alias("must"))
 
 
-@query("A21_transcript_blocks", "WITH b AS (SELECT conv_id, turn, unnest([left(text, 10), substr(text, 11, 10)]) AS piece, unnest([0, 1]) AS k FROM conversations WHERE role <> 'system') SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS idx, CASE k WHEN 0 THEN 'text' ELSE 'tool_use' END AS kind, piece FROM b")
+@query("A21_transcript_blocks", "WITH b AS (SELECT conv_id, turn, unnest([left(text, CAST(length(text) // 2 AS INTEGER)), substr(text, CAST(length(text) // 2 AS INTEGER) + 1)]) AS piece, unnest([0, 1]) AS k FROM conversations WHERE role <> 'system') SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS idx, CASE k WHEN 0 THEN 'text' ELSE 'tool_use' END AS kind, piece FROM b")
 def transcript_blocks(spark, sf):
     """Messages of typed blocks, flattened; each block is an event of its own."""
-    blocks = F.array(F.struct(F.lit("text").alias("kind"), F.expr("left(text, 10)").alias("piece")), F.struct(F.lit("tool_use").alias("kind"), F.expr("substr(text, 11, 10)").alias("piece")))
+    blocks = F.array(F.struct(F.lit("text").alias("kind"), F.expr("left(text, CAST(length(text) div 2 AS INT))").alias("piece")), F.struct(F.lit("tool_use").alias("kind"), F.expr("substr(text, CAST(length(text) div 2 AS INT) + 1)").alias("piece")))
     b = A.table(spark, sf, "conversations").filter("role <> 'system'").select("conv_id", "turn", F.posexplode(blocks).alias("k", "b"))
     return b.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "k")).cast("long") - 1).alias("idx"), "b.kind", "b.piece")
 
@@ -191,9 +191,13 @@ def validation_scan(spark, sf):
     return r.groupBy(F.expr("doc_id % 4").alias("file")).agg(F.count("*").alias("lines"), F.count_if(~F.col("valid")).alias("bad"))
 
 
-@query("J13_eval_bridge", "SELECT doc_id, left(text, coalesce(nullif(strpos(text, '. '), 0) - 1, length(text))::INT) AS generated, starts_with(text, left(text, 5)) AS greedy FROM documents WHERE doc_id % 5 = 0")
+@query("J13_eval_bridge", "WITH g AS (SELECT doc_id, left(text, coalesce(nullif(strpos(text, '. '), 0) - 1, length(text))::INT) AS generated, length(text) AS ll FROM documents) SELECT g.doc_id, generated, starts_with(generated, split_part(n.text, ' ', 1)) AS greedy, CAST(-length(split_part(n.text, ' ', 1)) AS BIGINT) AS log_likelihood FROM g LEFT JOIN documents n ON n.doc_id = g.doc_id + 1")
 def eval_bridge(spark, sf):
-    return A.table(spark, sf, "documents").filter("doc_id % 5 = 0").select("doc_id", T.cut_at_stop(F.col("text"), [". "]).alias("generated"), F.expr("startswith(text, left(text, 5))").alias("greedy"))
+    """generate_until: the text up to the stop. loglikelihood of a continuation, here the next text's first word: its score
+    by the stand-in (a cost for each character), and whether the generation starts with it."""
+    asked = A.table(spark, sf, "documents").selectExpr("doc_id - 1 AS doc_id", "split_part(text, ' ', 1) AS continuation")
+    rows = A.table(spark, sf, "documents").select("doc_id", T.cut_at_stop(F.col("text"), [". "]).alias("generated")).join(asked, "doc_id", "left")
+    return rows.select("doc_id", "generated", F.expr("startswith(generated, continuation)").alias("greedy"), F.expr("CAST(-length(continuation) AS BIGINT)").alias("log_likelihood"))
 
 
 @query("H60_blake3")
@@ -222,7 +226,7 @@ def log_mel(spark, sf):
     return A.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, mel array<float>")
 
 
-_PIECES = "CASE conv_id % 3 WHEN 0 THEN left(text, 30) || '<think>' || substr(text, 31, 20) || '</think>' || substr(text, 51, 30) WHEN 1 THEN left(text, 30) || '<think>' || substr(text, 31, 20) ELSE left(text, 60) END"
+_PIECES = "CASE conv_id % 3 WHEN 0 THEN left(text, 30) || '<think>' || substr(text, 31, 20) || '</think>' || substr(text, 51) WHEN 1 THEN left(text, 30) || '<think>' || substr(text, 31) ELSE text END"
 
 
 @query("I4_channel_split", rf"WITH c AS (SELECT conv_id, turn, {_PIECES} AS t FROM conversations) SELECT conv_id, turn, array_to_string(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), '') AS channel, regexp_replace(t, '(?s)<think>.*?(</think>|$)', '', 'g') AS text FROM c")

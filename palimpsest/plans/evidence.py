@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import text as T
 from ..operators import evidence as V
 from ..operators import eventlog as L
+from ..operators.audit import refusal
 from ..sources import adapters as A
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,14 +23,26 @@ _HITS = f"""hits AS (SELECT e.session_id, e.event_index, c.correction_id, c.scop
   AND (c.scope <> 'prior_events' OR e.event_index < c.correction_index) AND c.fact <> '' AND contains({_low('e.payload')}, {_low('c.fact')}) WHERE e.type <> 'correction')"""
 
 
+_REVOKED = f"""facts AS (SELECT session_id, CASE WHEN correction_id = '' THEN 'unknown' ELSE correction_id END AS correction_id, directive_index, correction_index, scope, unnest(facts) AS fact, generate_subscripts(facts, 1) AS fact_index FROM dir),
+found AS (SELECT e.session_id, e.event_index, f.correction_id, f.directive_index, f.fact_index, f.fact FROM ev_conv e JOIN facts f ON e.session_id = f.session_id AND (f.scope <> 'prior_events' OR e.event_index < f.correction_index) AND f.fact <> '' AND contains({_low('e.payload')}, {_low('f.fact')}) WHERE e.type <> 'correction'),
+ids AS (SELECT session_id, event_index, string_agg(correction_id, ',' ORDER BY directive_index) AS revoked_by FROM (SELECT DISTINCT session_id, event_index, directive_index, correction_id FROM found) GROUP BY ALL),
+g AS (SELECT session_id, event_index, count(*) AS n, string_agg(fact, ' | ' ORDER BY directive_index, fact_index) AS said, any_value(revoked_by) AS revoked_by FROM found JOIN ids USING (session_id, event_index) GROUP BY session_id, event_index)"""
+
+
 @query(
     "B3_active_evidence_view",
-    f"""WITH {A.EV_CONV}, {A.CORR}, {_HITS}, g AS (SELECT session_id, event_index, string_agg(correction_id, ',' ORDER BY correction_id) AS revoked_by FROM hits GROUP BY ALL)
-SELECT e.session_id, e.event_index, CASE WHEN revoked_by IS NULL THEN type ELSE 'internal' END AS type, CASE WHEN revoked_by IS NULL THEN payload ELSE '{V.MARKER}' || revoked_by || ']' END AS payload, revoked_by
+    f"""WITH {A.EV_CONV}, {A.DIRECTIVES}, {_REVOKED}
+SELECT e.session_id, e.event_index, CASE WHEN revoked_by IS NULL THEN type ELSE 'internal' END AS type, CASE WHEN revoked_by IS NULL THEN payload ELSE '{V.MARKER[0]}' || n || '{V.MARKER[1]}' || revoked_by || '{V.MARKER[2]}' END AS payload, revoked_by
 FROM ev_conv e LEFT JOIN g USING (session_id, event_index)""",
 )
 def active_evidence_view(spark, sf):
-    return V.active_view(A.ev_conv(spark, sf), A.corr(spark, sf), ["session_id"]).select("session_id", "event_index", "type", "payload", "revoked_by")
+    return V.active_view(A.ev_conv(spark, sf), A.directives(spark, sf), ["session_id"]).select("session_id", "event_index", "type", "payload", "revoked_by")
+
+
+@query("B3_revoked_log", f"WITH {A.EV_CONV}, {A.DIRECTIVES}, {_REVOKED} SELECT session_id, event_index, '[' || (event_index + 1) || '] revoked_by=' || revoked_by || ' invalidated_facts=' || said || ' original=' || payload AS line FROM ev_conv e JOIN g USING (session_id, event_index)")
+def revoked_log(spark, sf):
+    """What was revoked, by which directives, for which facts."""
+    return V.revoked_log(V.active_view(A.ev_conv(spark, sf), A.directives(spark, sf), ["session_id"])).select("session_id", "event_index", "line")
 
 
 @query("B4_scope", f"WITH {A.EV_CONV}, {A.CORR} SELECT e.session_id, e.event_index, c.scope, c.scope <> 'prior_events' OR e.event_index < c.correction_index AS applies FROM ev_conv e JOIN corr c USING (session_id)")
@@ -52,14 +65,21 @@ def generic_directives(spark, sf):
     return rows.withColumn("j", F.from_json("body", "k LONG, scope STRING")).selectExpr("session_id", "event_index", "coalesce(given, concat('event-', event_index)) AS correction_id", "j.k AS k", "coalesce(j.scope, 'prior_events') AS scope")
 
 
-_CORRP = "SELECT *, CASE WHEN conv_id % 15 = 0 THEN '' ELSE correction_id END AS cid, CASE WHEN conv_id % 20 = 0 THEN repeat('0', 64) ELSE sha256(session_id) END AS target, correction_index - CASE WHEN conv_id % 35 = 0 THEN -3 ELSE 1 END AS range_start, CASE WHEN conv_id % 25 = 0 THEN 0 ELSE 1700000000 END AS created FROM corr"
+_PAYLOAD = [
+    "correction_id", "CASE WHEN conv_id % 15 = 0 THEN '' ELSE correction_id END AS cid", f"CASE WHEN conv_id % 20 = 0 THEN '{A.ZERO}' ELSE 'f' || correction_id END AS target", "correction_index - CASE WHEN conv_id % 35 = 0 THEN -3 ELSE 1 END AS range_start", "correction_index AS range_end",
+    f"CASE WHEN conv_id % 45 = 5 THEN '{A.ZERO}' ELSE 'c' || correction_id END AS certificate", "CASE WHEN conv_id % 55 = 10 THEN '' ELSE 'user' END AS reason_code", "CASE WHEN conv_id % 25 = 0 THEN 0 ELSE 1700000000 END AS created",
+]
 
 
-@query("B7_correction_validity", f"WITH {A.CORR}, p AS ({_CORRP}) SELECT correction_id, cid <> '' AS has_id, target <> repeat('0', 64) AS has_target, range_start <= correction_index AS ordered, created > 0 AS dated, cid <> '' AND target <> repeat('0', 64) AND range_start <= correction_index AND created > 0 AS valid FROM p")
+@query(
+    "B7_correction_validity",
+    f"WITH {A.CORR}, p AS (SELECT {', '.join(_PAYLOAD)} FROM corr) SELECT correction_id, CASE WHEN cid = '' THEN 'correction_id' WHEN target = '{A.ZERO}' THEN 'target' WHEN range_end < range_start THEN 'range' WHEN certificate = '{A.ZERO}' THEN 'certificate' WHEN reason_code = '' THEN 'reason_code' WHEN created <= 0 THEN 'created' ELSE 'ok' END AS fault FROM p",
+)
 def correction_validity(spark, sf):
-    rows = A.corr(spark, sf).selectExpr("*", "CASE WHEN conv_id % 15 = 0 THEN '' ELSE correction_id END AS cid", "CASE WHEN conv_id % 20 = 0 THEN repeat('0', 64) ELSE sha2(session_id, 256) END AS target", "correction_index - CASE WHEN conv_id % 35 = 0 THEN -3 ELSE 1 END AS range_start", "CASE WHEN conv_id % 25 = 0 THEN 0 ELSE 1700000000 END AS created")
-    rows = rows.selectExpr("correction_id", "cid <> '' AS has_id", "target <> repeat('0', 64) AS has_target", "range_start <= correction_index AS ordered", "created > 0 AS dated")
-    return rows.withColumn("valid", F.expr("has_id AND has_target AND ordered AND dated"))
+    """The first thing that a correction lacks."""
+    rows, c = A.corr(spark, sf).selectExpr(*_PAYLOAD), F.col
+    fault = refusal((c("cid") == "", "correction_id"), (c("target") == A.ZERO, "target"), (c("range_end") < c("range_start"), "range"), (c("certificate") == A.ZERO, "certificate"), (c("reason_code") == "", "reason_code"), (c("created") <= 0, "created"))
+    return rows.select("correction_id", F.coalesce(fault, F.lit("ok")).alias("fault"))
 
 
 @query("B15_citation", r"SELECT doc_id, regexp_matches(text || ' [' || (doc_id % 4) || ']', '\[[0-9]*[1-9][0-9]*\]') AS cited, regexp_matches(text, '\[[0-9]*[1-9][0-9]*\]') AS cited_raw FROM documents")
@@ -67,20 +87,22 @@ def citation(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", T.cited(F.expr("concat(text, ' [', doc_id % 4, ']')")).alias("cited"), T.cited(F.col("text")).alias("cited_raw"))
 
 
+_CANONICAL = """'{"Facts":["' || t || ' [' || (doc_id % 4) || ']"],"Reasoning":["r [' || CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END || ']"],"Compliance":[]}'"""
+
+
 @query(
     "B16_canonical_projection",
-    r"""WITH p AS (SELECT doc_id, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40) AS t FROM documents)
-SELECT doc_id, '{"Facts":["' || t || ' [' || (doc_id % 4) || ']"],"Reasoning":["r [1]"],"Compliance":[]}' AS canonical, doc_id % 4 > 0 AND doc_id % 5 > 0 AS valid,
-  strlen('{"Facts":["' || t || ' [' || (doc_id % 4) || ']"],"Reasoning":["r [1]"],"Compliance":[]}') <= 90 AS fits FROM p""",
+    rf"""WITH p AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM documents), c AS (SELECT doc_id, {_CANONICAL} AS canonical, regexp_matches(t || ' [' || (doc_id % 4) || ']', '\[[0-9]*[1-9][0-9]*\]') AND regexp_matches('r [' || CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END || ']', '\[[0-9]*[1-9][0-9]*\]') AS cited FROM p)
+SELECT doc_id, canonical, CASE WHEN NOT cited THEN 'uncited' WHEN strlen(canonical) > 1338 THEN 'too_large' ELSE 'ok' END AS status FROM c""",
 )
 def canonical_projection(spark, sf):
-    """Parses a projection, checks that all three lists are there and every item is cited, and writes it canonically."""
-    docs = A.table(spark, sf, "documents").withColumn("t", F.expr("left(regexp_replace(text, '[^A-Za-z ]', ''), 40)"))
+    """Parses a projection, checks that all three lists are there and every item is cited, writes it canonically, and then
+    checks its size."""
+    docs = A.table(spark, sf, "documents").withColumn("t", F.expr("regexp_replace(text, '[^A-Za-z ]', '')"))
     raw = F.expr("concat('{ \"Facts\" : [ \"', t, ' [', doc_id % 4, ']\" ], \"Compliance\": [], \"Reasoning\": [\"r [', CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END, ']\"] }')")
     p = docs.withColumn("p", F.from_json(raw, "Facts ARRAY<STRING>, Reasoning ARRAY<STRING>, Compliance ARRAY<STRING>"))
-    canonical = F.to_json(F.struct("p.Facts", F.expr("CASE WHEN doc_id % 5 = 0 THEN array('r [1]') ELSE p.Reasoning END AS Reasoning"), "p.Compliance"))
-    every = F.concat("p.Facts", "p.Reasoning", "p.Compliance")
-    return p.select("doc_id", canonical.alias("canonical"), F.coalesce(F.forall(every, T.cited), F.lit(False)).alias("valid"), (F.octet_length(canonical) <= 90).alias("fits"))
+    p = p.withColumn("canonical", F.to_json("p")).withColumn("cited", F.coalesce(F.forall(F.concat("p.Facts", "p.Reasoning", "p.Compliance"), T.cited), F.lit(False)))
+    return p.select("doc_id", "canonical", F.when(~F.col("cited"), "uncited").when(F.octet_length("canonical") > 1338, "too_large").otherwise("ok").alias("status"))
 
 
 @query(
@@ -127,12 +149,12 @@ def event_directive_join(spark, sf):
 
 @query(
     "G2_fact_list",
-    f"""WITH w AS (SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS word, generate_subscripts(string_split(left(text, 200), ' '), 1) AS place FROM documents),
+    f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS place FROM documents),
 f AS (SELECT doc_id, {_low("trim(word)")} AS folded, arg_min(trim(word), place) AS word, min(place) AS place FROM w WHERE trim(word) <> '' GROUP BY doc_id, folded)
 SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS facts FROM f GROUP BY doc_id""",
 )
 def fact_list(spark, sf):
-    words = A.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.expr("left(text, 200)"), " ")).alias("place", "word"))
+    words = A.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
     return V.first_seen(words, ["doc_id"], "word", "place").groupBy("doc_id").agg(F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY place)").alias("facts"))
 
 
@@ -141,11 +163,25 @@ def upsert_corrections(spark, sf):
     return A.table(spark, sf, "events").groupBy(F.col("user_id").alias("correction_id")).agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("version"))
 
 
-@query("B26_correction_signal", "SELECT conv_id, turn, length(t) <= 1500 AND NOT contains(lower(t), 'summary of') AND (contains(lower(t), 'actually') OR contains(lower(t), 'instead') OR contains(lower(t), 'wrong') OR contains(lower(t), 'correction')) AS signal FROM (SELECT *, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'Actually, replace A with B. ' || text ELSE text END AS t FROM conversations)")
+#: What a user says who corrects.
+CORRECTION_KEYWORDS = [
+    "you drifted", "180'd", "you went off", "wait wait", "stop doing", "no actually", "actually use", "pull out", "wrong", "redo", "let's not", "don't do that", "i misspoke", "scratch that", "correction", "i changed my mind",
+    "instead let's", "back up", "course-correct", "course correct", "got off track", "off the path",
+]
+_SAID = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'Scratch that, replace A with B. ' || text WHEN 1 THEN 'Summary: it went wrong. Primary request and intent: none' WHEN 2 THEN 'Conversation compacted. Redo.' WHEN 3 THEN 'Let''s not ' || repeat('go on ', 300) ELSE text END"
+_QUOTED = [k.replace("'", "''") for k in CORRECTION_KEYWORDS]
+
+
+@query(
+    "B26_correction_signal",
+    f"SELECT conv_id, turn, NOT contains(low, 'this session is being continued from a previous conversation') AND NOT starts_with(low, 'conversation compacted') AND NOT (contains(low, 'summary:') AND contains(low, 'primary request and intent:')) AND length(low) <= 1500 AND ({' OR '.join(f"contains(low, '{k}')" for k in _QUOTED)}) AS signal FROM (SELECT *, lower({_SAID}) AS low FROM conversations)",
+)
 def correction_signal(spark, sf):
-    t = F.lower(F.expr("CASE WHEN (conv_id + turn) % 7 = 0 THEN concat('Actually, replace A with B. ', text) ELSE text END"))
-    words = F.contains(t, F.lit("actually")) | F.contains(t, F.lit("instead")) | F.contains(t, F.lit("wrong")) | F.contains(t, F.lit("correction"))
-    return A.table(spark, sf, "conversations").select("conv_id", "turn", ((F.length(t) <= 1500) & ~F.contains(t, F.lit("summary of")) & words).alias("signal"))
+    """A short message that holds one of the keywords and is no summary."""
+    t = F.lower(F.expr(_SAID))
+    has = lambda k: F.contains(t, F.lit(k))
+    summary = has("this session is being continued from a previous conversation") | t.startswith("conversation compacted") | (has("summary:") & has("primary request and intent:"))
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", (~summary & (F.length(t) <= 1500) & F.exists(F.array(*[F.lit(k) for k in CORRECTION_KEYWORDS]), lambda k: F.contains(t, k))).alias("signal"))
 
 
 @query("B36_events_to_probe", f"WITH {A.EV_CONV} SELECT session_id, count(*) AS n, max(event_index) + 1 AS range_end FROM ev_conv WHERE event_index <= 3 GROUP BY session_id")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import protocol as P
 from ..functions import text as T
+from ..operators import eventlog as L
 from ..sources import adapters as A
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,15 +66,43 @@ def token_estimate(spark, sf):
     return _docs(spark, sf).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), F.expr("length(text) div 4").alias("floor_tokens"))
 
 
-_SAY = "CASE conv_id % 4 WHEN 0 THEN 'please replace foo with bar.' WHEN 1 THEN 'old_name -> new_name' WHEN 2 THEN 'not alpha, use beta.' ELSE 'forget the old gamma.' END"
+#: Prompts of users who correct, by all forms, and others.
+_SAY = (
+    "CASE conv_id % 9 WHEN 0 THEN 'Please replace \"foo bar ' || turn || '\" with ''baz qux''. ' || text WHEN 1 THEN 'wrong: old_name -> new_name' || chr(10) || text WHEN 2 THEN 'It is not alpha one, use beta two instead' "
+    "WHEN 3 THEN 'Please forget the stale gamma value. ' || text WHEN 4 THEN 'that was invalid  => this is right' WHEN 5 THEN 'Actually, do not use the prior plan' WHEN 6 THEN 'A correction: ' || text WHEN 7 THEN 'do it instead' ELSE text END"
+)
+#: One of these must occur in a correction.
+HINTS = ["actually", "correction", "correcting", "wrong", "instead", "replace", "forget", "ignore the prior", "ignore prior", "ignore previous", "invalid", "stale"]
+#: The forms of a correction; groups are what is invalid and what replaces it.
+FORMS = [
+    r"(?i)\breplace\s+['\"]?(.{3,160}?)['\"]?\s+with\s+['\"]?(.{3,160}?)['\"]?(?:[.\n]|$)",
+    r"(.{3,160}?)\s*(?:->|=>)\s*(.{3,160}?)(?:[.\n]|$)",
+    r"(?i)\bnot\s+['\"]?(.{3,160}?)['\"]?\s*(?:,|;|\.)\s*(?:use|it is|it's|instead)?\s*['\"]?(.{3,160}?)?['\"]?(?:[.\n]|$)",
+    r"(?i)\b(?:forget|do not use|don't use|ignore)\s+(?:the\s+)?(?:old|prior|previous|stale|invalidated)\s+['\"]?(.{3,160}?)()['\"]?(?:[.\n]|$)",
+]
+_EDGES = " \t\r\n'\"`:-"
+
+
+def _facts_sql(group: int) -> str:
+    clean = lambda f: f"trim(regexp_replace(regexp_extract(t, '{f.replace(chr(39), chr(39) * 2)}', {group}), '\\s+', ' ', 'g'), '{_EDGES.replace(chr(39), chr(39) * 2)}')"
+    return f"list_filter([{', '.join(clean(f) for f in FORMS)}], lambda x: length(x) >= 3)"
+
 
+def _distinct_sql(of: str) -> str:
+    return f"list_filter({of}, lambda x, i: list_position(list_transform({of}, lambda y: lower(y)), lower(x)) = i)"
 
-@query("H11_correction_extraction", rf"WITH c AS (SELECT conv_id, turn, {_SAY} AS t FROM conversations) SELECT conv_id, turn, coalesce(nullif(regexp_extract(t, 'replace (\w+) with (\w+)', 1), ''), nullif(regexp_extract(t, '(\w+) -> (\w+)', 1), ''), nullif(regexp_extract(t, 'not (\w+), use (\w+)', 1), ''), nullif(regexp_extract(t, 'forget the old (\w+)', 1), '')) AS old, coalesce(nullif(regexp_extract(t, 'replace (\w+) with (\w+)', 2), ''), nullif(regexp_extract(t, '(\w+) -> (\w+)', 2), ''), nullif(regexp_extract(t, 'not (\w+), use (\w+)', 2), '')) AS new FROM c")
+
+def _facts(t: Column, group: int) -> Column:
+    """Clean facts of three characters or more, those first that the first forms find; repeats, whatever their case, go."""
+    found = F.array(*[F.btrim(F.regexp_replace(F.regexp_extract(t, f, group), r"\s+", " "), F.lit(_EDGES)) for f in FORMS])
+    kept = F.filter(found, lambda x: F.length(x) >= 3)
+    return T.distinct_folded(kept)
+
+
+@query("H11_correction_extraction", f"WITH c AS (SELECT conv_id, turn, {_SAY} AS t FROM conversations), f AS (SELECT conv_id, turn, {_facts_sql(1)} AS old, {_facts_sql(2)} AS new FROM c) SELECT conv_id, turn, array_to_string({_distinct_sql('old')}, '|') AS invalidated, array_to_string({_distinct_sql('new')}, '|') AS replacements, CASE WHEN len(old) > 0 THEN 'blocking' ELSE 'info' END AS severity FROM f")
 def correction_extraction(spark, sf):
-    c = A.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_SAY).alias("t"))
-    forms = [r"replace (\w+) with (\w+)", r"(\w+) -> (\w+)", r"not (\w+), use (\w+)"]
-    got = lambda p, g: F.nullif(F.regexp_extract("t", p, g), F.lit(""))
-    return c.select("conv_id", "turn", F.coalesce(*[got(p, 1) for p in forms], got(r"forget the old (\w+)", 1)).alias("old"), F.coalesce(*[got(p, 2) for p in forms]).alias("new"))
+    c = A.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_SAY).alias("t")).withColumn("old", _facts(F.col("t"), 1)).withColumn("new", _facts(F.col("t"), 2))
+    return c.select("conv_id", "turn", F.array_join("old", "|").alias("invalidated"), F.array_join("new", "|").alias("replacements"), F.when(F.size("old") > 0, "blocking").otherwise("info").alias("severity"))
 
 
 @query("H12_clauses", r"WITH c AS (SELECT conv_id, '1. Always call `look_up`. 2. Never call `delete_all`. ' || conv_id || '. Use `save`.' AS t FROM (SELECT DISTINCT conv_id FROM conversations)), x AS (SELECT conv_id, unnest(list_filter(regexp_split_to_array(t, '[0-9]+\. '), lambda p: p <> '')) AS clause FROM c) SELECT conv_id, trim(clause) AS clause, regexp_extract(clause, '`(\w+)`', 1) AS tool, contains(clause, 'Never') AS negative FROM x")
@@ -86,7 +117,8 @@ def sanitise(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", T.sanitised(F.col("url")).alias("id"), T.sanitised(F.expr("concat('..', page_id % 2)")).alias("dots"))
 
 
-_MARKED = "CASE conv_id % 3 WHEN 0 THEN left(text, 30) || '<think>' || substr(text, 31, 20) || '</think>' || substr(text, 51, 30) WHEN 1 THEN left(text, 30) || '<think>' || substr(text, 31, 20) ELSE left(text, 60) END"
+#: Whole messages with a closed channel, an open one, or none.
+_MARKED = "CASE conv_id % 3 WHEN 0 THEN left(text, 30) || '<think>' || substr(text, 31, 20) || '</think>' || substr(text, 51) WHEN 1 THEN left(text, 30) || '<think>' || substr(text, 31) ELSE text END"
 
 
 def _marked(spark, sf):
@@ -103,15 +135,15 @@ def open_channel(spark, sf):
     return _marked(spark, sf).select("conv_id", "turn", P.channel_open(F.col("t")).alias("open"))
 
 
-@query("H17_overlap", "WITH d AS (SELECT doc_id, left(text, 40) || left('</think>', CAST(doc_id % 9 AS INTEGER)) AS t FROM documents), k AS (SELECT doc_id, t, unnest(generate_series(1, 8)) AS n FROM d) SELECT doc_id, coalesce(max(n) FILTER (right(t, n) = left('</think>', n)), 0) AS held FROM k GROUP BY doc_id")
+@query("H17_overlap", "WITH d AS (SELECT doc_id, text || left('</think>', CAST(doc_id % 9 AS INTEGER)) AS t FROM documents), k AS (SELECT doc_id, t, unnest(generate_series(1, 8)) AS n FROM d) SELECT doc_id, coalesce(max(n) FILTER (right(t, n) = left('</think>', n)), 0) AS held FROM k GROUP BY doc_id")
 def overlap(spark, sf):
-    t = F.expr("concat(left(text, 40), left('</think>', CAST(doc_id % 9 AS INT)))")
+    t = F.expr("concat(text, left('</think>', CAST(doc_id % 9 AS INT)))")
     return _docs(spark, sf).withColumn("t", t).select("doc_id", T.overlap(F.col("t"), F.lit("</think>"), 8).alias("held"))
 
 
-@query("H18_fence_split", r"WITH c AS (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 30) AS a FROM documents), t AS (SELECT doc_id, a, a || '```tool' || chr(10) || 'f(x=' || doc_id || ')' || chr(10) || '```' || ' end' AS t FROM c) SELECT doc_id, a || ' end' AS prose, 'f(x=' || doc_id || ')' AS code FROM t")
+@query("H18_fence_split", r"WITH c AS (SELECT doc_id, replace(text, '`', '') AS a FROM documents), t AS (SELECT doc_id, a, a || '```tool' || chr(10) || 'f(x=' || doc_id || ')' || chr(10) || '```' || ' end' AS t FROM c) SELECT doc_id, a || ' end' AS prose, 'f(x=' || doc_id || ')' AS code FROM t")
 def fence_split(spark, sf):
-    t = F.expr("concat(left(regexp_replace(text, '[^a-z ]', ''), 30), '```tool\nf(x=', doc_id, ')\n```', ' end')")
+    t = F.expr("concat(replace(text, '`', ''), '```tool\nf(x=', doc_id, ')\n```', ' end')")
     d = _docs(spark, sf).select("doc_id", t.alias("t"))
     return d.select("doc_id", F.regexp_replace("t", r"(?s)```tool\n.*?\n```", "").alias("prose"), F.regexp_extract("t", r"(?s)```tool\n(.*?)\n```", 1).alias("code"))
 
@@ -137,15 +169,15 @@ def chat_template(spark, sf):
     return c.groupBy("conv_id").agg(F.expr("concat(listagg(m, '') WITHIN GROUP (ORDER BY turn), '<|im_start|>assistant\n')").alias("prompt"))
 
 
-@query("H22_prompt_affixes", "WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<bos>' ELSE '' END || CASE WHEN turn = 0 THEN '<user>' ELSE '' END || left(text, 20) || CASE WHEN turn = last THEN '</user><model>' ELSE '' END AS chunk FROM c")
+@query("H22_prompt_affixes", "WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<bos>' ELSE '' END || CASE WHEN turn = 0 THEN '<user>' ELSE '' END || text || CASE WHEN turn = last THEN '</user><model>' ELSE '' END AS chunk FROM c")
 def prompt_affixes(spark, sf):
     c = A.table(spark, sf, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
-    return c.select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, "<bos><user>").otherwise(""), F.expr("left(text, 20)"), F.when(F.col("turn") == F.col("last"), "</user><model>").otherwise("")).alias("chunk"))
+    return c.select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, "<bos><user>").otherwise(""), F.col("text"), F.when(F.col("turn") == F.col("last"), "</user><model>").otherwise("")).alias("chunk"))
 
 
-@query("H23_placeholder_split", "WITH d AS (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 12) AS a FROM documents), t AS (SELECT doc_id, string_split(a || '|<image>|' || a || '|<audio>|x', '|') AS parts FROM d) SELECT doc_id, place, part, CASE part WHEN '<image>' THEN 'image' WHEN '<audio>' THEN 'audio' ELSE 'text' END AS kind FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM t)")
+@query("H23_placeholder_split", "WITH d AS (SELECT doc_id, regexp_replace(text, '[|<>]', '', 'g') AS a FROM documents), t AS (SELECT doc_id, string_split(a || '|<image>|' || a || '|<audio>|x', '|') AS parts FROM d) SELECT doc_id, place, part, CASE part WHEN '<image>' THEN 'image' WHEN '<audio>' THEN 'audio' ELSE 'text' END AS kind FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM t)")
 def placeholder_split(spark, sf):
-    d = _docs(spark, sf).withColumn("a", F.expr("left(regexp_replace(text, '[^a-z ]', ''), 12)")).withColumn("t", F.concat("a", F.lit("<image>"), "a", F.lit("<audio>x")))
+    d = _docs(spark, sf).withColumn("a", F.regexp_replace("text", "[|<>]", "")).withColumn("t", F.concat("a", F.lit("<image>"), "a", F.lit("<audio>x")))
     parts = d.select("doc_id", F.posexplode(F.split(F.regexp_replace("t", "(<image>|<audio>)", "|$1|"), r"\|")).alias("place", "part"))
     return parts.select("doc_id", "place", "part", F.when(F.col("part") == "<image>", "image").when(F.col("part") == "<audio>", "audio").otherwise("text").alias("kind"))
 
@@ -156,10 +188,10 @@ def name_cases(spark, sf):
     return A.table(spark, sf, "events").select("event_type").distinct().select("event_type", F.lower(F.regexp_replace(camel, "([a-z])([A-Z])", "$1_$2")).alias("snake"), F.expr("CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'number' WHEN 'error' THEN 'boolean' ELSE 'string' END").alias("json_type"))
 
 
-@query("H26_json_escape", "SELECT doc_id, md5(CAST(to_json(text) AS VARCHAR)) AS escaped FROM documents WHERE NOT regexp_matches(text, '[/]')")
+@query("H26_json_escape", r"SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(replace(CAST(to_json(text) AS VARCHAR), '\/', '/')) END AS escaped FROM documents")
 def json_escape(spark, sf):
     j = F.to_json(F.struct(F.col("text").alias("t")))
-    return _docs(spark, sf).filter("NOT contains(text, '/')").select("doc_id", F.md5(F.substr(j, F.lit(6), F.length(j) - 6)).alias("escaped"))
+    return _docs(spark, sf).select("doc_id", F.when(F.col("text").isNotNull(), F.md5(F.substr(j, F.lit(6), F.length(j) - 6))).alias("escaped"))
 
 
 @query("H27_stop_cut", "SELECT doc_id, md5(left(text, coalesce(least(nullif(strpos(text, '. '), 0), nullif(strpos(text, chr(10)), 0), nullif(strpos(text, 'zzz'), 0)) - 1, length(text))::INT)) AS cut FROM documents")
@@ -167,28 +199,37 @@ def stop_cut(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.cut_at_stop(F.col("text"), [". ", "\n", "zzz"])).alias("cut"))
 
 
-@query("H28_greedy_flag", "SELECT doc_id, starts_with(text, left(text, 1 + CAST(doc_id % 5 AS INTEGER))) AS yes, starts_with(text, 'The ') AS the FROM documents")
+@query("H28_greedy_flag", "SELECT d.doc_id, n.doc_id AS other, starts_with(d.text, left(n.text, 1 + CAST(d.doc_id % 5 AS INTEGER))) AS greedy FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1")
 def greedy_flag(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.expr("startswith(text, left(text, CAST(1 + doc_id % 5 AS INT)))").alias("yes"), F.startswith("text", F.lit("The ")).alias("the"))
+    """Does a generation (a text) start with the continuation that is asked about (the first characters of the next text)?"""
+    asked = _docs(spark, sf).selectExpr("doc_id AS other", "doc_id - 1 AS doc_id", "left(text, CAST(1 + (doc_id - 1) % 5 AS INT)) AS continuation")
+    return _docs(spark, sf).select("doc_id", "text").join(asked, "doc_id").select("doc_id", "other", F.expr("startswith(text, continuation)").alias("greedy"))
 
 
-@query("H30_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(left(text, 120), ' ')) AS w FROM documents), v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS id FROM (SELECT DISTINCT w FROM w WHERE hash(w) IS NOT NULL)) SELECT w.w AS token, min(v.id) AS id, count(*) AS uses FROM w JOIN v USING (w) GROUP BY w.w")
+@query("H30_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS id FROM (SELECT DISTINCT w FROM w)) SELECT w.w AS token, min(v.id) AS id, count(*) AS uses FROM w JOIN v USING (w) GROUP BY w.w")
 def tokens(spark, sf):
     """A vocabulary in order of token, its ids, and their uses."""
-    w = _docs(spark, sf).select(F.explode(F.split(F.expr("left(text, 120)"), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
-    return w.withColumn("id", F.row_number().over(Window.orderBy("token")).cast("long") - 1)
+    w = _docs(spark, sf).select(F.explode(F.split("text", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    return L.numbered(w, "token", "id")
+
 
+_FILES = "SELECT page_id, split_part(url, '#', 1) || CASE page_id % 8 WHEN 0 THEN '.tflite' WHEN 1 THEN '.task' WHEN 2 THEN '.litertlm' ELSE '' END AS path, CASE page_id % 8 WHEN 3 THEN 'LITERTLM' WHEN 4 THEN chr(28) || 'xxxTFL3' WHEN 5 THEN 'PK' WHEN 6 THEN ' LITERTLM' ELSE '' END || html AS content FROM pages"
 
-@query("A34_format_sniff", "SELECT page_id, CASE WHEN ends_with(split_part(url, '#', 1), '.zip') OR starts_with(html, 'PK') THEN 'zip' WHEN starts_with(lower(html), '<!doctype html') OR starts_with(lower(html), '<html') THEN 'html' ELSE 'unknown' END AS format FROM pages")
+
+@query("A34_format_sniff", f"SELECT page_id, CASE WHEN ends_with(path, '.tflite') THEN 'tflite' WHEN ends_with(path, '.task') THEN 'task' WHEN ends_with(path, '.litertlm') THEN 'litertlm' WHEN contains(head, 'TFL3') THEN 'tflite' WHEN contains(head, 'PK') THEN 'task' WHEN starts_with(head, 'LITERTLM') THEN 'litertlm' ELSE 'unknown' END AS format FROM (SELECT *, left(content, 8) AS head FROM ({_FILES}))")
 def format_sniff(spark, sf):
-    p = A.table(spark, sf, "pages")
-    return p.select("page_id", F.when(F.substring_index("url", "#", 1).endswith(".zip") | F.col("html").startswith("PK"), "zip").when(F.lower(F.expr("left(html, 20)")).rlike("^<(!doctype )?html"), "html").otherwise("unknown").alias("format"))
+    """By extension, else by what the first eight characters hold."""
+    p = A.table(spark, sf, "pages").selectExpr("page_id", "concat(split_part(url, '#', 1), CASE page_id % 8 WHEN 0 THEN '.tflite' WHEN 1 THEN '.task' WHEN 2 THEN '.litertlm' ELSE '' END) AS path", "concat(CASE page_id % 8 WHEN 3 THEN 'LITERTLM' WHEN 4 THEN concat(chr(28), 'xxxTFL3') WHEN 5 THEN 'PK' WHEN 6 THEN ' LITERTLM' ELSE '' END, html) AS content")
+    head, path = F.expr("left(content, 8)"), F.col("path")
+    named = F.when(path.endswith(".tflite"), "tflite").when(path.endswith(".task"), "task").when(path.endswith(".litertlm"), "litertlm")
+    found = F.when(F.contains(head, F.lit("TFL3")), "tflite").when(F.contains(head, F.lit("PK")), "task").when(head.startswith("LITERTLM"), "litertlm")
+    return p.select("page_id", F.coalesce(named, found, F.lit("unknown")).alias("format"))
 
 
-@query("A36_item_data", "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'path' WHEN 2 THEN 'blob' ELSE 'error' END AS kind, CASE (conv_id + turn) % 4 WHEN 0 THEN left(text, 20) WHEN 1 THEN '/data/' || turn WHEN 2 THEN left(text, 20) END AS value FROM conversations")
+@query("A36_item_data", "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'path' WHEN 2 THEN 'blob' ELSE 'error' END AS kind, CASE (conv_id + turn) % 4 WHEN 0 THEN text WHEN 1 THEN '/data/' || turn WHEN 2 THEN text END AS value FROM conversations")
 def item_data(spark, sf):
-    c = A.table(spark, sf, "conversations").withColumn("k", F.expr("(conv_id + turn) % 4")).withColumn("head", F.expr("left(text, 20)")).withColumn("blob", F.base64(F.col("head").cast("binary")))
-    return c.select("conv_id", "turn", F.expr("CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'path' WHEN 2 THEN 'blob' ELSE 'error' END").alias("kind"), F.when(F.col("k") == 0, F.col("head")).when(F.col("k") == 1, F.concat(F.lit("/data/"), "turn")).when(F.col("k") == 2, F.unbase64("blob").cast("string")).alias("value"))
+    c = A.table(spark, sf, "conversations").withColumn("k", F.expr("(conv_id + turn) % 4")).withColumn("blob", F.base64(F.col("text").cast("binary")))
+    return c.select("conv_id", "turn", F.expr("CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'path' WHEN 2 THEN 'blob' ELSE 'error' END").alias("kind"), F.when(F.col("k") == 0, F.col("text")).when(F.col("k") == 1, F.concat(F.lit("/data/"), "turn")).when(F.col("k") == 2, F.unbase64("blob").cast("string")).alias("value"))
 
 
 @query("A30_hook_ledger", "SELECT user_id, count(*) AS entries, sum(least(strlen(props), 4000))::BIGINT AS kept FROM events GROUP BY user_id")
@@ -198,22 +239,46 @@ def hook_ledger(spark, sf):
     return rows.groupBy("user_id").agg(F.count("*").alias("entries"), F.sum(F.length(F.get_json_object("line", "$.p"))).alias("kept"))
 
 
-@query("B25_meta_filter", "SELECT conv_id, turn, starts_with(text, 'The ') OR regexp_matches(text, '^[A-Z][a-z]+\\.') AS meta FROM conversations")
+_NOISE = "CASE (conv_id * 3 + turn) % 9 WHEN 0 THEN '<local-command-caveat>x</local-command-caveat> ' || text WHEN 1 THEN '<system-reminder>' || text WHEN 2 THEN '[Request interrupted by user] 1' || chr(9) || 'a' WHEN 3 THEN ' 1' || chr(9) || 'import x' || chr(10) || ' 2' || chr(9) || 'y' WHEN 4 THEN 'Tool ran without output' WHEN 5 THEN '<tool_use_error>no' WHEN 6 THEN '' ELSE text END"
+
+
+@query("B25_meta_filter", rf"SELECT conv_id, turn, CASE WHEN t = '' OR contains(t, '<local-command-caveat>') OR starts_with(t, '<system-reminder>') THEN true WHEN starts_with(t, '[Request interrupted by user') THEN false ELSE regexp_matches(t, '^\s*1\t.+\n\s*2\t') OR starts_with(t, 'Tool ran without output') OR starts_with(t, '<tool_use_error>') END AS meta FROM (SELECT conv_id, turn, {_NOISE} AS t FROM conversations)")
 def meta_filter(spark, sf):
-    t = F.col("text")
-    return A.table(spark, sf, "conversations").select("conv_id", "turn", (t.startswith("The ") | t.rlike(r"^[A-Z][a-z]+\.")).alias("meta"))
+    """Messages that no user wrote: caveats, reminders, numbered pastes and tool results."""
+    t = F.expr(_NOISE)
+    pasted = t.rlike(r"^\s*1\t.+\n\s*2\t") | t.startswith("Tool ran without output") | t.startswith("<tool_use_error>")
+    meta = F.when((t == "") | F.contains(t, F.lit("<local-command-caveat>")) | t.startswith("<system-reminder>"), True).when(t.startswith("[Request interrupted by user"), False).otherwise(pasted)
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", meta.alias("meta"))
+
 
+#: The forms that make a prompt with a hint a correction.
+PROMPT_FORMS = [r"(?i)\breplace\s+.+\s+with\s+.+", r".+\s*(?:->|=>)\s*.+", r"(?i)\b(?:forget|ignore|do not use|don't use)\s+(?:the\s+)?(?:old|prior|previous|stale|invalidated)\b"]
+_FORMS_SQL = " OR ".join("regexp_matches(t, '" + f.replace("'", "''") + "')" for f in PROMPT_FORMS)
 
-@query("B27_correction_prompt", rf"WITH c AS (SELECT conv_id, turn, {_SAY} AS t FROM conversations) SELECT conv_id, turn, regexp_matches(lower(t), '\b(replace|forget|wrong)\b') OR regexp_matches(t, '\w+ -> \w+') AS correction FROM c")
+
+@query("B27_correction_prompt", f"WITH c AS (SELECT conv_id, turn, {_SAY} AS t FROM conversations) SELECT conv_id, turn, ({' OR '.join(f"contains(lower(t), '{h}')" for h in HINTS)}) AND ({_FORMS_SQL} OR contains(lower(t), 'correction') OR contains(lower(t), 'correcting')) AS correction FROM c")
 def correction_prompt(spark, sf):
     t = F.expr(_SAY)
-    return A.table(spark, sf, "conversations").select("conv_id", "turn", (F.lower(t).rlike(r"\b(replace|forget|wrong)\b") | t.rlike(r"\w+ -> \w+")).alias("correction"))
+    low = F.lower(t)
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", (has(HINTS) & (reduce(lambda a, b: a | b, [t.rlike(f) for f in PROMPT_FORMS]) | has(["correction", "correcting"]))).alias("correction"))
+
+
+#: Tools that change files, shells, and shell commands that matter.
+EDITORS, EDITORS_FOLDED, SHELLS = ["Edit", "Write", "MultiEdit", "NotebookEdit"], ["edit", "create", "write_file", "replace", "notebookedit"], ["bash", "powershell", "run_shell_command"]
+RISKY = r"(?i)\b(git\s+(commit|push|merge|rebase|tag)|gh\s+pr|aws\s+|scp\s+|rsync\s+|kubectl\s+|terraform\s+(apply|destroy)|rm\s+(-|/)|Remove-Item\b|del\s+|move\s+|mv\s+|copy\s+|cp\s+|python\s+.*setup|bazel\s+(run|test|build))"
+_TOOL = [
+    "CASE event_id % 11 WHEN 0 THEN 'Edit' WHEN 1 THEN 'write_file' WHEN 2 THEN 'mcp__db__delete_row' WHEN 3 THEN 'mcp__db__read' WHEN 4 THEN 'Read' WHEN 5 THEN 'PowerShell' WHEN 6 THEN 'EDIT' ELSE 'Bash' END AS tool",
+    "CASE event_id % 7 WHEN 0 THEN 'rm -rf /tmp/x' WHEN 1 THEN 'git  Push origin' WHEN 2 THEN 'git status' WHEN 3 THEN 'python -m setup' WHEN 4 THEN 'Remove-Item x' WHEN 5 THEN 'terraform plan' ELSE 'ls' END AS command",
+]
+_names = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
 
-@query("B28_decision_boundary", r"WITH e AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN 'rm -rf /tmp/x' WHEN 1 THEN 'git push origin' ELSE 'ls' END AS command FROM events) SELECT event_id, event_type IN ('purchase', 'signup') OR regexp_matches(command, '\b(rm -rf|git push|drop table)\b') AS boundary FROM e")
+@query("B28_decision_boundary", f"SELECT event_id, CASE WHEN tool IN ({_names(EDITORS)}) OR lower(tool) IN ({_names(EDITORS_FOLDED)}) THEN true WHEN starts_with(tool, 'mcp__') THEN regexp_matches(tool, '(write|create|update|delete|merge|deploy)') WHEN lower(tool) IN ({_names(SHELLS)}) THEN regexp_matches(command, '{RISKY}') ELSE false END AS boundary FROM (SELECT event_id, {', '.join(_TOOL)} FROM events)")
 def decision_boundary(spark, sf):
-    c = F.expr("CASE event_id % 4 WHEN 0 THEN 'rm -rf /tmp/x' WHEN 1 THEN 'git push origin' ELSE 'ls' END")
-    return A.table(spark, sf, "events").select("event_id", (F.col("event_type").isin("purchase", "signup") | c.rlike(r"\b(rm -rf|git push|drop table)\b")).alias("boundary"))
+    e, tool = A.table(spark, sf, "events").selectExpr("event_id", *_TOOL), F.col("tool")
+    boundary = F.when(tool.isin(EDITORS) | F.lower(tool).isin(EDITORS_FOLDED), True).when(tool.startswith("mcp__"), tool.rlike("(write|create|update|delete|merge|deploy)")).when(F.lower(tool).isin(SHELLS), F.col("command").rlike(RISKY)).otherwise(False)
+    return e.select("event_id", boundary.alias("boundary"))
 
 
 @query("B30_event_classes", f"WITH {A.EV_STREAM} SELECT event_id, CASE WHEN payload LIKE 'signup%' THEN 'handoff' WHEN type = 'correction' THEN 'correction' WHEN tokens > 50 THEN 'milestone' ELSE type END AS class FROM ev_stream")
@@ -257,10 +322,10 @@ def handoff_bundle(spark, sf):
     return g.select("session_id", F.to_json(F.struct("session_id", F.array(F.lit(1).cast("long"), "n").alias("range"), F.lit("continue").alias("task"))).alias("bundle"), F.concat(F.lit("Session "), "session_id", F.lit(": events 1-"), "n").alias("text"))
 
 
-@query("H74_role_conversion", "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' WHEN 'system' THEN 'developer' ELSE role END AS role, left(text, 12) AS head FROM conversations")
+@query("H74_role_conversion", "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' WHEN 'system' THEN 'developer' ELSE role END AS role, text FROM conversations")
 def role_conversion(spark, sf):
     roles = F.create_map(F.lit("assistant"), F.lit("model"), F.lit("system"), F.lit("developer"))
-    return A.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(roles[F.col("role")], "role").alias("role"), F.expr("left(text, 12)").alias("head"))
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(roles[F.col("role")], "role").alias("role"), "text")
 
 
 @query("H75_rest_dialect", """SELECT conv_id, '[' || string_agg('{"role":"' || role || '","parts":[{"text":"t' || turn || '"}]}', ',' ORDER BY turn) || ']' AS contents FROM conversations GROUP BY conv_id""")

@@ -29,9 +29,9 @@ def ordered(text, items):
     return place > 0
 
 
-@query("H3_ordered_containment", f"SELECT doc_id, {_ORDERED} AS in_order FROM (SELECT doc_id, lower(left(text, 60)) AS low FROM documents)")
+@query("H3_ordered_containment", f"SELECT doc_id, {_ORDERED} AS in_order FROM (SELECT doc_id, lower(text) AS low FROM documents)")
 def ordered_containment(spark, sf):
-    return A.table(spark, sf, "documents").select("doc_id", ordered(F.lower(F.expr("left(text, 60)")), TOOLS).alias("in_order"))
+    return A.table(spark, sf, "documents").select("doc_id", ordered(F.lower("text"), TOOLS).alias("in_order"))
 
 
 @query(

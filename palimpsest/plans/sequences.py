@@ -172,9 +172,9 @@ def embedding_concat(spark, sf):
     return g.select("label", F.size("all").cast("long").alias("n"), F.round(V.total(F.col("all")), 3).alias("s"), F.col("all")[0].alias("first"))
 
 
-@query("C13_embedding_gather", "WITH t AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 600 END AS token FROM events WHERE event_id < 3000) SELECT event_id, coalesce(embedding[1]::DOUBLE, 0) AS x0, vec_id IS NULL AS missing FROM t LEFT JOIN embeddings e ON e.vec_id = t.token")
+@query("C13_embedding_gather", "WITH t AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 600 END AS token FROM events) SELECT event_id, coalesce(embedding[1]::DOUBLE, 0) AS x0, vec_id IS NULL AS missing FROM t LEFT JOIN embeddings e ON e.vec_id = t.token")
 def embedding_gather(spark, sf):
-    t = A.table(spark, sf, "events").filter("event_id < 3000").selectExpr("event_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 600 END AS vec_id")
+    t = A.table(spark, sf, "events").selectExpr("event_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 600 END AS vec_id")
     e = _emb(spark, sf).select("vec_id", F.col("x")[0].alias("x0"), F.lit(False).alias("missing"))
     return t.join(e, "vec_id", "left").select("event_id", F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("missing", F.lit(True)).alias("missing"))
 
@@ -193,28 +193,32 @@ def end_of_modality(spark, sf):
     return A.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "signup", "end").when(F.col("event_id") % 2 == 0, "text").alias("vec"))
 
 
-_CACHE = "q AS (SELECT doc_id, doc_id % 3 AS model, left(text, 120) AS prompt FROM documents), c AS (SELECT doc_id AS entry, doc_id % 3 AS model, left(text, 20 + (doc_id % 4) * 20) AS prefix FROM documents WHERE doc_id % 2 = 0)"
+#: Every text is a prompt, and every text left an entry at the largest length 16, 32, 64, ... that is at most a fraction of its own.
+_STORED = "16 * CAST(pow(2, floor(log2(length(text) / (1.0 + doc_id % 4) / 16))) AS INTEGER)"
+_CACHE = f"q AS (SELECT doc_id, doc_id % 3 AS model, text AS prompt FROM documents), c AS (SELECT doc_id AS entry, doc_id % 3 AS model, left(text, {_STORED}) AS prefix FROM documents WHERE length(text) >= 16 * (1 + doc_id % 4))"
+
+
+def _cached(spark, sf):
+    """(model, prefix, entry) of the cache, and each prompt's own prefixes of the stored lengths, whose number is logarithmic:
+    the lookup is one equality join on (identity, digest of the prefix), no comparison with every entry."""
+    docs = A.table(spark, sf, "documents")
+    c = docs.filter("length(text) >= 16 * (1 + doc_id % 4)").selectExpr("doc_id AS entry", "doc_id % 3 AS model", f"sha2(left(text, {_STORED.replace('INTEGER', 'INT')}), 256) AS prefix")
+    q = docs.filter("length(text) >= 16").selectExpr("doc_id", "doc_id % 3 AS model", "text", "explode(transform(sequence(0, CAST(floor(log2(length(text) / 16.0)) AS INT)), k -> 16 * CAST(pow(2, k) AS INT))) AS n")
+    return c, q.selectExpr("doc_id", "model", "n", "sha2(left(text, n), 256) AS prefix")
 
 
 @query("C12_prefix_cache", f"WITH {_CACHE}, h AS (SELECT q.doc_id, c.entry, length(c.prefix) AS n, row_number() OVER (PARTITION BY q.doc_id ORDER BY length(c.prefix) DESC, c.entry) AS r FROM q JOIN c ON c.model = q.model AND starts_with(q.prompt, c.prefix)) SELECT doc_id, entry, n FROM h WHERE r = 1")
 def prefix_cache(spark, sf):
-    """Longest stored prefix of a prompt, of the same identity. Prefixes have few lengths, so the lookup is one equality
-    join on (identity, length, prefix) instead of a comparison with every entry."""
-    docs = A.table(spark, sf, "documents")
-    c = docs.filter("doc_id % 2 = 0").selectExpr("doc_id AS entry", "doc_id % 3 AS model", "left(text, CAST(20 + (doc_id % 4) * 20 AS INT)) AS prefix").groupBy("model", "prefix").agg(F.min("entry").alias("entry"))
-    lengths = [r[0] for r in c.select(F.length("prefix").alias("n")).distinct().limit(1000).collect()]  # as many as the cache has sizes
-    q = docs.selectExpr("doc_id", "doc_id % 3 AS model", "left(text, 120) AS prompt").withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter("n <= length(prompt)")
-    hit = q.withColumn("prefix", F.expr("left(prompt, n)")).join(c, ["model", "prefix"])
-    return hit.groupBy("doc_id").agg(F.max_by("entry", F.struct("n", (-F.col("entry")).alias("e"))).alias("entry"), F.max("n").alias("n"))
+    """Longest stored prefix of a prompt, of the same identity."""
+    c, q = _cached(spark, sf)
+    hit = q.join(c.groupBy("model", "prefix").agg(F.min("entry").alias("entry")), ["model", "prefix"])
+    return hit.groupBy("doc_id").agg(F.max_by("entry", "n").alias("entry"), F.max("n").alias("n"))
 
 
 @query("F2_longest_prefix", f"WITH {_CACHE} SELECT q.doc_id, max(length(c.prefix)) AS n, count(*) AS hits FROM q JOIN c ON c.model = q.model AND starts_with(q.prompt, c.prefix) GROUP BY q.doc_id")
 def longest_prefix(spark, sf):
-    docs = A.table(spark, sf, "documents")
-    c = docs.filter("doc_id % 2 = 0").selectExpr("doc_id % 3 AS model", "left(text, CAST(20 + (doc_id % 4) * 20 AS INT)) AS prefix").groupBy("model", "prefix").count()
-    lengths = [r[0] for r in c.select(F.length("prefix").alias("n")).distinct().limit(1000).collect()]
-    q = docs.selectExpr("doc_id", "doc_id % 3 AS model", "left(text, 120) AS prompt").withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter("n <= length(prompt)")
-    hit = q.withColumn("prefix", F.expr("left(prompt, n)")).join(c, ["model", "prefix"])
+    c, q = _cached(spark, sf)
+    hit = q.join(c.groupBy("model", "prefix").count(), ["model", "prefix"])
     return hit.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("count").alias("hits"))
 
 
@@ -248,14 +252,43 @@ def framing(spark, sf):
     return f.select("vec_id", "k", F.round(V.total(F.zip_with("frame", window, lambda a, b: a * b)), 6).alias("energy"))
 
 
-@query("H53_resize_plan", "WITH s AS (SELECT p_partkey, 100 + p_partkey % 900 AS w, 100 + (p_partkey * 7) % 700 AS h FROM part), r AS (SELECT *, least(448.0::DOUBLE / w, 448.0::DOUBLE / h) AS ratio FROM s) SELECT p_partkey, CAST(floor(w * ratio) AS INTEGER) AS new_w, CAST(floor(h * ratio) AS INTEGER) AS new_h, w > h AS wide FROM r")
-def resize_plan(spark, sf):
-    s = A.table(spark, sf, "part").selectExpr("p_partkey", "100 + p_partkey % 900 AS w", "100 + (p_partkey * 7) % 700 AS h").withColumn("ratio", F.least(F.lit(448.0) / F.col("w"), F.lit(448.0) / F.col("h")))
-    return s.select("p_partkey", F.floor(F.col("w") * F.col("ratio")).cast("int").alias("new_w"), F.floor(F.col("h") * F.col("ratio")).cast("int").alias("new_h"), (F.col("w") > F.col("h")).alias("wide"))
+_SIDES = "SELECT p_partkey, 1 + p_partkey * 37 % 1900 AS w, 1 + p_partkey * 101 % 1300 AS h FROM part"
+#: Most patches, side of a patch, pooled patches a side.
+_PATCHES, _PATCH, _POOL = 256, 16, 3
 
 
-@query("H54_patchify", "WITH s AS (SELECT p_partkey, 16 * (1 + p_partkey % 4) AS w, 16 * (1 + p_partkey % 3) AS h FROM part WHERE p_partkey <= 200) SELECT p_partkey, x, y, y * (w // 16) + x AS patch FROM (SELECT *, unnest(generate_series(0, w // 16 - 1)) AS x FROM (SELECT *, unnest(generate_series(0, h // 16 - 1)) AS y FROM s))")
+@query(
+    "H53_resize_plan",
+    f"""WITH s AS ({_SIDES}), f AS (SELECT *, sqrt(CAST({_PATCHES * _PATCH * _PATCH} AS FLOAT) / CAST(w * h AS FLOAT))::FLOAT AS factor FROM s),
+i AS (SELECT *, CAST(floor(factor * h::FLOAT / {_POOL * _PATCH}::FLOAT) AS INTEGER) AS down, CAST(floor(factor * w::FLOAT / {_POOL * _PATCH}::FLOAT) AS INTEGER) AS across FROM f),
+t AS (SELECT *, CASE WHEN down = 0 AND across = 0 THEN NULL WHEN down = 0 THEN 1 WHEN across = 0 THEN least(CAST(floor(h::FLOAT / w::FLOAT) AS INTEGER), {_PATCHES // _POOL**2}) ELSE down END AS th,
+  CASE WHEN down = 0 AND across = 0 THEN NULL WHEN down = 0 THEN least(CAST(floor(w::FLOAT / h::FLOAT) AS INTEGER), {_PATCHES // _POOL**2}) WHEN across = 0 THEN 1 ELSE across END AS tw FROM i)
+SELECT p_partkey, th * {_POOL * _PATCH} AS new_h, tw * {_POOL * _PATCH} AS new_w, CASE WHEN th IS NULL THEN 'empty' WHEN th * tw * {(_POOL * _PATCH) ** 2} > {_PATCHES * _PATCH * _PATCH} THEN 'too_large' ELSE 'ok' END AS status FROM t""",
+)
+def resize_plan(spark, sf):
+    """Sides that keep the aspect ratio within a budget of pixels and are multiples of the pooled patch; in single precision."""
+    unit, most = _POOL * _PATCH, _PATCHES // _POOL**2
+    s = A.table(spark, sf, "part").selectExpr("p_partkey", "1 + p_partkey * 37 % 1900 AS w", "1 + p_partkey * 101 % 1300 AS h")
+    s = s.withColumn("factor", F.sqrt(F.lit(float(_PATCHES * _PATCH * _PATCH)).cast("float") / (F.col("w") * F.col("h")).cast("float")).cast("float"))
+    side = lambda c: F.floor((F.col("factor") * F.col(c).cast("float")) / F.lit(float(unit)).cast("float")).cast("int")
+    ratio = lambda a, b: F.least(F.floor(F.col(a).cast("float") / F.col(b).cast("float")).cast("int"), F.lit(most))
+    i = s.withColumn("down", side("h")).withColumn("across", side("w")).withColumn("none", (F.col("down") == 0) & (F.col("across") == 0))
+    th = F.when(F.col("none"), None).when(F.col("down") == 0, 1).when(F.col("across") == 0, ratio("h", "w")).otherwise(F.col("down"))
+    tw = F.when(F.col("none"), None).when(F.col("down") == 0, ratio("w", "h")).when(F.col("across") == 0, 1).otherwise(F.col("across"))
+    t = i.select("p_partkey", (th * unit).alias("new_h"), (tw * unit).alias("new_w"))
+    return t.withColumn("status", F.when(F.col("new_h").isNull(), "empty").when(F.col("new_h") * F.col("new_w") > _PATCHES * _PATCH * _PATCH, "too_large").otherwise("ok"))
+
+
+_GRID = "SELECT p_partkey, 8 * (1 + p_partkey % 11) AS w, 8 * (1 + p_partkey % 7) AS h FROM part"
+
+
+@query(
+    "H54_patchify",
+    f"WITH s AS (SELECT *, CASE WHEN w % 16 > 0 OR h % 16 > 0 THEN 'indivisible' WHEN (w // 16) * (h // 16) > 12 THEN 'too_many' END AS error FROM ({_GRID})), g AS (SELECT p_partkey, w // 16 AS across, unnest(generate_series(0, h // 16 - 1)) AS y FROM s WHERE error IS NULL), p AS (SELECT p_partkey, across, y, unnest(generate_series(0, across - 1)) AS x FROM g) SELECT p_partkey, NULL AS error, x, y, y * across + x AS patch FROM p UNION ALL SELECT p_partkey, error, NULL, NULL, NULL FROM s WHERE error IS NOT NULL",
+)
 def patchify(spark, sf):
-    s = A.table(spark, sf, "part").filter("p_partkey <= 200").selectExpr("p_partkey", "1 + p_partkey % 4 AS across", "1 + p_partkey % 3 AS down")
-    s = s.withColumn("y", F.explode(F.expr("sequence(0L, down - 1)"))).withColumn("x", F.explode(F.expr("sequence(0L, across - 1)")))
-    return s.selectExpr("p_partkey", "x", "y", "y * across + x AS patch")
+    """Patches of 16 pixels a side and their positions; a side that is no multiple, or more than 12 patches, is an error."""
+    s = A.table(spark, sf, "part").selectExpr("p_partkey", "8 * (1 + p_partkey % 11) AS w", "8 * (1 + p_partkey % 7) AS h")
+    s = s.withColumn("error", F.expr("CASE WHEN w % 16 > 0 OR h % 16 > 0 THEN 'indivisible' WHEN (w div 16) * (h div 16) > 12 THEN 'too_many' END"))
+    s = s.withColumn("y", F.explode_outer(F.expr("CASE WHEN error IS NULL THEN sequence(0L, h div 16 - 1) END"))).withColumn("x", F.explode_outer(F.expr("CASE WHEN error IS NULL THEN sequence(0L, w div 16 - 1) END")))
+    return s.selectExpr("p_partkey", "error", "x", "y", "y * (w div 16) + x AS patch")

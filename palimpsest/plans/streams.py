@@ -14,11 +14,11 @@ from ..streaming import state as S
 @query(
     "E3_checkpoint_triggers",
     f"""WITH RECURSIVE {A.EV_STREAM}, base AS MATERIALIZED (SELECT session_id, event_index, type, payload, tokens, timestamp_us FROM ev_stream),
-s AS (SELECT session_id, -1::BIGINT AS event_index, 0::BIGINT AS context, 0::BIGINT AS carry, 0 AS n, NULL::BIGINT AS seen, NULL::VARCHAR AS reason, 0::BIGINT AS delta FROM (SELECT DISTINCT session_id FROM base)
-  UNION ALL SELECT session_id, event_index, context, CASE WHEN reason IS NULL THEN delta ELSE 0 END, CASE WHEN reason IS NULL THEN n ELSE 0 END, seen, reason, delta FROM (
-    SELECT b.session_id, b.event_index, s.context + b.tokens AS context, s.carry + b.tokens AS delta, s.n + 1 AS n, b.timestamp_us AS seen,
+s AS (SELECT session_id, -1::BIGINT AS event_index, 0::BIGINT AS context, 0::BIGINT AS carry, NULL::BIGINT AS seen, NULL::VARCHAR AS reason, 0::BIGINT AS delta FROM (SELECT DISTINCT session_id FROM base)
+  UNION ALL SELECT session_id, event_index, context, CASE WHEN reason IS NULL THEN delta ELSE 0 END, seen, reason, delta FROM (
+    SELECT b.session_id, b.event_index, s.context + b.tokens AS context, s.carry + b.tokens AS delta, b.timestamp_us AS seen,
       CASE WHEN b.payload LIKE 'signup%' THEN 'handoff' WHEN b.type = 'correction' THEN 'correction' WHEN s.carry + b.tokens >= 200 THEN 'max_delta' WHEN s.context + b.tokens >= 750 THEN 'pressure'
-        WHEN b.tokens > 50 AND s.n + 1 >= 3 THEN 'milestone' WHEN coalesce(b.timestamp_us - s.seen, 0) > 86400000000 THEN 'idle' END AS reason
+        WHEN b.type = 'tool' AND s.carry + b.tokens >= 60 THEN 'milestone' WHEN coalesce(b.timestamp_us - s.seen, 0) > 86400000000 AND s.carry + b.tokens > 0 THEN 'idle' END AS reason
     FROM s JOIN base b ON b.session_id = s.session_id AND b.event_index = s.event_index + 1))
 SELECT session_id, event_index, reason, delta FROM s WHERE reason IS NOT NULL""",
 )
@@ -55,12 +55,12 @@ def frame_carry(spark, sf):
     return c.selectExpr("session_id", "event_index", "total div 160 - (total - tokens) div 160 AS frames", "total % 160 AS carried")
 
 
-@query("I5_decode_holdback", "WITH t AS (SELECT doc_id, left(text, 30) || left('<end_of_turn>', CAST(doc_id % 14 AS INTEGER)) AS t FROM documents), k AS (SELECT doc_id, t, unnest(generate_series(1, 12)) AS n FROM t) SELECT doc_id, coalesce(max(n) FILTER (right(t, n) = left('<end_of_turn>', n)), 0) AS held, ends_with(any_value(t), '<end_of_turn>') AS stopped FROM k GROUP BY doc_id")
+@query("I5_decode_holdback", "WITH t AS (SELECT doc_id, text || left('<end_of_turn>', CAST(doc_id % 14 AS INTEGER)) AS t FROM documents), k AS (SELECT doc_id, t, unnest(generate_series(1, 12)) AS n FROM t) SELECT doc_id, coalesce(max(n) FILTER (right(t, n) = left('<end_of_turn>', n)), 0) AS held, ends_with(any_value(t), '<end_of_turn>') AS stopped FROM k GROUP BY doc_id")
 def decode_holdback(spark, sf):
     """How much of a decoded text must wait because a stop sequence may have begun."""
     from ..functions.text import overlap
 
-    t = F.expr("concat(left(text, 30), left('<end_of_turn>', CAST(doc_id % 14 AS INT)))")
+    t = F.expr("concat(text, left('<end_of_turn>', CAST(doc_id % 14 AS INT)))")
     return A.table(spark, sf, "documents").withColumn("t", t).select("doc_id", overlap(F.col("t"), F.lit("<end_of_turn>"), 12).alias("held"), F.expr("endswith(t, '<end_of_turn>')").alias("stopped"))
 
 

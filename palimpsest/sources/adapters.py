@@ -5,6 +5,8 @@ Each frame has a twin in SQL, a list of common table expressions for DuckDB.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +128,7 @@ def cert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "range_start AS covered_start",
         "range_end - CASE WHEN w % 11 = 0 THEN 1 ELSE 0 END AS covered_end",
         "filter(array('ed25519', 'hmac-sha256', 'ml-dsa-65'), (a, i) -> i < (w + k) % 4) AS signatures",
+        "k AS issued",
     )
 
 
@@ -134,10 +137,60 @@ CERT = (
     + """, cert AS (SELECT tenant_id, session_id, hash AS checkpoint_hash, sha256(concat_ws('|', hash, k)) AS certificate_id,
   CASE (user_id + w + k) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'correction_emitted' WHEN 2 THEN 'inconclusive' ELSE 'pass' END AS verdict,
   ((user_id + w + k) % 7)::DOUBLE / 10.0::DOUBLE AS drift_score, created_us + k - CASE WHEN w % 6 = 0 AND k = 2 THEN 1 ELSE 0 END AS created_us,
-  range_start AS covered_start, range_end - CASE WHEN w % 11 = 0 THEN 1 ELSE 0 END AS covered_end, ['ed25519', 'hmac-sha256', 'ml-dsa-65'][1:((w + k) % 4)::INT] AS signatures
+  range_start AS covered_start, range_end - CASE WHEN w % 11 = 0 THEN 1 ELSE 0 END AS covered_end, ['ed25519', 'hmac-sha256', 'ml-dsa-65'][1:((w + k) % 4)::INT] AS signatures, k AS issued
   FROM (SELECT *, unnest(CASE WHEN w % 3 = 0 THEN [1, 2] ELSE [1] END) AS k FROM ckpt WHERE level = 0))"""
 )
 
+ZERO = "0" * 64
+_ARTIFACTS = [hashlib.sha256(f"artifact-{i}".encode()).hexdigest() for i in (1, 2)]
+#: A manifest's identity, model, producer and storage, and what a request to thaw it wants; most agree.
+ABI_FIELDS = [
+    "'main' AS branch_id", "'m1' AS model_id", f"CASE WHEN user_id % 23 = 5 THEN 'not-a-hash' ELSE '{_ARTIFACTS[0]}' END AS artifact_hash", "'decoder' AS model_class", "'x86_64' AS architecture_tag",
+    "CASE WHEN w % 5 = 3 THEN 'int8_per_token' ELSE 'fp16' END AS kv_dtype", "CASE WHEN user_id % 17 = 4 THEN 'other' ELSE 'local' END AS want_tenant", "session_id AS want_session",
+    "CASE WHEN user_id % 19 = 7 THEN 'side' ELSE 'main' END AS want_branch", "CASE WHEN (user_id + w) % 13 = 6 THEN 'm2' ELSE 'm1' END AS want_model",
+    f"CASE WHEN (user_id + w) % 11 = 3 THEN '{_ARTIFACTS[1]}' ELSE '{_ARTIFACTS[0]}' END AS want_artifact", "CASE WHEN w % 4 = 0 THEN '' WHEN user_id % 7 = 2 THEN 'encoder' ELSE 'decoder' END AS want_class",
+    "CASE WHEN (user_id + w) % 12 = 5 THEN 'arm64' ELSE 'x86_64' END AS want_arch", "user_id % 2 = 0 AS replay_safe", "CASE WHEN user_id % 3 = 0 THEN 'int8_per_token' ELSE 'fp16' END AS approved_dtype",
+    f"CASE WHEN w % 9 = 4 THEN '{ZERO}' ELSE hash END AS expected_digest", f"CASE WHEN w % 9 = 5 THEN reverse(hash) WHEN w % 9 = 6 THEN '{ZERO}' ELSE hash END AS actual_digest",
+    "CASE WHEN w % 7 = 1 THEN 'local_file' ELSE 'memorydb_metadata' END AS metadata_tier", "CASE WHEN w % 7 = 2 THEN 'memorydb_metadata' WHEN w % 2 = 0 THEN 's3_express' ELSE 'local_file' END AS blob_tier",
+    "CASE WHEN w % 7 = 3 THEN '' ELSE 'meta/' || hash END AS metadata_uri", "CASE WHEN w % 7 = 4 THEN '' ELSE 'blob/' || hash END AS blob_uri",
+    "user_id % 2 = 1 AS rack_local", "w % 2 = 0 AS rdma_available", "user_id % 5 = 0 AS cross_az",
+]
+ABI = f"abi AS (SELECT *, {', '.join(ABI_FIELDS)} FROM ckpt)"
+
+
+def abi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints with the fields of their manifests and of a request for each."""
+    return ckpt(spark, sf_dir).selectExpr("*", *ABI_FIELDS)
+
+
+_REPAIR = ["hash AS target", "CASE WHEN w % 2 = 0 THEN 'info' ELSE 'blocking' END AS severity", "w % 6 = 1 AS interrupts"]
+
+
+def checkpoint_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of every third level-0 checkpoint: its hash, others that they invalidate, severity."""
+    return ckpt(spark, sf_dir).filter("level = 0 AND w % 3 = 1").selectExpr("user_id", "w", *_REPAIR, "IF(w % 2 = 0, array(hash, reverse(hash)), array(reverse(hash))) AS invalidated")
+
+
+CHECKPOINT_CORRECTIONS = f"cor AS (SELECT user_id, w, {', '.join(_REPAIR)}, CASE WHEN w % 2 = 0 THEN [hash, reverse(hash)] ELSE [reverse(hash)] END AS invalidated FROM ckpt WHERE level = 0 AND w % 3 = 1)"
+
+
+def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives of several facts, for every fifth conversation one, for every tenth a second one without an id, in order."""
+    conv = table(spark, sf_dir, "conversations").filter("conv_id % 5 = 0")
+    word = lambda turn: F.max(F.expr(f"CASE WHEN turn = {turn} THEN regexp_extract(text, '[A-Za-z]{{5,}}', 0) END"))
+    c = conv.groupBy("conv_id").agg(F.coalesce(word(0), F.lit("")).alias("one"), F.coalesce(word(1), F.lit("")).alias("two"), F.max("turn").alias("correction_index"))
+    c = c.withColumn("directive_index", F.expr("explode(CASE WHEN conv_id % 10 = 0 THEN array(0, 1) ELSE array(0) END)"))
+    return c.selectExpr(
+        "CAST(conv_id AS STRING) AS session_id", "CASE WHEN directive_index = 0 THEN concat('z-', conv_id) ELSE '' END AS correction_id", "directive_index",
+        "CASE WHEN directive_index = 0 THEN array(one, two, '') ELSE array(two) END AS facts", "correction_index", "CASE (conv_id + directive_index) % 3 WHEN 0 THEN 'prior_events' WHEN 1 THEN 'checkpoint_range' ELSE 'global' END AS scope",
+    )
+
+
+DIRECTIVES = """dir AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN k = 0 THEN 'z-' || conv_id ELSE '' END AS correction_id, k AS directive_index, CASE WHEN k = 0 THEN [one, two, ''] ELSE [two] END AS facts,
+  correction_index, CASE (conv_id + k) % 3 WHEN 0 THEN 'prior_events' WHEN 1 THEN 'checkpoint_range' ELSE 'global' END AS scope
+  FROM (SELECT *, unnest(CASE WHEN conv_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS k FROM (SELECT conv_id, coalesce(max(CASE WHEN turn = 0 THEN regexp_extract(text, '[A-Za-z]{5,}') END), '') AS one,
+    coalesce(max(CASE WHEN turn = 1 THEN regexp_extract(text, '[A-Za-z]{5,}') END), '') AS two, max(turn) AS correction_index FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id)))"""
+
 CONDITIONS = ("raw_oracle", "rolling_summary", "dpm_phase3_checkpoint", "rolling_summary_plus_dpm_gate")
 _CONDITION = "CASE doc_id % 4 WHEN 0 THEN 'raw_oracle' WHEN 1 THEN 'rolling_summary' WHEN 2 THEN 'dpm_phase3_checkpoint' ELSE 'rolling_summary_plus_dpm_gate' END"
 

@@ -21,13 +21,13 @@ class Policy:
     max_delta: int = 200
     context: int = 1000
     ratio: float = 0.75
-    milestone: int = 50
-    min_events: int = 3
+    min_delta: int = 60
+    milestone: str = "tool"
     idle_us: int = 86_400_000_000
 
 
-def trigger(policy: Policy, kind: str, payload: str, tokens: int, gap: int, context: int, delta: int, events: int) -> str | None:
-    """context, delta and events count this event too; the context never falls."""
+def trigger(policy: Policy, kind: str, payload: str, gap: int, context: int, delta: int) -> str | None:
+    """context and delta, the tokens since the last checkpoint, count this event too; the context never falls."""
     if payload.startswith("signup"):
         return "handoff"
     if kind == "correction":
@@ -36,27 +36,27 @@ def trigger(policy: Policy, kind: str, payload: str, tokens: int, gap: int, cont
         return "max_delta"
     if context >= policy.context * policy.ratio:
         return "pressure"
-    if tokens > policy.milestone and events >= policy.min_events:
+    if kind == policy.milestone and delta >= policy.min_delta:
         return "milestone"
-    return "idle" if gap > policy.idle_us else None
+    return "idle" if gap > policy.idle_us and delta > 0 else None
 
 
 def triggers(log: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """log (session_id, event_index, type, payload, tokens, timestamp_us) -> the events that trigger, with the reason and
     the tokens since the checkpoint before. A fold of Catalyst's over each session's events."""
     event = F.struct("event_index", "type", "payload", "tokens", "timestamp_us")
-    start = F.expr("named_struct('context', 0L, 'delta', 0L, 'events', 0, 'at', CAST(NULL AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<event_index: BIGINT, reason: STRING, delta: BIGINT>>))")
+    start = F.expr("named_struct('context', 0L, 'delta', 0L, 'at', CAST(NULL AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<event_index: BIGINT, reason: STRING, delta: BIGINT>>))")
 
     def step(a: Column, e: Column) -> Column:
-        context, delta, events = a["context"] + e["tokens"], a["delta"] + e["tokens"], a["events"] + 1
+        context, delta = a["context"] + e["tokens"], a["delta"] + e["tokens"]
         gap = F.coalesce(e["timestamp_us"] - a["at"], F.lit(0))
         reason = (
             F.when(e["payload"].startswith("signup"), "handoff").when(e["type"] == "correction", "correction").when(delta >= policy.max_delta, "max_delta").when(context >= policy.context * policy.ratio, "pressure")
-            .when((e["tokens"] > policy.milestone) & (events >= policy.min_events), "milestone").when(gap > policy.idle_us, "idle")
+            .when((e["type"] == policy.milestone) & (delta >= policy.min_delta), "milestone").when((gap > policy.idle_us) & (delta > 0), "idle")
         )
         hit = reason.isNotNull()
         out = F.when(hit, F.concat(a["out"], F.array(F.struct(e["event_index"].alias("event_index"), reason.alias("reason"), delta.cast("long").alias("delta"))))).otherwise(a["out"])
-        return F.struct(context.cast("long").alias("context"), F.when(hit, 0).otherwise(delta).cast("long").alias("delta"), F.when(hit, 0).otherwise(events).cast("int").alias("events"), e["timestamp_us"].alias("at"), out.alias("out"))
+        return F.struct(context.cast("long").alias("context"), F.when(hit, 0).otherwise(delta).cast("long").alias("delta"), e["timestamp_us"].alias("at"), out.alias("out"))
 
     folded = log.groupBy("session_id").agg(F.aggregate(F.array_sort(F.collect_list(event)), start, step)["out"].alias("out"))
     return folded.select("session_id", F.inline("out"))
@@ -66,19 +66,19 @@ def trigger_stream(log: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The live twin: rows of a session arrive in order of event_index within a batch and between batches."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        context, delta, events, at = state.get if state.exists else (0, 0, 0, -1)
+        context, delta, at = state.get if state.exists else (0, 0, -1)
         rows = []
         for e in pd.concat(list(batches)).sort_values("event_index").itertuples():
-            context, delta, events = context + int(e.tokens), delta + int(e.tokens), events + 1
-            reason = trigger(policy, e.type, e.payload, e.tokens, 0 if at < 0 else e.timestamp_us - at, context, delta, events)
+            context, delta = context + int(e.tokens), delta + int(e.tokens)
+            reason = trigger(policy, e.type, e.payload, 0 if at < 0 else e.timestamp_us - at, context, delta)
             at = int(e.timestamp_us)
             if reason:
                 rows.append((key[0], int(e.event_index), reason, delta))
-                delta = events = 0
-        state.update((context, delta, events, at))
+                delta = 0
+        state.update((context, delta, at))
         yield pd.DataFrame(rows, columns=["session_id", "event_index", "reason", "delta"])
 
-    return log.groupBy("session_id").applyInPandasWithState(run, "session_id string, event_index long, reason string, delta long", "context long, delta long, events int, at long", "append", "NoTimeout")
+    return log.groupBy("session_id").applyInPandasWithState(run, "session_id string, event_index long, reason string, delta long", "context long, delta long, at long", "append", "NoTimeout")
 
 
 def held_back(text: str, mark: str) -> int:

@@ -28,7 +28,7 @@ def test_record_correct_prompt(spark, engine):
     rows = {r.event_index: r for r in engine.events().filter("session_id = 's'").collect()}
     assert sorted(rows) == [0, 1, 2, 3] and rows[1].tool_call_id == "tool-2" and rows[3].step_index == 4
     prompt = engine.prompt().filter("session_id = 's'").first().rendered.split("\n")
-    assert prompt[0] == "[1] internal: [REVOKED by c1]" and prompt[3] == "[4] model: blue again"
+    assert prompt[0].startswith("[1] internal: REVOKED_BY_CORRECTION: this event contained 1 invalidated fact(s)") and "correction_id(s): c1. " in prompt[0] and prompt[3] == "[4] model: blue again"
     assert engine.events(since=2).count() == 2 and engine.events(most=1).count() == 2
     assert engine.memory(200).count() == 2
 

@@ -59,8 +59,8 @@ def test_diamonds_count_once(spark):
 
 
 def test_latest_certificate_ties(spark):
-    c = spark.createDataFrame([("k", "b", 5), ("k", "a", 5), ("k", "c", 4)], "checkpoint_hash string, certificate_id string, created_us long")
-    assert audit.latest(c).first().certificate_id == "a"
+    c = spark.createDataFrame([("k", "b", 5, 1), ("k", "a", 5, 2), ("k", "c", 4, 0)], "checkpoint_hash string, certificate_id string, created_us long, issued int")
+    assert audit.latest(c).first().certificate_id == "b"
 
 
 def test_checkpoint_range_behaves_as_global(spark):
