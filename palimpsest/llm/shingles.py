@@ -2,8 +2,8 @@
 
 Candidates: in any order of all shingles, two such sets share l of the first n - ceil(similarity * n) + l shingles of the one
 whose prefix ends first, and those are in the other's prefix too (prefix filter). So a text stays only if the smallest l that
-a partner can have of its prefix is in other prefixes; others go, in ROUNDS rounds, and what remains of texts of sizes that fit
-is chained by common shingles. Shingles that are frequent in a sample of SAMPLE texts come last in the order; it affects the
+a partner can have of its prefix is in other prefixes; others go, and what remains of texts of sizes that fit is chained by
+common shingles. Shingles that are frequent in a sample of SAMPLE texts come last in the order; it affects the
 cost only.
 
 Links: in each component of candidates the sets are compared in full, over an inverted list of the component's shingles.
@@ -31,7 +31,6 @@ SAMPLE = 4096
 FREQUENT = 1 << 16
 #: A prefix must share this part of the set's shingles.
 PART = 0.1
-ROUNDS = 2
 #: Shingles and nodes of a chunk, about.
 CHUNK, NODES = 1 << 20, 4096
 
@@ -61,6 +60,16 @@ def prefix_length(n: int, similarity: float) -> int:
     return min(n, n - least(n, similarity) + due(n))
 
 
+def simhash(s: np.ndarray) -> bytes:
+    """64 bits, each set if more than half of the shingles have it."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 15):
+        bits = np.unpackbits(s[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for lo in range(0, len(bits), 255):  # sums of bytes: less than 256 rows do not overflow
+            count += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(s), bitorder="little").tobytes()
+
+
 def name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.astype("<u8").tobytes()).digest()[:8], "little") >> 1
 
@@ -118,15 +127,15 @@ def frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, *, width: int, similarity: float) -> DataFrame:
-    """docs (doc_id long, text binary) -> doc_id, digest (the text's MD5), node (its set's name), size,
-    need (how many shingles of the prefix a similar set has in its own), prefix."""
+    """docs (doc_id long, text binary) -> doc_id, digest (the text's MD5), node (its set's name), fp (the set's SimHash), size,
+    prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = frequent.value
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
-            node, size, need, prefix = [], [], [], []
+            node, fp, size, prefix = [], [], [], []
             for t in texts:
                 s = shingles(t, width)
                 weight = np.zeros(len(s), np.int64)
@@ -134,29 +143,30 @@ def prefixes(docs: DataFrame, *, width: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, count[at], 0)
                 node.append(name(s))
+                fp.append(simhash(s))
                 size.append(len(s))
-                need.append(min(due(least(len(s), similarity)), least(len(s), similarity)))
                 prefix.append(s[np.lexsort((s, weight))[: prefix_length(len(s), similarity)]].view(np.int64))
             digest = pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string())
-            columns = [b.column("doc_id"), digest, pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(need, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "size", "need", "prefix"])
+            columns = [b.column("doc_id"), digest, pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "fp", "size", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, digest string, node long, size long, need long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest string, node long, fp binary, size long, prefix array<long>")
 
 
 def candidates(prints: DataFrame, *, similarity: float) -> DataFrame:
-    """prints (node, size, need, prefix), stored -> (a, b): links that connect all pairs of similarity or more."""
+    """prints (node, size, prefix), stored -> (a, b): links that connect all pairs of similarity or more. Entries are shuffled
+    as they are once, by shingle; what is left, few, by node and once more by shingle."""
     by_node = Window.partitionBy("shingle").orderBy("node")
     whole = by_node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entries = prints.select("node", "size", "need", F.explode("prefix").alias("shingle"))
-    for _ in range(ROUNDS):
-        met = entries.select("*", F.lag("node").over(by_node).alias("before"), F.first("node").over(whole).alias("low"), F.last("node").over(whole).alias("high"))
-        shared = stored(met.filter("low <> high AND (before IS NULL OR before <> node)").select("node", "size", "need", "shingle"), "shared")
-        enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("node")
-        entries = shared.join(enough, "node", "left_semi")
+    entries = prints.select("node", "size", F.explode("prefix").alias("shingle"))
+    met = entries.withColumns({"before": F.lag("node").over(by_node), "low": F.first("node").over(whole), "high": F.last("node").over(whole)})
+    shared = met.filter("low <> high AND (before IS NULL OR before <> node)").select("node", "size", "shingle")
+    smallest = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
+    need = F.least(smallest, F.greatest(F.lit(1), F.floor(F.lit(PART) * smallest)))
+    likely = shared.withColumn("n", F.count("*").over(Window.partitionBy("node"))).filter(F.col("n") >= need).select("node", "size", "shingle")
     by_size = Window.partitionBy("shingle").orderBy("size", "node")
-    met = entries.select(F.col("node").alias("a"), F.lag("node").over(by_size).alias("b"), "size", F.lag("size").over(by_size).alias("smaller"))
-    return met.filter(F.col("smaller") / F.col("size") >= similarity).select("a", "b").distinct()
+    chain = likely.select(F.col("node").alias("a"), F.lag("node").over(by_size).alias("b"), "size", F.lag("size").over(by_size).alias("smaller"))
+    return chain.filter(F.col("smaller") / F.col("size") >= similarity).select("a", "b").distinct()
 
 
 def exact_links(members: DataFrame, heads: DataFrame, *, width: int, similarity: float) -> DataFrame:

@@ -294,19 +294,23 @@ def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
-def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, limit: int = 3) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group of near copies: the one with the smallest doc_id, rows without
     one last, ties by the text's digest.
 
     Groups are the components of documents whose sets of width-word shingles have a Jaccard similarity of at least
-    similarity. Fingerprints only estimate it, so the sets themselves are compared: see shingles.py.
+    similarity. The forest of vantage-point trees finds the pairs whose SimHash differs in at most limit bits; as fingerprints
+    only estimate the similarity, a prefix filter adds the pairs that they miss, and the sets of all candidates are compared in
+    full, which decides: see shingles.py.
     """
     key = lambda: F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("k")
     tag = F.concat_ws("|", F.col("k.doc_id").cast("string"), "k.digest").alias("_palimpsest_kept")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = stored(shingles.prefixes(rows, width=width, similarity=similarity), "prints")
-    met = spread(shingles.candidates(prints, similarity=similarity))
+    masks, radius = equal_parts(64, limit)
+    near = links(stored(prints.groupBy("node").agg(F.first("fp").alias("fp")), "nodes"), limit=limit, masks=masks, radius=radius)
+    met = spread(near.unionByName(shingles.candidates(prints, similarity=similarity)).distinct())
     heads = stored(prints.join(met, "node").groupBy("node", "label").agg(first, F.first("size").alias("size")).select("node", "label", "size", tag), "heads")
     members = rows.withColumn("_palimpsest_kept", key()).join(heads, "_palimpsest_kept")
     groups = spread(shingles.exact_links(members, heads, width=width, similarity=similarity))
