@@ -1,11 +1,9 @@
 """Document fingerprints: improbable-feature digests.
 
-Features are the FEATURE-byte windows of a text. A window's rarity rank comes from the entropy of its bytes: the
-further from TYPICAL, that of running prose, the rarer; windows of less than LEAST bits (runs of one byte) never
-count. In every SPAN windows in a row the leftmost rarest one scores a point; those with at least VOTES points are
-selected. A text of less than SMALL bytes has few of these, so all its GRAM-byte windows count as features too (its
-whole content, if it is shorter still). Each feature sets HASHES bits in a Bloom filter of BITS bits; after CAPACITY
-features the next filter of the chain begins. The empty text has no filter.
+Features are the FEATURE-byte windows of a text, one at each of its bytes, with bytes 0 after its end. A window is the rarer the
+higher the entropy of its bytes: prose repeats letters. In every SPAN windows in a row (or in all, if a text has fewer) the
+leftmost rarest one is selected. Each selected feature, where the text has it first, sets HASHES bits in a Bloom filter of BITS
+bits; after CAPACITY features the next filter of the chain begins. The empty text has no filter. This holds for all lengths.
 
 Likeness of two chains: for every filter of the shorter chain the best match in the longer one, where a match is the
 share of common bits above what two random filters of these sizes share; mean over the filters, from 0 to 1.
@@ -27,72 +25,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURE = 32
-SPAN = 32
-VOTES = 8
-SMALL = 256
-GRAM = 8
+FEATURE = 16
+SPAN = 16
 BITS = 2048
-HASHES = 5
-CAPACITY = 160
-TYPICAL = 3.6
-LEAST = 1.0
+HASHES = 3
+CAPACITY = 320
 #: Bytes that are ranked together.
 CHUNK = 1 << 17
+#: The rank of a window that belongs to no text.
+NONE = 1 << 30
 
 _MULT = (np.random.default_rng(20).integers(0, 2**63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _COUNT = np.arange(FEATURE + 2, dtype=np.float64)
 _PLOGP = np.round(_COUNT * np.log2(np.maximum(_COUNT, 1)) * 4096).astype(np.int32)
 _STEP = (_PLOGP[1:] - _PLOGP[:-1]).astype(np.int32)
-_FULL = int(_PLOGP[FEATURE])
 
 
 def _rank(x: np.ndarray) -> np.ndarray:
-    """Rank of the window at each byte but the last FEATURE - 1: small is rare, 0xFFFF never counts."""
+    """Rank of the window at each byte but the last FEATURE - 1: small is rare. It is the sum of c log c over the counts of its
+    bytes, which falls as the entropy rises."""
     n, w = len(x), FEATURE
     back, fore = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     for lag in range(1, w):
         same = (x[lag:] == x[:-lag]).view(np.uint8)
         back[lag:] += same
         fore[:-lag] += same
-    # sum of c log c over a window that moves by one byte: the byte that leaves, the byte that enters
+    # a window that moves by one byte: the byte that leaves, the byte that enters; fore counts equal bytes among the next w - 1,
+    # back among the last w - 1: the w - 1 bytes that stay
     first = int(_PLOGP[np.bincount(x[:w], minlength=256)].sum())
     moves = _STEP[back[w:]] - _STEP[fore[: n - w]]
-    # fore counts equal bytes among the next w - 1, back among the last w - 1: the w - 1 bytes that stay
-    total = np.concatenate([[first], first + np.cumsum(moves, dtype=np.int64)])
-    entropy = (_FULL - total) / (4096.0 * w)
-    return np.where(entropy < LEAST, 0xFFFF, 8000 - np.minimum(np.abs(entropy - TYPICAL) * 2000, 8000).astype(np.int64)).astype(np.int64)
-
-
-def _selected(rank: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions with at least VOTES points; ends[i]: end of the run of windows that belongs with i. A run shorter
-    than SPAN is one row of windows."""
-    n = len(rank)
-    if not n:
-        return np.zeros(0, np.int64)
-    low = (rank << 24) | np.arange(n)
-    best, width = low.copy(), 1
+    return np.concatenate([[first], first + np.cumsum(moves, dtype=np.int64)])
+
+
+def _selected(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Windows that are the leftmost rarest of a span; starts and ends: of each text's windows, at least SPAN apart from the
+    next text's, with NONE between."""
+    low = (rank << 24) | np.arange(len(rank))
+    best, width = low, 1
     while width < SPAN:
         step = min(width, SPAN - width)
-        nxt = best.copy()
-        nxt[:-step] = np.minimum(best[:-step], best[step:])
-        best, width = nxt, width + step
-    at = np.arange(n)
-    full = at + SPAN <= ends
-    votes = np.bincount(best[full & ((best >> 24) < 0xFFFF)] & 0xFFFFFF, minlength=n)
-    return np.flatnonzero(votes >= VOTES)
+        best = np.minimum(best, np.concatenate([best[step:], np.full(min(step, len(best)), NONE << 24)])[: len(best)])
+        width += step
+    mark = np.zeros(len(rank) + 1, np.int32)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, np.maximum(starts + 1, ends - SPAN + 1), -1)  # the first span of a short text is all of it
+    return np.unique(best[np.cumsum(mark[:-1]) > 0] & 0xFFFFFF)
 
 
-def _hash(x: np.ndarray, at: np.ndarray, width: int = FEATURE) -> np.ndarray:
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, width)[at]).view("<u8")
+def _hash(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, FEATURE)[at]).view("<u8")
     h = np.zeros(len(at), np.uint64)
-    for k in range(width // 8):
+    for k in range(FEATURE // 8):
         h = (h ^ words[:, k]) * _MULT[k]
         h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(32))
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """In order of first place."""
+    return hashes[np.sort(np.unique(hashes, return_index=True)[1])]
+
+
 def features(texts: list[bytes]) -> list[np.ndarray]:
     """64-bit hashes of each text's selected features, in order of place."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
@@ -102,53 +96,42 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     def flush() -> None:
         nonlocal group, held
         if group:
-            x = np.frombuffer(b"".join([texts[i] for i in group]), np.uint8)
-            stops = np.cumsum([len(texts[i]) for i in group])
+            x = np.frombuffer(b"".join([texts[i] + bytes(FEATURE) for i in group]), np.uint8)
+            size = np.array([len(texts[i]) for i in group])
+            starts = np.concatenate([[0], np.cumsum(size + FEATURE)[:-1]])
             rank = _rank(x)
-            doc = np.repeat(np.arange(len(group)), np.diff(stops, prepend=0))[: len(rank)]
-            ends = (stops - FEATURE + 1)[doc]
-            rank[np.arange(len(rank)) >= ends] = 0xFFFF
-            sel = _selected(rank, ends)
-            hashes, owner = _hash(x, sel) if len(sel) else np.zeros(0, np.uint64), doc[sel]
+            inside = np.zeros(len(rank) + 1, np.int32)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, starts + size, -1)
+            sel = _selected(np.where(np.cumsum(inside[:-1]) > 0, rank, NONE), starts, starts + size)
+            hashes = _hash(x, sel)
+            cuts = np.searchsorted(sel, np.append(starts, len(x)))
             for k, i in enumerate(group):
-                lo, hi = np.searchsorted(owner, [k, k + 1])
-                out[i] = hashes[lo:hi]
+                out[i] = _distinct(hashes[cuts[k] : cuts[k + 1]])
         group, held = [], 0
 
     for i, t in enumerate(texts):
-        if len(t) < FEATURE:
-            continue
         if len(t) > CHUNK:
             out[i] = _long(t)
-            continue
-        if held + len(t) > CHUNK:
-            flush()
-        group.append(i)
-        held += len(t)
+        elif t:
+            if held + len(t) > CHUNK:
+                flush()
+            group.append(i)
+            held += len(t) + FEATURE
     flush()
-    for i, t in enumerate(texts):
-        if GRAM <= len(t) < SMALL:
-            x = np.frombuffer(t, np.uint8)
-            out[i] = np.concatenate([out[i], _hash(x, np.arange(len(x) - GRAM + 1), GRAM)])
-        elif not len(out[i]) and t:
-            out[i] = np.frombuffer(hashlib.sha256(t).digest()[:8], np.uint64)
     return out
 
 
 def _long(text: bytes) -> np.ndarray:
-    """As for a short text, a stretch at a time; stretches overlap by what the votes of a window depend on."""
-    x = np.frombuffer(text, np.uint8)
-    windows, reach, found = len(x) - FEATURE + 1, SPAN, []
+    """As for a short text, a stretch at a time; stretches overlap by what the choice of a window depends on."""
+    x = np.frombuffer(text + bytes(FEATURE), np.uint8)
+    windows, found = len(text), []
     for lo in range(0, windows, CHUNK):
         hi = min(windows, lo + CHUNK)
-        a, b = max(0, lo - reach), min(windows, hi + reach)
-        part = x[a : b + FEATURE - 1]
-        rank = _rank(part)
-        sel = _selected(rank, np.full(len(rank), len(rank))) + a
-        sel = sel[(sel >= lo) & (sel < hi)]
-        if len(sel):
-            found.append(_hash(x[lo : hi + FEATURE - 1], sel - lo))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        a, b = max(0, lo - SPAN), min(windows, hi + SPAN)
+        sel = _selected(_rank(x[a : b + FEATURE - 1]), np.array([0]), np.array([b - a])) + a
+        found.append(_hash(x, sel[(sel >= lo) & (sel < hi)]))
+    return _distinct(np.concatenate(found))
 
 
 def chain(hashes: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@ import cmath
 import hashlib
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -69,21 +70,68 @@ def test_tone_has_its_bin():
     assert (np.abs(p[:, band] - 1000 * media.FRAME / 8000) <= 1).mean() > 0.95
 
 
-def brute_rank(x):
-    out = []
-    for i in range(len(x) - digest.FEATURE + 1):
-        c = np.bincount(x[i : i + digest.FEATURE])
-        p = c[c > 0] / digest.FEATURE
-        h = -(p * np.log2(p)).sum()
-        out.append(0xFFFF if h < digest.LEAST else 8000 - min(abs(h - digest.TYPICAL) * 2000, 8000))
-    return np.array(out)
-
-
-def test_ranks_are_entropies(texts):
-    for t in list(texts.values())[:10]:
-        x = np.frombuffer(t.encode()[:2000], np.uint8)
-        if len(x) >= digest.FEATURE:
-            assert np.abs(digest._rank(x) - brute_rank(x)).max() <= 2
+def brute_features(data):
+    """Plain loops: entropy by counting, the rarest of each span, windows as bytes in order of first place."""
+    n, padded = len(data), data + bytes(digest.FEATURE)
+    windows = [padded[i : i + digest.FEATURE] for i in range(n)]
+    entropy = [-sum(c / digest.FEATURE * math.log2(c / digest.FEATURE) for c in Counter(w).values()) for w in windows]
+    chosen = set()
+    for at in range(max(1, n - digest.SPAN + 1)) if n else []:
+        span = range(at, min(n, at + digest.SPAN))
+        top = max(entropy[i] for i in span)
+        chosen.add(next(i for i in span if entropy[i] > top - 1e-9))
+    return list(dict.fromkeys(windows[i] for i in sorted(chosen)))
+
+
+def test_features_match_brute_force(texts):
+    """Where entropies that are equal in exact numbers are equal in the module's, the same windows are chosen."""
+    some = ["", "a", "short one", "a" * 500, "ab" * 100, "Lorem ipsum " * 9] + [t[:700] for t in list(texts.values())[:25]]
+    for t, got in zip(some, digest.features([t.encode() for t in some])):
+        want = np.frombuffer(b"".join(brute_features(t.encode())), np.uint8)
+        want = digest._hash(want, np.arange(0, len(want), digest.FEATURE)) if len(want) else np.zeros(0, np.uint64)
+        assert got.tolist() == want.tolist(), t
+
+
+def brute_likeness(a, b):
+    """Chains of sets of bits of the features."""
+    def chained(features):
+        out = []
+        for at in range(0, len(features), digest.CAPACITY):
+            out.append({int(h) >> 11 * k & digest.BITS - 1 for h in features[at : at + digest.CAPACITY] for k in range(digest.HASHES)})
+        return out
+
+    a, b = sorted((chained(a), chained(b)), key=len)
+    if not a:
+        return float(not b)
+    best = []
+    for x in a:
+        ratios = []
+        for y in b:
+            chance = len(x) * len(y) / digest.BITS
+            ratios.append(min(1.0, max(0.0, (len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9))))
+        best.append(max(ratios))
+    return sum(best) / len(best)
+
+
+def test_likeness_matches_brute_force(texts):
+    some = [t.encode() for t in list(texts.values())[:25]] + [b"", b"x", b"a" * 5000, b"a" * 5001]
+    found = digest.features(some)
+    for i, a in enumerate(found):
+        for b in found[i : i + 4]:
+            assert abs(digest.likeness(digest.chain(a), digest.chain(b)) - brute_likeness(a, b)) < 1e-9
+    assert digest.likeness(digest.chain(found[-1]), digest.chain(found[-2])) == 1.0
+
+
+def test_short_edited_texts_and_strangers_are_apart():
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(800)]
+    for size in (100, 200, 300):
+        texts = [" ".join(rng.choice(words, 80))[:size] for _ in range(60)]
+        own = [digest.chain(f) for f in digest.features([t.encode() for t in texts])]
+        other = [digest.chain(f) for f in digest.features([digest.edited(t, n).encode() for t, n in zip(texts, texts[1:] + texts[:1])])]
+        near = [digest.likeness(a, e) for a, e in zip(own, other)]
+        far = [digest.likeness(a, n) for a, n in zip(own, own[1:] + own[:1])]
+        assert min(near) > max(far) and np.mean(near) > 0.25
 
 
 def test_features_do_not_depend_on_company(texts, monkeypatch):
