@@ -83,6 +83,32 @@ def test_sharding(docs, texts):
     assert all(abs(sums.get(s, 0) - mean) <= most + 0.01 * mean for s in range(16))
 
 
+def test_groups_stay_whole(docs, spark):
+    """Groups of copies of up to a shard are in one shard each, and sizes stay near equal."""
+    rows = [(100 * g + i, f"group {g} " * (5 + g)) for g in range(40) for i in range(3 * g)] + [(10_000 + i, f"text {i} " * 20) for i in range(2000)]
+    for df, near in ((docs, None), (spark.createDataFrame(rows, "doc_id long, text string"), 0.02)):
+        out = sharding.shard(df).collect()
+        sums, of, size = defaultdict(int), defaultdict(set), defaultdict(int)
+        for r in out:
+            sums[r.shard] += r.size
+            of[r.group_md5].add(r.shard)
+            size[r.group_md5] += r.size
+        mean = sum(sums.values()) / 16
+        assert all(len(of[g]) == 1 for g in of if size[g] <= mean)
+        assert near is None or all(abs(v - mean) <= near * mean + 200 for v in sums.values())
+
+
+def test_overfull_ranges_are_split(spark, monkeypatch):
+    """Few keys drawn, one text in most rows: ranges end up small, and the result does not depend on them."""
+    rows = [(i, "same words " * 20) for i in range(2000)] + [(5000 + i, f"text {i} " * 20) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = lambda r: (r.doc_id, r.shard, r.slot)
+    want = sorted(map(key, sharding.shard(df).collect()))
+    monkeypatch.setattr(sharding, "RANGES", 40)
+    monkeypatch.setattr(sharding, "DRAWN", 2)
+    assert sorted((d, s) for d, s, _ in map(key, sharding.shard(df).collect())) == [(d, s) for d, s, _ in want]
+
+
 def test_sharding_splits_one_hot_text(spark):
     rows = [(i, "same words " * 20) for i in range(3000)] + [(5000 + i, f"text {i} " * 20) for i in range(3000)]
     out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
