@@ -35,7 +35,7 @@ DEPTH = 3
 RANK_SALTS = 64
 #: A text is tokenized in slices of about so many bytes.
 SLICE = 1 << 22
-#: Chunks between white space, and words in them, whose ids a worker keeps.
+#: Chunks between white space, and words in them, whose ids a worker keeps: twice as many at most, some 200 bytes each.
 CACHE = 1 << 17
 
 #: A chunk that is a word and trailing ASCII punctuation; the tokenizer too ends a token between the two, as long as the
@@ -54,6 +54,25 @@ def _parts(chunk: bytes) -> tuple[bytes, ...]:
     return tuple(g.encode() for g in m.groups()) if m and _letter(m[1][-1]) else (chunk,)
 
 
+class Recent:
+    """A cache of two generations: what is asked for stays, what is not goes with its generation."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, key: bytes) -> bytes | None:
+        found = self.young.get(key)
+        return self.old.get(key) if found is None else found
+
+    def add(self, entries: dict[bytes, bytes]) -> None:
+        """The new entries, however many, can be found until the next call."""
+        if len(self.young) + len(entries) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(entries)
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and no token crosses it, so a text's ids are those
     of its chunks between ASCII white space, and chunks recur; so do words without the punctuation after them."""
@@ -63,18 +82,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.chunks = Recent(CACHE)
 
     def learn(self, chunks: list[bytes]) -> None:
         split = {c: _parts(c) for c in chunks}
-        new = list({p for parts in split.values() for p in parts if p not in self.parts})
+        own = {p: i for p in {p for parts in split.values() for p in parts} if (i := self.chunks.get(p)) is not None}
+        new = list({p for parts in split.values() for p in parts if p not in own})
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                self.parts[c] = np.array(e.ids, dtype="<u4").tobytes()
-        for c, parts in split.items():
-            self.chunks[c] = b"".join([self.parts[p] for p in parts])
+                own[c] = np.array(e.ids, dtype="<u4").tobytes()
+        self.chunks.add({c: b"".join([own[p] for p in parts]) for c, parts in split.items()} | {p: own[p] for p in new})
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -84,14 +102,13 @@ class Encoder:
             while end < len(text) and text[end : end + 1] not in b" \t\n\r\x0b\x0c":
                 end += 1
             chunks = text[at:end].split()
-            found = list(map(self.chunks.get, chunks))
+            found = list(map(self.chunks.young.get, chunks))
             if None in found:
-                for known in (self.chunks, self.parts):
-                    if len(known) > CACHE:
-                        known.clear()
-                missing = {c for c in chunks if c not in self.chunks}
-                self.learn(list(missing))
-                found = list(map(self.chunks.__getitem__, chunks))
+                missing = {c for c, f in zip(chunks, found) if f is None}
+                known = {c: f for c in missing if (f := self.chunks.old.get(c)) is not None}
+                self.chunks.add(known)
+                self.learn([c for c in missing if c not in known])
+                found = [f if f is not None else self.chunks.get(c) for c, f in zip(chunks, found)]
             out.append(b"".join(found))
             at = end
         return b"".join(out)
