@@ -32,6 +32,25 @@ def test_stages(spark, sf, docs):
     assert placed.filter("piece = 0").count() == mixed.count()
 
 
+def test_stages_on_odd_rows(spark, sf, odd, odd_rows, none):
+    """Nulls, long and empty texts, repeated rows, clashing columns; every stage by itself, and an empty table."""
+    clash = odd.withColumnsRenamed({"score": "lang_pred", "fp": "family", "bin": "copy", "rid": "taken", "key": "node"}) if "key" in odd.columns else odd
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, none, sf).count() == 0, name
+        out = f(spark, clash, sf)
+        rows = out.collect()
+        assert name == "sequences" or out.columns == clash.columns, name
+        texts = [r[1] for r in odd_rows]
+        if name == "language":
+            assert sorted(r.size for r in rows) == [i for i, t in enumerate(texts) if langid.has_letter(t)] and all(r.lang for r in rows)
+        if name == "near_copies":
+            assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 1, 5, 6, 7, 9, 10, 11, 12] and len([r for r in rows if r.doc_id is None]) == 1
+        if name == "personal_data":
+            assert len(rows) == len(odd_rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        if name == "sequences":
+            assert sum(r.piece == 0 for r in rows) == len(odd_rows)
+
+
 def overlap(a, b):
     x, y = ({*zip(*(t.lower().split()[k:] for k in range(5)))} or {t} for t in (a, b))
     return len(x & y) / len(x | y)
