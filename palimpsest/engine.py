@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -40,11 +42,21 @@ class Engine:
         new.unpersist()
         return n
 
+    def correct(self, corrections: DataFrame) -> int:
+        """corrections (tenant_id, session_id, correction_id, invalidated_facts, replacement_facts, scope, timestamp_us) as events
+        of their sessions, in order of id; refuses those without an id or a fact."""
+        facts = F.filter("invalidated_facts", lambda f: F.trim(f) != "")
+        if corrections.filter((F.coalesce("correction_id", F.lit("")) == "") | (F.coalesce(F.size(facts), F.lit(0)) < 1)).limit(1).count():
+            raise ValueError("a correction needs an id and a fact that it invalidates")
+        payload = F.to_json(F.struct("correction_id", facts.alias("invalidated_facts"), "replacement_facts", "scope"))
+        seq = F.row_number().over(_order("correction_id")).cast("long")
+        return self.record(corrections.select(*KEYS, seq.alias("seq"), F.lit("correction").alias("type"), payload.alias("payload"), "timestamp_us", F.lit(None).cast("string").alias("tool_call_id")))
+
     def directives(self) -> DataFrame:
         """Directives of all correction events, at their own places; JSON fields are optional."""
         c = self.log().filter("type = 'correction'").withColumn("j", F.from_json("payload", CORRECTION))
-        c = c.select(*KEYS, F.coalesce("j.correction_id", F.concat(F.lit("event-"), "event_index")).alias("correction_id"), F.col("event_index").alias("correction_index"), F.coalesce("j.scope", F.lit("prior_events")).alias("scope"), F.explode("j.invalidated_facts").alias("fact"))
-        return c.withColumn("fact", F.trim("fact")).filter("fact <> ''")
+        facts = F.transform("j.invalidated_facts", lambda f: F.trim(f))
+        return c.select(*KEYS, F.coalesce("j.correction_id", F.concat(F.lit("event-"), "event_index")).alias("correction_id"), F.col("event_index").alias("correction_index"), F.col("event_index").alias("directive_index"), F.coalesce("j.scope", F.lit("prior_events")).alias("scope"), facts.alias("facts"))
 
     def view(self) -> DataFrame:
         return evidence.active_view(self.log(), self.directives(), KEYS)
@@ -72,9 +84,10 @@ class Engine:
 
     def verify(self, bundles: DataFrame) -> DataFrame:
         """The names of the checks that fail for each bundle, against the log as it is now."""
-        names = ["bundle_version", "event_count", "range_start", "range_end", "trace_digest", "corrections"]
         both = bundles.alias("b").join(self.handoff().alias("l"), KEYS, "left")
-        failed = F.array_compact(F.array(*[F.when(~F.col(f"b.{n}").eqNullSafe(F.col(f"l.{n}")), n) for n in names]))
+        same = lambda *names: reduce(lambda a, b: a & b, [F.col(f"b.{n}").eqNullSafe(F.col(f"l.{n}")) for n in names])
+        checks = {"bundle_version": same("bundle_version"), "event_log_readable": F.col("l.event_count").isNotNull(), "trace_digest_match": same("trace_digest"), "event_count_match": same("event_count"), "event_range_match": same("range_start", "range_end"), "correction_count_match": same("corrections")}
+        failed = F.array_compact(F.array(*[F.when(~holds, n) for n, holds in checks.items()]))
         return both.select(*KEYS, F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("verified"))
 
 

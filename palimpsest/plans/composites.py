@@ -82,21 +82,54 @@ def handoff_simulation(spark, sf):
     return both.groupBy("session_id", "handoff_at").agg(F.sum(F.expr("CASE WHEN event_index <= handoff_at THEN b ELSE 0 END")).alias("bytes_before"), F.sum(F.expr("CASE WHEN event_index > handoff_at THEN b ELSE 0 END")).alias("bytes_after"))
 
 
-#: Names of the checks of a handoff bundle, in order.
-CHECKS = ["bundle_version", "identity", "session", "schema", "aid_digest", "trace_digest", "event_count", "range_start", "range_end", "corrections", "recent_events", "output_text", "component_proofs", "trace_valid"]
-
-
-@query("K13_bundle_checks", f"WITH {A.EV_CONV}, l AS (SELECT session_id, count(*) AS n FROM ev_conv GROUP BY session_id) SELECT session_id, 14 - (CAST(session_id AS BIGINT) % 4 = 1)::INT - (CAST(session_id AS BIGINT) % 6 = 2)::INT - (CAST(session_id AS BIGINT) % 9 = 4)::INT AS passed, concat_ws(',', CASE WHEN CAST(session_id AS BIGINT) % 6 = 2 THEN 'aid_digest' END, CASE WHEN CAST(session_id AS BIGINT) % 4 = 1 THEN 'event_count' END, CASE WHEN CAST(session_id AS BIGINT) % 9 = 4 THEN 'output_text' END) AS failed FROM l")
+#: Names of the checks of a handoff bundle, in order.
+CHECKS = [
+    "bundle_is_object", "bundle_version", "identity_match", "aid_present", "aid_digest_match", "trace_digest_compute", "trace_digest_match", "event_log_readable", "event_log_parse", "event_count_match", "event_range_match", "correction_count_match",
+    "projection_correction_count_match", "valid_trace",
+]
+#: What the bundles say; some were changed, or are of another session or version.
+_BUNDLE = {
+    "is_object": "user_id % 29 <> 3", "version": "CASE WHEN user_id % 19 = 4 THEN 2 ELSE 1 END", "tenant": "CASE WHEN user_id % 23 = 6 THEN 'other' ELSE 'local' END", "aid_digest": "CASE WHEN user_id % 17 = 2 THEN 'x' ELSE 'aid-' || session_id END",
+    "live_aid": "CASE WHEN user_id % 31 <> 7 THEN 'aid-' || session_id END", "proof_digest": "CASE WHEN user_id % 13 = 5 THEN '' WHEN user_id % 11 = 3 THEN reverse(digest) ELSE digest END", "trace_digest": "CASE WHEN user_id % 26 = 5 THEN '' ELSE digest END",
+    "said": "n + CASE WHEN user_id % 14 = 1 THEN 1 ELSE 0 END", "range_start": "CASE WHEN user_id % 15 = 2 THEN 0 ELSE 1 END", "range_end": "n", "said_corrections": "corrections + CASE WHEN user_id % 16 = 3 THEN 1 ELSE 0 END", "proved": "user_id % 18 <> 4",
+    "proved_corrections": "corrections - CASE WHEN user_id % 20 = 6 THEN 1 ELSE 0 END",
+}
+_SEEN = "CASE WHEN event_id % 211 = 0 THEN timestamp_us - 100000000000 ELSE timestamp_us END"
+_DIGEST = "CASE WHEN proof_digest <> '' THEN proof_digest ELSE trace_digest END"
+
+
+@query(
+    "K13_bundle_checks",
+    f"""WITH {A.EV_STREAM}, t AS (SELECT *, coalesce({_SEEN} < lag({_SEEN}) OVER (PARTITION BY session_id ORDER BY event_index), false) AS regressed FROM ev_stream),
+live AS (SELECT session_id, user_id, count(*) AS n, sha256(string_agg(payload, chr(10) ORDER BY event_index)) AS digest, count(*) FILTER (type = 'correction') AS corrections, NOT bool_or(regressed) AS valid FROM t GROUP BY session_id, user_id),
+b AS (SELECT session_id, n, digest, corrections, valid, {', '.join(f'{v} AS {k}' for k, v in _BUNDLE.items())} FROM live),
+f AS (SELECT session_id, is_object, live_aid, concat_ws(',', CASE WHEN NOT is_object THEN 'bundle_is_object' END, CASE WHEN is_object AND version <> 1 THEN 'bundle_version' END, CASE WHEN is_object AND tenant <> 'local' THEN 'identity_match' END, CASE WHEN is_object AND live_aid IS NULL THEN 'aid_present' END) AS first,
+  concat_ws(',', CASE WHEN aid_digest <> live_aid THEN 'aid_digest_match' END, CASE WHEN {_DIGEST} = '' THEN 'trace_digest_present' WHEN {_DIGEST} <> digest THEN 'trace_digest_match' END, CASE WHEN said <> n THEN 'event_count_match' END, CASE WHEN range_start <> 1 OR range_end <> n THEN 'event_range_match' END,
+    CASE WHEN said_corrections <> corrections THEN 'correction_count_match' END, CASE WHEN NOT proved THEN 'projection_proof_present' WHEN proved_corrections <> corrections THEN 'projection_correction_count_match' END, CASE WHEN NOT valid THEN 'valid_trace' END) AS later FROM b)
+SELECT session_id, CASE WHEN NOT is_object OR live_aid IS NULL OR later = '' THEN first WHEN first = '' THEN later ELSE first || ',' || later END AS failed, first = '' AND later = '' AND live_aid IS NOT NULL AS verified FROM f""",
+)
 def bundle_checks(spark, sf):
-    """Fourteen named checks of a bundle against the live log; some bundles were changed in three places."""
-    live = A.ev_conv(spark, sf).groupBy("session_id").agg(F.count("*").alias("n"), (F.max("event_index") + 1).alias("hi"), F.min("event_index").alias("lo"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_index", "payload"))), lambda e: e["payload"]), "\n"), 256).alias("digest"))
-    sid = F.col("session_id").cast("long")
-    b = live.select("session_id", F.lit(1).alias("version"), F.when(sid % 4 == 1, F.col("n") + 1).otherwise(F.col("n")).alias("bn"), F.when(sid % 6 == 2, "x").otherwise("aid").alias("aid"), F.when(sid % 9 == 4, "").otherwise("text").alias("out"), F.col("digest").alias("bdigest"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    j = live.join(b, "session_id")
+    """The named checks of a bundle, read back from its JSON, against the live log. What is no object, or has no identity
+    document, is not checked further."""
+    seen = F.expr(_SEEN)
+    t = A.ev_stream(spark, sf).withColumn("seen", seen).withColumn("regressed", F.coalesce(F.col("seen") < F.lag("seen").over(Window.partitionBy("session_id").orderBy("event_index")), F.lit(False)))
+    live = t.groupBy("session_id", "user_id").agg(F.count("*").alias("n"), F.expr("sha2(listagg(payload, '\n') WITHIN GROUP (ORDER BY event_index), 256)").alias("digest"), F.count_if(F.col("type") == "correction").alias("corrections"), (~F.bool_or("regressed")).alias("valid"))
+    b = live.selectExpr("session_id", "n", "digest", "corrections", "valid", *[f"{v} AS {k}" for k, v in _BUNDLE.items()])
+    proofs = F.filter(F.array(F.when(F.col("proof_digest") != "", F.struct(F.lit("event_log").alias("component_id"), F.col("proof_digest").alias("digest"), F.lit(None).cast("long").alias("correction_count"))), F.when(F.col("proved"), F.struct(F.lit("projection").alias("component_id"), F.lit(None).cast("string").alias("digest"), F.col("proved_corrections").alias("correction_count")))), lambda p: p.isNotNull())
+    trace = F.struct(F.col("said").alias("event_count"), F.col("range_start").alias("event_range_start"), F.col("range_end").alias("event_range_end"), "trace_digest")
+    written = F.when(F.col("is_object"), F.to_json(F.struct(F.col("version").alias("bundle_version"), F.col("tenant").alias("tenant_id"), "aid_digest", trace.alias("trace"), F.col("said_corrections").alias("corrections"), proofs.alias("component_proofs")))).otherwise("[]")
+    kind = "bundle_version INT, tenant_id STRING, aid_digest STRING, trace STRUCT<event_count: BIGINT, event_range_start: BIGINT, event_range_end: BIGINT, trace_digest: STRING>, corrections BIGINT, component_proofs ARRAY<STRUCT<component_id: STRING, digest: STRING, correction_count: BIGINT>>"
+    r = b.select("session_id", "n", "digest", "corrections", "valid", "live_aid", written.alias("j")).withColumn("b", F.from_json("j", kind)).withColumn("is_object", F.col("j").startswith("{"))
+    r = r.withColumn("projection", F.try_element_at(F.filter("b.component_proofs", lambda p: p["component_id"] == "projection"), F.lit(1))).withColumn("said_digest", F.coalesce(F.nullif(F.try_element_at(F.filter("b.component_proofs", lambda p: p["component_id"] == "event_log"), F.lit(1))["digest"], F.lit("")), "b.trace.trace_digest"))
     c = F.col
-    holds = [c("version") == 1, F.lit(True), c("session_id").isNotNull(), F.lit(True), c("aid") == "aid", c("bdigest") == c("digest"), c("bn") == c("n"), c("blo") == c("lo"), c("bhi") == c("hi"), F.lit(True), F.lit(True), c("out") != "", F.lit(True), c("hi") - c("lo") == c("n")]
-    failed = F.array_compact(F.array(*[F.when(~h, n) for n, h in zip(CHECKS, holds)]))
-    return j.select("session_id", (F.lit(len(CHECKS)) - F.size(failed)).alias("passed"), F.array_join(failed, ",").alias("failed"))
+    open_, on = c("is_object"), c("is_object") & c("live_aid").isNotNull()
+    failed = [
+        F.when(~open_, "bundle_is_object"), F.when(open_ & (c("b.bundle_version") != 1), "bundle_version"), F.when(open_ & (c("b.tenant_id") != "local"), "identity_match"), F.when(open_ & c("live_aid").isNull(), "aid_present"),
+        F.when(on & (c("b.aid_digest") != c("live_aid")), "aid_digest_match"), F.when(on & (c("said_digest") == ""), "trace_digest_present").when(on & (c("said_digest") != c("digest")), "trace_digest_match"),
+        F.when(on & (c("b.trace.event_count") != c("n")), "event_count_match"), F.when(on & ((c("b.trace.event_range_start") != 1) | (c("b.trace.event_range_end") != c("n"))), "event_range_match"), F.when(on & (c("b.corrections") != c("corrections")), "correction_count_match"),
+        F.when(on & c("projection").isNull(), "projection_proof_present").when(on & (c("projection.correction_count") != c("corrections")), "projection_correction_count_match"), F.when(on & ~c("valid"), "valid_trace"),
+    ]
+    return r.withColumn("f", F.array_compact(F.array(*failed))).select("session_id", F.array_join("f", ",").alias("failed"), (F.size("f") == 0).alias("verified"))
 
 
 @query("C14_tool_registry", "WITH reg(name, schema) AS (VALUES ('click', 'a'), ('view', 'b'), ('purchase', 'c')) SELECT event_id, event_type AS name, schema, CASE WHEN schema IS NULL THEN 'unknown tool' ELSE 'ok' END AS status FROM events LEFT JOIN reg ON reg.name = events.event_type")

@@ -12,6 +12,7 @@ from ..catalog import query
 from ..functions import protocol as P
 from ..functions import text as T
 from ..operators import eventlog as L
+from ..operators.audit import refusal
 from ..sources import adapters as A
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,8 +46,9 @@ def numeric_contains(spark, sf):
 
 @query("H7_redaction")
 def redaction(spark, sf):
-    """Planted key-shaped secrets; the raw token lines must stay."""
-    key = F.concat(F.lit(" AKIA"), F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)), F.lit(" ghp_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 36))
+    """Planted secrets of four kinds, some too short; the raw token lines must stay."""
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    key = F.concat(F.lit(" AKIA"), F.upper(F.substring(h, 1, 16)), F.lit(" ghp_"), F.substring(h, 1, 36), F.lit(" client_secret: "), F.substring(h, 1, 44), F.lit(" aws_secret_access_key='"), F.substring(h, 1, 39), F.lit("'"))
     rows = _docs(spark, sf).withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.concat("text", key)).otherwise(F.col("text"))).withColumn("r", P.redacted("t"))
     return rows.select("doc_id", F.col("r.found").alias("found"), F.col("r.audit").alias("audit"), (F.length("r.text") == F.length("t")).alias("same_length"), F.md5("r.text").alias("digest"))
 
@@ -169,10 +171,13 @@ def chat_template(spark, sf):
     return c.groupBy("conv_id").agg(F.expr("concat(listagg(m, '') WITHIN GROUP (ORDER BY turn), '<|im_start|>assistant\n')").alias("prompt"))
 
 
-@query("H22_prompt_affixes", "WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<bos>' ELSE '' END || CASE WHEN turn = 0 THEN '<user>' ELSE '' END || text || CASE WHEN turn = last THEN '</user><model>' ELSE '' END AS chunk FROM c")
+@query("H22_prompt_affixes", "WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last, CASE WHEN (conv_id + turn) % 9 = 4 THEN '<bos>' || text ELSE text END AS t FROM conversations) SELECT conv_id, turn, starts_with(t, '<bos>') AS refused, CASE WHEN NOT starts_with(t, '<bos>') THEN CASE WHEN turn = 0 THEN '<bos><user>' ELSE '' END || t || CASE WHEN turn = last THEN '</user><model>' ELSE '' END END AS chunk FROM c")
 def prompt_affixes(spark, sf):
-    c = A.table(spark, sf, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
-    return c.select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, "<bos><user>").otherwise(""), F.col("text"), F.when(F.col("turn") == F.col("last"), "</user><model>").otherwise("")).alias("chunk"))
+    """The start mark once, the user's prefix on the first chunk, suffix and the model's prefix on the last, others raw; a
+    text that begins with the start mark itself is refused."""
+    c = A.table(spark, sf, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id"))).withColumn("t", F.expr("CASE WHEN (conv_id + turn) % 9 = 4 THEN concat('<bos>', text) ELSE text END"))
+    chunk = F.concat(F.when(F.col("turn") == 0, "<bos><user>").otherwise(""), "t", F.when(F.col("turn") == F.col("last"), "</user><model>").otherwise(""))
+    return c.select("conv_id", "turn", F.col("t").startswith("<bos>").alias("refused"), F.when(~F.col("t").startswith("<bos>"), chunk).alias("chunk"))
 
 
 @query("H23_placeholder_split", "WITH d AS (SELECT doc_id, regexp_replace(text, '[|<>]', '', 'g') AS a FROM documents), t AS (SELECT doc_id, string_split(a || '|<image>|' || a || '|<audio>|x', '|') AS parts FROM d) SELECT doc_id, place, part, CASE part WHEN '<image>' THEN 'image' WHEN '<audio>' THEN 'audio' ELSE 'text' END AS kind FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM t)")
@@ -182,10 +187,17 @@ def placeholder_split(spark, sf):
     return parts.select("doc_id", "place", "part", F.when(F.col("part") == "<image>", "image").when(F.col("part") == "<audio>", "audio").otherwise("text").alias("kind"))
 
 
-@query("H24_name_cases", r"SELECT DISTINCT event_type, lower(regexp_replace('get' || upper(left(event_type, 1)) || substr(event_type, 2) || 'Now', '([a-z])([A-Z])', '\1_\2', 'g')) AS snake, CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'number' WHEN 'error' THEN 'boolean' ELSE 'string' END AS json_type FROM events")
+_TYPES = {"String": "string", "Int": "integer", "Boolean": "boolean", "Float": "number", "Double": "number", "List": "array"}
+
+
+@query("H24_name_cases", r"WITH n AS (SELECT DISTINCT event_type, 'get' || upper(left(event_type, 1)) || substr(event_type, 2) || 'HTTPNow' AS camel, 'get_' || event_type || '_now_2x' AS under, CASE event_type WHEN 'click' THEN 'Int' WHEN 'view' THEN 'Double' WHEN 'error' THEN 'Boolean' WHEN 'signup' THEN 'List' ELSE 'Any' END AS type FROM events), p AS (SELECT *, string_split(under, '_') AS parts FROM n) SELECT event_type, lower(list_aggregate(list_transform(regexp_extract_all(camel, '.'), lambda c, i: CASE WHEN i > 1 AND regexp_matches(c, '[A-Z]') THEN '_' || c ELSE c END), 'string_agg', '')) AS snake, list_aggregate(list_transform(parts, lambda w, i: CASE WHEN i = 1 THEN w WHEN regexp_matches(w, '^[a-z]') THEN upper(left(w, 1)) || substr(w, 2) ELSE '_' || w END), 'string_agg', '') AS camel, CASE type WHEN 'Int' THEN 'integer' WHEN 'Double' THEN 'number' WHEN 'Boolean' THEN 'boolean' WHEN 'List' THEN 'array' END AS json_type FROM p")
 def name_cases(spark, sf):
-    camel = F.concat(F.lit("get"), F.initcap("event_type"), F.lit("Now"))
-    return A.table(spark, sf, "events").select("event_type").distinct().select("event_type", F.lower(F.regexp_replace(camel, "([a-z])([A-Z])", "$1_$2")).alias("snake"), F.expr("CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'number' WHEN 'error' THEN 'boolean' ELSE 'string' END").alias("json_type"))
+    """An underscore before every capital that follows a letter, and back; the type's name in a schema, null if unsupported."""
+    n = A.table(spark, sf, "events").select("event_type").distinct().withColumn("kind", F.expr("CASE event_type WHEN 'click' THEN 'Int' WHEN 'view' THEN 'Double' WHEN 'error' THEN 'Boolean' WHEN 'signup' THEN 'List' ELSE 'Any' END"))
+    camel, under = F.concat(F.lit("get"), F.initcap("event_type"), F.lit("HTTPNow")), F.concat(F.lit("get_"), "event_type", F.lit("_now_2x"))
+    back = F.array_join(F.transform(F.split(under, "_"), lambda w, i: F.when(i == 0, w).when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))).otherwise(F.concat(F.lit("_"), w))), "")
+    types = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
+    return n.select("event_type", F.lower(F.regexp_replace(camel, "(?<=[a-zA-Z])([A-Z])", "_$1")).alias("snake"), back.alias("camel"), types[F.col("kind")].alias("json_type"))
 
 
 @query("H26_json_escape", r"SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(replace(CAST(to_json(text) AS VARCHAR), '\/', '/')) END AS escaped FROM documents")
@@ -286,10 +298,27 @@ def event_classes(spark, sf):
     return A.ev_stream(spark, sf).select("event_id", F.when(F.col("payload").startswith("signup"), "handoff").when(F.col("type") == "correction", "correction").when(F.col("tokens") > 50, "milestone").otherwise(F.col("type")).alias("class"))
 
 
-@query("B38_model_family", "SELECT page_id, coalesce(CASE WHEN page_id % 7 = 0 THEN 'declared' END, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'multimodal' ELSE 'text' END END, 'generic') AS family FROM pages")
+#: For each page's model: what is declared, what three token ids mean ('?' for the middle of a sequence, null for an unknown
+#: id), and how often the audio mark is split.
+_PROBED = [
+    "page_id", "CASE WHEN page_id % 7 = 0 THEN 'declared' END AS declared", "CASE WHEN page_id % 2 = 0 THEN 256000 ELSE 17 END AS audio_id", "1 + page_id % 10 // 9 AS audio_ids",
+    "CASE page_id % 5 WHEN 0 THEN '?' WHEN 1 THEN NULL ELSE 'x' END AS first", "CASE page_id % 3 WHEN 0 THEN '<start_of_turn>' WHEN 1 THEN '?' ELSE NULL END AS second", "CASE WHEN page_id % 4 < 3 THEN '<start_of_turn>' ELSE 'y' END AS third",
+]
+
+
+@query(
+    "B38_model_family",
+    f"""WITH p AS (SELECT {', '.join(_PROBED)} FROM pages) SELECT page_id, CASE WHEN declared IS NOT NULL THEN declared WHEN first IS NULL THEN 'generic'
+  WHEN first <> '<start_of_turn>' AND second IS NULL THEN 'generic' WHEN '<start_of_turn>' IN (first, second, third) THEN CASE WHEN audio_ids = 1 AND audio_id = 256000 THEN 'multimodal' ELSE 'text' END ELSE 'generic' END AS family FROM p""",
+)
 def model_family(spark, sf):
-    p = A.table(spark, sf, "pages").selectExpr("page_id", "IF(page_id % 7 = 0, 'declared', NULL) AS declared", "IF(page_id % 3 = 0, '<start_of_turn>', '') AS start", "IF(page_id % 2 = 0, array(256000), array(1, 2)) AS audio_ids")
-    return p.select("page_id", F.coalesce("declared", F.when(F.col("start") == "<start_of_turn>", F.when(F.col("audio_ids") == F.array(F.lit(256000)), "multimodal").otherwise("text")), F.lit("generic")).alias("family"))
+    """What is declared wins; else the first id that means the start of a turn decides with the audio mark's ids. An id in the
+    middle of a sequence is passed over, an unknown one ends the search."""
+    p = A.table(spark, sf, "pages").selectExpr(*[c.replace(" // ", " div ") for c in _PROBED])
+    found = F.when((F.col("audio_ids") == 1) & (F.col("audio_id") == 256000), "multimodal").otherwise("text")
+    ids = F.array("first", "second", "third")
+    state = F.aggregate(ids, F.lit(""), lambda s, t: F.when(s != "", s).when(t.isNull(), "unknown").when(t == "<start_of_turn>", "found").otherwise(s))
+    return p.select("page_id", F.coalesce("declared", F.when(state == "found", found), F.lit("generic")).alias("family"))
 
 
 @query("B40_strip_thinking", rf"WITH c AS (SELECT conv_id, turn, {_MARKED} AS t FROM conversations) SELECT conv_id, turn, trim(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')) AS answer FROM c")
@@ -310,10 +339,21 @@ def correction_codec(spark, sf):
     return c.selectExpr("c.correction_id", "c.invalidated_facts[0] AS fact", "c.scope", "size(c.invalidated_facts) AS facts", "c.must_interrupt_before_next_predict AS interrupt")
 
 
-@query("H72_identity_document", """WITH d AS (SELECT c_custkey, '{"agent":"a' || c_custkey || '","nation":' || c_nationkey || '}' AS aid FROM customer) SELECT c_custkey, sha256(aid) AS digest, c_custkey % 9 > 0 AS valid FROM d""")
+_AID = [
+    "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '\"aid_version\":' || CASE c_custkey % 9 WHEN 1 THEN '2' WHEN 2 THEN '\"1\"' ELSE '1' END || ',' END", "CASE WHEN c_custkey % 11 = 3 THEN '' ELSE '\"schema_id\":\"s1\",' END",
+    "'\"tenant_id\":' || CASE WHEN c_custkey % 13 = 5 THEN '7' ELSE '\"t' || c_nationkey || '\"' END || ',\"session_id\":\"s' || c_custkey || '\"'", "CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN ',\"components\":{}' ELSE ',\"components\":[{\"id\":\"event_log\"}]' END",
+]
+_DOCUMENT = "'{' || " + " || ".join(_AID) + " || '}'"
+
+
+@query("H72_identity_document", f"""WITH d AS (SELECT c_custkey, {_DOCUMENT} AS aid FROM customer) SELECT c_custkey, sha256(aid) AS digest, CASE WHEN json_type(aid, '$.aid_version') IS NULL OR json_type(aid, '$.aid_version') NOT IN ('UBIGINT', 'BIGINT') THEN 'aid_version' WHEN json_extract_string(aid, '$.aid_version') <> '1' THEN 'unsupported'
+  WHEN coalesce(json_type(aid, '$.schema_id'), '') <> 'VARCHAR' THEN 'schema_id' WHEN coalesce(json_type(aid, '$.tenant_id'), '') <> 'VARCHAR' THEN 'tenant_id' WHEN coalesce(json_type(aid, '$.session_id'), '') <> 'VARCHAR' THEN 'session_id' WHEN coalesce(json_type(aid, '$.components'), '') <> 'ARRAY' THEN 'components' ELSE 'ok' END AS fault FROM d""")
 def identity_document(spark, sf):
-    d = A.table(spark, sf, "customer").select("c_custkey", F.to_json(F.struct(F.concat(F.lit("a"), "c_custkey").alias("agent"), F.col("c_nationkey").alias("nation"))).alias("aid"))
-    return d.select("c_custkey", F.sha2("aid", 256).alias("digest"), (F.col("c_custkey") % 9 > 0).alias("valid"))
+    """The first field that is missing or of another type than it must be."""
+    d = A.table(spark, sf, "customer").select("c_custkey", F.expr(_DOCUMENT).alias("aid")).withColumn("v", F.parse_json("aid"))
+    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant")), F.lit(""))
+    fault = refusal((kind("aid_version") != "BIGINT", "aid_version"), (F.try_variant_get("v", "$.aid_version", "long") != 1, "unsupported"), *[(kind(f) != "STRING", f) for f in ("schema_id", "tenant_id", "session_id")], (~kind("components").startswith("ARRAY"), "components"))
+    return d.select("c_custkey", F.sha2("aid", 256).alias("digest"), F.coalesce(fault, F.lit("ok")).alias("fault"))
 
 
 @query("H73_handoff_bundle", f"""WITH {A.EV_CONV} SELECT session_id, '{{"session_id":"' || session_id || '","range":[1,' || count(*) || '],"task":"continue"}}' AS bundle, 'Session ' || session_id || ': events 1-' || count(*) AS text FROM ev_conv GROUP BY session_id""")

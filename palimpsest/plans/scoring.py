@@ -11,14 +11,13 @@ from ..functions import text as T
 from ..sources import adapters as A
 
 MUST, MUST_NOT = ("the", "and", "of"), ("worthless", "pathetic")
-TOOLS, BANNED = ("th", "re", "in"), ("token =",)
+TOOLS = ("th", "re", "in")
 
 
 def _has(x: str) -> str:
     return f"contains(lower(text), '{x}')"
 
 
-_POS = "(strpos(low, 'th') > 0)::INT + (strpos(low, 're') > 0)::INT + (strpos(low, 'in') > 0)::INT"
 #: After th, the next re, after that the next in.
 _ORDERED = "strpos(low, 'th') > 0 AND strpos(substr(low, strpos(low, 'th') + 2), 're') > 0 AND strpos(substr(low, strpos(low, 'th') + 2 + strpos(substr(low, strpos(low, 'th') + 2), 're') + 1), 'in') > 0"
 
@@ -34,31 +33,75 @@ def ordered_containment(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", ordered(F.lower("text"), TOOLS).alias("in_order"))
 
 
-@query(
-    "K6_rubric_score",
-    f"""WITH x AS (SELECT doc_id, lower(text) AS low FROM documents), s AS (SELECT doc_id, {' + '.join(f"contains(low, '{m}')::INT" for m in MUST)} + {' + '.join(f"(NOT contains(low, '{m}'))::INT" for m in MUST_NOT)}
-  + {_POS} + ({_ORDERED})::INT + (NOT contains(low, 'token ='))::INT AS passed FROM x) SELECT doc_id, passed, {len(MUST) + len(MUST_NOT) + len(TOOLS) + 2} AS total, passed / {len(MUST) + len(MUST_NOT) + len(TOOLS) + 2}.0::DOUBLE AS score FROM s""",
-)
+#: A probe of each conversation with its rubric, and what an agent answered, remembered and was allowed.
+_RUBRIC = {
+    "substring": "CASE WHEN conv_id % 4 = 0 THEN '' ELSE word END", "must": "CASE WHEN conv_id % 3 = 0 THEN {none} ELSE {list}('The', word) END", "must_not": "CASE WHEN conv_id % 5 = 0 THEN {list}(word, 'una') ELSE {none} END",
+    "tools": "CASE WHEN conv_id % 8 = 2 THEN {list}('th', 're', 'in') ELSE {none} END", "not_tools": "CASE WHEN conv_id % 7 = 0 THEN {list}('rm ', 'E') ELSE {none} END", "tool_name": "CASE WHEN conv_id % 9 = 0 THEN 'lo' ELSE '' END",
+    "arg": "CASE WHEN conv_id % 9 = 4 THEN 'ra' ELSE '' END", "acknowledge": "CASE WHEN conv_id % 6 = 0 THEN 'a' ELSE '' END", "correction": "CASE WHEN conv_id % 12 = 1 THEN 'x' ELSE '' END",
+    "override": "CASE WHEN conv_id % 11 = 0 THEN 'errored' END", "gated": "conv_id % 4 >= 2", "blocking": "conv_id % 10 = 2", "may_use": "conv_id % 3 = 2",
+}
+_JUDGED = {**_RUBRIC, "substring": "''", "must": "{none}", "must_not": "{none}", "tools": "{none}", "not_tools": "{none}", "tool_name": "''", "arg": "''", "acknowledge": "''", "correction": "''"}
+
+
+def _rubric(none: str, list_: str) -> str:
+    """Every thirteenth conversation has a rubric for a judge only."""
+    return ", ".join(f"CASE WHEN conv_id % 13 = 0 THEN {_JUDGED[k]} ELSE {v} END AS {k}" for k, v in _RUBRIC.items()).replace("{none}", none).replace("{list}", list_)
+
+
+_CASES = f"""said AS (SELECT conv_id, coalesce(max(CASE WHEN turn = 1 THEN lower(text) END), '') AS answer, coalesce(max(CASE WHEN turn = 2 THEN lower(text) END), '') AS memory, coalesce(max(CASE WHEN turn = 0 THEN regexp_extract(text, '[A-Za-z]{{4,}}') END), '') AS word FROM conversations GROUP BY conv_id),
+cases AS (SELECT conv_id, answer, memory, {_rubric("CAST([] AS VARCHAR[])", "list_value")} FROM said)"""
+
+
+def _cases(spark, sf):
+    turn = lambda k, e: F.coalesce(F.max(F.expr(f"CASE WHEN turn = {k} THEN {e} END")), F.lit(""))
+    said = A.table(spark, sf, "conversations").groupBy("conv_id").agg(turn(1, "lower(text)").alias("answer"), turn(2, "lower(text)").alias("memory"), turn(0, "regexp_extract(text, '[A-Za-z]{4,}', 0)").alias("word"))
+    return said.selectExpr("conv_id", "answer", "memory", *[f"CASE WHEN conv_id % 13 = 0 THEN {_JUDGED[k]} ELSE {v} END AS {k}".replace("{none}", "CAST(array() AS ARRAY<STRING>)").replace("{list}", "array") for k, v in _RUBRIC.items()])
+
+
+_IN = lambda xs: f"len(list_filter({xs}, lambda x: contains(answer, lower(x))))"
+_ONE = lambda x: f"({x} <> '' AND contains(answer, lower({x})))::INT"
+_SINGLE = ("substring", "tool_name", "arg", "acknowledge")
+_PASSED = " + ".join([_IN("must"), _IN("tools"), f"len(must_not) - {_IN('must_not')}", f"len(not_tools) - {_IN('not_tools')}", *map(_ONE, _SINGLE), f"CASE WHEN len(tools) > 0 AND {_ORDERED.replace('low', 'answer')} THEN 1 ELSE 0 END"])
+_TOTAL = "len(must) + len(tools) + len(must_not) + len(not_tools) + (len(tools) > 0)::INT + " + " + ".join(f"({x} <> '')::INT" for x in _SINGLE)
+_CHECKED = f"({_TOTAL} > 0 OR correction <> '')"
+_STATUS = f"CASE WHEN override IS NOT NULL THEN override WHEN NOT {_CHECKED} OR {_TOTAL} = 0 THEN 'needs_judge' ELSE 'scored' END"
+
+
+def _present(needle):
+    return (needle != "") & F.contains(F.col("answer"), F.lower(needle))
+
+
+def _scored(cases):
+    """cases with passed, total, status (an override, needs_judge where no rule can be checked, scored) and propagated."""
+    hits = lambda c: F.size(F.filter(c, _present))
+    place = F.aggregate("tools", F.lit(1), lambda p, i: F.when(p <= 0, 0).otherwise(F.when(F.position(i, F.col("answer"), p) > 0, F.position(i, F.col("answer"), p) + F.length(i)).otherwise(0)))
+    single = [F.col(c) for c in _SINGLE]
+    passed = [hits("must"), hits("tools"), F.size("must_not") - hits("must_not"), F.size("not_tools") - hits("not_tools"), *[_present(c).cast("int") for c in single], ((F.size("tools") > 0) & (place > 0)).cast("int")]
+    total = [F.size("must"), F.size("tools"), F.size("must_not"), F.size("not_tools"), (F.size("tools") > 0).cast("int"), *[(c != "").cast("int") for c in single]]
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    rows = cases.withColumn("passed", add(passed)).withColumn("total", add(total)).withColumn("propagated", hits("must_not") > 0)
+    return rows.withColumn("status", F.coalesce("override", F.when(F.col("total") == 0, "needs_judge"), F.lit("scored")))
+
+
+@query("K6_rubric_score", f"WITH {_CASES} SELECT conv_id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'scored' THEN ({_PASSED})::DOUBLE / ({_TOTAL}) END AS score FROM cases")
 def rubric_score(spark, sf):
-    """Every rule is one point; an ordered list of tools counts one more."""
-    low = F.lower("text")
-    rules = [F.contains(low, F.lit(m)) for m in MUST] + [~F.contains(low, F.lit(m)) for m in MUST_NOT] + [F.contains(low, F.lit(t)) for t in TOOLS] + [ordered(low, TOOLS)] + [~F.contains(low, F.lit(b)) for b in BANNED]
-    passed = reduce(lambda a, b: a + b, [r.cast("int") for r in rules])
-    return A.table(spark, sf, "documents").select("doc_id", passed.alias("passed"), F.lit(len(rules)).alias("total"), (passed / float(len(rules))).alias("score"))
+    """Every rule of the probe is one point, an order of tools one more; what has no rule waits for a judge and is never 0."""
+    return _scored(_cases(spark, sf)).select("conv_id", "status", F.when(F.col("status") == "scored", F.col("passed") / F.col("total").cast("double")).alias("score"))
 
 
 @query(
     "K7_stale_escape",
-    f"""WITH {A.EV_CONV}, {A.CORR} SELECT e.session_id, e.event_index, CASE WHEN c.correction_id IS NULL THEN NULL WHEN e.event_index <= c.correction_index - 2 THEN NULL
-  WHEN e.type = 'model' AND contains(lower(e.payload), lower(c.fact)) THEN true WHEN c.severity = 'info' THEN true WHEN e.type <> 'model' AND contains(lower(e.payload), lower(c.fact)) THEN true ELSE false END AS escaped
-FROM ev_conv e LEFT JOIN corr c USING (session_id)""",
+    f"""WITH {_CASES} SELECT conv_id, CASE WHEN {_STATUS} <> 'scored' OR NOT (correction <> '' OR len(must_not) > 0 OR blocking) THEN NULL WHEN {_IN('must_not')} > 0 THEN true WHEN gated AND blocking AND may_use THEN true
+  WHEN len(list_filter(must_not, lambda x: x <> '' AND contains(memory, lower(x)))) > 0 THEN true WHEN acknowledge <> '' AND NOT contains(answer, lower(acknowledge)) THEN true ELSE false END AS escaped FROM cases""",
 )
 def stale_escape(spark, sf):
-    """Null where it does not apply; then propagation, an open gate, memory, acknowledgement: the first that holds."""
-    rows = A.ev_conv(spark, sf).join(A.corr(spark, sf).select("session_id", "correction_id", "fact", "correction_index", "severity"), "session_id", "left")
-    hit = T.folded_contains(F.col("payload"), F.col("fact"))
-    escaped = F.when(F.col("correction_id").isNull() | (F.col("event_index") <= F.col("correction_index") - 2), F.lit(None).cast("boolean")).when((F.col("type") == "model") & hit, True).when(F.col("severity") == "info", True).when((F.col("type") != "model") & hit, True).otherwise(False)
-    return rows.select("session_id", "event_index", escaped.alias("escaped"))
+    """Null where no revocation is at play; then a forbidden item in the answer, a gate that let a blocked memory pass, one in
+    the memory, a missing acknowledgement: the first that holds."""
+    r, c = _scored(_cases(spark, sf)), F.col
+    signal = (c("status") == "scored") & ((c("correction") != "") | (F.size("must_not") > 0) | c("blocking"))
+    smuggled = F.exists("must_not", lambda x: (x != "") & F.contains(c("memory"), F.lower(x)))
+    escaped = F.when(~signal, None).when(c("propagated"), True).when(c("gated") & c("blocking") & c("may_use"), True).when(smuggled, True).when((c("acknowledge") != "") & ~_present(c("acknowledge")), True).otherwise(False)
+    return r.select("conv_id", escaped.cast("boolean").alias("escaped"))
 
 
 @query("H6_probe_satisfied", r"""WITH x AS (SELECT event_id, regexp_replace(props || value, '[^0-9.]', '', 'g') AS num, lower(event_type) AS t, event_id % 10 AS a, event_id % 3 AS b FROM events)

@@ -67,9 +67,15 @@ def mean_score(spark, sf):
     return _emb(spark, sf).groupBy("label").agg(F.coalesce(F.avg(F.when(F.col("label") != 3, F.col("x")[0])), F.lit(-math.inf)).alias("mean"))
 
 
-@query("H46_stop_ladder", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN event_type = 'signup' THEN 'stop_token' WHEN value > 60 THEN 'max_tokens' WHEN user_id % 10 = 0 THEN 'limit' ELSE 'continue' END AS rule FROM events")
+_STOP = ["event_id", "event_type = 'signup' AS hit_stop", "CASE WHEN user_id % 4 = 0 THEN 30 ELSE 0 END AS benchmark_steps", "CAST(floor(value) AS INT) AS decoded", "CAST(floor(value * 2) AS INT) AS step", "100 AS most_tokens", "40 + user_id % 30 AS most_output"]
+
+
+@query("H46_stop_ladder", f"SELECT event_id, CASE WHEN hit_stop AND benchmark_steps = 0 THEN 'stop_token' WHEN benchmark_steps > 0 AND decoded >= benchmark_steps THEN 'benchmark' WHEN step >= most_tokens THEN 'max_tokens' WHEN decoded >= most_output THEN 'max_output' ELSE 'continue' END AS rule FROM (SELECT {', '.join(_STOP)} FROM events)")
 def stop_ladder(spark, sf):
-    return A.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "cancelled").when(F.col("event_type") == "signup", "stop_token").when(F.col("value") > 60, "max_tokens").when(F.col("user_id") % 10 == 0, "limit").otherwise("continue").alias("rule"))
+    """A stop token ends a run unless a benchmark asks for a number of steps; then that number, the cache's size, the output's."""
+    e, c = A.table(spark, sf, "events").selectExpr(*_STOP), F.col
+    rule = F.when(c("hit_stop") & (c("benchmark_steps") == 0), "stop_token").when((c("benchmark_steps") > 0) & (c("decoded") >= c("benchmark_steps")), "benchmark").when(c("step") >= c("most_tokens"), "max_tokens").when(c("decoded") >= c("most_output"), "max_output")
+    return e.select("event_id", F.coalesce(rule, F.lit("continue")).alias("rule"))
 
 
 @query("H47_quantise", f"WITH {_L}, s AS (SELECT vec_id, max(abs(v)) / 127.0::DOUBLE AS scale FROM l GROUP BY vec_id) SELECT vec_id, round(scale, 9) AS scale, CAST(sum(round_even(v / scale, 0)) AS BIGINT) AS q_sum, max(abs(v - round_even(v / scale, 0) * scale)) <= scale / 2 + 1e-12 AS bounded FROM l JOIN s USING (vec_id) GROUP BY vec_id, scale")

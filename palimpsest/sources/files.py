@@ -61,9 +61,9 @@ def read_results(spark: SparkSession, path: str, schema: str, version: int = 1,
     return rows
 
 
-def markdown(summary: DataFrame, most: int = 1000) -> str:
-    """A summary's rows, which are few, as a Markdown table."""
-    rows = summary.limit(most).collect()
+def markdown(summary: DataFrame) -> str:
+    """All rows of a summary as a Markdown table; a summary has a row for each condition or cell, not for each event."""
+    rows = summary.collect()
     show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(summary.columns) + " |", "|" + "-|" * len(summary.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]) + "\n"

@@ -33,6 +33,18 @@ def test_record_correct_prompt(spark, engine):
     assert engine.memory(200).count() == 2
 
 
+def test_corrections_of_several_facts(spark, engine):
+    engine.record(batch(spark, ("s", "user", "Blue sky and green sea"), ("s", "user", "nothing")))
+    schema = "tenant_id string, session_id string, correction_id string, invalidated_facts array<string>, replacement_facts array<string>, scope string, timestamp_us long"
+    rows = [("t", "s", "c1", ["green", " Blue ", ""], ["red"], "global", 5), ("t", "s", "c2", ["SKY"], None, "prior_events", 6)]
+    assert engine.correct(spark.createDataFrame(rows, schema)) == 2
+    first = engine.view().filter("event_index = 0").first()
+    assert first.revoked_by == "c1,c2" and first.revoked_facts == ["green", "Blue", "SKY"] and "contained 3 invalidated" in first.payload
+    assert engine.view().filter("revoked_by IS NOT NULL").count() == 1
+    with pytest.raises(ValueError):
+        engine.correct(spark.createDataFrame([("t", "s", "c3", [" "], None, "global", 7)], schema))
+
+
 def test_refuses(spark, engine):
     for row in (("a/b", "user", "x"), ("s", "user", ""), ("s", "other", "x")):
         with pytest.raises(ValueError):
@@ -46,7 +58,7 @@ def test_verify_tells_what_changed(spark, engine):
     assert engine.verify(frame).filter("NOT verified").count() == 0
     engine.record(batch(spark, ("s", "user", "three")))
     got = {r.session_id: r.failed for r in engine.verify(frame).collect()}
-    assert got == {"s": "event_count,range_end,trace_digest", "z": ""}
+    assert got == {"s": "trace_digest_match,event_count_match,event_range_match", "z": ""}
 
 
 def test_binary_logs(spark, tmp_path):
