@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import codec as K
 from ..functions import text as T
 from ..operators import evidence as V
 from ..operators import runner
@@ -182,11 +183,34 @@ def half_precision(spark, sf):
     return h.select("vec_id", F.size("h").alias("n"), (error <= 2.0**-11).alias("near"))
 
 
-@query("H62_manifest_codec", f"WITH {A.CKPT} SELECT hash, sha256(hash || '|' || level || '|' || range_start || '|' || range_end || '|' || body_hash) AS canonical, sha256(hash || '|' || level || '|' || range_start || '|' || (range_end + 1) || '|' || body_hash) <> sha256(hash || '|' || level || '|' || range_start || '|' || range_end || '|' || body_hash) AS sensitive FROM ckpt")
+_BOUND = {
+    "branch_id": "'main'", "compaction_interval": "4", "architecture_tag": "'x86_64'", "producer_id": "'p\u00e9'", "runtime_version": "'1.0'", "artifact_hash": f"'{'ab' * 32}'", "model_id": "'m1'", "schema_id": "''", "schema_hash": f"'{'cd' * 32}'",
+    "model_class": "1", "num_layers": "32", "num_kv_heads": "8", "head_dim": "128", "kv_dtype": "level", "base_event_index": "range_start",
+}
+
+
+def _bytes_sql(name: str, kind: str) -> str:
+    def number(v: str, size: int) -> str:
+        digits = f"lpad(printf('%x', CAST({v} AS BIGINT)), {2 * size}, '0')"
+        return " || ".join(f"substr({digits}, {2 * k + 1}, 2)" for k in reversed(range(size)))
+
+    if kind == "str":
+        return f"{number(f'strlen({name})', 4)} || hex(encode({name}))"
+    if kind == "hashes":
+        return f"{number(f'len({name})', 4)} || array_to_string({name}, '')"
+    return name if kind == "hash" else number(name, 4 if kind == "u32" else 8)
+
+
+_MANIFEST_SQL = f"""m AS (SELECT * EXCLUDE (w), w, {', '.join(f'{v} AS {k}' for k, v in _BOUND.items())} FROM ckpt), e AS (SELECT *, '{(K.MAGIC + K.VERSION.to_bytes(4, "little")).hex()}' || {' || '.join(_bytes_sql(n, k) for n, k in K.MANIFEST)} AS x FROM m)"""
+
+
+@query("H62_manifest_codec", f"WITH {A.CKPT}, {_MANIFEST_SQL} SELECT hash, sha256(unhex(x)) AS digest, CAST(length(x) // 2 AS BIGINT) AS size, CASE w % 10 WHEN 3 THEN 'truncated' WHEN 5 THEN 'trailing' WHEN 7 THEN 'magic' ELSE '' END AS error, CASE WHEN w % 10 NOT IN (3, 5, 7) THEN session_id END AS session_id, CASE WHEN w % 10 NOT IN (3, 5, 7) THEN array_to_string(parent_hashes, ',') ELSE '' END AS parents, CASE WHEN w % 10 NOT IN (3, 5, 7) THEN range_end ELSE -1 END AS range_end, CASE WHEN w % 10 NOT IN (3, 5, 7) THEN created_us ELSE -1 END AS created_us FROM e")
 def manifest_codec(spark, sf):
-    """A changed field changes the hash."""
-    of = lambda end: F.sha2(F.concat_ws("|", "hash", "level", "range_start", end, "body_hash"), 256)
-    return A.ckpt(spark, sf).select("hash", of(F.col("range_end")).alias("canonical"), (of(F.col("range_end") + 1) != of(F.col("range_end"))).alias("sensitive"))
+    """Canonical bytes, their hash, and what is read back of them; some were cut short, lengthened or begin otherwise."""
+    m = A.ckpt(spark, sf).selectExpr("*", *[f"{v} AS {k}" for k, v in _BOUND.items()]).withColumn("x", K.encoded(K.MANIFEST))
+    damaged = F.expr("CASE w % 10 WHEN 3 THEN substring(x, 1, length(x) - 1) WHEN 5 THEN concat(x, X'00') WHEN 7 THEN concat(X'00', x) ELSE x END")
+    back = m.select("hash", damaged.alias("data")).mapInPandas(K.decode, "hash string, error string, session_id string, parents string, range_end long, created_us long")
+    return m.select("hash", F.sha2("x", 256).alias("digest"), F.length("x").cast("long").alias("size")).join(back, "hash")
 
 
 @query("H63_certificate_codec", f"WITH {A.CERT} SELECT certificate_id, sha256(checkpoint_hash || '|' || verdict || '|' || created_us || '|' || array_to_string(signatures, ',')) AS envelope FROM cert")
