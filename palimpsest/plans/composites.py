@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ..catalog import query
 from ..functions import codec as K
 from ..functions import text as T
 from ..operators import evidence as V
-from ..operators import runner
+from ..operators import plugins, runner
 from ..sources import adapters as A
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,12 +60,22 @@ def stateless_decision(spark, sf):
     return d.join(at, "session_id").select("session_id", "decision", F.concat(F.lit("decision:"), "decision").alias("appended"), "at")
 
 
-@query("K8_memory_agents", f"WITH {A.EV_CONV}, r AS (SELECT session_id, 'raw_oracle' AS condition, sum(length(payload)) AS chars, 1 AS calls FROM ev_conv GROUP BY session_id UNION ALL SELECT session_id, 'rolling_summary', least(200, sum(length(payload))), max(event_index) // 8 + 2 FROM ev_conv GROUP BY session_id UNION ALL SELECT session_id, 'dpm_phase3_checkpoint', least(200, sum(length(payload))), 2 FROM ev_conv GROUP BY session_id) SELECT session_id, condition, CAST(chars AS BIGINT) AS chars, CAST(calls AS BIGINT) AS calls FROM r")
+_ROLLED = """c AS (SELECT session_id, event_index // 8 AS chunk, string_agg(array_to_string(string_split(payload, ' ')[1:3], ' '), ' ' ORDER BY event_index) AS t FROM ev_conv GROUP BY ALL),
+s AS (SELECT session_id, -1::BIGINT AS chunk, '' AS summary FROM (SELECT DISTINCT session_id FROM c) UNION ALL SELECT c.session_id, c.chunk, right(s.summary || '|' || c.t, 200) FROM s JOIN c ON c.session_id = s.session_id AND c.chunk = s.chunk + 1),
+rolled AS (SELECT session_id, arg_max(summary, chunk) AS memory, max(chunk) + 2 AS calls FROM s GROUP BY session_id)"""
+
+
+@query(
+    "K8_memory_agents",
+    f"""WITH RECURSIVE {A.EV_CONV}, {A.CORR}, {_VIEW}, {_PROJECT}, {_ROLLED}, st AS (SELECT r.session_id, bool_or(c.fact <> '' AND contains(lower(r.memory), lower(c.fact))) AS stale FROM rolled r JOIN corr c ON c.session_id = r.session_id GROUP BY r.session_id)
+SELECT session_id, 'raw_oracle' AS condition, sha256(string_agg(payload, chr(10) ORDER BY event_index)) AS memory, 1 AS calls FROM ev_conv GROUP BY session_id UNION ALL SELECT session_id, 'rolling_summary', sha256(memory), calls FROM rolled
+UNION ALL SELECT session_id, 'dpm_phase3_checkpoint', sha256(memory), 2 FROM proj UNION ALL SELECT r.session_id, 'rolling_summary_plus_dpm_gate', sha256(CASE WHEN coalesce(stale, false) THEN coalesce(p.memory, '') ELSE r.memory END), r.calls + coalesce(stale, false)::INT FROM rolled r LEFT JOIN st ON st.session_id = r.session_id LEFT JOIN proj p ON p.session_id = r.session_id""",
+)
 def memory_agents(spark, sf):
-    """Size and calls of three conditions, from one pass over the log."""
-    s = A.ev_conv(spark, sf).groupBy("session_id").agg(F.sum(F.length("payload")).alias("n"), F.max("event_index").alias("m"))
-    conditions = "stack(3, 'raw_oracle', n, 1L, 'rolling_summary', least(200L, n), m div 8 + 2, 'dpm_phase3_checkpoint', least(200L, n), 2L) AS (condition, chars, calls)"
-    return s.selectExpr("session_id", conditions)
+    """The memory that each registered agent makes of each session, and its calls."""
+    log, facts = A.ev_conv(spark, sf), A.corr(spark, sf)
+    runs = [agent(log, facts, 200).select("session_id", F.lit(name).alias("condition"), F.sha2("memory", 256).alias("memory"), "calls") for name, agent in plugins.AGENTS.entries.items()]
+    return reduce(lambda a, b: a.unionByName(b), runs)
 
 
 @query("K10_cliff_cells", "WITH d AS (SELECT doc_id, n_chars, lower(text) AS low FROM documents), g AS (SELECT *, unnest([200, 800, 3200]) AS budget FROM d) SELECT doc_id, budget, n_chars > 6000 AS guarded, CASE WHEN n_chars > 6000 THEN 0.0 ELSE (contains(left(low, budget), 'worthless')::INT + contains(left(low, budget), 'the')::INT) / 2.0 END::DOUBLE AS score FROM g")

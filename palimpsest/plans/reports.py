@@ -27,23 +27,46 @@ def result_source(spark, sf):
     return r.agg(F.count("*").alias("n"), F.bool_or("mock").alias("has_mock"), F.bool_or(~F.col("mock")).alias("has_real"), (~(F.bool_or("mock") & F.bool_or(~F.col("mock")))).alias("unmixed"), F.count_distinct(F.expr("IF(doc_id % 40 = 0, 2, 1)")).alias("versions"))
 
 
+_GATED = "(condition IN ('dpm_phase3_checkpoint', 'rolling_summary_plus_dpm_gate'))"
+_SCORE_STATUS = "CASE WHEN status = 'errored' THEN 'errored' WHEN status = 'skipped' THEN 'skipped_context_too_large' WHEN decision_score IS NULL AND doc_id % 23 > 0 THEN 'needs_judge' ELSE 'scored' END AS score_status"
+#: A result row with the evidence that gated rows must have and others must not; most have what they need.
+_ROW = [
+    "doc_id", "condition", "budget_chars", "model_calls", f"{_GATED} AS gated", _SCORE_STATUS, "CASE WHEN doc_id % 59 = 7 THEN 1.5 ELSE decision_score END AS decision_score", "CASE WHEN doc_id % 62 = 0 THEN '' ELSE 'why' END AS notes", "CASE WHEN doc_id % 97 = 5 THEN '' ELSE 'run' END AS run_id",
+    "CASE WHEN doc_id % 37 = 2 THEN '' ELSE 'p' END AS projection_model", "CASE WHEN doc_id % 67 = 3 THEN '' ELSE 'a' END AS auditor_model", "CASE WHEN doc_id % 71 = 6 THEN '' ELSE 'v1' END AS audit_policy",
+    f"CASE WHEN {_GATED} = (doc_id % 41 <> 3) THEN 'pass' ELSE 'not_applicable' END AS audit_verdict", f"CASE WHEN {_GATED} AND doc_id % 73 <> 2 THEN toxic_free END AS may_use", f"CASE WHEN {_GATED} THEN toxic_free AND doc_id % 61 <> 6 WHEN doc_id % 79 = 1 THEN false END AS audit_ok",
+    f"CASE WHEN NOT {_GATED} THEN CASE WHEN doc_id % 53 = 1 THEN 'ab' ELSE '' END WHEN doc_id % 43 = 6 THEN 'xyz' WHEN doc_id % 47 = 7 THEN '' ELSE md5(CAST(doc_id AS VARCHAR(20))) END AS manifest_hash", "CASE WHEN doc_id % 83 = 10 THEN '' ELSE md5('b') END AS body_hash",
+    f"CASE WHEN {_GATED} AND doc_id % 89 <> 2 THEN md5('c') ELSE '' END AS certificate", "CASE WHEN doc_id % 26 = 3 THEN '' ELSE 'drift' END AS gate_reason", "case_id AS range_start", "case_id + CASE WHEN doc_id % 101 = 4 THEN -1 ELSE 8 END AS range_end", "CASE WHEN doc_id % 103 = 9 THEN 1.25 WHEN doc_id % 2 = 0 THEN 0.5 END AS drift",
+]
+#: The rules in order: the first that a row breaks is its fault.
 _RULES = {
-    "score_needs_ok": "status = 'ok' OR decision_score IS NULL", "ok_needs_cost": "status <> 'ok' OR wall_ms > 0", "audit_only_gated": "condition IN ('dpm_phase3_checkpoint', 'rolling_summary_plus_dpm_gate') OR audit_pass IS NULL",
-    "known_kind": "test_kind IN ('decision', 'memory_projection', 'correction_safety')", "score_range": "decision_score IS NULL OR decision_score BETWEEN 0 AND 1", "positive_budget": "budget_chars > 0",
+    "run_id": "run_id = ''", "budget": "budget_chars <= 0", "scored_without_score": "score_status = 'scored' AND decision_score IS NULL", "score_range": "score_status = 'scored' AND NOT decision_score BETWEEN 0 AND 1",
+    "judge_with_score": "score_status = 'needs_judge' AND decision_score IS NOT NULL", "skipped_condition": "score_status = 'skipped_context_too_large' AND condition <> 'raw_oracle'", "skipped_with_score": "score_status = 'skipped_context_too_large' AND decision_score IS NOT NULL",
+    "errored_without_notes": "score_status = 'errored' AND notes = ''", "projection_model": "checked AND projection_model = ''", "auditor_model": "checked AND auditor_model = ''", "audit_policy": "checked AND audit_policy = ''", "audit_verdict": "checked AND audit_verdict = 'not_applicable'",
+    "gate_unset": "checked AND may_use IS NULL", "manifest_hash": "checked AND may_use AND manifest_hash = ''", "body_hash": "checked AND may_use AND body_hash = ''", "certificate": "checked AND may_use AND certificate = ''", "audit_uncoupled": "checked AND may_use AND NOT coalesce(audit_ok, false)",
+    "not_hex": "checked AND may_use AND NOT ({hex})", "gate_reason": "checked AND NOT may_use AND gate_reason = ''", "foreign_evidence": "NOT gated AND (manifest_hash <> '' OR certificate <> '')", "foreign_audit": "NOT gated AND audit_ok IS NOT NULL", "foreign_verdict": "NOT gated AND audit_verdict <> 'not_applicable'",
+    "oracle_calls": "condition = 'raw_oracle' AND score_status = 'scored' AND model_calls <> 1", "range": "range_end < range_start", "drift": "drift IS NOT NULL AND NOT drift BETWEEN 0 AND 1",
 }
+_ROWS = f"rows AS (SELECT *, gated AND score_status <> 'errored' AS checked FROM (SELECT {', '.join(_ROW)} FROM (SELECT *, coalesce(gate_may_use, doc_id % 3 > 0) AS toxic_free FROM results)))"
+_HEX_SQL = " AND ".join(f"regexp_full_match({c}, '[0-9a-fA-F]+')" for c in ("manifest_hash", "body_hash", "certificate"))
 
 
-@query("B20_row_validity", f"{W} SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in _RULES.items()) + ") AS violations FROM results")
+@query("B20_row_validity", f"{W}, {_ROWS} SELECT doc_id, CASE " + " ".join(f"WHEN {c.replace('{hex}', _HEX_SQL)} THEN '{n}'" for n, c in _RULES.items()) + " ELSE 'ok' END AS fault FROM rows")
 def row_validity(spark, sf):
-    return A.results(spark, sf).select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(~F.expr(c), n) for n, c in _RULES.items()])), ",").alias("violations"))
+    """What a row must have, must not have, and by which condition and status; the first thing that is wrong."""
+    rows = A.results(spark, sf).withColumn("toxic_free", F.expr("coalesce(gate_may_use, doc_id % 3 > 0)")).selectExpr(*_ROW).withColumn("checked", F.expr("gated AND score_status <> 'errored'"))
+    hexed = " AND ".join(f"{c} RLIKE '^[0-9a-fA-F]+$'" for c in ("manifest_hash", "body_hash", "certificate"))
+    return rows.select("doc_id", F.coalesce(*[F.when(F.expr(c.replace("{hex}", hexed)), n) for n, c in _RULES.items()], F.lit("ok")).alias("fault"))
 
 
-@query("B21_chart_admission", f"{W} SELECT doc_id, condition FROM results WHERE test_kind IN ('decision', 'correction_safety') AND decision_score IS NOT NULL AND budget_chars > 0 AND status = 'ok'")
+@query("B21_chart_admission", f"{W} SELECT doc_id, condition, score_status FROM (SELECT *, {_SCORE_STATUS} FROM results) WHERE test_kind IN ('decision', 'correction_safety') AND score_status <> 'needs_judge'")
 def chart_admission(spark, sf):
-    """An unknown kind or condition is an error, a row that needs a judge is dropped."""
-    known = F.col("test_kind").isin("decision", "memory_projection", "correction_safety") & F.col("condition").isin(*A.CONDITIONS)
-    checked = A.results(spark, sf).withColumn("test_kind", F.when(known, F.col("test_kind")).otherwise(F.raise_error(F.lit("unknown kind or condition"))))
-    return checked.filter("test_kind IN ('decision', 'correction_safety') AND decision_score IS NOT NULL AND budget_chars > 0 AND status = 'ok'").select("doc_id", "condition")
+    """Rows of a quality chart: one of another kind or condition, or without a budget, is an error and not left out; a row that
+    waits for a judge is left out and never counts as 0."""
+    kinds, rows = ("decision", "correction_safety"), A.results(spark, sf).selectExpr("*", _SCORE_STATUS)
+    chosen = rows.filter(F.col("test_kind").isin(*kinds))  # what the caller asks for
+    admitted = F.col("test_kind").isin(*kinds) & F.col("condition").isin(*A.CONDITIONS) & (F.col("budget_chars") > 0)
+    checked = chosen.withColumn("condition", F.when(admitted, F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("not admitted to the chart: "), "doc_id"))))
+    return checked.filter("score_status <> 'needs_judge'").select("doc_id", "condition", "score_status")
 
 
 @query("B22_category_rule", f"{W} SELECT doc_id, CASE test_kind WHEN 'decision' THEN 'answer' WHEN 'memory_projection' THEN 'memory' ELSE 'memory' END AS expected, CASE WHEN doc_id % 6 = 0 THEN 'answer' ELSE 'memory' END AS scored, CASE test_kind WHEN 'decision' THEN 'answer' ELSE 'memory' END = CASE WHEN doc_id % 6 = 0 THEN 'answer' ELSE 'memory' END AS valid FROM results")
@@ -279,3 +302,30 @@ def rubric_pairs(spark, sf):
 def ranking_windows(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return A.table(spark, sf, "orders").select("o_orderkey", F.rank().over(w).alias("r"), F.ntile(4).over(w).alias("quarter"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"))
+
+
+_LINE = ["doc_id", "case_id", "condition", "repeat", "status", "decision_score", "audit_pass", "gate_may_use", "wall_ms"]
+
+
+def _json_sql(c: str) -> str:
+    value = f"'\"' || {c} || '\"'" if c in ("condition", "status") else f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || {value} END"
+
+
+@query("A27_result_lines", f"{W} SELECT doc_id, '{{' || concat_ws(',', {', '.join(_json_sql(c) for c in _LINE)}) || '}}' AS line FROM results")
+def result_lines(spark, sf):
+    """The lines that files.write_json_lines writes: a fixed order of keys, absent optional fields left out."""
+    return A.results(spark, sf).select("doc_id", F.to_json(F.struct(*_LINE), {"ignoreNullFields": "true"}).alias("line"))
+
+
+_BARS = f"{W}, m AS (SELECT condition, count(*) AS n, avg(decision_score) AS mean FROM results GROUP BY condition), b AS (SELECT *, row_number() OVER (ORDER BY condition) - 1 AS place FROM m)"
+
+
+@query("A28_report_lines", f"{_BARS} SELECT condition, '| ' || condition || ' | ' || n || ' | ' || coalesce(printf('%.3f', mean), '') || ' |' AS row, '<rect x=\"0\" y=\"' || place * 24 || '\" width=\"' || CAST(floor(coalesce(mean, 0) * 400) AS INTEGER) || '\" height=\"20\"/>' AS bar, '{{\"condition\":\"' || condition || '\",\"n\":' || n || '}}' AS summary FROM b")
+def report_lines(spark, sf):
+    """A row of the Markdown table, a bar of the chart and an entry of the JSON summary for each condition."""
+    m = A.results(spark, sf).groupBy("condition").agg(F.count("*").alias("n"), F.avg("decision_score").alias("mean"))
+    b = m.withColumn("place", F.row_number().over(Window.orderBy("condition")) - 1)  # a row for each condition
+    row = F.concat(F.lit("| "), "condition", F.lit(" | "), "n", F.lit(" | "), F.coalesce(F.format_string("%.3f", "mean"), F.lit("")), F.lit(" |"))
+    bar = F.concat(F.lit('<rect x="0" y="'), F.col("place") * 24, F.lit('" width="'), F.floor(F.coalesce("mean", F.lit(0.0)) * 400).cast("int"), F.lit('" height="20"/>'))
+    return b.select("condition", row.alias("row"), bar.alias("bar"), F.to_json(F.struct("condition", "n")).alias("summary"))

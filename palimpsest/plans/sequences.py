@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import arrays as V
+from ..operators.plugins import Constraint
 from ..sources import adapters as A
 
 _X = "x AS (SELECT vec_id, [v::DOUBLE for v in embedding] AS x FROM embeddings)"
@@ -103,11 +104,6 @@ def logit_mask(spark, sf):
     return _emb(spark, sf).withColumn("m", masked).select("vec_id", V.argmax(F.col("m")).alias("best"), F.size(F.filter("m", lambda v: v < -1e38)).alias("masked"))
 
 
-@query("H37_constraint", r"SELECT event_id, regexp_full_match(props, '\{\"k\": [0-9]+\}') AS accepted, regexp_full_match(event_type, 'click|view') AS in_grammar FROM events")
-def constraint(spark, sf):
-    return A.table(spark, sf, "events").select("event_id", F.col("props").rlike(r'^\{"k": [0-9]+\}$').alias("accepted"), F.col("event_type").rlike("^(click|view)$").alias("in_grammar"))
-
-
 _TOK = "t AS (SELECT user_id, list(CAST(floor(value) AS INTEGER) % 4 ORDER BY event_id) AS toks FROM events GROUP BY user_id)"
 
 
@@ -116,6 +112,19 @@ def _tokens(spark, sf):
     return e.select("user_id", F.transform("s", lambda x: x["t"]).alias("toks"))
 
 
+#: Any token, then ones or twos, then a three; after an end it starts anew.
+_GRAMMAR = Constraint(0, {(0, 0): 1, (0, 1): 1, (0, 2): 1, (0, 3): 1, (1, 1): 1, (1, 2): 1, (1, 3): 2, (1, 0): 2}, frozenset({2}))
+
+
+@query("H37_constraint", f"""WITH RECURSIVE {_TOK}, g(s, k, z) AS (VALUES {', '.join(f'({s}, {k}, {z})' for (s, k), z in _GRAMMAR.steps.items())}),
+r AS (SELECT user_id, toks, 0 AS state, 0 AS accepted, 0 AS restarts FROM t UNION ALL SELECT r.user_id, r.toks, g.z, r.accepted + 1, r.restarts + (r.state = 2)::INT FROM r JOIN g ON g.s = CASE WHEN r.state = 2 THEN 0 ELSE r.state END AND g.k = r.toks[r.accepted + 1] WHERE r.accepted < len(r.toks))
+SELECT user_id, max(accepted) AS accepted, arg_max(state, accepted) AS state, max(restarts) AS restarts, arg_max(state, accepted) = 2 AS ended FROM r GROUP BY user_id""")
+def constraint(spark, sf):
+    """Each user's tokens through the automaton: how many it takes, where it is then, how often it began anew."""
+    r = _tokens(spark, sf).select("user_id", _GRAMMAR.run(F.col("toks")).alias("r"))
+    return r.select("user_id", "r.accepted", "r.state", "r.restarts", "r.ended")
+
+
 @query("H32_merge_ids", f"WITH {_TOK} SELECT user_id, len(list_concat(toks, toks[1:2])) AS n, list_concat(toks, toks[1:2])[-1] AS last FROM t")
 def merge_ids(spark, sf):
     return _tokens(spark, sf).withColumn("m", F.concat("toks", F.slice("toks", 1, 2))).select("user_id", F.size("m").alias("n"), F.element_at("m", -1).alias("last"))
