@@ -218,15 +218,14 @@ def verify_bundle(spark, sf):
     "E11_history_suffix",
     f"""WITH {A.EV_CONV}, full_text AS (SELECT session_id, event_index, string_agg('<' || type || '>' || payload, chr(10)) OVER (PARTITION BY session_id ORDER BY event_index) AS now FROM ev_conv),
 p AS (SELECT *, lag(now) OVER (PARTITION BY session_id ORDER BY event_index) AS before FROM full_text)
-SELECT session_id, event_index, coalesce(starts_with(now, before), true) AS extends, substr(now, coalesce(length(before), 0) + 1) AS suffix FROM p""",
+SELECT session_id, event_index, CAST(coalesce(length(before), 0) AS BIGINT) AS at, substr(now, coalesce(length(before), 0) + 1) AS suffix FROM p WHERE coalesce(starts_with(now, before), true)""",
 )
 def history_suffix(spark, sf):
-    """Renders the history at each turn and emits what the last turn added; a turn's history grows, so the earlier part is
-    compared as a prefix."""
+    """What each turn adds to the rendered history, and where: the history itself is not rendered anew, as lines only follow."""
     order = Window.partitionBy("session_id").orderBy("event_index")
-    rows = A.ev_conv(spark, sf).withColumn("line", F.concat(F.lit("<"), "type", F.lit(">"), "payload"))
-    rows = rows.withColumn("now", F.array_join(F.collect_list("line").over(order.rowsBetween(Window.unboundedPreceding, 0)), "\n")).withColumn("before", F.lag("now").over(order))
-    return rows.selectExpr("session_id", "event_index", "coalesce(startswith(now, before), true) AS extends", "substr(now, coalesce(length(before), 0) + 1) AS suffix")
+    line = F.concat(F.when(F.row_number().over(order) > 1, "\n").otherwise(""), F.lit("<"), "type", F.lit(">"), "payload")
+    rows = A.ev_conv(spark, sf).select("session_id", "event_index", line.alias("suffix"))
+    return rows.withColumn("at", F.coalesce(F.sum(F.length("suffix")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 @query(

@@ -146,14 +146,15 @@ def mean_by_cell(spark, sf):
 
 @query("D11_median_cost", f"{W} SELECT condition, median(wall_ms)::DOUBLE AS wall, median(input_tokens)::DOUBLE AS tokens, median(model_calls)::DOUBLE AS calls FROM results WHERE budget_chars = 1338 GROUP BY condition")
 def median_cost(spark, sf):
-    return A.results(spark, sf).filter("budget_chars = 1338").groupBy("condition").agg(F.median("wall_ms").alias("wall"), F.median("input_tokens").alias("tokens"), F.median("model_calls").alias("calls"))
+    rows = A.results(spark, sf).filter("budget_chars = 1338")
+    of = lambda c, name: R.quantiles(rows, "condition", c, [0.5]).withColumnRenamed("q0", name)
+    return of("wall_ms", "wall").join(of("input_tokens", "tokens"), "condition").join(of("model_calls", "calls"), "condition")
 
 
 @query("D12_percentiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY l_returnflag")
 def percentiles(spark, sf):
     """Linear interpolation at q (n - 1)."""
-    p = A.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.99))).alias("p"))
-    return p.select("l_returnflag", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"))
+    return R.quantiles(A.table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", [0.5, 0.99]).withColumnsRenamed({"q0": "p50", "q1": "p99"})
 
 
 _PLACE = "CASE condition WHEN 'raw_oracle' THEN 0 WHEN 'rolling_summary' THEN 1 WHEN 'dpm_phase3_checkpoint' THEN 2 ELSE 3 END"
