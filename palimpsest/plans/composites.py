@@ -179,20 +179,19 @@ def block_concat(spark, sf):
 
 @query("H48_half_precision")
 def half_precision(spark, sf):
-    """Round to nearest even in 16 bits, subnormals to zero."""
+    """Embeddings as 16-bit numbers and back: the bits, and the largest error."""
     import numpy as np
 
-    @F.pandas_udf("array<float>")
-    def halved(x: pd.Series) -> pd.Series:
-        def f(v):
-            h = np.asarray(v, np.float32).astype(np.float16).astype(np.float32)
-            return np.where(np.abs(h) < 2.0**-14, 0, h).tolist()
+    from ..functions import halves
 
-        return x.map(f)
+    @F.pandas_udf("struct<bits: binary, back: array<float>>")
+    def both(x: pd.Series) -> pd.DataFrame:
+        bits = [halves.encoded(np.asarray(v)) for v in x]
+        return pd.DataFrame({"bits": [b.astype("<u2").tobytes() for b in bits], "back": [halves.decoded(b).tolist() for b in bits]})
 
-    h = A.table(spark, sf, "embeddings").select("vec_id", "embedding", halved("embedding").alias("h"))
-    error = F.array_max(F.zip_with("embedding", "h", lambda a, b: F.abs(a - b)))
-    return h.select("vec_id", F.size("h").alias("n"), (error <= 2.0**-11).alias("near"))
+    h = A.table(spark, sf, "embeddings").select("vec_id", "embedding", both("embedding").alias("h"))
+    error = F.array_max(F.zip_with("embedding", "h.back", lambda a, b: F.abs(a - b)))
+    return h.select("vec_id", F.hex("h.bits").alias("bits"), error.alias("error"))
 
 
 _BOUND = {

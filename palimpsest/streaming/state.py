@@ -124,3 +124,24 @@ def rolling_summary(log: DataFrame, budget: int = 200, size: int = 8) -> DataFra
     texts = chunks.groupBy("session_id", "chunk").agg(F.expr("listagg(head, ' ') WITHIN GROUP (ORDER BY event_index)").alias("t"))
     fold = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "t"))), lambda c: c["t"]), F.lit(""), lambda a, t: F.substring(F.concat(a, F.lit("|"), t), -budget, budget))
     return texts.groupBy("session_id").agg(fold.alias("summary"), F.count("*").alias("calls"))
+
+
+def stop_stream(tokens: DataFrame, stop: list[int]) -> DataFrame:
+    """tokens (session_id, seq, token), in order of seq -> the place of each session's first whole stop sequence, as soon as it
+    is there. The state is how much of the sequence has matched; as with the batch twin, a mismatch restarts at 0 or 1."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        matched, seen, hit = state.get if state.exists else (0, 0, -1)
+        rows = []
+        for t in pd.concat(list(batches)).sort_values("seq")["token"]:
+            seen += 1
+            matched = matched + 1 if stop[matched] == t else int(stop[0] == t)
+            if matched == len(stop):
+                matched = 0
+                if hit < 0:
+                    hit = seen
+                    rows.append((key[0], hit))
+        state.update((matched, seen, hit))
+        yield pd.DataFrame(rows, columns=["session_id", "hit"])
+
+    return tokens.groupBy("session_id").applyInPandasWithState(run, "session_id string, hit long", "matched int, seen long, hit long", "append", "NoTimeout")

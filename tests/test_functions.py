@@ -87,3 +87,22 @@ def test_branch_of_branch(spark):
     got = {(r.conv_id, r.event_index): r.payload for r in eventlog.resolve_branches(log, b).collect()}
     assert [got[(1, i)] for i in range(3)] == ["p0", "p1", "q0"]
     assert [got[(2, i)] for i in range(4)] == ["p0", "p1", "q0", "r0"]
+
+
+def test_half_precision_of_all_halves_and_between():
+    """Every 16-bit number is itself (subnormals are zeros); numbers between two of them go to the nearer, ties to the even one."""
+    import numpy as np
+
+    from palimpsest.functions import halves
+
+    bits = np.arange(1 << 16, dtype=np.uint16)
+    finite = bits[(bits & 0x7C00) != 0x7C00]
+    normal = finite[(finite & 0x7C00) != 0]
+    assert np.array_equal(halves.encoded(halves.decoded(normal)), normal)
+    flushed = finite[(finite & 0x7C00) == 0]
+    assert np.array_equal(halves.encoded(halves.decoded(flushed)), flushed & 0x8000) and not halves.decoded(flushed).any()
+    up = normal[(normal < 0x7BFF) & (normal >= 0x0400)].astype(np.int64)
+    low, high = (halves.decoded(b.astype(np.uint16)).astype(np.float64) for b in (up, up + 1))
+    for share, want in ((0.25, up), (0.75, up + 1), (0.5, up + (up & 1))):
+        assert np.array_equal(halves.encoded((low + (high - low) * share).astype(np.float32)), want)
+    assert halves.encoded(np.array([1e9, -1e9], np.float32)).tolist() == [0x7C00, 0xFC00]

@@ -49,3 +49,17 @@ def test_watermarked_window(spark, sf, tmp_path):
     stream = spark.readStream.schema("ts timestamp, value double").parquet(str(tmp_path / "in"))
     agg = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     assert drained(spark, agg, "windows_out", tmp_path).count() > 0
+
+
+def test_stop_stream(spark, tmp_path):
+    """Matches go on from one batch to the next, as in one fold over all tokens."""
+    from palimpsest.functions import arrays as V
+
+    rows = [(str(s), i, i // (s + 1) % 3) for s in range(6) for i in range(20)]
+    frame = spark.createDataFrame(rows, "session_id string, seq long, token int")
+    for part in (frame.filter("seq < 7"), frame.filter("seq >= 7")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r.session_id: r.hit for r in drained(spark, S.stop_stream(stream, [1, 2]), "stops_out", tmp_path).collect()}
+    whole = frame.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]).alias("t")).select("session_id", V.stop_detector(F.col("t"), [1, 2]).alias("hit"))
+    assert got == {r.session_id: r.hit for r in whole.collect() if r.hit >= 0} and got
