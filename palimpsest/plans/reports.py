@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import reports as R
 from ..sources import adapters as A
+from ..sources import corpus
 
 W = f"WITH {A.RESULTS}"
 CONDITIONS = "(VALUES " + ", ".join(f"('{c}')" for c in (*A.CONDITIONS, "hybrid")) + ") AS dim(condition)"
@@ -330,3 +331,13 @@ def report_lines(spark, sf):
     row = F.concat(F.lit("| "), "condition", F.lit(" | "), "n", F.lit(" | "), F.coalesce(F.format_string("%.3f", "mean"), F.lit("")), F.lit(" |"))
     bar = F.concat(F.lit('<rect x="0" y="'), F.col("place") * 24, F.lit('" width="'), F.floor(F.coalesce("mean", F.lit(0.0)) * 400).cast("int"), F.lit('" height="20"/>'))
     return b.select("condition", row.alias("row"), bar.alias("bar"), F.to_json(F.struct("condition", "n")).alias("summary"))
+
+
+@query("A24_corpus_cases", "SELECT 'case-' || conv_id AS case_id, 'd' || conv_id % 3 AS domain, conv_id * 7 AS seed, turn AS place, role AS type, 'T' || turn AS timestamp, CASE WHEN turn % 3 = 2 THEN 'turn ' || turn ELSE trim(regexp_replace(text, '[^A-Za-z .,]', ' ', 'g')) || CASE WHEN turn % 2 = 1 THEN chr(10) || '  # no comment' || chr(10) || 'end' ELSE '' END END AS payload, 'a b,' || conv_id AS ground_truth FROM conversations")
+def corpus_cases(spark, sf):
+    """Conversations as YAML files, with block scalars, quotes, comments and flow lists, and what is read of them."""
+    said = F.expr("CASE WHEN turn % 3 = 2 THEN concat('\"turn ', turn, '\"') ELSE concat('|\n      ', trim(regexp_replace(text, '[^A-Za-z .,]', ' ')), IF(turn % 2 = 1, '\n        # no comment\n      end', ''), '\n') END")
+    event = F.concat(F.lit("  - type: "), "role", F.lit("\n    timestamp: 'T"), "turn", F.lit("'\n    payload: "), said, F.lit("\n"))
+    c = A.table(spark, sf, "conversations").withColumn("e", event).groupBy("conv_id").agg(F.expr("listagg(e, '# next\n\n') WITHIN GROUP (ORDER BY turn)").alias("t"))
+    head = F.expr("concat('# a case\ncase_id: \"case-', conv_id, '\"\ndomain: d', conv_id % 3, '\nseed: ', conv_id * 7, '\nground_truth: [\"a b\", ', conv_id, ']\ntrajectory:\n')")
+    return c.select(F.col("conv_id").cast("string").alias("path"), F.concat(head, "t").alias("value")).mapInPandas(corpus.events, corpus.EVENTS).drop("path")

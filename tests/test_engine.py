@@ -85,3 +85,12 @@ def test_result_lines(spark, tmp_path):
     files.write_json_lines(spark.createDataFrame([(1, True, 0.5)], schema), path)
     with pytest.raises(ValueError):
         files.read_results(spark, path, schema)
+
+
+def test_corpus_files(spark, tmp_path):
+    from palimpsest.sources import corpus
+
+    (tmp_path / "a.yaml").write_text("case_id: x\nprobes:\n  - name: p\ntrajectory:\n  # one\n  - type: user\n    payload: >\n      two\n      lines\n\n  - type: tool\n    payload: |\n      kept\n        deeper\n\n      after\nground_truth:\n  - first\n  - 'second'\n")
+    rows = sorted(corpus.read_corpus(spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [(r.type, r.payload) for r in rows] == [("user", "two lines"), ("tool", "kept\n  deeper\n\nafter")]
+    assert rows[0].case_id == "x" and rows[0].ground_truth == "first,second" and rows[0].seed == 0
