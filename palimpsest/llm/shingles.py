@@ -2,9 +2,11 @@
 
 Candidates: in any order of all shingles, two such sets share l of the first n - ceil(similarity * n) + l shingles of the one
 whose prefix ends first, and those are in the other's prefix too (prefix filter). So a text stays only if the smallest l that
-a partner can have of its prefix is in other prefixes; others go, and what remains of texts of sizes that fit is chained by
-common shingles. Shingles that are frequent in a sample of SAMPLE texts come last in the order; it affects the
-cost only.
+a partner can have of its prefix is in other prefixes; others go. Of what remains, a shingle that at most RARE sets have links
+each pair of them (RARE / 2 rows a set at most), and pairs are counted: one stays if its count, and what either has of more
+frequent shingles, reach l. A pair without a rare shingle in common shares l frequent ones; so those who have as many are
+chained, by size, at each frequent shingle. Shingles that are frequent in a sample of SAMPLE texts come last in the order; it
+affects the cost only.
 
 Links: in each component of candidates the sets are compared in full, over an inverted list of the component's shingles.
 The Jaccard distance is a metric: whoever was reached from a center need not ask again where the triangle bound leaves
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -31,6 +33,8 @@ SAMPLE = 4096
 FREQUENT = 1 << 16
 #: A prefix must share this part of the set's shingles.
 PART = 0.1
+#: Sets that have a shingle, up to which pairs are counted.
+RARE = 8
 #: Shingles and nodes of a chunk, about.
 CHUNK, NODES = 1 << 20, 4096
 
@@ -161,12 +165,29 @@ def candidates(prints: DataFrame, *, similarity: float) -> DataFrame:
     entries = prints.select("node", "size", F.explode("prefix").alias("shingle"))
     met = entries.withColumns({"before": F.lag("node").over(by_node), "low": F.first("node").over(whole), "high": F.last("node").over(whole)})
     shared = met.filter("low <> high AND (before IS NULL OR before <> node)").select("node", "size", "shingle")
+    own = Window.partitionBy("node")
+    likely = shared.withColumn("n", F.count("*").over(own)).filter(F.col("n") >= _needed(similarity)).select("node", "size", "shingle")
+    sized = Window.partitionBy("shingle")
+    ranked = likely.withColumn("sets", F.count("*").over(sized)).filter("sets > 1")
+    # how many frequent shingles a set has goes along with it
+    ranked = stored(ranked.withColumn("frequent", F.count(F.when(F.col("sets") > RARE, 1)).over(own)), "shared")
+    by_size = sized.orderBy("size", "node")
+    fits = F.col("smaller") / F.col("size") >= similarity
+    frequent = ranked.filter((F.col("sets") > RARE) & (F.col("frequent") >= _needed(similarity)))
+    chain = frequent.select(F.col("node").alias("a"), F.lag("node").over(by_size).alias("b"), "size", F.lag("size").over(by_size).alias("smaller"))
+    rare = ranked.filter(F.col("sets") <= RARE)
+    before = [F.lag(F.struct("node", "size", "frequent"), k).over(by_size) for k in range(1, RARE)]
+    pairs = rare.withColumns({f"o{k}": o for k, o in enumerate(before)}).select("node", "size", "frequent", F.explode(F.array_compact(F.array(*[f"o{k}" for k in range(len(before))]))).alias("o"))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("o.node").alias("b"), "size", F.col("o.size").alias("smaller"), F.least("frequent", "o.frequent").alias("frequent")).filter(fits)
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("frequent").alias("frequent"), F.first("size").alias("size"))
+    near = counted.filter(F.col("n") + F.col("frequent") >= _needed(similarity))
+    return chain.filter(fits).select("a", "b").unionByName(near.select("a", "b")).distinct()
+
+
+def _needed(similarity: float) -> Column:
+    """How many shingles of its prefix a set of this size has in a similar set's, at least."""
     smallest = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
-    need = F.least(smallest, F.greatest(F.lit(1), F.floor(F.lit(PART) * smallest)))
-    likely = shared.withColumn("n", F.count("*").over(Window.partitionBy("node"))).filter(F.col("n") >= need).select("node", "size", "shingle")
-    by_size = Window.partitionBy("shingle").orderBy("size", "node")
-    chain = likely.select(F.col("node").alias("a"), F.lag("node").over(by_size).alias("b"), "size", F.lag("size").over(by_size).alias("smaller"))
-    return chain.filter(F.col("smaller") / F.col("size") >= similarity).select("a", "b").distinct()
+    return F.least(smallest, F.greatest(F.lit(1), F.floor(F.lit(PART) * smallest)))
 
 
 def exact_links(members: DataFrame, heads: DataFrame, *, width: int, similarity: float) -> DataFrame:
