@@ -59,14 +59,13 @@ def has_letter(text: str | None) -> bool:
 
 
 def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200) -> np.ndarray:
-    """Weights, with the bias last, of a linear machine for y in {-1, 1}, both sides weighted alike."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a linear machine for y in {-1, 1}, both sides weighted alike; the last column of x is 1, for the bias."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    rate = 1.0 / (2 * float(np.minimum((weight[:, None] * x * x).sum(), 4.0)) + penalty)
+    rate = 1.0 / (2 * min(float(np.einsum("i,ij,ij->", weight, x, x)), 4.0) + penalty)
     w = v = np.zeros(x.shape[1])
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (penalty * v - 2 * x.T @ (weight * y * slack))
+        slack = np.maximum(0, 1 - y * (x @ v.astype(x.dtype)))
+        new = v - rate * (penalty * v - 2 * ((weight * y * slack).astype(x.dtype) @ x))
         v = new + k / (k + 3) * (new - w)
         w = new
     return w
@@ -108,10 +107,11 @@ class Model:
 def fit(x: np.ndarray, labels: list[str]) -> Model:
     if not labels:
         return Model()
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     lang = np.array(labels)
     fam = np.array([_family_of.get(code.lower().split("-")[0], code) for code in labels])
     model = Model(families=sorted(set(fam.tolist())))
-    model.family = np.stack([machine(x, np.where(fam == f, 1.0, -1.0)) if len(model.families) > 1 else np.zeros(x.shape[1] + 1) for f in model.families])
+    model.family = np.stack([machine(x, np.where(fam == f, 1.0, -1.0)) if len(model.families) > 1 else np.zeros(x.shape[1]) for f in model.families])
     for f in model.families:
         names = sorted(set(lang[fam == f].tolist()))
         model.languages.append(names)
@@ -120,7 +120,7 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
             for b in names[i + 1 :]:
                 on = (lang == a) | (lang == b)
                 rows.append(machine(x[on], np.where(lang[on] == a, 1.0, -1.0)))
-        model.pairs.append(np.stack(rows) if rows else np.zeros((0, x.shape[1] + 1)))
+        model.pairs.append(np.stack(rows) if rows else np.zeros((0, x.shape[1])))
     return model
 
 
@@ -154,8 +154,10 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
 
     rows = sample.mapInArrow(vectors, "x binary, lang string").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64) if rows else np.zeros((0, DIMENSIONS))
-    return fit(x, [r["lang"] for r in rows])
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
+    labels = [r["lang"] for r in rows]
+    del rows
+    return fit(x, labels)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "family")) -> DataFrame:
