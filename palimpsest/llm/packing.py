@@ -36,7 +36,7 @@ RANK_SALTS = 64
 #: A text is tokenized in slices of about so many bytes.
 SLICE = 1 << 22
 #: Chunks between white space, and words in them, whose ids a worker keeps: twice as many at most, some 200 bytes each.
-CACHE = 1 << 17
+CACHE = 1 << 19
 
 #: A chunk that is a word and trailing ASCII punctuation; the tokenizer too ends a token between the two, as long as the
 #: last character of the word is a letter before and after the tokenizer's own lower-casing and composing (``_letter``).
