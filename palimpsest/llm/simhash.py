@@ -45,6 +45,8 @@ SPLIT = 2048
 MATRIX = 768
 #: Sampled fingerprints that a vantage point needs below it; the levels with fewer have random points.
 LEAST = 32
+#: Candidates, some 100 bytes each, that may be broadcast.
+FEW = 200_000
 #: Ids of nodes without a doc_id start here.
 NAMELESS = 1 << 62
 _AT_ONCE = 1 << 15
@@ -312,7 +314,8 @@ def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     near = links(stored(prints.groupBy("node").agg(F.first("fp").alias("fp")), "nodes"), limit=limit, masks=masks, radius=radius)
     met = spread(near.unionByName(shingles.candidates(prints, similarity=similarity)).distinct())
     heads = stored(prints.join(met, "node").groupBy("node", "label").agg(first, F.first("size").alias("size")).select("node", "label", "size", tag), "heads")
-    members = rows.withColumn("_palimpsest_kept", key()).join(heads, "_palimpsest_kept")
+    few = heads.limit(FEW + 1).count() <= FEW  # else the texts are shuffled
+    members = rows.withColumn("_palimpsest_kept", key()).join(F.broadcast(heads) if few else heads, "_palimpsest_kept")
     groups = spread(shingles.exact_links(members, heads, width=width, similarity=similarity))
     found = prints.join(groups, "node", "left").withColumn("component", F.coalesce("label", "node"))
     chosen = stored(found.groupBy("component").agg(first).select(tag), "kept")
