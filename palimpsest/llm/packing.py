@@ -41,7 +41,7 @@ CACHE = 1 << 19
 #: A chunk that is a word and trailing ASCII punctuation; the tokenizer too ends a token between the two, as long as the
 #: last character of the word is a letter before and after the tokenizer's own lower-casing and composing (``_letter``).
 _tail = re.compile(r"^(.*\w)([!-&(-/:-@\[-`{-~]+)$", re.S)
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 def _letter(c: str) -> bool:
@@ -77,12 +77,12 @@ class Encoder:
     """Ids of whole texts. The tokenizer drops white space and no token crosses it, so a text's ids are those
     of its chunks between ASCII white space, and chunks recur; so do words without the punctuation after them."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = Recent(CACHE)
+        self.chunks = Recent(cache)
 
     def learn(self, chunks: list[bytes]) -> None:
         split = {c: _parts(c) for c in chunks}
@@ -114,18 +114,19 @@ class Encoder:
         return b"".join(out)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One for each worker and size."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
-def pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0, cache: int = CACHE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
     end = np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             texts = b.column("text").cast(pa.binary()).to_pylist()
@@ -285,9 +286,9 @@ def plan(hist: np.ndarray, max_len: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 4), seq
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = pieces(docs, tokenizer, max_len, separator).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int"))
+def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0, cache: int = CACHE) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset. cache: chunks of a generation."""
+    rows = pieces(docs, tokenizer, max_len, separator, cache).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int"))
     rows = stored(rows, "pieces")
     counts = rows.groupBy("length", "salt").count()
     hist = np.zeros(max_len + 1, dtype=np.int64)
