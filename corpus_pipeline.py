@@ -48,7 +48,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     itself; pieces of equal length are placed in order of doc_id and piece."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers that go on to other stages keep less
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=1 << 16)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("personal_data", personal_data), ("mix", mix), ("sequences", sequences)]
