@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, langid, media, mixing, packing, pii, sharding, simhash, substring, suffix
+from . import chat, digest, langid, media, mixing, packing, pii, sharding, simhash, substring, suffix, trie, variants
 from .common import documents
 
 
@@ -112,6 +112,80 @@ SELECT h.doc_id, (length(h.x) // 2)::BIGINT AS n_bytes, coalesce(c.removed, 0)::
 FROM h LEFT JOIN c USING (doc_id) JOIN kept USING (doc_id)
 """
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+#: A conversation whose texts are made of the template's control strings.
+PLANTED = (-1, [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")])
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.formatted(conversations(spark, sf_dir), planted=[PLANTED]), ordered=True)
+
+
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS planted FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]', true FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+e AS (SELECT *, length(regexp_replace(regexp_replace(text, '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)((?:/?INST|/?ROLE|TEXT)\])', '\1\\\2', 'g')) AS n,
+  length(regexp_replace(regexp_replace(role, '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)((?:/?INST|/?ROLE|TEXT)\])', '\1\\\2', 'g')) AS role_n FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  (3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 23 + role_n END))::BIGINT AS formatted_chars,
+  ceil(count(*) / 32)::BIGINT AS n_parts, 0::BIGINT AS n_rewritten
+FROM e GROUP BY conv_id, planted
+"""
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(conversations(spark, sf_dir))
+
+
+#: CRC-32's table of 256, and the checksum of the bytes of a string x with it.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce([4294967295] || list_transform(range(strlen({x})), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP12_SQL = rf"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations),
+ids AS (SELECT DISTINCT conv_id FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, coalesce({_CRC.format(x="conv_id::VARCHAR")} % 6, 0) AS h FROM ids, crc),
+r AS (SELECT h.conv_id, 0 AS own, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
+  UNION ALL SELECT h.conv_id, 1, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id IS NOT DISTINCT FROM h.conv_id AND t.pos > h.h),
+k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS pos, md5(length(role) || ':' || role || text) AS turn, length(text) AS chars FROM r),
+p AS (SELECT h.conv_id, coalesce(list(k.turn ORDER BY k.pos) FILTER (k.pos IS NOT NULL), []) AS turns, coalesce(list(k.chars ORDER BY k.pos) FILTER (k.pos IS NOT NULL), []) AS chars FROM h LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM h.conv_id GROUP BY h.conv_id),
+x AS (SELECT conv_id, turns, chars, unnest(range(len(turns) + 1)) AS depth FROM p),
+n AS (SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, max(CASE WHEN depth > 0 THEN chars[depth] ELSE 0 END) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '') AS ends FROM x GROUP BY ALL),
+c AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, path)),
+s AS (SELECT a.depth, a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved FROM m a JOIN m b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY ALL)
+SELECT m.conv_id, m.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (depth, path) LEFT JOIN m up ON up.depth = m.depth - 1 AND up.path = m.path[1:m.depth - 1]
+"""
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(documents(spark, sf_dir))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS x, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC.format(x="x")} AS h FROM counted, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM made GROUP BY word HAVING length(word) >= 7 AND sum(made.n) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.rest, c.word, c.n FROM cut c JOIN v ON v.word = c.rest UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+form AS (SELECT v.word, v.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN best.top >= 10 * v.n THEN best.top END AS form_n FROM v LEFT JOIN best USING (word)),
+forms AS (SELECT form.*, min(near.other) AS form FROM form LEFT JOIN near ON near.word = form.word AND near.n = form.form_n GROUP BY ALL),
+chain AS (SELECT word, word AS place, 0 AS steps FROM forms UNION ALL SELECT chain.word, forms.form, steps + 1 FROM chain JOIN forms ON forms.word = chain.place WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, r.root, forms.n, forms.n_near::BIGINT AS n_near, forms.form_n::BIGINT AS form_n FROM forms JOIN (SELECT word, arg_max(place, steps) AS root FROM chain GROUP BY word) r USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -123,5 +197,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_suffix": op9_suffix,
     "op10_simhash": op10_simhash,
+    "op11_chat": op11_chat,
+    "op12_trie": op12_trie,
+    "op13_variants": op13_variants,
 }
-ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL, "op8_substring": OP8_SQL, "op9_suffix": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL, "op8_substring": OP8_SQL, "op9_suffix": OP9_SQL, "op11_chat": OP11_SQL, "op12_trie": OP12_SQL, "op13_variants": OP13_SQL}
