@@ -10,7 +10,6 @@ import hashlib
 import json
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -156,27 +155,3 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes | None, str]]:
             return
         yield k, data[at + 8 : at + 8 + size], ""
         at, k = at + 8 + size, k + 1
-
-
-def contained(sections: list[tuple[str, bytes]], version: tuple[int, int, int] = (1, 0, 0), align: int = 64) -> bytes:
-    """A sectioned container: magic, version, header end, a JSON header with byte ranges, and zlib sections at aligned places."""
-    bodies = [(kind, zlib.compress(data)) for kind, data in sections]
-    ranges, at = [], 4096
-    for kind, body in bodies:
-        ranges.append({"kind": kind, "begin": at, "end": at + len(body)})
-        at += -(-len(body) // align) * align
-    header = json.dumps({"sections": ranges}).encode()
-    out = bytearray(b"PLMPCONT" + struct.pack("<IIIIQ", *version, 0, 32 + len(header)) + header)
-    out.extend(bytes(4096 - len(out)))
-    for r, (_, body) in zip(ranges, bodies):
-        out.extend(bytes(r["begin"] - len(out)) + body)
-    return bytes(out)
-
-
-def sections(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
-    """(kind, begin, end, inflated bytes)."""
-    if data[:8] != b"PLMPCONT":
-        return
-    end = struct.unpack_from("<Q", data, 24)[0]
-    for s in json.loads(data[32:end])["sections"]:
-        yield s["kind"], s["begin"], s["end"], zlib.decompress(data[s["begin"] : s["end"]])

@@ -404,19 +404,3 @@ def frame_decode(spark, sf):
             yield pd.DataFrame(rows, columns=["session_id", "frame", "bytes", "error"])
 
     return logs.mapInPandas(decode, "session_id string, frame long, bytes long, error string")
-
-
-@query("A31_container_read")
-def container_read(spark, sf):
-    """Containers of three sections each, read back."""
-    docs = _docs(spark, sf).select("doc_id", "text", "lang")
-
-    def read(batches):
-        for b in batches:
-            rows = []
-            for d, t, g in zip(b["doc_id"], b["text"], b["lang"]):
-                for kind, begin, end, body in P.sections(P.contained([("text", t.encode()), ("lang", g.encode()), ("empty", b"")])):
-                    rows.append((d, kind, begin, end, len(body)))
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "begin", "end", "size"])
-
-    return docs.mapInPandas(read, "doc_id long, kind string, begin long, end long, size long")

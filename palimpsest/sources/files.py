@@ -1,4 +1,4 @@
-"""File sources and sinks: binary logs, containers, JSON lines, reports.
+"""File sources and sinks: binary logs, JSON lines, reports.
 
 Files are read through Spark's readers, so any store that Spark reaches will do.
 """
@@ -34,17 +34,6 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("path", F.col("frame").alias("event_index"), "error", "e.*")
 
 
-def read_containers(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, begin, end, content of each section."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, *s) for p, c in zip(b["path"], b["content"]) for s in P.sections(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "kind", "begin", "end", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, kind string, begin long, end long, content binary")
-
-
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """Absent optional fields are left out; columns keep their order."""
     rows.write.mode("append").option("ignoreNullFields", "true").json(path)

@@ -71,12 +71,6 @@ def test_binary_logs(spark, tmp_path):
     assert [r.error for r in rows if r.path.endswith("b.log") and r.error] == ["truncated record"]
 
 
-def test_containers(spark, tmp_path):
-    (tmp_path / "m.bin").write_bytes(protocol.contained([("model", b"abc" * 100), ("tokenizer", b"")]))
-    got = {r.kind: bytes(r.content) for r in files.read_containers(spark, str(tmp_path / "m.bin")).collect()}
-    assert got == {"model": b"abc" * 100, "tokenizer": b""}
-
-
 def test_result_lines(spark, tmp_path):
     path, schema = str(tmp_path / "r"), "schema_version int, mock boolean, score double"
     files.write_json_lines(spark.createDataFrame([(1, False, 0.5), (1, False, None)], schema), path)
