@@ -211,3 +211,56 @@ def test_planted_private_data_goes(docs):
                 n += 1
                 assert m not in r.text
     assert n > 0
+
+
+def test_numbers_after_a_plus_sign_in_prose_stay(spark):
+    rows = ["gain +500 points", "+200% more", "call +423 now", "grew +300 users", "year +2024", "+1000 items", "+50 000 and +1,000,000", "+12 34 56"]
+    out = {r.doc_id: r for r in pii.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k", counts=True).collect()}
+    assert [out[k].text for k in range(len(rows))] == rows and all(r.n_entities == 0 for r in out.values())
+
+
+def test_no_short_string_is_an_error(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choices("+-().:@ 0123456789ab", k=rng.randrange(1, 18)))) for k in range(20_000)]
+    rows += [(k, "+" + "".join(rng.choices("0123456789 -.()", k=rng.randrange(1, 18)))) for k in range(20_000, 25_000)]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert len(out) == len(rows) and sum(r.text != rows[r.doc_id][1] for r in out) > 100
+
+
+def test_mentions_of_one_person_agree(spark):
+    text = "Jane Roe; Mrs Roe; Ms. Jane Roe; Dr. Jane Roe; JANE Roe; Mary Roe; Mr. Peter Roe; Prof. Roe"
+    new = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text.split("; ")
+    family = new[1].split()[-1]
+    assert all(x.split()[-1] == family for k, x in enumerate(new) if k != 4) and family != "Roe"
+    assert new[2] == f"Ms. {new[0]}" and new[3] == f"Dr. {new[0]}" and new[7] == f"Prof. {family}"
+    assert len({new[0], new[5], new[6].removeprefix("Mr. ")}) == 3
+    assert any(new[0].startswith(g) for g in pii.GIVEN[("f", "latin")]) and any(new[6].startswith("Mr. " + g) for g in pii.GIVEN[("m", "latin")])
+
+
+def test_a_family_with_more_members_than_given_names(spark):
+    names = ["".join(p) for p in ("Ka Ke Ki Ko Ku La Le Li Lo Lu Ma Me Mi Mo Mu Na Ne Ni No Nu Ra Re Ri Ro Ru Ta Te Ti To Tu Za Ze Zi Zo Zu".split())]
+    rows = [(k, f"Mr. {n} Smith") for k, n in enumerate(names)]
+    out = {r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(out) == len(names) and len({x.split()[-1] for x in out}) == 1
+
+
+def test_small_kinds_end(spark):
+    """Values that have few like them do not clash for ever."""
+    rows = [(k, f"{k % 7}:{k % 16:x}::{k % 5:x} and password: {'#' * (6 + k % 20)}") for k in range(200)]
+    out = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    to = {}
+    for k, t in rows:
+        for a, b in zip(t.split(" and password: "), out[k].split(" and password: ")):
+            assert to.setdefault(a, b) == b and a != b
+    assert len(set(to.values())) == len(to)
+
+
+def test_telephone_forms_do_not_meet(spark):
+    """Ten digits: North American ones, and others, keep to their own."""
+    rows = [(k, f"{a}-{b}-{k % 10_000:04d}") for k, (a, b) in enumerate((a, b) for a in (100, 234, 999) for b in (100, 199, 200, 999))]
+    for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect():
+        was = rows[r.doc_id][1]
+        form = lambda s: (s[0] in "01", s[4] in "01")
+        assert form(r.text)[0] == form(was)[0] and (form(was)[0] or form(r.text)[1] == form(was)[1]) and r.text != was
