@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import evidence as V
 from ..operators import plugins, runner
 from ..sources import adapters as A
+from ..streaming import decode
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VIEW = f"""hits AS (SELECT e.session_id, e.event_index, c.correction_id FROM ev_conv e JOIN corr c ON e.session_id = c.session_id AND (c.scope <> 'prior_events' OR e.event_index < c.correction_index) AND c.fact <> ''
@@ -157,10 +158,17 @@ def needles(spark, sf):
     return d.select("doc_id", "at", F.concat(F.lit("needle-"), "at").alias("needle"))
 
 
-@query("H31_incomplete_bpe", "SELECT doc_id, ends_with(text || CASE WHEN doc_id % 5 = 0 THEN chr(65533) ELSE '' END, chr(65533)) AS incomplete FROM documents")
+_H31_TAIL = {0: [(0xE2, None)], 1: [(0xE2, None), (None, "▁x")], 2: [(0xE2, None), (0x41, None), (0x82, None), (0xAC, None)], 3: [], 4: [(0xC3, None), (0xA9, None)]}
+
+
+@query("H31_incomplete_bpe", "WITH t AS (SELECT doc_id, replace(coalesce(text, ''), ' ', '▁') || CASE doc_id % 5 WHEN 1 THEN chr(65533) || '▁x' WHEN 2 THEN 'A€' WHEN 4 THEN 'é' ELSE '' END AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE md5(t) END AS digest, doc_id % 5 <> 0 AS whole FROM t")
 def incomplete_bpe(spark, sf):
-    t = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "�").otherwise(""))
-    return A.table(spark, sf, "documents").select("doc_id", t.endswith("�").alias("incomplete"))
+    """Texts as pieces and bytes, some ending in whole, broken or incomplete characters, put together again."""
+    token = lambda b, p: f"struct({'CAST(NULL AS INT)' if b is None else b} AS byte, {'CAST(NULL AS STRING)' if p is None else repr(p)} AS piece)"
+    tail = F.expr("CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN array({', '.join(token(*t) for t in ts)})" for k, ts in _H31_TAIL.items() if ts) + f" ELSE slice(array({token(None, '')}), 1, 0) END")
+    tokens = F.concat(decode.pieces(F.coalesce("text", F.lit(""))), tail)
+    rows = decode.joined(A.table(spark, sf, "documents").select("doc_id", tokens.alias("tokens")), "tokens")
+    return rows.select("doc_id", F.when(F.col("whole"), F.md5("text")).alias("digest"), "whole")
 
 
 @query("H50_block_concat", "SELECT label, count(*) AS blocks, 256 * count(*) AS bytes FROM embeddings GROUP BY label")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import eventlog as L
 from ..sources import adapters as A
+from ..streaming import decode
 from ..streaming import state as S
 
 
@@ -64,6 +65,29 @@ def decode_holdback(spark, sf):
     return A.table(spark, sf, "documents").withColumn("t", t).select("doc_id", overlap(F.col("t"), F.lit("<end_of_turn>"), 12).alias("held"), F.expr("endswith(t, '<end_of_turn>')").alias("stopped"))
 
 
+#: Stop sequences of event types, as tokens.
+_STOPS = [["signup", "click"], ["purchase", "purchase", "view"], ["view", "signup", "signup", "error"], ["click", "click", "click", "click", "click"]]
+_PROGRESS = lambda k, s: "CASE " + " ".join(f"WHEN s.m{k} = {n} AND b.type = '{t}' THEN {n + 1}" for n, t in enumerate(s)) + f" WHEN b.type = '{s[0]}' THEN 1 ELSE 0 END"
+
+
+@query(
+    "I5_streaming_decode",
+    f"""WITH RECURSIVE b AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+s AS (SELECT session_id, 0::BIGINT AS seq, {", ".join(f"0 AS m{k}" for k in range(len(_STOPS)))}, false AS stopped, []::VARCHAR[] AS pending, '' AS text FROM (SELECT DISTINCT session_id FROM b)
+  UNION ALL SELECT session_id, seq, {", ".join(f"m{k}" for k in range(len(_STOPS)))}, stopped, CASE WHEN stopped THEN pending ELSE queue[len(queue) - keep + 1:] END, CASE WHEN stopped THEN text ELSE text || array_to_string(queue[1:len(queue) - keep], '') END
+  FROM (SELECT *, greatest({", ".join(f"m{k}" for k in range(len(_STOPS)))}) AS keep, {" OR ".join(f"m{k} = {len(x)}" for k, x in enumerate(_STOPS))} AS stopped FROM (
+    SELECT b.session_id, b.seq, s.text, list_append(s.pending, ' ' || b.type) AS queue, s.pending, {", ".join(f"{_PROGRESS(k, x)} AS m{k}" for k, x in enumerate(_STOPS))}
+    FROM s JOIN b ON b.session_id = s.session_id AND b.seq = s.seq + 1 WHERE NOT s.stopped)))
+SELECT session_id, md5(arg_max(text, seq)) AS digest, bool_or(stopped) AS stopped, max(seq) AS n_tokens, len(arg_max(pending, seq))::INTEGER AS held FROM s GROUP BY session_id""",
+)
+def streaming_decode(spark, sf):
+    """Users' events as tokens: the text until a stop sequence, less what one has begun to match."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    tokens = A.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), F.row_number().over(order).alias("seq"), F.lit(None).cast("int").alias("byte"), F.concat(F.lit("▁"), "event_type").alias("piece"))
+    found = decode.decoded(tokens, [[(None, "▁" + t) for t in s] for s in _STOPS])
+    return found.select("session_id", F.md5("text").alias("digest"), "stopped", "n_tokens", "held")
+
+
 @query("W1_tumbling", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type, date_trunc('hour', ts)")
 def tumbling(spark, sf):
     e = A.table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
