@@ -124,24 +124,6 @@ def pre_tool_gate(spark, sf):
     return rows.groupBy("session_id", "event_index").agg(F.expr("CASE WHEN bool_or(hit) THEN 'deny' ELSE 'allow' END").alias("decision"))
 
 
-@query(
-    "B32_projection_prompt",
-    f"""WITH {A.EV_CONV}, {A.CORR}, log AS (SELECT session_id, string_agg('[' || (event_index + 1) || '] ' || payload, chr(10) ORDER BY event_index) AS events FROM ev_conv GROUP BY session_id)
-SELECT l.session_id, length(events) <= 4000 AS accepted, CASE WHEN length(events) <= 4000 THEN 'Schema: memory-v1' || chr(10) || 'Budget: 1338 characters' || chr(10) || coalesce('Corrections: ' || c.correction_id || ' revokes ' || c.fact || chr(10), '') || 'Events:' || chr(10) || events END AS prompt
-FROM log l LEFT JOIN corr c ON c.session_id = l.session_id AND c.severity = 'blocking'""",
-)
-def projection_prompt(spark, sf):
-    log = L.render(A.ev_conv(spark, sf), F.col("payload"), ["session_id"])
-    c = A.corr(spark, sf).filter("severity = 'blocking'").select("session_id", "correction_id", "fact")
-    text = F.concat(F.lit("Schema: memory-v1\nBudget: 1338 characters\n"), F.coalesce(F.concat(F.lit("Corrections: "), "correction_id", F.lit(" revokes "), "fact", F.lit("\n")), F.lit("")), F.lit("Events:\n"), "rendered")
-    return log.join(c, "session_id", "left").select("session_id", (F.length("rendered") <= 4000).alias("accepted"), F.when(F.length("rendered") <= 4000, text).alias("prompt"))
-
-
-@query("B33_repair_prompt", f"WITH {A.CORR} SELECT correction_id, 'Remove: ' || fact || chr(10) || 'Previous: projection of ' || session_id || chr(10) || 'Directive: ' || correction_id || ' (' || scope || ')' AS prompt FROM corr")
-def repair_prompt(spark, sf):
-    return A.corr(spark, sf).select("correction_id", F.concat(F.lit("Remove: "), "fact", F.lit("\nPrevious: projection of "), "session_id", F.lit("\nDirective: "), "correction_id", F.lit(" ("), "scope", F.lit(")")).alias("prompt"))
-
-
 @query("C1_event_directive_join", f"WITH {A.EV_CONV}, {A.CORR}, {_HITS} SELECT session_id, event_index, correction_id, scope FROM hits")
 def event_directive_join(spark, sf):
     return V.matches(A.ev_conv(spark, sf), A.corr(spark, sf), ["session_id"]).select("session_id", "event_index", "correction_id", "scope")
