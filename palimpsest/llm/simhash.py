@@ -3,7 +3,7 @@
 Fingerprint: every shingle of words gets 64-bit XXH64 values; a bit is 1 if more than half of them have it. Longer
 fingerprints are several such words with different seeds.
 
-Search: documents of equal fingerprints are one node, named by their smallest doc_id. A tree splits nodes by their
+Search: documents of equal fingerprints are one node, named by that fingerprint. A tree splits nodes by their
 Hamming distance, on a mask of bits, to a vantage point: near ones go left, far ones right. Two fingerprints that differ
 in at most ``limit`` bits differ in few bits on some mask (for masks that are ``blocks`` equal parts, limit // blocks on
 one at least, which is the tree's radius). Whoever is farther from the vantage point than border - radius also enters the
@@ -47,8 +47,6 @@ MATRIX = 768
 LEAST = 32
 #: Candidates, some 100 bytes each, that may be broadcast.
 FEW = 200_000
-#: Ids of nodes without a doc_id start here.
-NAMELESS = 1 << 62
 _AT_ONCE = 1 << 15
 
 
@@ -270,14 +268,13 @@ def spread(edges: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, *, limit: int, masks: list[np.ndarray], radius: int) -> DataFrame:
-    """prints (doc_id, fp, ...), stored -> its columns, component (an id of the group) and component_id: the smallest
-    doc_id reachable."""
-    named = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61)))
-    nodes = stored(prints.groupBy("fp").agg(named.alias("node")), "nodes")
-    edges = links(nodes, limit=limit, masks=masks, radius=radius)
-    groups = nodes.join(spread(edges), "node", "left").select("fp", F.coalesce("label", "node").alias("component"))
-    out = prints.join(groups, "fp", "left")
-    return out.withColumn("component_id", F.when(F.col("component") < NAMELESS, F.col("component")))
+    """prints (doc_id, fp of 8 bytes, ...), stored -> its columns and component_id: the smallest doc_id reachable. A node is named by
+    its fingerprint itself, whatever its doc_ids are."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")), "nodes")
+    edges = links(nodes.select("node", "fp"), limit=limit, masks=masks, radius=radius)
+    groups = nodes.join(spread(edges), "node", "left").select("fp", "first", F.coalesce("label", "node").alias("component"))
+    names = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    return prints.join(groups.join(names, "component").select("fp", "component_id"), "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, limit: int = 3, blocks: int = 2) -> DataFrame:

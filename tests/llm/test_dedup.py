@@ -237,3 +237,13 @@ def test_near_copies_match_brute_force(spark, chunk, nodes, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [r.doc_id for r in simhash.representatives(df).collect()]
     assert sorted(got) == sorted(expected) and 30 < len(got) < 150
+
+
+def test_components_of_ids_at_both_ends(spark):
+    """The smallest doc_id names a component, however small or large; null only where there is no other."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [(high, "a b c d e"), (2**62 + 5, "x y z w v"), (2**62 + 9, "x y z w v"), (low, "k l m n o"), (high - 1, "k l m n o"), (None, "q r s t u"), (None, "f g h i j"), (high - 2, "f g h i j"), (-1, ""), (None, None)]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by_id = {d: c for (d, _), c in got.items() if d is not None}
+    assert by_id == {high: high, 2**62 + 5: 2**62 + 5, 2**62 + 9: 2**62 + 5, low: low, high - 1: low, high - 2: high - 2, -1: -1}
+    assert sorted(str(c) for (d, _), c in got.items() if d is None) == sorted(["None", str(high - 2), "-1"])
