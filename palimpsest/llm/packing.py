@@ -305,9 +305,9 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int =
 
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(F.broadcast(counts), ["length", "salt"])  # max_len * RANK_SALTS rows at most
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
     placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, sequence_id long").drop("rank")
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
