@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import dropped, stored
+from .common import dropped, stored, unused
 
 SAMPLE = 4096
 LEAF = 512
@@ -316,4 +316,5 @@ def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     groups = spread(shingles.exact_links(members, heads, width=width, similarity=similarity))
     found = prints.join(groups, "node", "left").withColumn("component", F.coalesce("label", "node"))
     chosen = stored(found.groupBy("component").agg(first).select(tag), "kept")
-    return docs.withColumn("_palimpsest_kept", key()).join(chosen, "_palimpsest_kept", "left_semi").dropDuplicates(["_palimpsest_kept"]).drop("_palimpsest_kept")
+    kept = unused(docs, "_palimpsest_kept")
+    return docs.withColumn(kept, key()).join(chosen.withColumnRenamed("_palimpsest_kept", kept), kept, "left_semi").dropDuplicates([kept]).drop(kept)
