@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from .plans import audit, checkpoints, composites, containers, eventlog, evidence, functions, projection, reports, scoring, sequences, streams  # noqa: E402, F401
+from .plans import audit, checkpoints, composites, containers, eventlog, evidence, functions, projection, replay, reports, scoring, sequences, streams  # noqa: E402, F401

@@ -93,10 +93,11 @@ def correction_blocks(directives: DataFrame, keys: list[str]) -> DataFrame:
     return held.select(*keys, F.concat(F.lit(CORRECTIONS), F.array_join(F.transform("ds", lambda d: d["entry"]), ""), F.lit(RULES)).alias("block"), F.array_distinct(F.flatten(F.transform("ds", lambda d: d["facts"]))).alias("facts"))
 
 
-def prompts(view: DataFrame, directives: DataFrame, keys: list[str], config: Config) -> DataFrame:
+def prompts(view: DataFrame, directives: DataFrame | None, keys: list[str], config: Config) -> DataFrame:
     """view, a log or its active evidence -> keys, prompt, block, facts, error; a log over max_log bytes is an error, not cut."""
     logs = L.render(view, F.concat("type", F.lit(": "), "payload"), keys)
-    rows = logs.join(correction_blocks(directives, keys), keys, "left").withColumn("block", F.coalesce("block", F.lit("")))
+    blocks = logs.withColumns({"block": F.lit(""), "facts": F.array().cast("array<string>")}) if directives is None else logs.join(correction_blocks(directives, keys), keys, "left")
+    rows = blocks.withColumn("block", F.coalesce("block", F.lit("")))
     size = F.octet_length("rendered")
     error = F.when((size > config.max_log) & F.lit(config.max_log > 0), F.concat(F.lit("log too large: "), size.cast("string"), F.lit(f" > {config.max_log} bytes")))
     prompt = F.concat(F.lit(config.prefix), "block", F.lit("[EVENT LOG]\n"), "rendered", F.lit("\n\n" + EXPECTED + UNFENCED))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 
 import pandas as pd
@@ -217,6 +218,10 @@ def _bytes_sql(name: str, kind: str) -> str:
         return f"{number(f'strlen({name})', 4)} || hex(encode({name}))"
     if kind == "hashes":
         return f"{number(f'len({name})', 4)} || array_to_string({name}, '')"
+    if kind == "strs":
+        return f"{number(f'len({name})', 4)} || array_to_string(list_transform({name}, lambda x: {number('strlen(x)', 4)} || hex(encode(x))), '')"
+    if kind == "f64":  # 0 and 1
+        return f"CASE WHEN {name} = 0 THEN '{'00' * 8}' ELSE '{struct.pack('<d', 1.0).hex()}' END"
     return name if kind == "hash" else number(name, 4 if kind == "u32" else 8)
 
 
@@ -232,11 +237,6 @@ def manifest_codec(spark, sf):
     return m.select("hash", F.sha2("x", 256).alias("digest"), F.length("x").cast("long").alias("size")).join(back, "hash")
 
 
-@query("H63_certificate_codec", f"WITH {A.CERT} SELECT certificate_id, sha256(checkpoint_hash || '|' || verdict || '|' || created_us || '|' || array_to_string(signatures, ',')) AS envelope FROM cert")
-def certificate_codec(spark, sf):
-    return A.cert(spark, sf).select("certificate_id", F.sha2(F.concat_ws("|", "checkpoint_hash", "verdict", "created_us", F.array_join("signatures", ",")), 256).alias("envelope"))
-
-
 @query("A20_session_cases", "WITH c AS (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id) SELECT conv_id AS case_id, n AS n_events, 'q' || last AS question, CASE WHEN conv_id % 2 = 0 THEN 'inline' ELSE 'hoisted' END AS must FROM c")
 def session_cases(spark, sf):
     """Case JSON with the probe's rubric inside or hoisted beside it."""
