@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from .plans import audit, capability, checkpoints, composites, containers, eventlog, evidence, functions, hooks, projection, replay, reports, scoring, sequences, streams, transcripts  # noqa: E402, F401
+from .plans import audit, capability, checkpoints, composites, containers, eventlog, evidence, functions, hooks, literals, projection, replay, reports, scoring, sequences, streams, transcripts  # noqa: E402, F401

@@ -155,3 +155,47 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes | None, str]]:
             return
         yield k, data[at + 8 : at + 8 + size], ""
         at, k = at + 8 + size, k + 1
+
+
+def fc_literal(value: object, tag: str) -> str:
+    """A value as a function-call literal: names bare, texts between tags, nested lists and objects without spaces."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{k}:{fc_literal(v, tag)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(fc_literal(v, tag) for v in value) + "]"
+    return f"{tag}{value}{tag}" if isinstance(value, str) else json.dumps(value)
+
+
+#: Names of types that a declaration writes in capitals.
+TYPE_NAMES = ("string", "number", "integer", "object", "array", "boolean", "null")
+
+
+def capital_types(value: object) -> object:
+    """A schema whose type names are capitals, at any depth; a property that is itself called type is no type name."""
+    if isinstance(value, list):
+        return [capital_types(v) for v in value]
+    if isinstance(value, dict):
+        return {k: v.upper() if k == "type" and isinstance(v, str) and v in TYPE_NAMES else capital_types(v) for k, v in value.items()}
+    return value
+
+
+def fc_declaration(tool: object, tag: str) -> tuple[str | None, str]:
+    """A tool's declaration, and the error: it must be an object with a name."""
+    if not isinstance(tool, dict):
+        return None, "not an object"
+    function = tool.get("function", tool)
+    if not isinstance(function, dict) or not isinstance(function.get("name"), str):
+        return None, "no name"
+    fields = {k: v for k, v in capital_types(function).items() if k != "name"}
+    return f"declaration:{function['name']}{fc_literal(fields, tag)}", ""
+
+
+def scrubbed(value: object, limit: int = 4000, items: int = 20, keys: int = 40) -> object:
+    """A value for a ledger: long texts cut and marked, of lists the first items, of objects the first keys, at any depth."""
+    if isinstance(value, str):
+        return value if len(value) <= limit else value[:limit] + "...<truncated>"
+    if isinstance(value, list):
+        return [scrubbed(v, limit, items, keys) for v in value[:items]]
+    if isinstance(value, dict):
+        return {k: scrubbed(v, limit, items, keys) for k, v in list(value.items())[:keys]}
+    return value
