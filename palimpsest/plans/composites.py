@@ -153,9 +153,9 @@ def tool_registry(spark, sf):
     return A.table(spark, sf, "events").select("event_id", F.col("event_type").alias("name")).join(reg, "name", "left").select("event_id", "name", "schema", F.when(F.col("schema").isNull(), "unknown tool").otherwise("ok").alias("status"))
 
 
-@query("E5_needles", "WITH d AS (SELECT doc_id, n_chars, unnest([0.22, 0.45, 0.66, 0.85]) AS f FROM documents WHERE n_chars >= 100) SELECT doc_id, CAST(floor(n_chars * f) AS BIGINT) AS at, 'needle-' || CAST(floor(n_chars * f) AS BIGINT) AS needle FROM d")
+@query("E5_needles", "WITH d AS (SELECT doc_id, n_chars, unnest([0.22, 0.45, 0.66, 0.85]) AS f FROM documents) SELECT doc_id, CAST(floor(n_chars * f) AS BIGINT) AS at, 'needle-' || CAST(floor(n_chars * f) AS BIGINT) AS needle FROM d")
 def needles(spark, sf):
-    d = A.table(spark, sf, "documents").filter("n_chars >= 100").select("doc_id", "n_chars", F.explode(F.array(*[F.lit(x) for x in (0.22, 0.45, 0.66, 0.85)])).alias("f")).withColumn("at", F.floor(F.col("n_chars") * F.col("f")))
+    d = A.table(spark, sf, "documents").select("doc_id", "n_chars", F.explode(F.array(*[F.lit(x) for x in (0.22, 0.45, 0.66, 0.85)])).alias("f")).withColumn("at", F.floor(F.col("n_chars") * F.col("f")))
     return d.select("doc_id", "at", F.concat(F.lit("needle-"), "at").alias("needle"))
 
 

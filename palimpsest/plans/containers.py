@@ -40,3 +40,15 @@ def container_read(spark, sf):
     name = F.regexp_extract("path", "[^/]+$", 0)
     first = F.min("begin_offset").over(Window.partitionBy("path"))
     return read.select(name.alias("name"), "section", "data_type", F.get("items", F.lit(0))["value"].alias("key"), (F.col("begin_offset") - first).alias("begin"), F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"), "error")
+
+
+@query("A38_capability_scan", f"SELECT DISTINCT 'c' || doc_id // {HELD} AS name, doc_id // {HELD} % 5 = 0 AS drafter FROM documents")
+def capability_scan(spark, sf):
+    """Which containers hold a drafter model, told from their headers alone; tokenizers may carry the same item."""
+    docs = A.table(spark, sf, "documents").selectExpr(f"doc_id div {HELD} AS b", "doc_id").groupBy("b").agg(F.min("doc_id").alias("key"))
+    model = docs.selectExpr("concat('c', b) AS name", "0 AS section", "'TFLiteModel' AS data_type", "key", "IF(b % 5 = 0, 'drafter', 'main') AS model_type", "CAST('m' AS BINARY) AS content")
+    other = docs.selectExpr("concat('c', b) AS name", "1 AS section", "'SP_Tokenizer' AS data_type", "key", "'drafter' AS model_type", "CAST('t' AS BINARY) AS content")
+    folder = fresh(spark, "containers")
+    C.write_containers(model.unionByName(other), folder).write.format("noop").mode("overwrite").save()
+    found = C.has_model(C.read_containers(spark, folder, content=False), "drafter")
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("found").alias("drafter"))

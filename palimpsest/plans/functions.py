@@ -107,11 +107,15 @@ def correction_extraction(spark, sf):
     return c.select("conv_id", "turn", F.array_join("old", "|").alias("invalidated"), F.array_join("new", "|").alias("replacements"), F.when(F.size("old") > 0, "blocking").otherwise("info").alias("severity"))
 
 
-@query("H12_clauses", r"WITH c AS (SELECT conv_id, '1. Always call `look_up`. 2. Never call `delete_all`. ' || conv_id || '. Use `save`.' AS t FROM (SELECT DISTINCT conv_id FROM conversations)), x AS (SELECT conv_id, unnest(list_filter(regexp_split_to_array(t, '[0-9]+\. '), lambda p: p <> '')) AS clause FROM c) SELECT conv_id, trim(clause) AS clause, regexp_extract(clause, '`(\w+)`', 1) AS tool, contains(clause, 'Never') AS negative FROM x")
+_POLICY = "'1. Always call `' || role || '`. ' || regexp_replace(coalesce(text, ''), '[0-9`.]', ' '{all}) || ' 2. Never use `t' || turn || '`. 3. ' || role || ' may ask for `save`'"
+
+
+@query("H12_clauses", rf"WITH c AS (SELECT conv_id, turn, {_POLICY.format(all=", 'g'")} AS t FROM conversations), x AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(t, '[0-9]+\. '), lambda p: p <> '')) AS clause FROM c) SELECT conv_id, turn, md5(trim(clause)) AS clause, regexp_extract(clause, '`(\w+)`', 1) AS tool, contains(clause, 'Never') AS negative FROM x")
 def clauses(spark, sf):
-    c = A.table(spark, sf, "conversations").select("conv_id").distinct().withColumn("t", F.expr("concat('1. Always call `look_up`. 2. Never call `delete_all`. ', conv_id, '. Use `save`.')"))
-    x = c.select("conv_id", F.explode(F.filter(F.split("t", r"[0-9]+\. "), lambda p: p != "")).alias("clause"))
-    return x.select("conv_id", F.trim("clause").alias("clause"), F.regexp_extract("clause", r"`(\w+)`", 1).alias("tool"), F.contains("clause", F.lit("Never")).alias("negative"))
+    """Policies of numbered clauses around each message, split into clauses with the tools they name."""
+    c = A.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_POLICY.format(all="")).alias("t"))
+    x = c.select("conv_id", "turn", F.explode(F.filter(F.split("t", r"[0-9]+\. "), lambda p: p != "")).alias("clause"))
+    return x.select("conv_id", "turn", F.md5(F.trim("clause")).alias("clause"), F.regexp_extract("clause", r"`(\w+)`", 1).alias("tool"), F.contains("clause", F.lit("Never")).alias("negative"))
 
 
 @query("H13_sanitise", r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g'), '^\.+', ''), ''), 'default') AS id, coalesce(nullif(regexp_replace('..' || page_id % 2, '^\.+', ''), ''), 'default') AS dots FROM pages")
@@ -211,11 +215,11 @@ def stop_cut(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.cut_at_stop(F.col("text"), [". ", "\n", "zzz"])).alias("cut"))
 
 
-@query("H28_greedy_flag", "SELECT d.doc_id, n.doc_id AS other, starts_with(d.text, left(n.text, 1 + CAST(d.doc_id % 5 AS INTEGER))) AS greedy FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1")
+@query("H28_greedy_flag", "SELECT d.doc_id, n.doc_id AS other, starts_with(d.text, left(n.text, 1 + CAST(d.doc_id % 5 AS INTEGER))) AS greedy FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1")
 def greedy_flag(spark, sf):
     """Does a generation (a text) start with the continuation that is asked about (the first characters of the next text)?"""
     asked = _docs(spark, sf).selectExpr("doc_id AS other", "doc_id - 1 AS doc_id", "left(text, CAST(1 + (doc_id - 1) % 5 AS INT)) AS continuation")
-    return _docs(spark, sf).select("doc_id", "text").join(asked, "doc_id").select("doc_id", "other", F.expr("startswith(text, continuation)").alias("greedy"))
+    return _docs(spark, sf).select("doc_id", "text").join(asked, "doc_id", "left").select("doc_id", "other", F.expr("startswith(text, continuation)").alias("greedy"))
 
 
 @query("H30_tokens", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS id FROM (SELECT DISTINCT w FROM w)) SELECT w.w AS token, min(v.id) AS id, count(*) AS uses FROM w JOIN v USING (w) GROUP BY w.w")
@@ -383,12 +387,6 @@ def hook_dialect(spark, sf):
     return A.table(spark, sf, "events").select("event_id", line.alias("j")).select("event_id", F.coalesce(get("$.tool_name", "$.toolCall.name"), F.lit("unknown")).alias("tool"), get("$.session_id", "$.sessionId", "$.session").cast("long").alias("session"))
 
 
-@query("A38_capability_scan", "SELECT p_partkey, p_partkey % 5 = 0 AS drafter FROM part")
-def capability_scan(spark, sf):
-    s = A.table(spark, sf, "part").selectExpr("p_partkey", "array(named_struct('kind', 'model', 'model_type', IF(p_partkey % 5 = 0, 'drafter', 'main')), named_struct('kind', 'tokenizer', 'model_type', 'drafter')) AS sections")
-    return s.select("p_partkey", F.exists("sections", lambda x: (x["kind"] == "model") & (x["model_type"] == "drafter")).alias("drafter"))
-
-
 @query("A7_frame_decode")
 def frame_decode(spark, sf):
     """Sessions as binary logs, some cut short, and their frames."""

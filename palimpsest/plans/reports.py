@@ -279,9 +279,9 @@ def superset(spark, sf):
     return _tools(spark, sf).select("user_id", (F.size(F.array_except("hack", "normal")) == 0).alias("covers"))
 
 
-@query("G7_set_operations", "SELECT 'both' AS part, user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' AND value > 40 INTERSECT SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40) UNION ALL SELECT 'only_error', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' AND value > 40 EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40)")
+@query("G7_set_operations", "SELECT 'both' AS part, user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup') UNION ALL SELECT 'only_error', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup')")
 def set_operations(spark, sf):
-    e = A.table(spark, sf, "events").filter("value > 40")
+    e = A.table(spark, sf, "events")
     a, b = e.filter("event_type = 'error'").select("user_id"), e.filter("event_type = 'signup'").select("user_id")
     return a.intersect(b).selectExpr("'both' AS part", "user_id").unionByName(a.subtract(b).selectExpr("'only_error' AS part", "user_id"))
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The format.
@@ -355,13 +356,19 @@ def read_containers(spark: SparkSession, path: str, *, content: bool = True) ->
     return spark.read.format("container_sections").option("content", str(content)).load(path)
 
 
+def has_model(sections: DataFrame, model_type: str) -> DataFrame:
+    """path, found: whether a container holds a model whose item model_type is this one; sections of other types do not count."""
+    own = (F.col("data_type") == "TFLiteModel") & F.exists("items", lambda i: (i["key"] == "model_type") & (i["value"] == model_type))
+    return sections.groupBy("path").agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("found"))
+
+
 def write_containers(rows: DataFrame, folder: str, change: Callable[[str, bytes], bytes] | None = None) -> DataFrame:
-    """rows (name, section, data_type, key, content) -> (name, size), a container each name, whose sections are held in one task:
+    """rows (name, section, data_type, key, content, and model_type if there is one) -> (name, size), a container each name, whose sections are held in one task:
     callers bound them. A file that a lost task wrote is replaced by the same bytes. change gets name and bytes, to damage some."""
 
     def write(t: pa.Table) -> pa.Table:
         made = sorted(t.to_pylist(), key=lambda r: r["section"])
-        data = container([("name", "StringValue", made[0]["name"]), ("sections", "UInt32", len(made))], [(r["data_type"], [("key", "Int64", r["key"])], r["content"]) for r in made])
+        data = container([("name", "StringValue", made[0]["name"]), ("sections", "UInt32", len(made))], [(r["data_type"], [("key", "Int64", r["key"])] + [("model_type", "StringValue", r.get("model_type"))] * bool(r.get("model_type")), r["content"]) for r in made])
         data = change(made[0]["name"], data) if change else data
         system, at = _opened(folder)
         system.create_dir(at, recursive=True)
