@@ -75,3 +75,26 @@ def response_items(spark, sf):
 def paired_calls(spark, sf):
     """Calls with their results, and orphans of both."""
     return T.paired_calls(_items(spark, sf))
+
+
+_MESSAGE = f"""CASE (conv_id + turn) % 4 WHEN 0 THEN concat('{{"role":"', role, '","content":', {_TEXT}, '}}') WHEN 1 THEN concat('{{"role":"', role, '","content":[{{"text":', {_TEXT}, '}},"and"],"tool_calls":[{{"function":{{"name":"f","arguments":', {_TEXT}, '}}}},{{"name":"g","arguments":{{"k":1}}}},7]}}')
+  WHEN 2 THEN concat('{{"role":"tool","name":"f","content":', {_TEXT}, '}}') ELSE '"stray"' END"""
+
+
+@query(
+    "A23_rubric_cases",
+    """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, (conv_id + turn) % 4 AS k FROM conversations),
+e AS (SELECT conv_id, turn, 0 AS place, CASE role WHEN 'user' THEN 'user' WHEN 'system' THEN 'system' ELSE 'assistant_text' END AS kind, CASE k WHEN 0 THEN text ELSE text || ' and' END AS text FROM c WHERE conv_id % 10 <> 3 AND (k = 0 AND trim(text) <> '' OR k = 1)
+  UNION ALL SELECT conv_id, turn, 1, 'tool_call', '[tool_use f(' || left(text, 120) || ')]' FROM c WHERE conv_id % 10 <> 3 AND k = 1 AND role = 'assistant' UNION ALL SELECT conv_id, turn, 2, 'tool_call', '[tool_use g({"k":1})]' FROM c WHERE conv_id % 10 <> 3 AND k = 1 AND role = 'assistant'
+  UNION ALL SELECT conv_id, turn, 0, 'tool_result', left(text, 2000) FROM c WHERE conv_id % 10 <> 3 AND k = 2),
+n AS (SELECT i.conv_id, coalesce(list(kind || ':' || text ORDER BY turn, place) FILTER (kind IS NOT NULL), []) AS every FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e USING (conv_id) GROUP BY i.conv_id),
+f AS (SELECT conv_id, CASE WHEN len(every) > 0 THEN every ELSE ['system:rules ' || conv_id, 'user:asks'] END AS every FROM n)
+SELECT conv_id || ':' || r AS case_id, conv_id || ':' || CASE r WHEN 'hack' THEN 'normal' ELSE 'hack' END AS paired_case_id, r AS pair_role, len(every)::INTEGER AS n_events, greatest(0, len(every) - 1)::INTEGER AS probe_t, md5(array_to_string(every[1:greatest(0, len(every) - 1)], chr(10))) AS digest FROM f, (VALUES ('normal'), ('hack')) v(r)""",
+)
+def rubric_cases(spark, sf):
+    """Rows with messages as JSON, some of which is broken, as pairs of cases that differ in their rubric."""
+    c = A.table(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{_MESSAGE} AS m")
+    rows = c.groupBy("conv_id").agg(F.expr("listagg(m, ',') WITHIN GROUP (ORDER BY turn)").alias("ms"))
+    rows = rows.selectExpr("conv_id AS id", "IF(conv_id % 10 = 3, '{\"no\":', concat('[', ms, ']')) AS messages_json", "concat('rules ', conv_id) AS system", "'asks' AS user")
+    said = F.array_join(F.transform("events", lambda p: F.concat(p["kind"], F.lit(":"), p["text"])), "\n")
+    return T.rubric_cases(rows).select("case_id", "paired_case_id", "pair_role", "n_events", "probe_t", F.md5(said).alias("digest"))

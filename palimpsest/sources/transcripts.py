@@ -44,7 +44,8 @@ def _joined(v: Column, path: str) -> Column:
 
 def _piece(kind: str, text: Column, name: Column | None = None, args: Column | None = None) -> Column:
     empty = F.lit("")
-    return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (empty if name is None else name).alias("tool_name"), (empty if args is None else args).alias("tool_args"))
+    # named_struct, as aliases are lost in nested lambdas
+    return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("text"), text, F.lit("tool_name"), empty if name is None else name, F.lit("tool_args"), empty if args is None else args)
 
 
 def _arguments(block: Column, raw: Column) -> Column:
@@ -124,3 +125,42 @@ def paired_calls(events: DataFrame) -> DataFrame:
     Of calls that share an id the first counts, of results too."""
     side = lambda kind, name: events.filter((F.col("kind") == kind) & (F.col("call_id") != "")).groupBy("session_id", "call_id").agg(F.min("idx").alias(name))
     return side("tool_call", "call_idx").join(side("tool_result", "result_idx"), ["session_id", "call_id"], "full")
+
+
+def message_pieces(messages: Column) -> Column:
+    """A list of messages (role, content, tool_calls, name) as VARIANT -> array<struct<kind, text, tool_name, tool_args>>, in order. A
+    content of parts is their texts with spaces between; arguments that are no text are compact JSON."""
+    none = F.array().cast(f"array<{_PIECE}>")
+
+    def calls(m: Column) -> Column:
+        def call(t: Column) -> Column:
+            fn = F.coalesce(F.try_variant_get(t, "$.function", "variant"), t)
+            name, args = F.coalesce(_str(fn, "$.name"), F.lit("")), F.substring(F.coalesce(_str(fn, "$.arguments"), F.lit("")), 1, 500)
+            return _piece("tool_call", F.concat(F.lit("[tool_use "), name, F.lit("("), F.substring(args, 1, ARGUMENT), F.lit(")]")), name, args)
+
+        return F.coalesce(F.transform(F.filter(_list(m, "$.tool_calls"), lambda t: F.schema_of_variant(t).startswith("OBJECT")), call), none)
+
+    def of(m: Column) -> Column:
+        role = F.coalesce(_str(m, "$.role"), F.lit(""))
+        parts = F.transform(_list(m, "$.content"), lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.coalesce(_str(x, "$.text"), F.lit(""))).otherwise(F.coalesce(_str(x, "$"), F.lit("None"))))
+        text = F.coalesce(F.array_join(parts, " "), _str(m, "$.content"), F.lit(""))
+        said = lambda kind: F.when(F.trim(text) != "", F.array(_piece(kind, text))).otherwise(none)
+        return (
+            F.when(role == "user", said("user")).when(role.isin("assistant", "model"), F.concat(said("assistant_text"), calls(m)))
+            .when(role == "tool", F.array(_piece("tool_result", F.substring(text, 1, OUTPUT), F.coalesce(_str(m, "$.name"), F.lit(""))))).when(role == "system", said("system")).otherwise(none)
+        )
+
+    return F.flatten(F.transform(F.filter(messages, lambda m: F.schema_of_variant(m).startswith("OBJECT")), of))
+
+
+def rubric_cases(rows: DataFrame) -> DataFrame:
+    """rows (id, messages_json, system, user) -> two linked cases of each: case_id, paired_case_id, pair_role, n_events, probe_t, events, those
+    before the probe. Where messages_json is no list, or gives no event, the texts of system and user are events."""
+    none = F.array().cast(f"array<{_PIECE}>")
+    given = F.coalesce(message_pieces(_list(F.try_parse_json("messages_json"))), none)
+    own = F.filter(F.array(*[F.when(F.trim(c) != "", _piece(c, F.col(c))) for c in ("system", "user")]), lambda p: p.isNotNull())
+    base = F.substring(F.coalesce(F.col("id").cast("string"), F.lit("unknown")), 1, 64)
+    found = rows.select(base.alias("base"), F.when(F.size(given) > 0, given).otherwise(own).alias("all"), F.explode(F.array(F.lit("normal"), F.lit("hack"))).alias("pair_role"))
+    found = found.withColumn("n_events", F.size("all")).withColumn("probe_t", F.greatest(F.lit(0), F.col("n_events") - 1))
+    other = F.when(F.col("pair_role") == "normal", "hack").otherwise("normal")
+    return found.select(F.concat_ws(":", "base", "pair_role").alias("case_id"), F.concat_ws(":", F.col("base"), other).alias("paired_case_id"), "pair_role", "n_events", "probe_t", F.slice("all", F.lit(1), F.col("probe_t")).alias("events"))

@@ -41,3 +41,14 @@ def test_files_of_lines(spark, tmp_path):
     rows = T.typed_blocks(T.read_lines(spark, str(tmp_path))).collect()
     assert sorted((r.session_id, r.idx, r.text) for r in rows) == [("one", 0, "x"), ("one", 1, "y")]
     assert T.typed_blocks(lines(spark, ["{}"]).limit(0)).count() == 0
+
+
+def test_rubric_pairs_share_their_events(spark):
+    messages = [{"role": "system", "content": "s"}, {"role": "user", "content": [{"text": "a"}, "b", None]}, {"role": "model", "content": "", "tool_calls": [{"function": {"name": "f", "arguments": {"k": [1]}}}, {"name": "g", "arguments": "x" * 600}, 5]}, {"role": "tool", "content": "t" * 3000, "name": "f"}, {"role": "user", "content": " "}, 3, {"role": "other", "content": "x"}, {"role": "user"}]
+    rows = [("r1", json.dumps(messages), "sys", "usr"), ("r2", "{", " ", "usr"), ("r3", "[]", None, None), (None, "7", "sys", "usr"), ("l" * 80, None, "sys", "usr")]
+    got = {r.case_id: r for r in T.rubric_cases(spark.createDataFrame(rows, "id string, messages_json string, system string, user string")).collect()}
+    assert len(got) == 10 and all(got[r.paired_case_id].paired_case_id == c and got[r.paired_case_id].events == r.events for c, r in got.items())
+    one = got["r1:normal"]
+    assert (one.n_events, one.probe_t) == (5, 4) and [(e.kind, e.text, len(e.tool_args)) for e in one.events] == [("system", "s", 0), ("user", "a b None", 0), ("tool_call", '[tool_use f({"k":[1]})]', 9), ("tool_call", f"[tool_use g({'x' * 120})]", 500)]
+    assert [(e.kind, e.text) for e in got["unknown:hack"].events] == [("system", "sys")] and got["r2:hack"].n_events == 1 and got["r2:hack"].events == [] and got["r3:normal"].n_events == got["r3:normal"].probe_t == 0
+    assert got["l" * 64 + ":hack"].n_events == 2
