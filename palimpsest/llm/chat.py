@@ -8,7 +8,7 @@ holds. After a rewrite these two renderings are made of the whole conversation f
 output count; a turn whose text the template dropped or that cannot be told apart then has no place and no loss.
 
 Cost. n prefixes of n turns take the square of n. A template may say of how many preceding turns a turn's output depends
-(``context``): then a conversation is rendered in runs of RUN turns, each after its context alone, and comes out in parts, so
+(``context``): then a conversation is rendered in runs of RUN turns or RUN_CHARS characters, each after its context alone, and comes out in parts, so
 time is in proportion to the turns and memory holds a run. Each run's end is rendered from the shorter beginning too; an output
 that differs, or a rewrite, refutes the declared context and is an error. Without it (None) a conversation is one part.
 
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-#: Turns that are rendered after one beginning.
-RUN = 32
+#: Turns that are rendered after one beginning, and characters after which a run ends sooner.
+RUN, RUN_CHARS = 32, 4 << 20
 #: Two characters of the private use area.
 PROBES = ("\ue000", "\ue001")
 #: Characters of parts that are sent on together.
@@ -110,7 +110,7 @@ def located(turns: Iterator[Turn], template: Template, loss: frozenset[str]) ->
             at = text_place(render, held, len(held) - 1, now)
             spans.append(Span(number, len(out) - begin, len(now) - begin, *((x - begin for x in at) if at else (None, None)), turn[0] in loss))
         out, number = now, number + 1
-        if context is not None and len(held) - known >= RUN:
+        if context is not None and (len(held) - known >= RUN or len(out) - begin >= RUN_CHARS):
             yield Part(out[begin:], spans)
             tail = held[-1 - context :]
             if render(tail)[len(render(tail[:-1])) if len(tail) > 1 else 0 :] != out[begin + spans[-1].start :]:
@@ -130,8 +130,9 @@ def located(turns: Iterator[Turn], template: Template, loss: frozenset[str]) ->
 
 # --- the template of the query: user and assistant turns as in Llama's first chat models, other roles by name ---
 
-_CONTROL = r"<\\{n}+(?=/?s>)|\[\\{n}+(?=(?:/?INST|/?ROLE|TEXT)\])"
-_BARE, _ESCAPED = re.compile(_CONTROL.replace("{n}+", "*+")), re.compile(_CONTROL.replace("{n}+", "++"))
+# a bracket, backslashes or none, and the rest of a control string; the second with one backslash at least
+_BARE = re.compile(r"<\\*+(?=/?s>)|\[\\*+(?=(?:/?INST|/?ROLE|TEXT)\])")
+_ESCAPED = re.compile(r"<\\++(?=/?s>)|\[\\++(?=(?:/?INST|/?ROLE|TEXT)\])")
 
 
 def escaped(s: str) -> str:

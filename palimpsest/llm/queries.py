@@ -121,7 +121,7 @@ PLANTED = (-1, [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok
 
 
 def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.formatted(conversations(spark, sf_dir), planted=[PLANTED]), ordered=True)
+    return chat.read_back(chat.formatted(conversations(spark, sf_dir), planted=[PLANTED]), ordered=True).drop("n_parts")
 
 
 OP11_SQL = r"""
@@ -133,7 +133,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   (3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 23 + role_n END))::BIGINT AS formatted_chars,
-  ceil(count(*) / 32)::BIGINT AS n_parts, 0::BIGINT AS n_rewritten
+  0::BIGINT AS n_rewritten
 FROM e GROUP BY conv_id, planted
 """
 

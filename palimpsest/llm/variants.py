@@ -41,7 +41,7 @@ SPLIT = 16_384
 STRIP = 1 << 22
 #: Distinct words that a task holds before it sends their counts on.
 HELD = 200_000
-#: Bytes of words and rows that come as one.
+#: Lower case for A-Z only.
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -115,3 +115,11 @@ def test_a_long_conversation_comes_in_parts(spark):
     assert [p.offset for p in parts] == [sum(len(q.text) for q in parts[:k]) for k in range(len(parts))]
     [r] = chat.read_back(chat.formatted(df), ordered=True).collect()
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected([("assistant" if k % 2 else "user", f"turn {k}") for k in range(1000)])
+
+
+def test_long_turns_end_a_run_sooner(monkeypatch):
+    monkeypatch.setattr(chat, "RUN_CHARS", 1000)
+    turns = [("user" if k % 2 == 0 else "assistant", "x" * 400) for k in range(20)]
+    parts = located(turns)
+    assert len(parts) > 5 and "".join(p.text for p in parts) == chat.INSTRUCT.render(turns) and max(len(p.spans) for p in parts) == 3
+    assert [chat.INSTRUCT.read(p.text[s.start : s.end]) for p in parts for s in p.spans] == turns
