@@ -1,4 +1,4 @@
-"""The engine's commands over one log table: record, correct, status, events, prompt, handoff, verify."""
+"""The engine's commands over one log table: record, correct, status, events, prompt, project, audit, handoff, verify."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .functions.text import valid_identity
-from .operators import eventlog, evidence, runner
+from .operators import eventlog, evidence, projection, replay, runner, stores
 
 SCHEMA = "tenant_id STRING, session_id STRING, event_index LONG, type STRING, payload STRING, timestamp_us LONG, step_index LONG, tool_call_id STRING"
 CORRECTION = "correction_id STRING, invalidated_facts ARRAY<STRING>, replacement_facts ARRAY<STRING>, scope STRING"
@@ -56,7 +56,8 @@ class Engine:
         """Directives of all correction events, at their own places; JSON fields are optional."""
         c = self.log().filter("type = 'correction'").withColumn("j", F.from_json("payload", CORRECTION))
         facts = F.transform("j.invalidated_facts", lambda f: F.trim(f))
-        return c.select(*KEYS, F.coalesce("j.correction_id", F.concat(F.lit("event-"), "event_index")).alias("correction_id"), F.col("event_index").alias("correction_index"), F.col("event_index").alias("directive_index"), F.coalesce("j.scope", F.lit("prior_events")).alias("scope"), facts.alias("facts"))
+        more = [F.coalesce("j.replacement_facts", F.array().cast("array<string>")).alias("replacements"), F.lit("").alias("correction_text")]
+        return c.select(*KEYS, F.coalesce("j.correction_id", F.concat(F.lit("event-"), "event_index")).alias("correction_id"), F.col("event_index").alias("correction_index"), F.col("event_index").alias("directive_index"), F.coalesce("j.scope", F.lit("prior_events")).alias("scope"), F.coalesce(facts, F.array().cast("array<string>")).alias("facts"), *more)
 
     def view(self) -> DataFrame:
         return evidence.active_view(self.log(), self.directives(), KEYS)
@@ -74,6 +75,19 @@ class Engine:
     def memory(self, budget: int, run: runner.Runner = runner.heuristic) -> DataFrame:
         return runner.project(self.view(), budget, run)
 
+    def project(self, run: projection.Runner, config: projection.Config) -> DataFrame:
+        """Each session's memory from its active evidence, repaired within config.attempts, or why there is none."""
+        return projection.project(self.log(), self.directives(), run, KEYS, config)
+
+    def audit(self, store: stores.CheckpointStore, ledger: stores.AuditLedger, dag: stores.ProvenanceStore, run: projection.Runner, by: replay.Auditor) -> replay.Audit:
+        """Replays the stored checkpoints against the log; certificates go to the ledger and, as nodes, to the provenance."""
+        rows = store.read().drop("fault", "session_id", "parent_hashes")
+        found = replay.audit(rows, self.log().drop("tenant_id"), store.edges(), run, by)
+        unsigned = F.array().cast("array<struct<algorithm: string, key_id: string, signature: string>>")
+        ledger.put(found.certificates.withColumn("signatures", unsigned))
+        dag.put(found.nodes)
+        return found
+
     def handoff(self) -> DataFrame:
         """A bundle of each session: range, digests, counts."""
         line = self.log().withColumn("_line", F.concat("type", F.lit(":"), "payload"))

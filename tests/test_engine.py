@@ -61,6 +61,27 @@ def test_verify_tells_what_changed(spark, engine):
     assert got == {"s": "trace_digest_match,event_count_match,event_range_match", "z": ""}
 
 
+def test_project_and_audit(spark, engine, tmp_path):
+    from palimpsest import catalog  # noqa: F401  plans import each other through it
+    from palimpsest.operators import projection, replay, stores
+    from palimpsest.plans.composites import _BOUND
+
+    engine.record(batch(spark, ("s", "user", "The sky is Blue"), ("s", "user", "the rest"), ("z", "user", "hi"), ("s", "correction", '{"correction_id":"c1","invalidated_facts":["blue"]}'), ("z", "correction", '{"replacement_facts":["x"]}')))
+    config = projection.Config("s1", "{}", "m1", attempts=2)
+    found = {r.session_id: r for r in engine.project(projection.stand_in, config).collect()}
+    # the stand-in repeats a correction's own words until it is asked not to, and the correction event keeps its fact
+    assert found["s"].status == "repaired" and found["s"].attempts == 1 and "blue" not in found["s"].memory.lower() and found["z"].status == "accepted"
+    by = replay.Auditor(config, "ab" * 32, "auditor", "v1")
+    store, ledger, dag = stores.CheckpointStore(spark, str(tmp_path / "c")), stores.AuditLedger(spark, str(tmp_path / "l")), stores.ProvenanceStore(spark, str(tmp_path / "d"))
+    made = replay.replayed(spark.createDataFrame([("h", "s", 0, 2)], "hash string, session_id string, range_start long, range_end long"), engine.log().drop("tenant_id"), projection.stand_in, config).first().replay
+    rows = spark.createDataFrame([("s", 0, 2, made, 1), ("s", 0, 1, made, 2), ("s", 1, 9, made, 3)], "session_id string, range_start long, range_end long, body string, created_us long")
+    bound = {n: v for n, v in _BOUND.items() if n != "kv_dtype"}
+    store.put(rows.selectExpr("*", "'t' AS tenant_id", "0 AS level", "0 AS kv_dtype", "CAST(array() AS ARRAY<STRING>) AS parent_hashes", *[f"{v} AS {n}" for n, v in bound.items()]))
+    audit = engine.audit(store, ledger, dag, projection.stand_in, by)
+    assert sorted(str(r.verdict or r.error) for r in audit.results.collect()) == ["correction_emitted", "event range", "pass"]
+    assert sorted(r.verdict for r in ledger.latest().collect()) == ["correction_emitted", "pass"] and dag.nodes.rows().count() == 2
+
+
 def test_binary_logs(spark, tmp_path):
     good = protocol.framed([b'{"type":"user","tenant_id":"t","session_id":"s","payload":"x","timestamp_us":1}', b"not json"])
     (tmp_path / "a.log").write_bytes(good)
