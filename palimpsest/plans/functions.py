@@ -94,9 +94,19 @@ def _distinct_sql(of: str) -> str:
     return f"list_filter({of}, lambda x, i: list_position(list_transform({of}, lambda y: lower(y)), lower(x)) = i)"
 
 
+def _may(t: Column, form: str) -> Column:
+    """False only if the form cannot match: one that begins with anything up to an arrow tries every place of a text without one."""
+    return F.contains(t, F.lit("->")) | F.contains(t, F.lit("=>")) if form.startswith(".") or form.startswith("(.") else F.lit(True)
+
+
+def says(t: Column) -> Column:
+    """Whether a message has one of the forms of a correction."""
+    return reduce(lambda a, b: a | b, [_may(t, f) & t.rlike(f) for f in PROMPT_FORMS])
+
+
 def _facts(t: Column, group: int) -> Column:
     """Clean facts of three characters or more, those first that the first forms find; repeats, whatever their case, go."""
-    found = F.array(*[F.btrim(F.regexp_replace(F.regexp_extract(t, f, group), r"\s+", " "), F.lit(_EDGES)) for f in FORMS])
+    found = F.array(*[F.btrim(F.regexp_replace(F.when(_may(t, f), F.regexp_extract(t, f, group)).otherwise(""), r"\s+", " "), F.lit(_EDGES)) for f in FORMS])
     kept = F.filter(found, lambda x: F.length(x) >= 3)
     return T.distinct_folded(kept)
 
@@ -277,7 +287,7 @@ def correction_prompt(spark, sf):
     t = F.expr(_SAY)
     low = F.lower(t)
     has = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-    return A.table(spark, sf, "conversations").select("conv_id", "turn", (has(HINTS) & (reduce(lambda a, b: a | b, [t.rlike(f) for f in PROMPT_FORMS]) | has(["correction", "correcting"]))).alias("correction"))
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", (has(HINTS) & (says(t) | has(["correction", "correcting"]))).alias("correction"))
 
 
 #: Tools that change files, shells, and shell commands that matter.

@@ -23,7 +23,7 @@ _NAME = "CASE WHEN conv_id % 4 = 3 THEN 'Edit' ELSE 'Bash' END"
 def events(spark, sf) -> DataFrame:
     t = F.col("t")
     has = lambda words: reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(w)) for w in words])
-    corrects = has(R.HINTS) & (reduce(lambda a, b: a | b, [t.rlike(f) for f in R.PROMPT_FORMS]) | has(["correction", "correcting"]))
+    corrects = has(R.HINTS) & (R.says(t) | has(["correction", "correcting"]))
     c = A.table(spark, sf, "conversations").selectExpr("CAST(conv_id AS STRING) AS session_id", "turn AS seq", f"{_HOOK} AS hook", f"{R._SAY} AS t", f"{_HELD} AS command", f"{_NAME} AS tool")
     boundary = F.col("tool").isin(R.EDITORS) | F.lower("tool").isin(R.EDITORS_FOLDED) | (F.lower("tool").isin(R.SHELLS) & F.col("command").rlike(R.RISKY))
     return c.select("session_id", "seq", "hook", corrects.alias("corrects"), F.substring(F.sha2("t", 256), 1, 16).alias("correction_id"), R._facts(t, 1).alias("invalidated"), R._facts(t, 2).alias("replacements"), F.col("command").alias("text"), boundary.alias("boundary"))
