@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_contains
+from ..functions.text import ascii_lower
 
 #: The words around the number of facts and the ids in what replaces a revoked event.
 MARKER = ("REVOKED_BY_CORRECTION: this event contained ", " invalidated fact(s) and is not active evidence for the projection. Apply correction_id(s): ", ". Do not reconstruct the original revoked wording from this marker.")
@@ -24,7 +24,10 @@ def matches(log: DataFrame, directives: DataFrame, keys: list[str]) -> DataFrame
     """(event, fact of a directive) where the directive is in scope and the event holds the fact. Sessions are an equality, so
     the substring is a residual of a hash join, not a nested loop. Only prior_events looks at the place."""
     in_scope = (F.col("scope") != "prior_events") | (F.col("event_index") < F.col("correction_index"))
-    return log.filter("type <> 'correction'").join(_prepared(directives, keys), keys).filter(in_scope & ascii_contains(F.col("payload"), F.col("fact")))
+    # folded once a row of each side, not once a pair
+    events = log.filter("type <> 'correction'").withColumn("_low", ascii_lower(F.col("payload")))
+    facts = _prepared(directives, keys).withColumn("_fact_low", ascii_lower(F.col("fact")))
+    return events.join(facts, keys).filter(in_scope & F.contains("_low", "_fact_low")).drop("_low", "_fact_low")
 
 
 def active_view(log: DataFrame, directives: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,8 +51,6 @@ def revoked_log(view: DataFrame) -> DataFrame:
 
 def first_seen(items: DataFrame, keys: list[str], item: str, place: str) -> DataFrame:
     """Distinct trimmed items in order of first appearance, compared without ASCII case."""
-    from ..functions.text import ascii_lower
-
     rows = items.withColumn(item, F.trim(item)).filter(F.col(item) != "")
     firsts = rows.groupBy(*keys, ascii_lower(F.col(item)).alias("_folded")).agg(F.min_by(item, place).alias(item), F.min(place).alias(place))
     return firsts.drop("_folded")
