@@ -48,29 +48,45 @@ def _letter(c: str) -> bool:
     return c.isalpha() and c.lower().isalpha() and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c)
 
 
-def _parts(chunk: bytes) -> tuple[bytes, ...]:
-    """The chunk, or its word and the punctuation after it."""
-    m = _tail.match(chunk.decode("utf-8", "replace")) if b"<|" not in chunk else None
-    return tuple(g.encode() for g in m.groups()) if m and _letter(m[1][-1]) else (chunk,)
-
-
-class Recent:
-    """A cache of two generations: what is asked for stays, what is not goes with its generation."""
-
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.young: dict[bytes, bytes] = {}
+def _letters(tokenizer) -> dict[int, str]:
+    """For str.translate: what the tokenizer's model gets for a letter, in scripts whose letters do not compose with each other."""
+    found = {}
+    for c in filter(_letter, map(chr, range(0x530))):
+        parts = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))
+        if len(parts) == 1:
+            found[ord(c)] = parts[0][0]
+    return found
+
+
+class Chunks(dict):
+    """Ids of chunks, as little-endian unsigned 32-bit numbers; those not seen yet are tokenized. Of two generations: what is
+    asked for stays, what is not goes with its generation."""
+
+    def __init__(self, tokenizer, size: int) -> None:
+        super().__init__()
+        self.tokenizer, self.size = tokenizer, size
+        self.model, self.letters = tokenizer.model, _letters(tokenizer)
+        self.word = re.compile("[" + "".join(map(chr, self.letters)) + "]+")
         self.old: dict[bytes, bytes] = {}
 
-    def get(self, key: bytes) -> bytes | None:
-        found = self.young.get(key)
-        return self.old.get(key) if found is None else found
-
-    def add(self, entries: dict[bytes, bytes]) -> None:
-        """The new entries, however many, can be found until the next call."""
-        if len(self.young) + len(entries) > self.size:
-            self.old, self.young = self.young, {}
-        self.young.update(entries)
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.encoded(chunk)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+    def encoded(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if self.word.fullmatch(text):  # the tokenizer takes a run of letters as one word
+            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text.translate(self.letters))])
+        m = _tail.match(text) if "<|" not in text else None
+        if m and _letter(m[1][-1]):
+            return self[m[1].encode()] + self[m[2].encode()]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class Encoder:
@@ -82,17 +98,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = Recent(cache)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        split = {c: _parts(c) for c in chunks}
-        own = {p: i for p in {p for parts in split.values() for p in parts} if (i := self.chunks.get(p)) is not None}
-        new = list({p for parts in split.values() for p in parts if p not in own})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                own[c] = np.array(e.ids, dtype="<u4").tobytes()
-        self.chunks.add({c: b"".join([own[p] for p in parts]) for c, parts in split.items()} | {p: own[p] for p in new})
+        self.chunks = Chunks(self.tokenizer, cache)
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -101,15 +107,7 @@ class Encoder:
             end = at + SLICE
             while end < len(text) and text[end : end + 1] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            chunks = text[at:end].split()
-            found = list(map(self.chunks.young.get, chunks))
-            if None in found:
-                missing = {c for c, f in zip(chunks, found) if f is None}
-                known = {c: f for c in missing if (f := self.chunks.old.get(c)) is not None}
-                self.chunks.add(known)
-                self.learn([c for c in missing if c not in known])
-                found = [f if f is not None else self.chunks.get(c) for c, f in zip(chunks, found)]
-            out.append(b"".join(found))
+            out.append(b"".join(map(self.chunks.__getitem__, text[at:end].split())))
             at = end
         return b"".join(out)
 

@@ -63,6 +63,40 @@ def test_ids_equal_the_tokenizers_on_mixed_texts():
         assert enc.ids(t.encode()) == np.array(e.ids, "<u4").tobytes(), t
 
 
+def test_new_words_skip_the_tokenizers_other_steps():
+    """Letters of all scripts that go to the model straight, alone, in pairs and in words with punctuation; the whole tokenizer
+    sees none of them."""
+    enc, rng = packing.Encoder(PATH), random.Random(4)
+    letters = [c for c in map(chr, range(0x530)) if packing._letter(c)]
+    words = letters + ["".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(20_000)] + ["ΟΔΟΣ", "ΑΣ.", "Straße,", "d'été", "L'S", "ÉTÉ&&&"]
+    texts = words + [w + "," for w in words]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [enc.ids(t.encode()) for t in texts] == want
+
+    class Seen:
+        """The tokenizer, counting the texts that pass all its steps."""
+
+        def __init__(self):
+            self.n = 0
+
+        def __getattr__(self, name):
+            self.n += 1
+            return getattr(enc.tokenizer, name)
+
+    enc.chunks = packing.Chunks(enc.tokenizer, 1 << 19)
+    enc.chunks.tokenizer = seen = Seen()
+    for w in words[: len(letters) + 20_000]:
+        enc.ids(w.encode())
+    assert seen.n == 0
+
+
+def test_small_generations_give_equal_ids(texts):
+    few, many = packing.Encoder(PATH, 7), packing.Encoder(PATH)
+    for t in list(texts.values())[:40]:
+        assert few.ids((t or "").encode()) == many.ids((t or "").encode())
+    assert len(few.chunks) <= 7 and len(few.chunks.old) <= 7
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_tight(seed):
     rng = np.random.default_rng(seed)
