@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import langid, mixing, packing, pii, simhash
-from palimpsest.llm.common import dropped, stored
+from palimpsest.llm.common import dropped, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null, empty, or no letter); the others carry the predicted one. A null doc_id is an
     identity like any other, a null label is not learned from; equal rows get equal languages, a tie the first by name."""
+    small_batches(spark)
     names = ("_palimpsest_lang", "_palimpsest_score", "_palimpsest_family")
     found = langid.predict(docs, langid.train(docs), docs.columns, names)
     return found.filter(F.col(names[0]) != langid.UNKNOWN).withColumn("lang", F.col(names[0])).select(*docs.columns)
@@ -28,6 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more, and what chains of such pairs
     connect. The smallest doc_id stays, rows without one come last, ties go by the text's digest; of rows that are equal in
     both one stays. Null and empty texts are copies of each other."""
+    small_batches(spark)
     return simhash.representatives(docs, width=5, similarity=0.8).select(*docs.columns)
 
 
@@ -48,8 +50,9 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     itself; pieces of equal length are placed in order of doc_id and piece."""
     import public_tokenizers
 
-    # workers that go on to other stages keep less
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=1 << 16)
+    small_batches(spark)
+    # workers that go on to other stages keep nothing
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=1 << 16, keep=False)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("personal_data", personal_data), ("mix", mix), ("sequences", sequences)]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of texts that go to Python at once: some megabytes, which the executor and its worker hold a few times over.
+BATCH_ROWS = 1000
+
 #: A word, as Java's and Python's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same class for RE2, in DuckDB.
@@ -54,6 +60,21 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends at most BATCH_ROWS rows to Python at once (Spark's default is 10,000)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def released() -> None:
+    """Gives what a Python worker has freed back to the system: it stays with its executor while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or a longer one that df does not have."""
     while name in df.columns:

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import released
+
 DIMENSIONS = 4096
 #: Bytes of a text that are counted at a time.
 SLICE = 1 << 20
@@ -173,5 +175,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
             found = [m.predict(t) for t in b.column("text").to_pylist()]
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("row"), *columns], names=["row", "lang_pred", "score", "family"])
+        released()
 
     return rows.mapInArrow(run, schema).select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "family"), names)])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 BIN = 8
 DEPTH = 3
@@ -119,12 +119,12 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
     return _encoders[path, cache]
 
 
-def pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0, cache: int = CACHE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0, cache: int = CACHE, keep: bool = True) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32. keep: workers keep the encoder for their next tasks."""
     end = np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, cache)
+        enc = encoder(tokenizer, cache) if keep else Encoder(tokenizer, cache)
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             texts = b.column("text").cast(pa.binary()).to_pylist()
@@ -138,6 +138,9 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep:
+            del enc
+            released()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -284,9 +287,10 @@ def plan(hist: np.ndarray, max_len: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 4), seq
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0, cache: int = CACHE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset. cache: chunks of a generation."""
-    rows = pieces(docs, tokenizer, max_len, separator, cache).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int"))
+def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, separator: int = 0, cache: int = CACHE, keep: bool = True) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset. cache: chunks of a generation;
+    keep: workers keep them for their next tasks."""
+    rows = pieces(docs, tokenizer, max_len, separator, cache, keep).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int"))
     rows = stored(rows, "pieces")
     counts = rows.groupBy("length", "salt").count()
     hist = np.zeros(max_len + 1, dtype=np.int64)

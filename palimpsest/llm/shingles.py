@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 SAMPLE = 4096
 #: Shingles whose frequency in the sample is known, at most; 16 bytes each in every task.
@@ -153,6 +153,7 @@ def prefixes(docs: DataFrame, *, width: int, similarity: float) -> DataFrame:
             digest = pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string())
             columns = [b.column("doc_id"), digest, pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "fp", "size", "prefix"])
+        released()
 
     return docs.mapInArrow(run, "doc_id long, digest string, node long, fp binary, size long, prefix array<long>")
 
@@ -199,6 +200,7 @@ def exact_links(members: DataFrame, heads: DataFrame, *, width: int, similarity:
         for b in batches:
             found = pa.array([shingles(t or b"", width).tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), found], names=["node", "label", "own"])
+        released()
 
     def compare(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()

@@ -72,6 +72,28 @@ def test_near_copies_keep_any_columns(spark, sf, docs):
     assert out.columns == named.columns and {tuple(r)[-2:] for r in out.collect()} == {("own", "too")}
 
 
+def test_workers_hold_little_after_sequences(spark, sf, docs):
+    """The workers that run on for other stages hold no tokenizer, and texts come to them in small batches."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    def held(batches):
+        import pyarrow as pa
+
+        from palimpsest.llm import packing
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len([k for k in packing._encoders if k[1] == 1 << 16])])], names=["n"])
+
+    assert corpus_pipeline.sequences(spark, docs, sf).count() > 0
+    assert {r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()} == {0}
+    assert max(r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()) <= 1000
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
