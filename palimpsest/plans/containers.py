@@ -32,14 +32,23 @@ UNION ALL SELECT DISTINCT 'c' || b, NULL, NULL, NULL, NULL, NULL, NULL, 'magic'
 def container_read(spark, sf):
     """Containers of a few documents each, written as files and read back by sections; some are damaged."""
     docs = A.table(spark, sf, "documents").select(F.expr(f"concat('c', doc_id div {HELD})").alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    texts = docs.select("name", F.row_number().over(Window.partitionBy("name").orderBy("doc_id")).alias("section"), F.lit("GenericBinaryData").alias("data_type"), F.col("doc_id").alias("key"), F.encode("text", "utf-8").alias("content"))
-    langs = docs.groupBy("name").agg(F.lit(HELD + 1).alias("section"), F.lit(C.COMPRESSED).alias("data_type"), F.lit(-1).cast("long").alias("key"), F.encode(F.expr("listagg(lang, ',') WITHIN GROUP (ORDER BY doc_id)"), "utf-8").alias("content"))
+    order = Window.partitionBy("name").orderBy("doc_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = docs.withColumns({"section": F.row_number().over(order), "held": F.count("*").over(whole).cast("int"), "langs": F.array_join(F.collect_list("lang").over(whole), ",")})
+
+    def section(place, kind, key, text):
+        return F.struct(place.alias("section"), F.lit(kind).alias("data_type"), key.cast("long").alias("key"), F.encode(text, "utf-8").alias("content"))
+
+    # the languages follow a container's last text: so the rows stay where the window dealt them
+    own, last = section(F.col("section"), "GenericBinaryData", F.col("doc_id"), F.col("text")), section(F.col("section") + 1, C.COMPRESSED, F.lit(-1), F.col("langs"))
+    rows = placed.select("name", F.explode(F.when(F.col("section") == F.col("held"), F.array(own, last)).otherwise(F.array(own))).alias("s")).select("name", "s.*")
     folder = fresh(spark, "containers")
-    C.write_containers(texts.unionByName(langs), folder, _damaged).write.format("noop").mode("overwrite").save()
+    C.write_containers(rows, folder, _damaged).write.format("noop").mode("overwrite").save()
     read = C.read_containers(spark, folder)
-    name = F.regexp_extract("path", "[^/]+$", 0)
+    # digests first: what meets the other sections of a file are then small rows
+    found = read.select("path", "section", "data_type", "begin_offset", F.get("items", F.lit(0))["value"].alias("key"), F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"), "error")
     first = F.min("begin_offset").over(Window.partitionBy("path"))
-    return read.select(name.alias("name"), "section", "data_type", F.get("items", F.lit(0))["value"].alias("key"), (F.col("begin_offset") - first).alias("begin"), F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"), "error")
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "section", "data_type", "key", (F.col("begin_offset") - first).alias("begin"), "n_bytes", "digest", "error")
 
 
 @query("A38_capability_scan", f"SELECT DISTINCT 'c' || doc_id // {HELD} AS name, doc_id // {HELD} % 5 = 0 AS drafter FROM documents")

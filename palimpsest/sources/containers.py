@@ -1,14 +1,16 @@
 """Model containers: a data source that reads sections, and a writer.
 
 A container is a magic number, three version numbers, the place where the header ends, the header, a flatbuffer with metadata and
-the byte range and type of each section, and the sections at multiples of 16 KiB. ``read_containers`` plans from the headers alone: a
-partition is a section, or a range of CHUNK bytes of a long one, and reads nothing but its own bytes. Compressed sections are
+the byte range and type of each section, and the sections at multiples of 16 KiB. ``read_containers`` plans from the listing of files
+alone: a partition is a range of CHUNK bytes of a long file, or many small files of about as many bytes. Its task reads the headers
+and then the sections, or chunks of CHUNK bytes of long ones, that begin in its ranges. Compressed sections are
 inflated as they are read, up to a bound; so no row is larger than CHUNK. What cannot be read is a row with ``error``, and the
 other sections still come. Files are opened by Arrow's file systems, local or object stores, in the workers.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,6 +35,10 @@ MOST = 1 << 30
 
 COMPRESSED = "HF_Tokenizer_Zlib"
 CHUNK = 64 << 20
+#: What opening a small file costs, in bytes read meanwhile.
+OPENING = 256 << 10
+#: Blocks of local file systems.
+PAGE = 4096
 #: Headers are small; a larger one is taken as damage.
 HEADER_MOST = 64 << 20
 
@@ -235,22 +241,22 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return found[0], found[1]
 
 
-def _files(path: str) -> list[str]:
-    """The files at a path, or below a folder; hidden ones are left out."""
+def _files(path: str) -> list[tuple[str, int]]:
+    """The files at a path, or below a folder, with their sizes; hidden ones are left out."""
     system, at = _opened(path)
     info = system.get_file_info(at)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     scheme = path[: path.index("://") + 3] if "://" in path else ""
     if info.is_file:
-        return [path]
+        return [(path, info.size)]
     found = system.get_file_info(fs.FileSelector(at, recursive=True))
-    return sorted(scheme + f.path for f in found if f.is_file and not f.base_name.startswith((".", "_")))
+    return sorted((scheme + f.path, f.size) for f in found if f.is_file and not f.base_name.startswith((".", "_")))
 
 
 @dataclass
 class Piece(InputPartition):
-    """A section, or chunks of one; number is -1 for a file whose header is damaged."""
+    """A section, or a chunk of one; number is -1 for a file whose header is damaged."""
 
     path: str
     number: int
@@ -261,24 +267,53 @@ class Piece(InputPartition):
         InputPartition.__init__(self, (self.path, self.number, self.first))
 
 
-def _pieces(path: str) -> Iterator[Piece]:
-    system, at = _opened(path)
-    with system.open_input_file(at) as f:
-        size = f.size()
-        try:
-            end = header_end(f.read_at(min(size, HEADER_AT), 0))
-            if end > size:
-                raise Damaged("truncated header")
-            _, sections = parsed(f.read_at(end - HEADER_AT, HEADER_AT), size)
-        except Damaged as e:
-            yield Piece(path, -1, Section("", error=str(e)))
-            return
+@dataclass
+class Pack(InputPartition):
+    """Ranges (path, from, to) of files that one task reads; to is None for a file's last range."""
+
+    ranges: list[tuple[str, int, int | None]]
+
+    def __post_init__(self) -> None:
+        InputPartition.__init__(self, tuple(self.ranges))
+
+
+def _packs(files: list[tuple[str, int]], data: bool) -> Iterator[Pack]:
+    """All ranges of the files, dealt by the bytes to read, or by headers alone without data, and what opening a file costs."""
+    held, cost = [], 0
+    for path, size in files:
+        for start in range(0, max(size, 1) if data else 1, CHUNK):
+            own = OPENING + (min(CHUNK, size - start) if data else 0)
+            if held and cost + own > CHUNK:
+                yield Pack(held)
+                held, cost = [], 0
+            held.append((path, start, start + CHUNK if data and start + CHUNK < size else None))
+            cost += own
+    if held:
+        yield Pack(held)
+
+
+def _planned(path: str, f: pa.NativeFile) -> Iterator[Piece]:
+    size = f.size()
+    try:
+        end = header_end(f.read_at(min(size, HEADER_AT), 0))
+        if end > size:
+            raise Damaged("truncated header")
+        _, sections = parsed(f.read_at(end - HEADER_AT, HEADER_AT), size)
+    except Damaged as e:
+        yield Piece(path, -1, Section("", error=str(e)))
+        return
     for k, s in enumerate(sections):
         step = s.end - s.begin if s.error or s.kind == COMPRESSED else CHUNK
         for first in range(s.begin, max(s.end, s.begin + 1), max(step, 1)):
             yield Piece(path, k, s, first)
 
 
+def _pieces(path: str) -> Iterator[Piece]:
+    system, at = _opened(path)
+    with system.open_input_file(at) as f:
+        yield from _planned(path, f)
+
+
 def _inflated(f: pa.NativeFile, s: Section) -> Iterator[bytes]:
     if s.end - s.begin < 8:
         raise Damaged("compressed size")
@@ -309,31 +344,39 @@ class SectionReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.data = options["path"], options.get("content", "true").lower() != "false"
 
-    def partitions(self) -> list[Piece]:
-        return [p for f in _files(self.path) for p in _pieces(f)]
-
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        s = partition.section
+    def partitions(self) -> list[Pack]:
+        return list(_packs(_files(self.path), self.data))
+
+    def read(self, partition: Pack | Piece) -> Iterator[tuple]:
+        ranges = [(partition.path, 0, None)] if isinstance(partition, Piece) else partition.ranges
+        for path, start, end in ranges:
+            system, at = _opened(path)
+            with system.open_input_file(at) as f:
+                for p in [partition] if isinstance(partition, Piece) else _planned(path, f):
+                    # a damaged header may name any place: what lies beyond the file is its last range's
+                    if p.first >= start and (end is None or p.first < end) or isinstance(partition, Piece):
+                        yield from self._rows(f, p)
+
+    def _rows(self, f: pa.NativeFile, p: Piece) -> Iterator[tuple]:
+        s = p.section
         items = [{"key": k, "kind": v, "value": x} for k, v, x in s.items]
-        if partition.number < 0:
-            yield partition.path, None, None, None, None, [], 0, None, s.error
+        if p.number < 0:
+            yield p.path, None, None, None, None, [], 0, None, s.error
             return
-        row = (partition.path, partition.number, s.kind, s.begin, s.end, items)
+        row = (p.path, p.number, s.kind, s.begin, s.end, items)
         if s.error or not self.data:
-            if partition.first == s.begin:
+            if p.first == s.begin:
                 yield *row, 0, None, s.error or None
             return
-        system, at = _opened(partition.path)
-        chunk = (partition.first - s.begin) // CHUNK
-        with system.open_input_file(at) as f:
-            try:
-                if s.kind != COMPRESSED:
-                    yield *row, chunk, f.read_at(min(CHUNK, s.end - partition.first), partition.first), None
-                    return
-                for chunk, out in enumerate(_inflated(f, s)):
-                    yield *row, chunk, out, None
-            except Damaged as e:
-                yield *row, chunk, None, str(e)
+        chunk = (p.first - s.begin) // CHUNK
+        try:
+            if s.kind != COMPRESSED:
+                yield *row, chunk, f.read_at(min(CHUNK, s.end - p.first), p.first), None
+                return
+            for chunk, out in enumerate(_inflated(f, s)):
+                yield *row, chunk, out, None
+        except Damaged as e:
+            yield *row, chunk, None, str(e)
 
 
 class Sections(DataSource):
@@ -362,6 +405,21 @@ def has_model(sections: DataFrame, model_type: str) -> DataFrame:
     return sections.groupBy("path").agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("found"))
 
 
+def _put(system: fs.FileSystem, at: str, data: bytes) -> None:
+    """A file of these bytes; local file systems keep no blocks for the zeros between sections."""
+    if not isinstance(system, fs.LocalFileSystem):
+        with system.open_output_stream(at) as f:
+            f.write(data)
+        return
+    zeros = bytes(PAGE)
+    with open(at, "wb", buffering=0) as f:
+        f.truncate(len(data))
+        for first in range(0, len(data), PAGE):
+            page = memoryview(data)[first : first + PAGE]
+            if page != zeros[: len(page)]:
+                os.pwrite(f.fileno(), page, first)
+
+
 def write_containers(rows: DataFrame, folder: str, change: Callable[[str, bytes], bytes] | None = None) -> DataFrame:
     """rows (name, section, data_type, key, content, and model_type if there is one) -> (name, size), a container each name, whose sections are held in one task:
     callers bound them. A file that a lost task wrote is replaced by the same bytes. change gets name and bytes, to damage some."""
@@ -372,8 +430,7 @@ def write_containers(rows: DataFrame, folder: str, change: Callable[[str, bytes]
         data = change(made[0]["name"], data) if change else data
         system, at = _opened(folder)
         system.create_dir(at, recursive=True)
-        with system.open_output_stream(f"{at}/{made[0]['name']}") as f:
-            f.write(data)
+        _put(system, f"{at}/{made[0]['name']}", data)
         return pa.table({"name": [made[0]["name"]], "size": [len(data)]})
 
     return rows.groupBy("name").applyInArrow(write, "name string, size long")

@@ -77,3 +77,40 @@ def test_any_wrong_byte_of_a_header_is_survived():
 def test_a_missing_path_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFound"):
         read(spark, tmp_path / "none")
+
+
+def test_small_files_share_tasks_and_long_ones_are_divided(spark, tmp_path, monkeypatch):
+    (tmp_path / "small").mkdir()
+    for k in range(600):
+        (tmp_path / "small" / f"m{k}").write_bytes(C.container([], [("TFLiteModel", [], b"x" * k), ("LlmMetadataProto", [], b"y")]))
+    for data, most in (("true", 20), ("false", 3)):
+        assert 1 < len(C.SectionReader({"path": str(tmp_path / "small"), "content": data}).partitions()) <= most
+    assert C.read_containers(spark, str(tmp_path / "small")).rdd.getNumPartitions() <= 20
+    got = sorted((int(r.path.rsplit("/m", 1)[1]), r.section, len(r.content or b"")) for r in read(spark, tmp_path / "small"))
+    assert got == [(k, s, n) for k in range(600) for s, n in ((0, k), (1, 1))]
+    monkeypatch.setattr(C, "CHUNK", 20_000)
+    monkeypatch.setattr(C, "OPENING", 0)
+    (tmp_path / "long").mkdir()
+    body = bytes(range(256)) * 400
+    whole = C.container([], [("TFLiteWeights", [], body), ("HF_Tokenizer_Zlib", [], body), ("LlmMetadataProto", [], b"y")])
+    (tmp_path / "long" / "a").write_bytes(whole)
+    (tmp_path / "long" / "b").write_bytes(whole[:60_000])  # sections begin beyond the file's end
+    (tmp_path / "long" / "c").write_bytes(b"")
+    reader = C.SectionReader({"path": str(tmp_path / "long")})
+    packs = reader.partitions()
+    assert len(packs) > 5
+    rows = [(r[0].rsplit("/", 1)[1], r[1], r[6], r[7], r[8]) for p in packs for r in reader.read(p)]
+    a = sorted(r for r in rows if r[0] == "a")
+    assert [r[1:3] for r in a if r[1] == 0] == [(0, k) for k in range(6)] and max(len(r[3]) for r in a) <= 20_000
+    assert b"".join(r[3] for r in a if r[1] == 0) == body == b"".join(r[3] for r in a if r[1] == 1) and [r[3] for r in a if r[1] == 2] == [b"y"]
+    assert sorted(r[:3] + r[4:] for r in rows if r[0] == "b") == [("b", k, 0, "truncated") for k in range(3)]
+    assert [r for r in rows if r[0] == "c"] == [("c", None, 0, None, "magic")]
+
+
+def test_padding_takes_no_room_and_is_read_as_zeros(tmp_path):
+    data = C.container([], [("LlmMetadataProto", [], b"y")] * 50)
+    C._put(C.fs.LocalFileSystem(), str(tmp_path / "a"), data)
+    assert (tmp_path / "a").read_bytes() == data and (tmp_path / "a").stat().st_blocks * 512 < len(data) / 2
+    for odd in (b"", b"\0", b"\0" * 9000, b"x" * 4097):
+        C._put(C.fs.LocalFileSystem(), str(tmp_path / "a"), odd)
+        assert (tmp_path / "a").read_bytes() == odd
