@@ -5,7 +5,7 @@ session and its step; the streaming operator keeps it between triggers, the batc
 arrive sorted and stream through a task, so any division of a token stream into batches gives the same text.
 
 Rules. Bytes from 128 wait for the next piece, and are then decoded together, an invalid one as U+FFFD; one below 128 is text at
-once. Tokens that end in an incomplete character are kept and decoded again with the next. A stop sequence's progress goes on with its
+once, after the whole characters before it. Tokens that end in an incomplete character are kept and decoded again with the next. A stop sequence's progress goes on with its
 next token, else restarts at its first or at none; as many texts as the longest progress are held back, and dropped if it completes.
 Only sequences in progress and those that begin with the token are looked at, so there may be many.
 """
@@ -13,7 +13,7 @@ Only sequences in progress and those that begin with the token are looked at, so
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -26,35 +26,52 @@ Token = tuple[int | None, str | None]
 LOST = "�"
 
 
-def bytes_text(data: bytes) -> str:
-    """UTF-8, each byte that begins no whole character as U+FFFD."""
-    out, at = [], 0
+def _decoded(data: bytes | bytearray) -> tuple[str, int]:
+    """UTF-8, each byte that begins no whole character as U+FFFD, and where the last whole character ends."""
+    out, at, end, view = [], 0, 0, memoryview(data)
     while at < len(data):
-        for n in (1, 2, 3, 4):
-            try:
-                out.append(data[at : at + n].decode())
-                at += n
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
+        try:
+            out.append(str(view[at:], "utf-8"))
+            return "".join(out), len(data)
+        except UnicodeDecodeError as e:
+            if e.start:
+                end = at + e.start
+                out.append(str(view[at:end], "utf-8"))
             out.append(LOST)
-            at += 1
-    return "".join(out)
+            at += e.start + 1
+    return "".join(out), end
+
+
+def bytes_text(data: bytes | bytearray) -> str:
+    """UTF-8, each byte that begins no whole character as U+FFFD."""
+    return _decoded(data)[0]
 
 
-def pieces_text(tokens: Sequence[Token]) -> tuple[str, bool]:
-    """The text, and whether it is whole: not ending in bytes that need more."""
-    text, held = "", b""
+def pieces_text(tokens: Iterable[Token]) -> tuple[str, bool]:
+    """The text, and whether it is whole: not ending in bytes that need more. A byte below 128 comes after the whole characters
+    before it, and before bytes that may still become one."""
+    out, held, lost = [], bytearray(), 0  # lost: so many bytes at the start of held began no character when last looked at
     for byte, piece in tokens:
-        if byte is not None and byte >= 128:
-            held += bytes([byte])
-        elif byte is not None:
-            text += chr(byte)
+        if byte is None:
+            if held:
+                out.append(bytes_text(held))
+                held, lost = bytearray(), 0
+            out.append(piece or "")
+        elif byte >= 128:
+            held.append(byte)
         else:
-            text, held = text + bytes_text(held) + (piece or ""), b""
+            if len(held) > lost:
+                sure = max(0, lost - 3)  # a character has four bytes at most
+                text, end = _decoded(held[sure:])
+                if end:
+                    rest = len(held) - sure - end
+                    out.append(LOST * sure + text[: len(text) - rest])
+                    held = held[sure + end :]
+                lost = len(held)
+            out.append(chr(byte))
     last = bytes_text(held)
-    return text + last, not last.endswith(LOST)
+    out.append(last)
+    return "".join(out), not last.endswith(LOST)
 
 
 @dataclass

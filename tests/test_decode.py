@@ -82,3 +82,21 @@ def test_stream_and_batch_agree(spark, tmp_path):
     for r in sorted(drained(spark, D.decode_stream(stream, stops), "decoded_out", tmp_path).collect(), key=lambda r: r.seq):
         out[r.session_id] = out.get(r.session_id, "") + r.text
     assert out == {s: w[0] for s, w in want.items() if w[0]}
+
+
+def test_whole_characters_come_before_an_ascii_byte():
+    assert D.pieces_text([(0xC3, None), (0xA4, None), (0xE2, None), (0x41, None), (0x82, None), (0xAC, None)]) == ("äA€", True)
+    assert D.pieces_text([(0xC3, None), (0xA4, None), (0x41, None)]) == ("äA", True)
+    assert D.pieces_text([(0xEF, None), (0xBF, None), (0xBD, None), (0xE2, None), (0x41, None), (0x82, None), (0xAC, None)]) == (D.LOST + "A€", True)
+    assert D.pieces_text([(0xFF, None), (0xC3, None), (0xA4, None), (0x41, None), (0xC3, None)]) == (D.LOST + "äA" + D.LOST, False)
+    assert D.pieces_text([(0xFF, None), (0x41, None)] * 20_000 + [(0xC3, None), (0xA4, None)]) == ("A" * 20_000 + D.LOST * 20_000 + "ä", True)
+
+
+def test_tokens_at_once_and_one_by_one_give_the_same_text():
+    rng = random.Random(11)
+    alphabet = [piece("a"), (0xC3, None), (0xA4, None), (0xE2, None), (0x82, None), (0xAC, None), (0x41, None), (0xFF, None), (0xEF, None), (0xBF, None), (0xBD, None)]
+    for _ in range(3000):
+        tokens = rng.choices(alphabet, k=rng.randrange(14))
+        d = D.Decoder(D.Stops([]))
+        text = "".join(d.step(t) for t in tokens)
+        assert text + D.pieces_text(d.partial)[0] == D.pieces_text(tokens)[0], tokens
