@@ -167,8 +167,7 @@ def incomplete_bpe(spark, sf):
     """Texts as pieces and bytes, some ending in whole, broken or incomplete characters, put together again."""
     token = lambda b, p: f"struct({'CAST(NULL AS INT)' if b is None else b} AS byte, {'CAST(NULL AS STRING)' if p is None else repr(p)} AS piece)"
     tail = F.expr("CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN array({', '.join(token(*t) for t in ts)})" for k, ts in _H31_TAIL.items() if ts) + f" ELSE slice(array({token(None, '')}), 1, 0) END")
-    tokens = F.concat(decode.pieces(F.coalesce("text", F.lit(""))), tail)
-    rows = decode.joined(A.table(spark, sf, "documents").select("doc_id", tokens.alias("tokens")), "tokens")
+    rows = decode.joined(A.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("said"), tail.alias("tokens")), "tokens", "said")
     return rows.select("doc_id", F.when(F.col("whole"), F.md5("text")).alias("digest"), "whole")
 
 

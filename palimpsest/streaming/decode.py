@@ -13,13 +13,14 @@ Only sequences in progress and those that begin with the token are looked at, so
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Token = tuple[int | None, str | None]
@@ -171,22 +172,39 @@ def decoded(tokens: DataFrame, stops: list[list[Token]]) -> DataFrame:
     return rows.mapInArrow(run, "session_id string, text string, stopped boolean, n_tokens long, held int")
 
 
-def pieces(text: Column, size: int = 6) -> Column:
+#: Rows whose texts are put together before they go back to Spark.
+JOINED_ROWS = 256
+
+
+def pieces(text: str, size: int = 6) -> Iterator[Token]:
     """Tokens of a text: pieces of up to size ASCII characters, spaces as ▁, and the bytes of every other character."""
-    runs = F.regexp_extract_all(text, F.lit(rf"[^\x00-\x7F]|[\x00-\x7F]{{1,{size}}}"), F.lit(0))
-    token = lambda byte, piece: F.struct(byte.cast("int").alias("byte"), piece.cast("string").alias("piece"))
-    of_bytes = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: token(F.conv(F.substring(F.hex(F.encode(c, "utf-8")), 2 * i - 1, F.lit(2)), 16, 10), F.lit(None)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x00-\x7F]"), F.array(token(F.lit(None), F.replace(r, F.lit(" "), F.lit("▁"))))).otherwise(of_bytes(r))))
+    for run in re.finditer(rf"[^\x00-\x7F]+|[\x00-\x7F]{{1,{size}}}", text):
+        if (t := run[0]).isascii():
+            yield None, t.replace(" ", "▁")
+        else:
+            yield from ((byte, None) for byte in t.encode())
 
 
-def joined(rows: DataFrame, tokens: str) -> DataFrame:
-    """rows with text and whole (whether it ends in a whole character) in place of tokens, array<struct<byte, piece>>."""
-    names = [c for c in rows.columns if c != tokens]
+def joined(rows: DataFrame, tokens: str, text: str | None = None) -> DataFrame:
+    """rows with text and whole (whether it ends in a whole character) in place of tokens, array<struct<byte, piece>>. Where text
+    names a column, the tokens of its texts come first: they are made where they are read, one text's at a time."""
+    names = [c for c in rows.columns if c not in (tokens, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [pieces_text([(t["byte"], t["piece"]) for t in ts]) if ts is not None else (None, True) for ts in b.column(tokens).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([t for t, _ in found], pa.string()), pa.array([w for _, w in found], pa.bool_())], names=[*names, "text", "whole"])
-
-    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != tokens)
-    return rows.mapInArrow(run, f"{kinds}, text string, whole boolean")
+        for whole in batches:
+            for first in range(0, whole.num_rows, JOINED_ROWS):
+                b = whole.slice(first, JOINED_ROWS)
+                said = b.column(text) if text else pa.nulls(b.num_rows)
+                texts, wholes = [], []
+                for ts, t in zip(b.column(tokens), said):
+                    own, before = ts.as_py(), t.as_py()
+                    if own is None:
+                        found = None, True
+                    else:
+                        found = pieces_text(chain(pieces(before) if before is not None else (), ((x["byte"], x["piece"]) for x in own)))
+                    texts.append(found[0])
+                    wholes.append(found[1])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(wholes, pa.bool_())], names=[*names, "text", "whole"])
+
+    kinds = "".join(f"`{c}` {k}, " for c, k in rows.dtypes if c in names)
+    return rows.mapInArrow(run, f"{kinds}text string, whole boolean")

@@ -3,6 +3,7 @@ import random
 import pytest
 from test_streaming import drained
 
+from palimpsest import catalog
 from palimpsest.streaming import decode as D
 
 
@@ -100,3 +101,18 @@ def test_tokens_at_once_and_one_by_one_give_the_same_text():
         d = D.Decoder(D.Stops([]))
         text = "".join(d.step(t) for t in tokens)
         assert text + D.pieces_text(d.partial)[0] == D.pieces_text(tokens)[0], tokens
+
+
+def test_texts_are_split_where_they_are_read(spark, sf):
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choices("ab ▁ä€😀\n", k=rng.randrange(30))) if k % 9 else None, [] if k % 3 else [(0xC3, None), (0x41, None), (None, "▁x"), (0xE2, None)]) for k in range(1000)]
+    rows.append((1000, "x", None))
+    frame = spark.createDataFrame(rows, "k long, said string, tokens array<struct<byte: int, piece: string>>")
+    got = {r.k: (r.text, r.whole) for r in D.joined(frame, "tokens", "said").collect()}
+    assert got == {k: D.pieces_text([*D.pieces(t or ""), *ts]) if ts is not None else (None, True) for k, t, ts in rows}
+    assert all(got[k][0] == (t or "").replace(" ", "▁") for k, t, ts in rows if ts == [])
+    assert {r.k: (r.text, r.whole) for r in D.joined(frame.drop("said"), "tokens").collect()} == {k: D.pieces_text(ts) if ts is not None else (None, True) for k, _, ts in rows}
+    assert [*D.pieces("ab cd efé")] == [(None, "ab▁cd▁"), (None, "ef"), (0xC3, None), (0xA9, None)]
+    # no column holds the tokens of a text
+    plan = catalog.QUERIES["H31_incomplete_bpe"](spark, sf)._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" in plan
