@@ -22,3 +22,9 @@ def test_an_empty_item_of_a_list_is_in_every_answer(spark, odd):
     rows = same(catalog.QUERIES["K6_rubric_score"](spark, odd[0]), odd[1], catalog.ORACLE["K6_rubric_score"])
     score = {c: s for c, s, _ in rows}
     assert score[1] == 1.0 and {r[2] for r in rows} == {"scored", "needs_judge", "errored"}  # of conversation 1 the rules are The and the empty item
+
+
+def test_an_empty_forbidden_item_is_an_escape(spark, odd):
+    rows = same(catalog.QUERIES["K7_stale_escape"](spark, odd[0]), odd[1], catalog.ORACLE["K7_stale_escape"])
+    escaped = dict(rows)
+    assert escaped[25] is True and {r[1] for r in rows} == {True, False, None}  # conversation 25 forbids the empty item and una, which it does not say
