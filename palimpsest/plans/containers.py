@@ -58,6 +58,8 @@ def capability_scan(spark, sf):
     model = docs.selectExpr("concat('c', b) AS name", "0 AS section", "'TFLiteModel' AS data_type", "key", "IF(b % 5 = 0, 'drafter', 'main') AS model_type", "CAST('m' AS BINARY) AS content")
     other = docs.selectExpr("concat('c', b) AS name", "1 AS section", "'SP_Tokenizer' AS data_type", "key", "'drafter' AS model_type", "CAST('t' AS BINARY) AS content")
     folder = fresh(spark, "containers")
-    C.write_containers(model.unionByName(other), folder).write.format("noop").mode("overwrite").save()
+    # dealt by number: the rows are small, a container each is not, and few tasks would be left of them
+    rows = model.unionByName(other).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    C.write_containers(rows, folder).write.format("noop").mode("overwrite").save()
     found = C.has_model(C.read_containers(spark, folder, content=False), "drafter")
     return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("found").alias("drafter"))

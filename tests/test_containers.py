@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.sources import containers as C
 
@@ -114,3 +115,23 @@ def test_padding_takes_no_room_and_is_read_as_zeros(tmp_path):
     for odd in (b"", b"\0", b"\0" * 9000, b"x" * 4097):
         C._put(C.fs.LocalFileSystem(), str(tmp_path / "a"), odd)
         assert (tmp_path / "a").read_bytes() == odd
+
+
+def test_small_containers_are_written_by_many_tasks(spark, sf, monkeypatch):
+    """Their rows are few bytes, so what Spark deals by size would be written by one task; the scan then reads headers of many files a task."""
+    from palimpsest import catalog
+    from palimpsest.plans import containers as plan
+
+    seen, write = [], C.write_containers
+
+    def kept(rows, folder, *change):
+        seen.append((rows, folder))
+        return write(rows, folder, *change)
+
+    monkeypatch.setattr(plan.C, "write_containers", kept)
+    found = catalog.QUERIES["A38_capability_scan"](spark, sf)
+    [(rows, folder)] = seen
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = rows.select("name", F.spark_partition_id().alias("p")).distinct().collect()
+    assert rows.rdd.getNumPartitions() == parts and len({r.p for r in names}) > parts // 2 and len({r.name for r in names}) == len(names)
+    assert len(C.SectionReader({"path": folder, "content": "false"}).partitions()) == 1 and found.count() == len(names)
