@@ -5,9 +5,10 @@ session and its step; the streaming operator keeps it between triggers, the batc
 arrive sorted and stream through a task, so any division of a token stream into batches gives the same text.
 
 Rules. Bytes from 128 wait for the next piece, and are then decoded together, an invalid one as U+FFFD; one below 128 is text at
-once, after the whole characters before it. Tokens that end in an incomplete character are kept and decoded again with the next. A stop sequence's progress goes on with its
-next token, else restarts at its first or at none; as many texts as the longest progress are held back, and dropped if it completes.
-Only sequences in progress and those that begin with the token are looked at, so there may be many.
+once, after the whole characters before it. Tokens that end in an incomplete character are kept and decoded again with the next. A
+stop sequence's progress goes on with its next token, else restarts at its first or at none; as many texts as the longest progress
+are held back, and dropped if it completes. Only sequences in progress and those that begin with the token are looked at, so there
+may be many.
 """
 
 from __future__ import annotations
